@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, simhash
+from . import decontaminate, html_text, packing, quality_rules, secrets, simhash
 from .common import prepare, table
 
 
@@ -20,6 +21,27 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.report(simhash.near_duplicates(table(spark, sf_dir, "documents")))
 
 
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    trusted = quality_rules.trusted_of(table(spark, sf_dir, "labels"))
+    return quality_rules.report(quality_rules.verdicts(table(spark, sf_dir, "documents"), trusted))
+
+
+def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    return secrets.report(secrets.secret_spans(table(spark, sf_dir, "documents")))
+
+
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    return packing.pack(table(spark, sf_dir, "documents"), str(public_tokenizers.path("byte_bpe_50k.json")))
+
+
+def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
 
