@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, html_text, packing, quality_rules, secrets, simhash, suffix_dedup
+from . import decontaminate, html_text, packing, quality_model, quality_rules, secrets, simhash, suffix_dedup
 from .common import prepare, table
 
 
@@ -21,6 +21,12 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.report(simhash.near_duplicates(table(spark, sf_dir, "documents")))
 
 
+def op3_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    documents = table(spark, sf_dir, "documents")
+    return quality_model.score(documents, quality_model.learn(documents, table(spark, sf_dir, "labels")))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     prepare(spark)
     trusted = quality_rules.trusted_of(table(spark, sf_dir, "labels"))
