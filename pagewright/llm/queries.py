@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, html_text, packing, quality_model, quality_rules, secrets, simhash, suffix_dedup
+from . import decontaminate, html_text, line_dedup, packing, quality_model, quality_rules, secrets, simhash, suffix_dedup
 from .common import prepare, table
 
 
@@ -27,6 +27,11 @@ def op3_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_model.score(documents, quality_model.learn(documents, table(spark, sf_dir, "labels")))
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    return line_dedup.report(line_dedup.without_repeats(table(spark, sf_dir, "documents")))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     prepare(spark)
     trusted = quality_rules.trusted_of(table(spark, sf_dir, "labels"))
@@ -58,4 +63,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_line_dedup": line_dedup.ORACLE}
