@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 #: Rows in one Arrow batch: a few MB of ordinary documents.
 BATCH_ROWS = 512
 #: Bytes of text that a kernel looks at in one go; a longer text is a chunk of its own.
-CHUNK_BYTES = 2_000_000
+CHUNK_BYTES = 500_000
 #: Where checkpoints go if the session names no folder (local mode and tests only).
 LOCAL_CHECKPOINTS = "/tmp/checkpoints"
 

@@ -21,6 +21,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -221,6 +222,27 @@ def _union(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_words"), pa.array(counts, pa.int64()), batch.column("items"), pa.array(spans, pa.list_(pa.list_(pa.int32())))], ["doc_id", "n_words", "n_hit", "items", "spans"])
 
 
+def clean_documents(documents: DataFrame, benchmark: DataFrame, *, text: str = "text", item: str = "item_id", item_text: str = "text", window: int = WINDOW, gram: int = GRAM, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """The rows of ``documents`` without a hit, unchanged and without a shuffle; a pass follows another's result."""
+    spark = documents.sparkSession
+    prepare(spark)
+
+    def without(shared):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            index = Index(shared.value, window, gram)
+            for batch in batches:
+                keep = np.ones(len(batch), bool)
+                for low, _, hits in index.matches(pc.fill_null(batch.column(batch.schema.get_field_index(text)), "")):
+                    keep[[low + i for i in hits]] = False
+                yield batch.filter(pa.array(keep))
+
+        return run
+
+    for items in _blocks(benchmark, item, item_text, block_words):
+        documents = documents.mapInArrow(without(spark.sparkContext.broadcast(items)), documents.schema)
+    return documents
+
+
 def report(spans: DataFrame) -> DataFrame:
     """The digest columns of the query."""
     return spans.select(

@@ -19,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -103,6 +104,17 @@ def ratios(documents: DataFrame, trusted: DataFrame, *, key: str = "doc_id", tex
     return np.log(p) - np.log((raw + 1) / (raw.sum() + buckets))
 
 
+def measured(texts: pa.Array, weights: np.ndarray) -> tuple[list[tuple[int, int, int, int, int]], np.ndarray]:
+    """The base counts and the mean weight of the n-grams of each text."""
+    data, offsets = string_parts(texts)
+    total, n = np.zeros(len(texts)), np.zeros(len(texts))
+    for low, high in row_chunks(offsets):
+        bins, rows = bins_of(data[offsets[low] : offsets[high]], offsets[low : high + 1] - offsets[low], len(weights))
+        total[low:high] = np.bincount(rows, weights[bins], minlength=high - low)
+        n[low:high] = np.bincount(rows, minlength=high - low)
+    return [base_counts(x.as_py()) for x in texts], total / np.maximum(n, 1)
+
+
 def score(documents: DataFrame, weights: np.ndarray, *, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The base counts and the length-normalised log-likelihood ratio of every document."""
     spark = documents.sparkSession
@@ -112,15 +124,9 @@ def score(documents: DataFrame, weights: np.ndarray, *, key: str = "doc_id", tex
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = shared.value.astype(np.float64)
         for batch in batches:
-            data, offsets = string_parts(batch.column(1))
-            total, n = np.zeros(len(batch)), np.zeros(len(batch))
-            for low, high in row_chunks(offsets):
-                bins, rows = bins_of(data[offsets[low] : offsets[high]], offsets[low : high + 1] - offsets[low], len(held))
-                total[low:high] = np.bincount(rows, held[bins], minlength=high - low)
-                n[low:high] = np.bincount(rows, minlength=high - low)
-            counts = [base_counts(x.as_py()) for x in batch.column(1)]
+            counts, llr = measured(batch.column(1), held)
             columns = list(zip(*counts, strict=True)) if counts else [()] * 5
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in columns), pa.array(total / np.maximum(n, 1))], ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "llr"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in columns), pa.array(llr)], ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "llr"])
 
     return documents.select(F.col(key).cast("long").alias("doc_id"), text_of(text).alias("text")).mapInArrow(run, SCHEMA)
 
@@ -132,6 +138,22 @@ def verdicts(documents: DataFrame, trusted: DataFrame, *, threshold: float = THR
     return scored.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & (F.col("llr") >= threshold))
 
 
+def kept_documents(documents: DataFrame, trusted: DataFrame, *, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, buckets: int = BUCKETS) -> DataFrame:
+    """The rows of ``documents`` whose verdict is to keep them, unchanged and without a shuffle of texts."""
+    spark = documents.sparkSession
+    shared = spark.sparkContext.broadcast(ratios(documents, trusted, key=key, text=text, buckets=buckets).astype(np.float32))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = shared.value.astype(np.float64)
+        for batch in batches:
+            texts = pc.fill_null(batch.column(batch.schema.get_field_index(text)), "")
+            counts, llr = measured(texts, held)
+            keep = [n >= MIN_WORDS and 100 * again <= MOST_REPEATED * n and r >= threshold for (n, _, _, _, again), r in zip(counts, llr.tolist(), strict=True)]
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return documents.mapInArrow(run, documents.schema)
+
+
 def trusted_of(labels: DataFrame) -> DataFrame:
     """The documents that are labelled good and not toxic."""
     return labels.where("quality = 1 and coalesce(toxic, 0) = 0").select("doc_id")

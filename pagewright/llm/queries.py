@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, html_text, line_dedup, packing, quality_model, quality_rules, secrets, simhash, suffix_dedup
+from . import decontaminate, html_text, line_dedup, packing, pii, quality_model, quality_rules, secrets, simhash, suffix_dedup
 from .common import prepare, table
 
 
@@ -32,6 +32,11 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.report(line_dedup.without_repeats(table(spark, sf_dir, "documents")))
 
 
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    return pii.report(pii.with_surrogates(table(spark, sf_dir, "documents")))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     prepare(spark)
     trusted = quality_rules.trusted_of(table(spark, sf_dir, "labels"))

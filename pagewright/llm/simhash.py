@@ -148,7 +148,10 @@ def report(found: DataFrame) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_first(documents: DataFrame, **options) -> DataFrame:
-    """The documents without all but the least doc_id of each group of near duplicates."""
-    kept = near_duplicates(documents, **options).where("doc_id = component_id").select("doc_id")
-    return documents.join(kept.distinct(), "doc_id", "left_semi")
+def keep_first(documents: DataFrame, *, key: str = "doc_id", **options) -> DataFrame:
+    """The documents without all but the least doc_id of each group of near duplicates.
+
+    A row without doc_id stays if no row of its group has one.
+    """
+    kept = near_duplicates(documents, key=key, **options).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept"))
+    return documents.join(kept.distinct(), F.col(key).cast("long").eqNullSafe(F.col("_kept")), "left_semi")

@@ -218,6 +218,8 @@ def answer(table: pa.Table) -> pa.Table:
 CUTTING = [("bytes", "u1", (CUT,)), ("id", "<i8"), ("row", "<u4"), ("start", "<u4"), ("size", "u1"), ("anchor", "u1")]
 #: Instead of the anchor's place: the cutting is one run.
 ALONE = 255
+#: Cuttings that are made in one go.
+CHUNK = 10_000
 
 
 def fingerprints(cut: np.ndarray, size: np.ndarray, anchor: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -230,6 +232,27 @@ def fingerprints(cut: np.ndarray, size: np.ndarray, anchor: np.ndarray) -> tuple
     return a, b
 
 
+def cut_bytes(padded: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """The cuttings' bytes, zero beyond their ends."""
+    reach = np.arange(CUT)[None, :]
+    out = padded[low[:, None] + reach]
+    out[reach >= (high - low)[:, None]] = 0
+    return out
+
+
+def leads(padded: np.ndarray, ids: np.ndarray, low: np.ndarray, high: np.ndarray, anchor: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which cuttings have the smallest doc_id among equal ones, and which have a larger one."""
+    if not len(low):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    parts = [fingerprints(cut_bytes(padded, low[s], high[s]), (high - low)[s], anchor[s]) for s in (slice(at, at + CHUNK) for at in range(0, len(low), CHUNK))]
+    a, b = (np.concatenate(x) for x in zip(*parts, strict=True))
+    order = np.lexsort((ids, b, a))
+    fresh = np.append(True, (a[order][1:] != a[order][:-1]) | (b[order][1:] != b[order][:-1]))
+    least = ids[order][np.flatnonzero(fresh)][np.cumsum(fresh) - 1]
+    behind = ids[order] > least
+    return np.sort(order[~behind]), order[behind]
+
+
 def group_keys(cuttings: np.ndarray) -> np.ndarray:
     """What cuttings that may share a run have in common: the hash of the anchor, or of a run sent alone."""
     raw = np.ascontiguousarray(cuttings["bytes"])
@@ -284,43 +307,32 @@ def cut_out(buckets: int):
         keep = here | np.isin(hashes, shared)
         row, place, hashes = row[keep], place[keep], hashes[keep]
         many = np.isin(hashes, hot)
-
         low, high = np.maximum(offsets[row], place - LEFT), np.minimum(offsets[row + 1], place + LENGTH)
-        anchor = (place - low).astype(np.int64)
-        if many.any():  # runs one by one
-            times = (high - low - LENGTH + 1)[many]
+        padded = np.concatenate([data, np.zeros(CUT, np.uint8)])
+        first, later = leads(padded, ids[row], low, high, place - low)
+        settled = [(row[later], low[later], high[later])]
+        anchor = place - low
+        if many[first].any():  # these go run by run
+            own = first[many[first]]
+            times = (high - low - LENGTH + 1)[own]
             nth = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
-            runs = np.repeat(low[many], times) + nth
-            row = np.concatenate([row[~many], np.repeat(row[many], times)])
-            low, high = np.concatenate([low[~many], runs]), np.concatenate([high[~many], runs + LENGTH])
-            anchor = np.concatenate([anchor[~many], np.full(len(runs), ALONE)])
-        order = np.argsort(ids[row], kind="stable")
-        row, low, high, anchor = row[order], low[order], high[order], anchor[order]
+            runs, of = np.repeat(low[own], times) + nth, np.repeat(row[own], times)
+            alone = np.full(len(runs), ALONE)
+            one, more = leads(padded, ids[of], runs, runs + LENGTH, alone)
+            settled.append((of[more], runs[more], runs[more] + LENGTH))
+            rest = first[~many[first]]
+            row, low, high, anchor = (np.concatenate([x[rest], y[one]]) for x, y in ((row, of), (low, runs), (high, runs + LENGTH), (anchor, alone)))
+        else:
+            row, low, high, anchor = row[first], low[first], high[first], anchor[first]
         cuttings = np.zeros(len(row), CUTTING)
-        raw = cuttings["bytes"]
-        padded = np.concatenate([data, np.zeros(CUT, np.uint8)])
-        settled: list[tuple[np.ndarray, ...]] = []
-        parts = []
-        for at in range(0, len(row), 20_000):
-            s = slice(at, at + 20_000)
-            block_bytes = padded[low[s, None] + np.arange(CUT)[None, :]]
-            block_bytes[np.arange(CUT)[None, :] >= (high - low)[s, None]] = 0
-            raw[s] = block_bytes
-            parts.append(fingerprints(block_bytes, (high - low)[s], anchor[s]))
-        if len(row):
-            a, b = (np.concatenate(x) for x in zip(*parts, strict=True))
-            cuttings["id"], cuttings["row"], cuttings["start"] = ids[row], row, low - offsets[row]
-            cuttings["size"], cuttings["anchor"] = high - low, anchor
-            order = np.lexsort((np.arange(len(row)), b, a))  # the smallest doc_id first
-            fresh = np.append(True, (a[order][1:] != a[order][:-1]) | (b[order][1:] != b[order][:-1]))
-            lead = order[np.flatnonzero(fresh)][np.cumsum(fresh) - 1]
-            later = order[ids[row[order]] > ids[row[lead]]]
-            settled = [row[later], (low - offsets[row])[later], (high - offsets[row])[later]]
-            first = order[~np.isin(order, later, assume_unique=True)]  # also equal ones of the smallest doc_id
-            cuttings = cuttings[np.sort(first)]
+        cuttings["id"], cuttings["row"], cuttings["start"] = ids[row], row, low - offsets[row]
+        cuttings["size"], cuttings["anchor"] = high - low, anchor
+        for at in range(0, len(row), CHUNK):
+            cuttings["bytes"][at : at + CHUNK] = cut_bytes(padded, low[at : at + CHUNK], high[at : at + CHUNK])
+        gone_row, gone_low, gone_high = (np.concatenate(x) for x in zip(*settled, strict=True))
         out: dict[str, list] = {"bucket": [], "block": [], "cuttings": [], "ranges": []}
-        if len(settled) and len(settled[0]):
-            done = range_rows(block, *merged(*settled))
+        if len(gone_row):
+            done = range_rows(block, *merged(gone_row, gone_low - offsets[gone_row], gone_high - offsets[gone_row]))
             out = {"bucket": [block % buckets], "block": [block], "cuttings": [None], "ranges": [done["ranges"]]}
         if len(cuttings):
             where = (group_keys(cuttings) % np.uint64(buckets)).astype(np.int64)
@@ -414,12 +426,12 @@ def take_out(with_text: bool):
         row, start, end = np.concatenate(lists, axis=1).astype(np.int64) if lists else np.zeros((3, 0), np.int64)
         copies = np.flatnonzero(np.isin(ids, told.column("copy_id").drop_null().to_numpy()) & (lengths >= LENGTH))
         row, start, end = merged(np.concatenate([row, copies]), np.concatenate([start, np.zeros(len(copies), np.int64)]), np.concatenate([end, lengths[copies]]))
-        change = np.zeros(len(data) + 1, np.int64)
+        change = np.zeros(len(data) + 1, np.int32)
         np.add.at(change, offsets[row] + start, 1)
         np.add.at(change, offsets[row] + end, -1)
-        kept = np.cumsum(change[:-1]) == 0
+        kept = np.cumsum(change[:-1], dtype=np.int32) == 0
         left_over = data[kept]
-        bounds = np.append(0, np.cumsum(kept))[offsets]
+        bounds = np.searchsorted(np.flatnonzero(kept), offsets)
         texts = [left_over[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
         n = len(ids)
         columns = {
