@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 #: Rows in one Arrow batch: a few MB of ordinary documents.
 BATCH_ROWS = 512
+#: Rows that Spark's Parquet reader decodes at a time: its buffers hold the texts of all of them.
+READER_ROWS = 64
 #: Bytes of text that a kernel looks at in one go; a longer text is a chunk of its own.
 CHUNK_BYTES = 500_000
 #: Where checkpoints go if the session names no folder (local mode and tests only).
@@ -18,8 +20,9 @@ LOCAL_CHECKPOINTS = "/tmp/checkpoints"
 
 
 def prepare(spark: SparkSession) -> None:
-    """Arrow batches of bounded size, and a checkpoint folder: the one the cluster names, else a local one."""
+    """Reader and Arrow batches of bounded size, and a checkpoint folder: the one the cluster names, else a local one."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.parquet.columnarReaderBatchSize", str(READER_ROWS))
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or LOCAL_CHECKPOINTS)
