@@ -59,19 +59,23 @@ def repeated_lines(documents: DataFrame, *, key: str = "doc_id", text: str = "te
     source = documents.select(F.col(key).cast("long").alias("doc_id"), text_of(text).alias("text")).where("doc_id is not null")
     hashed, runs = runs_of(lines_of(F.col("text")), window, long)
     every = source.select("doc_id", hashed.alias("hashed")).select("doc_id", F.explode(runs).alias("r")).select("doc_id", "r.*")
-    place = F.struct("doc_id", "mark_at")
-    shared = every.groupBy("mark").agg(F.min(place).alias("a"), F.max(place).alias("b")).where("a < b").select("mark").checkpoint()
-    near = every.join(shared, "mark").select("contents", "doc_id", "first", "last")
-    start = F.struct("doc_id", "first")
-    leads = near.groupBy("contents").agg(F.min(start).alias("lead"), F.max(start).alias("end")).where("lead < end").select("contents", "lead").checkpoint()
-    later = near.join(leads, "contents").where(start > F.col("lead"))
+    # two places differ in the document or in the line
+    apart = (F.col("d0") < F.col("d1")) | (F.col("l0") < F.col("l1"))
+    places = every.groupBy("mark").agg(F.min("doc_id").alias("d0"), F.max("doc_id").alias("d1"), F.min("mark_at").alias("l0"), F.max("mark_at").alias("l1"))
+    shared = places.where(apart).select("mark").checkpoint()
+    start = F.col("doc_id").cast("decimal(38,0)") * F.lit(1 << 32).cast("decimal(38,0)") + F.col("first")  # in order of document, then line
+    near = every.join(shared.hint("shuffle_hash"), "mark").select("contents", "doc_id", "first", "last", start.cast("decimal(38,0)").alias("start"))
+    ends = near.groupBy("contents").agg(F.min("start").alias("lead"), F.max("start").alias("end"))
+    leads = ends.where("lead < end").select("contents", "lead").checkpoint()
+    later = near.join(leads.hint("shuffle_hash"), "contents").where("start > lead")
     return later.select("doc_id", F.explode(F.sequence("first", "last")).alias("line")).groupBy("doc_id").agg(F.collect_set("line").alias("gone"))
 
 
 def without_repeats(documents: DataFrame, *, key: str = "doc_id", text: str = "text", window: int = WINDOW, long: int = LONG) -> DataFrame:
     """The documents with repeated runs taken out of the text, and n_lines and n_removed."""
     gone = repeated_lines(documents, key=key, text=text, window=window, long=long).select(F.col("doc_id").alias("_id"), "gone")
-    joined = documents.join(gone, F.col(key).cast("long") == F.col("_id"), "left").drop("_id")
+    # the texts stream past a hash table of a partition's removals instead of being sorted
+    joined = documents.join(gone.hint("shuffle_hash"), F.col(key).cast("long") == F.col("_id"), "left").drop("_id")
     lines = lines_of(text_of(text))
     kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("gone"))
     rest = F.when(F.col("gone").isNull(), F.col(text)).otherwise(F.array_join(F.transform(kept, lambda i: F.get(lines, i)), "\n"))
