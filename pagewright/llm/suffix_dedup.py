@@ -37,8 +37,10 @@ from .common import mixed, partitions, prepare, row_chunks, string_parts, text_o
 LENGTH, GRAM = 50, 20
 #: Documents that share an anchor before its runs go one by one.
 HOT = 4096
-#: Blocks and buckets for each shuffle partition.
-BLOCKS, BUCKETS = 4, 48
+#: Blocks for each shuffle partition; there is a bucket for each partition, so a block sends a row to each at most.
+BLOCKS = 4
+#: Bytes of cuttings that a bucket compares at a time.
+PART = 1_500_000
 LAST = np.int64(2**63 - 1)
 C1, C2, C3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 CUT = LENGTH + LENGTH - GRAM  # bytes of a whole cutting
@@ -389,6 +391,19 @@ def shared_runs(cuttings: np.ndarray) -> np.ndarray:
     return marks & (np.arange(LEFT + 1)[None, :] <= cuttings["size"].astype(np.int64)[:, None] - LENGTH)
 
 
+def shared_in_parts(cuttings: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Cuttings and starts of the shared runs; what may share a run is in the same part."""
+    n = -(-cuttings.nbytes // PART)
+    parts = np.concatenate([group_keys(cuttings[at : at + CHUNK]) >> np.uint64(20) for at in range(0, len(cuttings), CHUNK)]) % np.uint64(n)
+    order = np.argsort(parts, kind="stable")
+    held, starts = [], []
+    for own in np.split(order, np.flatnonzero(np.diff(parts[order])) + 1):
+        row, at = np.nonzero(shared_runs(cuttings[own]))
+        held.append(own[row])
+        starts.append(at)
+    return np.concatenate(held), np.concatenate(starts)
+
+
 def compare(table: pa.Table) -> pa.Table:
     """Step 3 in a bucket: the ranges of bytes to take out, by block."""
     out: dict[str, list] = {"home": [], "ranges": []}
@@ -404,8 +419,7 @@ def compare(table: pa.Table) -> pa.Table:
             blocks.append(np.full(n, block))
     if parts:
         cuttings, of = np.concatenate(parts), np.concatenate(blocks)
-        marks = shared_runs(cuttings)
-        held, at = np.nonzero(marks)
+        held, at = shared_in_parts(cuttings)
         start = cuttings["start"][held].astype(np.int64) + at
         order = np.argsort(of[held], kind="stable")
         names, starts = np.unique(of[held][order], return_index=True)
@@ -449,7 +463,7 @@ def remove_repeats(documents: DataFrame, *, key: str = "doc_id", text: str = "te
     """Per document: bytes, bytes and runs removed, and the SHA-256 of the rest (``with_text``: also the bytes)."""
     prepare(documents.sparkSession)
     n = partitions(documents)
-    blocks, buckets = n * BLOCKS, n * BUCKETS
+    blocks, buckets = n * BLOCKS, n
     source = documents.select(F.col(key).cast("long").alias("doc_id"), text_of(text).alias("text"), F.pmod(F.xxhash64(F.col(key).cast("long")), F.lit(blocks)).alias("block"))
     named = source.where(F.col("doc_id").isNotNull()).select("doc_id", "block", F.sha2("text", 256).alias("h"))
     first = named.groupBy("h").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1").checkpoint()

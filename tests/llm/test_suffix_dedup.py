@@ -75,6 +75,8 @@ def test_every_string(spark):
 
 def test_hot_anchors(spark, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "HOT", 3)
+    monkeypatch.setattr(suffix_dedup, "PART", 5_000)
+    monkeypatch.setattr(suffix_dedup, "CHUNK", 7)
     check(spark, cases())
 
 
