@@ -12,6 +12,7 @@ import re
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
 from ..config import MATH_SIGNS, PREVIEW
@@ -81,12 +82,12 @@ def visible(value: str) -> str:
     return " ".join(shown.split())
 
 
-@pandas_udf("string")
+@pandas_udf(T.StringType())
 def visible_udf(values: pd.Series) -> pd.Series:
     return values.map(visible, na_action="ignore")
 
 
-@pandas_udf("string")
+@pandas_udf(T.StringType())
 def normalize_udf(values: pd.Series) -> pd.Series:
     return values.map(lambda v: visible(v).casefold(), na_action="ignore")
 
@@ -130,7 +131,7 @@ def zero_padded(number: Column, most: Column) -> Column:
     return F.lpad(number.cast("string"), F.greatest(F.lit(3), F.length(most.cast("string"))), F.lit("0"))
 
 
-@pandas_udf("string")
+@pandas_udf(T.StringType())
 def fixed_udf(values: pd.Series, digits: pd.Series) -> pd.Series:
     """A number with so many digits after the point, from its exact value."""
     return pd.Series([None if v != v else f"{v:.{int(d)}f}" for v, d in zip(values.astype(float), digits, strict=True)])

@@ -11,6 +11,7 @@ import math
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
 from .. import config as C
@@ -172,7 +173,7 @@ def export_rows(validated: DataFrame, *, seed: int | None = None) -> DataFrame:
     ).select("deck_id", "number", *C.EXPORT_COLUMNS)
 
 
-@pandas_udf("double")
+@pandas_udf(T.DoubleType())
 def chi2_tail_udf(x: pd.Series) -> pd.Series:
     """Probability that chi-square with three degrees of freedom exceeds x."""
     return x.map(lambda v: None if v is None or v != v else math.erfc(math.sqrt(v / 2)) + math.sqrt(2 * v / math.pi) * math.exp(-v / 2))

@@ -9,6 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
 from ..config import ANALYSIS_DPI, BOX_PADDING, COLUMN_CHARS, COLUMN_MARGIN, INK_DELTA, JUMP_LEFT, JUMP_UP, SIGNIFICANT_IMAGE
@@ -110,7 +111,7 @@ def ink(samples: bytes, width: int, height: int, stride: int, boxes: list[tuple[
     return total / (width * height), int((marked & outside).sum()) / (width * height)
 
 
-@pandas_udf("ink_ratio double, nontext_ink_ratio double")
+@pandas_udf(T.StructType([T.StructField("ink_ratio", T.DoubleType()), T.StructField("nontext_ink_ratio", T.DoubleType())]))
 def ink_udf(raster: pd.DataFrame, blocks: pd.Series, x0: pd.Series, y0: pd.Series) -> pd.DataFrame:
     rows = []
     for (w, h, stride, samples), held, a, b in zip(raster[["w", "h", "stride", "samples"]].itertuples(index=False), blocks, x0, y0, strict=True):

@@ -26,7 +26,8 @@ def texts(of: Column, *pairs: tuple[Column, Column]) -> Column:
     return F.array_compact(F.concat(of, F.array(*(F.when(condition, message) for condition, message in pairs)))) if pairs else of
 
 
-NONE = F.lit(None).cast("string")
+def none() -> Column:
+    return F.lit(None).cast("string")
 
 
 def measure(pages: DataFrame, *, sort: bool = False) -> DataFrame:
@@ -53,7 +54,7 @@ def low_quality(threshold: int = C.OCR_THRESHOLD) -> tuple[Column, Column]:
     """Code and reason of a page whose direct text is missing, garbled or suspiciously short; null if it is none."""
     chars = F.col("chars")
     cases = (
-        ((chars == 0) & (F.col("ink_ratio") < C.BLANK_INK), NONE, NONE),
+        ((chars == 0) & (F.col("ink_ratio") < C.BLANK_INK), none(), none()),
         (chars == 0, F.lit("no_text"), F.lit("no text layer, but the page has visible content")),
         (F.col("garbage_ratio") > C.GARBAGE, F.lit("garbled"), F.concat(F.lit("text layer looks garbled ("), percent(F.col("garbage_ratio")), F.lit(" unreadable characters)"))),
         ((chars >= C.ALNUM_FROM_CHARS) & (F.col("alnum_ratio") < C.LEAST_ALNUM), F.lit("few_letters"), F.concat(F.lit("text layer looks garbled (only "), percent(F.col("alnum_ratio")), F.lit(" letters/digits)"))),
@@ -62,7 +63,7 @@ def low_quality(threshold: int = C.OCR_THRESHOLD) -> tuple[Column, Column]:
             F.lit("short"), F.concat(F.lit("only "), chars.cast("string"), F.lit(" characters of text, but the page has other visible content")),
         ),
     )
-    code, reason = NONE, NONE
+    code, reason = none(), none()
     for condition, c, r in reversed(cases):
         code, reason = F.when(condition, c).otherwise(code), F.when(condition, r).otherwise(reason)
     return code, reason
@@ -99,7 +100,7 @@ def assemble(decided: DataFrame, recognised: DataFrame | None = None, *, ocr: bo
         found = recognised.select("doc_id", "page_no", clean_text(F.coalesce("text", F.lit(""))).alias("_text"), F.col("confidence").alias("_conf"), F.col("error").alias("_error"), F.lit(True).alias("_ran"))
         pages = decided.join(found, ["doc_id", "page_no"], "left")
     else:
-        pages = decided.withColumns({"_text": NONE, "_conf": F.lit(None).cast("double"), "_error": NONE, "_ran": F.lit(None).cast("boolean")})
+        pages = decided.withColumns({"_text": none(), "_conf": F.lit(None).cast("double"), "_error": none(), "_ran": F.lit(None).cast("boolean")})
     failed, need, replace = F.col("error").isNotNull(), F.col("ocr_mode").isNotNull(), F.col("ocr_mode") == "replace"
     done = need & F.col("_ran").isNotNull() & F.col("_error").isNull()
     lost = need & F.col("_ran").isNotNull() & F.col("_error").isNotNull()

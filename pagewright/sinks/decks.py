@@ -82,6 +82,7 @@ def reports(validated: DataFrame, decks: DataFrame, dist: DataFrame, after: Data
     shuffling.
     """
     text = lambda *parts: F.concat(*(F.lit(p) if isinstance(p, str) else p for p in parts))
+    prefixed = lambda lines, prefix: F.transform(lines, lambda x: F.concat(F.lit(prefix), x))
     number = F.col("number").cast("string")
     bullet = lambda a: F.transform(a, lambda m: F.concat(F.lit("    - "), m["message"]))
     head = validated.withColumn("head", text("  Card ", number, " (", F.col("label"), ")"))
@@ -93,7 +94,7 @@ def reports(validated: DataFrame, decks: DataFrame, dist: DataFrame, after: Data
     parts = [wrong, twice, again, odd]
     for at, (d, label) in enumerate(((dist, "Before shuffling: " if after is not None else ""), (after, "After shuffling: "))):
         if d is not None:
-            parts.append(d.select("deck_id", F.lit(5).alias("section"), F.lit((1 << 31) - 3 + at).alias("number"), F.transform("warnings", lambda w, label=label: F.concat(F.lit(f"  - {label}"), w)).alias("lines")).where(F.size("lines") > 0))
+            parts.append(d.select("deck_id", F.lit(5).alias("section"), F.lit((1 << 31) - 3 + at).alias("number"), prefixed("warnings", f"  - {label}").alias("lines")).where(F.size("lines") > 0))
     rows = parts[0]
     for p in parts[1:]:
         rows = rows.unionByName(p)

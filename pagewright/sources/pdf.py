@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import ANALYSIS_DPI, InputError
 from ..functions.ranges import parse_page_range
+from .rows import map_rows
 
 BLOCK = "struct<seq:int,x0:double,y0:double,x1:double,y1:double,text:string,type:int>"
 PAGES = (
@@ -36,21 +34,15 @@ def decode(files: DataFrame, *, pages: str | None = None, password: str | None =
     The selection is applied before a page is touched, as Spark can't push it into Python code.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = [c.split()[0] for c in PAGES.replace(f"array<{BLOCK}>", "x").replace("array<struct<x0:double,y0:double,x1:double,y1:double>>", "x").replace("struct<w:int,h:int,stride:int,samples:binary>", "x").split(", ")]
-        for batch in batches:
-            rows = []
-            for doc_id, content, error in batch.itertuples(index=False):
-                if error is None:
-                    try:
-                        rows += decoded(doc_id, bytes(content), pages, password)
-                        continue
-                    except InputError as e:
-                        error = str(e)
-                rows.append({"doc_id": doc_id, "page_count": 0, "file_error": error})
-            yield pd.DataFrame(rows, columns=names)
-
-    return files.mapInPandas(run, PAGES)
+    def rows(doc_id: str, content: bytes, error: str | None) -> list[dict]:
+        if error is None:
+            try:
+                return decoded(doc_id, content, pages, password)
+            except InputError as e:
+                error = str(e)
+        return [{"doc_id": doc_id, "page_count": 0, "file_error": error}]
+
+    return map_rows(files.select("doc_id", "content", "file_error"), rows, PAGES)
 
 
 def decoded(doc_id: str, content: bytes, selection: str | None, password: str | None) -> list[dict]:
