@@ -90,22 +90,22 @@ def report(found: DataFrame) -> DataFrame:
 
 ORACLE = f"""
 WITH line AS (
-  SELECT doc_id, p - 1 AS at, string_split(coalesce(text, ''), chr(10))[p] AS raw
+  SELECT doc_id, p - 1 AS pos, string_split(coalesce(text, ''), chr(10))[p] AS raw
   FROM documents, range(1, len(string_split(coalesce(text, ''), chr(10))) + 1) AS r(p)
 ), part AS (
-  SELECT doc_id, at, trim(raw, chr(32) || chr(9) || chr(13)) AS line FROM line WHERE trim(raw, chr(32) || chr(9) || chr(13)) <> ''
+  SELECT doc_id, pos, trim(raw, chr(32) || chr(9) || chr(13)) AS line FROM line WHERE trim(raw, chr(32) || chr(9) || chr(13)) <> ''
 ), pair AS (
-  SELECT doc_id, at AS first, lead(at) OVER w AS last, line || chr(10) || lead(line) OVER w AS contents
-  FROM part WINDOW w AS (PARTITION BY doc_id ORDER BY at)
+  SELECT doc_id, pos AS first, lead(pos) OVER w AS last, line || chr(10) || lead(line) OVER w AS contents
+  FROM part WINDOW w AS (PARTITION BY doc_id ORDER BY pos)
 ), run AS (
   SELECT * FROM pair WHERE last IS NOT NULL
-  UNION ALL SELECT doc_id, at, at, line FROM part WHERE length(line) >= {LONG}
+  UNION ALL SELECT doc_id, pos, pos, line FROM part WHERE length(line) >= {LONG}
 ), ranked AS (
   SELECT *, row_number() OVER (PARTITION BY contents ORDER BY doc_id, first) AS n FROM run
 ), gone AS (
-  SELECT DISTINCT doc_id, at FROM ranked, range(first, last + 1) AS r(at) WHERE n > 1
+  SELECT DISTINCT doc_id, pos FROM ranked, range(first, last + 1) AS r(pos) WHERE n > 1
 )
-SELECT l.doc_id, count(*) AS n_lines, count(g.at) AS n_removed,
-  coalesce(string_agg(l.raw, chr(10) ORDER BY l.at) FILTER (WHERE g.at IS NULL), '') AS text
-FROM line l LEFT JOIN gone g ON l.doc_id = g.doc_id AND l.at = g.at GROUP BY l.doc_id
+SELECT l.doc_id, count(*) AS n_lines, count(g.pos) AS n_removed,
+  coalesce(string_agg(l.raw, chr(10) ORDER BY l.pos) FILTER (WHERE g.pos IS NULL), '') AS text
+FROM line l LEFT JOIN gone g ON l.doc_id = g.doc_id AND l.pos = g.pos GROUP BY l.doc_id
 """
