@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import prepare, text_of
+from .common import mixed, prepare, text_of
 from .components import connected_components
 
 SEED, SHINGLE, DISTANCE = 42, 3, 2
@@ -148,10 +148,142 @@ def report(found: DataFrame) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_first(documents: DataFrame, *, key: str = "doc_id", **options) -> DataFrame:
-    """The documents without all but the least doc_id of each group of near duplicates.
+# ---- groups of similar texts
 
-    A row without doc_id stays if no row of its group has one.
+
+#: Words of a shingle, and the least Jaccard similarity of the sets of shingles, of near duplicates.
+WORDS, SIMILARITY = 5, 0.8
+#: Segments of 23 bits of the long fingerprint; so many make a key, and each is decoded to so many codewords.
+LONG_SEGMENTS, KEY_SEGMENTS, CODEWORDS = 12, 3, 2
+#: Texts of a key that are compared pair by pair; in a larger key each is compared with LEADERS of them.
+SMALL_KEY, LEADERS = 12, 3
+#: So many ids at most are broadcast; more are joined by a shuffle.
+BROADCAST_IDS = 1_000_000
+#: Documents that are decoded in one go.
+DECODED = 64
+
+
+def codebook() -> np.ndarray:
+    """The 4096 codewords of the Golay code as rows of -1 and 1."""
+    generator = 0b101011100011
+    words = np.zeros(4096, np.int64)
+    for i in range(12):
+        words ^= np.where(np.arange(4096) >> i & 1, generator << i, 0)
+    return ((words[:, None] >> np.arange(23)) & 1).astype(np.float32) * 2 - 1
+
+
+def word_sums(words: list[bytes]) -> np.ndarray:
+    """For each bit of the long fingerprint, how many distinct words set it less how many don't."""
+    hashes = np.fromiter((xxhash.xxh64_intdigest(w, SEED) for w in set(words)), np.uint64)
+    n = LONG_SEGMENTS * 23
+    more = [mixed(hashes + np.uint64(0x9E3779B97F4A7C15 * (i + 1) % 2**64)) for i in range(-(-n // 64))]
+    bits = [np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64) for h in more]
+    return (np.concatenate(bits)[:n] * 2 - len(hashes)).astype(np.float32).reshape(LONG_SEGMENTS, 23)
+
+
+def nearest_codewords(sums: np.ndarray, book: np.ndarray) -> np.ndarray:
+    """Numbers of the codewords nearest to each segment by its sums, so that doubtful bits weigh little, nearest first."""
+    scores = sums.reshape(-1, 23) @ book.T
+    out = []
+    for _ in range(CODEWORDS):
+        best = scores.argmax(axis=1)
+        out.append(best)
+        scores[np.arange(len(scores)), best] = -np.inf
+    return np.stack(out, axis=1).reshape(*sums.shape[:-1], CODEWORDS)
+
+
+def long_keys(numbers: np.ndarray) -> np.ndarray:
+    """The keys of documents: each choice of one codeword a segment, for each run of segments of a key."""
+    choices = np.stack(np.meshgrid(*[np.arange(CODEWORDS)] * KEY_SEGMENTS, indexing="ij"), -1).reshape(-1, KEY_SEGMENTS)
+    out = []
+    for table in range(LONG_SEGMENTS // KEY_SEGMENTS):
+        key = np.full((len(numbers), len(choices)), table, np.int64)
+        for i in range(KEY_SEGMENTS):
+            key = key << np.int64(12) | numbers[:, table * KEY_SEGMENTS + i][:, choices[:, i]]
+        out.append(key)
+    return np.concatenate(out, axis=1)
+
+
+def _marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    book = codebook()
+    for batch in batches:
+        for at in range(0, len(batch), DECODED):
+            part = batch.slice(at, DECODED)
+            words = [x.as_buffer().to_pybytes().lower().split() for x in part.column(1).cast(pa.binary())]
+            keys = long_keys(nearest_codewords(np.stack([word_sums(w) for w in words]), book))
+            classes = [xxhash.xxh3_128_digest(b" ".join(w)) for w in words]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(classes, pa.binary()), pa.array(list(keys), pa.list_(pa.int64()))], ["doc_id", "class", "keys"])
+
+
+def _shingled(size: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = []
+            for x in batch.column(1).cast(pa.binary()):
+                words = x.as_buffer().to_pybytes().lower().split()
+                found = {xxhash.xxh64_intdigest(b" ".join(words[i : i + size]), SEED) for i in range(max(1, len(words) - size + 1))} if words else set()
+                sets.append(np.sort(np.fromiter(found, np.uint64, len(found))).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], ["id", "shingles"])
+
+    return run
+
+
+def _compared(similarity: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for a, b in zip(batch.column("a"), batch.column("b"), strict=True):
+                x, y = np.frombuffer(a.as_buffer(), np.uint64), np.frombuffer(b.as_buffer(), np.uint64)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(both >= similarity * (len(x) + len(y) - both))
+            yield pa.RecordBatch.from_arrays([batch.column("src"), batch.column("dst")], ["src", "dst"]).filter(pa.array(keep, pa.bool_()))
+
+    return run
+
+
+def candidate_pairs(texts: DataFrame) -> DataFrame:
+    """Pairs (src < dst) of ids that share a key; ``texts`` has id and keys.
+
+    In a small key all pairs are made.  In a larger one each text is paired with the leaders only, which are those of
+    least hash, so the pairs grow with the number of texts.
     """
-    kept = near_duplicates(documents, key=key, **options).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept"))
-    return documents.join(kept.distinct(), F.col(key).cast("long").eqNullSafe(F.col("_kept")), "left_semi")
+    keyed = texts.select("id", F.explode("keys").alias("key"))
+    rank = lambda j: F.xxhash64("id", F.lit(j))
+    full = keyed.groupBy("key").agg(F.count("*").alias("n"), *(F.min_by("id", rank(j)).alias(f"l{j}") for j in range(LEADERS))).where("n > 1").checkpoint()
+    held = keyed.join(full.where(F.col("n") <= SMALL_KEY).select("key"), "key").groupBy("key").agg(F.sort_array(F.collect_list("id")).alias("ids"))  # SMALL_KEY at most
+    close = held.select(F.explode(F.transform("ids", lambda x, i: F.struct(x.alias("src"), F.slice("ids", i + 2, SMALL_KEY).alias("more")))).alias("p")).select("p.src", F.explode("p.more").alias("dst"))
+    led = keyed.join(full.where(F.col("n") > SMALL_KEY), "key").select("id", F.explode(F.array(*(f"l{j}" for j in range(LEADERS)))).alias("leader")).where("id <> leader")
+    return close.unionAll(led.select(F.least("id", "leader").alias("src"), F.greatest("id", "leader").alias("dst"))).distinct()
+
+
+def some_of(documents: DataFrame, ids: DataFrame, column: str, how: str) -> DataFrame:
+    """Semi or anti join of documents with ids: broadcast if the ids are few, else by a shuffle."""
+    return documents.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, F.col(column).cast("long") == F.col("_id"), how)
+
+
+def similar_groups(documents: DataFrame, *, key: str = "doc_id", text: str = "text", size: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
+    """(doc_id, component_id): groups of texts whose sets of word shingles are similar, by their least doc_id.
+
+    Candidates come from a long SimHash of the distinct words, whose segments are decoded to their nearest Golay
+    codewords by the sums behind the bits, so the doubtful bits, where near copies differ, count little.  Each pair is
+    then verified by the exact Jaccard similarity of its sets.  Texts with the same words in the same order are one
+    class from the start.  Rows without doc_id are left out.
+    """
+    prepare(documents.sparkSession)
+    source = documents.select(F.col(key).cast("long").alias("doc_id"), text_of(text).alias("text")).where("doc_id is not null")
+    marked = source.mapInArrow(_marked, "doc_id long, class binary, keys array<long>").checkpoint()
+    classes = marked.groupBy("class").agg(F.min("doc_id").alias("first")).checkpoint()
+    firsts = classes.select(F.col("first").alias("id"))
+    pairs = candidate_pairs(marked.join(firsts, F.col("doc_id") == F.col("id")).select("id", "keys")).checkpoint()
+    wanted = pairs.select(F.col("src").alias("_id")).unionAll(pairs.select("dst")).distinct().checkpoint()
+    sets = some_of(source, wanted, "doc_id", "left_semi").mapInArrow(_shingled(size), "id long, shingles binary").checkpoint()
+    both = pairs.join(sets.select(F.col("id").alias("dst"), F.col("shingles").alias("b")), "dst").join(sets.select(F.col("id").alias("src"), F.col("shingles").alias("a")), "src")
+    parts = connected_components(both.select("src", "dst", "a", "b").mapInArrow(_compared(similarity), "src long, dst long"))
+    whole = classes.join(parts, F.col("first") == F.col("node"), "left").select("class", F.coalesce("component", "first").alias("component_id"))
+    return marked.select("doc_id", "class").join(whole, "class").select("doc_id", "component_id")
+
+
+def keep_first(documents: DataFrame, *, key: str = "doc_id", text: str = "text", size: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
+    """The documents without all but the least doc_id of each group of similar texts; rows without doc_id stay."""
+    gone = similar_groups(documents, key=key, text=text, size=size, similarity=similarity).where("doc_id > component_id").select(F.col("doc_id").alias("_id")).distinct().checkpoint()
+    return some_of(documents, gone, key, "left_anti")

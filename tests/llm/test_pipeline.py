@@ -14,7 +14,7 @@ from pagewright.llm.quality_rules import BUCKETS, ORDER, SMOOTHING, THRESHOLD
 
 from .test_decontaminate import brute as leaks
 from .test_line_dedup import brute as line_runs
-from .test_simhash import brute_components, brute_fingerprint
+from .test_simhash import brute_similar
 
 SF = "/root/testdata/sf0.001"
 
@@ -98,7 +98,7 @@ def test_stages(spark):
     now = step(0, {d: t for d, t in now.items() if kept[d]})
     runs = line_runs(list(now.items()), 2, 200)
     now = step(1, {d: runs[d][2] for d in now})
-    groups = brute_components({d: brute_fingerprint(t) for d, t in now.items()})
+    groups = brute_similar(now)
     now = step(2, {d: t for d, t in now.items() if groups[d] == d})
     hit = leaks(list(now.items()), items)
     now = step(3, {d: t for d, t in now.items() if not hit[d][-1]})

@@ -6,7 +6,7 @@ import re
 import numpy as np
 import xxhash
 
-from pagewright.llm.simhash import fingerprints, golay_keys, golay_tables, near_duplicates, report
+from pagewright.llm.simhash import fingerprints, golay_keys, golay_tables, keep_first, near_duplicates, report, similar_groups
 
 
 def brute_fingerprint(text):
@@ -36,6 +36,76 @@ def brute_components(prints):
     return {d: find(d) for d in ids}
 
 
+def brute_similar(texts, size=5, similarity=0.8):
+    sets = {}
+    for d, t in texts.items():
+        w = re.sub("[A-Z]", lambda m: m[0].lower(), t or "").encode().split()
+        sets[d] = {tuple(w[i : i + size]) for i in range(max(1, len(w) - size + 1))}
+    parent = {d: d for d in texts}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    ids = sorted(texts)
+    for i, a in enumerate(ids):
+        for b in ids[i + 1 :]:
+            if len(sets[a] & sets[b]) >= similarity * len(sets[a] | sets[b]):
+                x, y = sorted((find(a), find(b)))
+                parent[y] = x
+    return {d: find(d) for d in ids}
+
+
+def near_copies(seed, n):
+    rng = random.Random(seed)
+    pool = [f"{a}{b}{c}" for a in "bdfgk" for b in "aeiou" for c in "lmnrst"]
+    texts, made = [None, "", " ", "one", "One", "a b c d"], []
+    for _ in range(n):
+        words = rng.choices(["the", "of", "and"], k=30) + rng.choices(pool, k=rng.randrange(20, 400))
+        rng.shuffle(words)
+        texts.append(" ".join(words))
+        for _ in range(rng.randrange(3)):
+            copy = words[:]
+            for _ in range(max(1, int(len(copy) * rng.choice([0.002, 0.01, 0.018])))):
+                copy[rng.randrange(len(copy))] = rng.choice(pool)
+            texts.append("\n".join(copy))
+    rng.shuffle(texts)
+    return dict(enumerate(texts, 3))
+
+
+def test_similar_groups(spark):
+    texts = near_copies(4, 70)
+    df = spark.createDataFrame([*((d, t, "k") for d, t in texts.items()), (None, "no id", "k"), (None, None, "k")], "doc_id long, text string, keys string")
+    expected = brute_similar(texts)
+    assert len(set(expected.values())) < 80
+    rows = {r.doc_id: r.component_id for r in similar_groups(df).collect()}
+    assert rows == expected
+    kept = keep_first(df)
+    assert kept.columns == df.columns
+    assert sorted(r.doc_id for r in kept.where("doc_id is not null").collect()) == sorted({*expected.values()})
+    assert kept.where("doc_id is null").count() == 2
+    assert keep_first(df.limit(0)).count() == 0
+
+
+def test_large_group(spark, monkeypatch):
+    """A group larger than a small key, and joins by shuffle."""
+    from pagewright.llm import simhash
+
+    monkeypatch.setattr(simhash, "BROADCAST_IDS", 0)
+    rng = random.Random(9)
+    base = [f"w{rng.randrange(5000)}" for _ in range(300)]
+    texts = {}
+    for d in range(80):
+        copy = base[:]
+        for _ in range(2):
+            copy[rng.randrange(300)] = f"x{d}"
+        texts[d] = " ".join(copy)
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert {r.component_id for r in similar_groups(df).collect()} == {0}
+    assert [r.doc_id for r in keep_first(df).collect()] == [0]
+
+
 def test_two_errors_share_a_codeword():
     tables = golay_tables()
     assert len({int(x) for x in tables[1]}) == 2048
