@@ -156,7 +156,8 @@ def main_text(html: str | None) -> str:
     lines = [(t, x) for t, x in lines if t]
     if all(x.out for _, x in lines):
         return ""
-    ratios = smoothed(np.array([0.0 if x.out else len(t) / max(1, x.tags) for t, x in lines]))
+    own = np.array([0.0 if x.out else len(t) / max(1, x.tags) for t, x in lines])
+    ratios = smoothed(own)
     threshold = two_means(ratios)
     votes: dict[int, float] = {}
     for (t, x), r in zip(lines, ratios.tolist(), strict=True):
@@ -165,7 +166,8 @@ def main_text(html: str | None) -> str:
     best = max(votes, key=lambda k: (votes[k], -k))
     inside = [i for i, (_, x) in enumerate(lines) if x.region == best and not x.out]
     if parser.kinds[best] == "body":
-        above = [i for i in inside if ratios[i] >= threshold] or inside
+        # smoothing lifts the neighbours of the content, so the first and last lines are dense by themselves too
+        above = [i for i in inside if ratios[i] >= threshold and own[i] >= threshold / 2] or inside
         inside = [i for i in inside if above[0] <= i <= above[-1]]
     return "\n".join(lines[i][0] for i in inside)
 
