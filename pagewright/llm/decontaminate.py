@@ -253,3 +253,18 @@ def report(spans: DataFrame) -> DataFrame:
 
 def digest(items: list[str]) -> str:
     return hashlib.sha256(",".join(sorted(items)).encode()).hexdigest()
+
+
+_SQL_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{80}-\x{10ffff}]+')"
+ORACLE = f"""
+WITH d AS (SELECT doc_id, {_SQL_WORDS} AS w FROM documents), b AS (SELECT item_id::VARCHAR AS item, {_SQL_WORDS} AS w FROM benchmark),
+sized AS (SELECT item, w, least({WINDOW}, len(w)) AS k FROM b WHERE len(w) > 0),
+bw AS (SELECT DISTINCT item, k, array_to_string(w[i : i + k - 1], ' ') AS s FROM sized, range(1, len(w) - k + 2) AS t(i)),
+ks AS (SELECT DISTINCT k FROM bw), pairs AS (SELECT doc_id, w, k FROM d, ks),
+dw AS (SELECT doc_id, i, k, array_to_string(w[i : i + k - 1], ' ') AS s FROM pairs, range(1, len(w) - k + 2) AS t(i)),
+hits AS (SELECT doc_id, i, k, item FROM dw JOIN bw USING (k, s)),
+places AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, p FROM hits, range(i, i + k) AS t(p)) GROUP BY doc_id),
+met AS (SELECT doc_id, count(*) AS n, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item FROM hits) GROUP BY doc_id)
+SELECT d.doc_id, len(d.w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN places USING (doc_id) LEFT JOIN met USING (doc_id)
+"""

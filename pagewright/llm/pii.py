@@ -196,21 +196,23 @@ def written(mention: Column, held: Column) -> Column:
 
 
 def with_surrogates(documents: DataFrame, *, key: str = KEY, id_column: str = "doc_id", text: str = "text") -> DataFrame:
-    """The documents with surrogates in the text, and mentions: an array of (kind, was it changed) per mention in order."""
+    """The documents with surrogates in the text, and mentions: the types in order, in place of a column of this name."""
     prepare(documents.sparkSession)
     found = F.regexp_extract_all(text_of(text), F.lit(ANY), F.lit(0))
     source = documents.select(F.col(id_column).cast("long").alias("_id"), F.explode(F.array_distinct(found)).alias("mention"))
     parts = source.select("_id", F.explode(parts_of(F.col("mention"))).alias("p")).select("_id", "p.kind", "p.form").distinct().checkpoint()
     names = mapping(parts.select("kind", "form").distinct(), key=key).checkpoint()
     held = parts.join(names, ["kind", "form"]).groupBy("_id").agg(F.map_from_entries(F.collect_set(F.struct(F.concat("kind", F.lit(":"), "form").alias("k"), F.col("surrogate").alias("v")))).alias("_held"))
-    joined = documents.join(held, F.col(id_column).cast("long").eqNullSafe(F.col("_id")), "left").drop("_id")
+    held = held.select(F.col("_id").alias("__id"), F.col("_held").alias("__held"))
+    joined = documents.join(held, F.col(id_column).cast("long").eqNullSafe(F.col("__id")), "left")
     between = F.split(F.col(text), ANY, -1)
-    new = F.transform(found, lambda m: written(m, F.col("_held")))
+    new = F.transform(found, lambda m: written(m, F.col("__held")))
     filled = F.array_join(F.zip_with(between, F.concat(new, F.array(F.lit(""))), lambda a, b: F.concat(a, b)), "")
-    return joined.select(
-        *(F.col(c) for c in documents.columns if c != text), F.when(F.col("_held").isNull(), F.col(text)).otherwise(filled).alias(text),
-        F.when(F.col("_held").isNull(), F.array().cast("array<string>")).otherwise(F.transform(found, kind_of)).alias("mentions"),
-    )
+    made = {
+        text: F.when(F.col("__held").isNull(), F.col(text)).otherwise(filled),
+        "mentions": F.when(F.col("__held").isNull(), F.array().cast("array<string>")).otherwise(F.transform(found, kind_of)),
+    }
+    return joined.select(*(F.col(c) for c in documents.columns if c not in made), *(v.alias(k) for k, v in made.items()))
 
 
 def report(found: DataFrame) -> DataFrame:

@@ -68,4 +68,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_line_dedup": line_dedup.ORACLE}
+    """SQL for the operators that SQL can express; tests hold the others against brute force."""
+    return {"op1_decontaminate": decontaminate.ORACLE, "op4_line_dedup": line_dedup.ORACLE, "op8_suffix_dedup": suffix_dedup.ORACLE}

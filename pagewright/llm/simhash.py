@@ -258,7 +258,7 @@ def candidate_pairs(texts: DataFrame) -> DataFrame:
 
 def some_of(documents: DataFrame, ids: DataFrame, column: str, how: str) -> DataFrame:
     """Semi or anti join of documents with ids: broadcast if the ids are few, else by a shuffle."""
-    return documents.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, F.col(column).cast("long") == F.col("_id"), how)
+    return documents.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, F.col(column).cast("long") == F.col("__id"), how)
 
 
 def similar_groups(documents: DataFrame, *, key: str = "doc_id", text: str = "text", size: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
@@ -275,7 +275,7 @@ def similar_groups(documents: DataFrame, *, key: str = "doc_id", text: str = "te
     classes = marked.groupBy("class").agg(F.min("doc_id").alias("first")).checkpoint()
     firsts = classes.select(F.col("first").alias("id"))
     pairs = candidate_pairs(marked.join(firsts, F.col("doc_id") == F.col("id")).select("id", "keys")).checkpoint()
-    wanted = pairs.select(F.col("src").alias("_id")).unionAll(pairs.select("dst")).distinct().checkpoint()
+    wanted = pairs.select(F.col("src").alias("__id")).unionAll(pairs.select("dst")).distinct().checkpoint()
     sets = some_of(source, wanted, "doc_id", "left_semi").mapInArrow(_shingled(size), "id long, shingles binary").checkpoint()
     both = pairs.join(sets.select(F.col("id").alias("dst"), F.col("shingles").alias("b")), "dst").join(sets.select(F.col("id").alias("src"), F.col("shingles").alias("a")), "src")
     parts = connected_components(both.select("src", "dst", "a", "b").mapInArrow(_compared(similarity), "src long, dst long"))
@@ -285,5 +285,5 @@ def similar_groups(documents: DataFrame, *, key: str = "doc_id", text: str = "te
 
 def keep_first(documents: DataFrame, *, key: str = "doc_id", text: str = "text", size: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
     """The documents without all but the least doc_id of each group of similar texts; rows without doc_id stay."""
-    gone = similar_groups(documents, key=key, text=text, size=size, similarity=similarity).where("doc_id > component_id").select(F.col("doc_id").alias("_id")).distinct().checkpoint()
+    gone = similar_groups(documents, key=key, text=text, size=size, similarity=similarity).where("doc_id > component_id").select(F.col("doc_id").alias("__id")).distinct().checkpoint()
     return some_of(documents, gone, key, "left_anti")

@@ -478,3 +478,17 @@ def remove_repeats(documents: DataFrame, *, key: str = "doc_id", text: str = "te
     ranges = found.select("home", "ranges", F.lit(None).cast("long").alias("copy_id")).unionByName(copies.select("home", F.lit(None).cast("binary").alias("ranges"), "copy_id"))
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text
     return same(source, ranges).applyInArrow(take_out(with_text), schema)
+
+
+ORACLE = f"""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+runs AS (SELECT doc_id, i, substr(h, 2 * i + 1, {2 * LENGTH}) AS s FROM d, range(0, n - {LENGTH} + 1) AS t(i)),
+first AS (SELECT s, min(doc_id) AS f FROM runs GROUP BY s),
+found AS (SELECT doc_id, i FROM runs JOIN first USING (s) WHERE f < doc_id),
+gone AS (SELECT DISTINCT doc_id, p FROM found, range(i, i + {LENGTH}) AS t(p)),
+spans AS (SELECT doc_id, count(*) AS n_removed, count(*) FILTER (WHERE fresh) AS n_spans FROM (SELECT doc_id, p, coalesce(p - lag(p) OVER (PARTITION BY doc_id ORDER BY p) > 1, true) AS fresh FROM gone) GROUP BY doc_id),
+bytes AS (SELECT doc_id, p, substr(h, 2 * p + 1, 2) AS b FROM d, range(0, n) AS t(p)),
+kept AS (SELECT doc_id, string_agg(b, '' ORDER BY p) AS k FROM bytes ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id)
+SELECT d.doc_id, n AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(k, ''))) AS kept_sha256
+FROM d LEFT JOIN spans USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""

@@ -34,11 +34,11 @@ def cases():
 
 def test_every_run(spark):
     documents = cases()
-    df = spark.createDataFrame([(d, t, "m", 1) for d, t in documents], "doc_id long, text string, mark string, first int")
+    df = spark.createDataFrame([(d, t, "m", 1) for d, t in documents], "doc_id long, text string, mark string, gone int")
     for window, long in ((2, 200), (3, 10_000), (1, 200)):
         found = report(without_repeats(df, window=window, long=long)).collect()
         assert {r.doc_id: tuple(r[1:]) for r in found} == brute(documents, window, long)
-    assert without_repeats(df).columns == ["doc_id", "mark", "first", "text", "n_lines", "n_removed"]
+    assert without_repeats(df).columns == ["doc_id", "mark", "gone", "text", "n_lines", "n_removed"]
 
 
 def test_defined_cases(spark):

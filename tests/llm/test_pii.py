@@ -19,7 +19,7 @@ TEXTS = [
 
 
 def run(spark, **options):
-    df = spark.createDataFrame([(d, t, "k") for d, t in TEXTS], "doc_id long, text string, kind string")
+    df = spark.createDataFrame([(d, t, "k") for d, t in TEXTS], "doc_id long, text string, mentions string")
     return {r.doc_id: r for r in with_surrogates(df, **options).collect()}
 
 
