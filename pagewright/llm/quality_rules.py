@@ -31,7 +31,7 @@ ORDER = 4
 #: A power of two.
 BUCKETS = 1 << 16
 MIN_WORDS, MOST_REPEATED = 50, 50
-THRESHOLD = -0.6
+THRESHOLD = -1.0
 SMOOTHING = 1.0
 #: So many trusted ids at most are broadcast; more are joined by a shuffle.
 BROADCAST_IDS = 2_000_000

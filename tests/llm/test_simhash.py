@@ -162,6 +162,12 @@ def test_chains_and_crowds(spark, monkeypatch):
         assert {r.doc_id: r.component_id for r in found} == expected
 
 
+def test_missing_ids(spark):
+    df = spark.createDataFrame([(None, "one two three four"), (7, "one two three four"), (None, "a"), (None, None), (7, "again")], "doc_id long, text string")
+    rows = report(near_duplicates(df)).collect()
+    assert len(rows) == 5 and [r.component_id for r in rows if r.fingerprint == f"{brute_fingerprint('one two three four'):016x}"] == [7, 7]
+
+
 def test_empty(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert near_duplicates(df).count() == 0

@@ -80,6 +80,13 @@ def test_hot_anchors(spark, monkeypatch):
     check(spark, cases())
 
 
+def test_missing_ids(spark):
+    """A null doc_id counts as larger than any other, and null ones don't affect each other."""
+    text = "a string that is long enough to be found again " * 3
+    df = spark.createDataFrame([(5, text), (None, text), (None, "other words, also long enough to be found again, twice over"), (None, "other words, also long enough to be found again, twice over")], "doc_id long, text string")
+    assert sorted((r.doc_id or 0, r.n_bytes, r.n_removed) for r in remove_repeats(df).collect()) == [(0, 59, 0), (0, 59, 0), (0, 141, 141), (5, 141, 0)]
+
+
 def test_empty(spark):
     assert remove_repeats(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     check(spark, [(1, None), (2, "")])
