@@ -22,7 +22,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import prepare, text_of
+from .common import partitions, prepare, text_of
 
 KEY = "surrogates-1"
 ROUNDS = 12
@@ -159,7 +159,8 @@ def surrogate(key: str, kind: Column, form: Column, draw: Column) -> Column:
 
 def mapping(entities: DataFrame, *, key: str = KEY) -> DataFrame:
     """(kind, form, surrogate) of distinct entities, no surrogate being another's or an entity that occurs."""
-    drawn = entities.select("kind", "form", F.lit(0).alias("draw")).withColumn("surrogate", surrogate(key, F.col("kind"), F.col("form"), F.col("draw"))).checkpoint()
+    spread = entities.repartition(partitions(entities), "kind", "form")  # few bytes but much work, which Spark would gather in a task
+    drawn = spread.select("kind", "form", F.lit(0).alias("draw")).withColumn("surrogate", surrogate(key, F.col("kind"), F.col("form"), F.col("draw"))).checkpoint()
     known = drawn.select("kind", F.col("form").alias("surrogate"))
     for _ in range(ROUNDS + 1):
         twice = drawn.groupBy("kind", "surrogate").agg(F.min(F.struct("draw", "form")).alias("first"), F.count("*").alias("n")).where("n > 1")
