@@ -13,8 +13,8 @@ def connected_components(edges: DataFrame, *, most_rounds: int = 60) -> DataFram
 
     Alternating star contraction: each round first hangs every larger neighbour of a node on the node's least
     neighbour, then every smaller neighbour.  Rounds grow with the logarithm of a component's size.  Nothing is
-    gathered by node: minima are summed up before the shuffle, and the joins may be split where a node has very many
-    edges.  Each round is cut off by a checkpoint, so a lost executor costs one round at most.
+    gathered by node: minima are summed up before the shuffle and written, so that Spark can split the joins where a
+    node has very many edges.  Each round is cut off by a checkpoint, so a lost executor costs one round at most.
     """
     prepare(edges.sparkSession)
     apart = edges.where("src <> dst and src is not null and dst is not null")
@@ -22,9 +22,9 @@ def connected_components(edges: DataFrame, *, most_rounds: int = 60) -> DataFram
     before = None
     for _ in range(most_rounds):
         both = now.unionAll(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")).checkpoint()
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        low = large.groupBy("u").agg(F.min("v").alias("m")).checkpoint()
         small = large.join(low, "u")
         now = small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(low.select("u", F.col("m").alias("v"))).distinct().checkpoint()
         seen = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())

@@ -139,7 +139,7 @@ def near_duplicates(documents: DataFrame, *, key: str = "doc_id", text: str = "t
     named = classes.join(parts.withColumnRenamed("node", "fp"), "fp")
     least = named.groupBy("component").agg(F.min("first").alias("component_id"))
     known = named.join(least, "component").select("fp", "component_id")
-    whole = classes.join(known, "fp", "left").select("fp", F.coalesce("component_id", "first").alias("component_id"))
+    whole = classes.join(known, "fp", "left").select("fp", F.coalesce("component_id", "first").alias("component_id")).checkpoint()
     return marked.join(whole, "fp").select("doc_id", "fp", "component_id")
 
 
@@ -154,9 +154,10 @@ def report(found: DataFrame) -> DataFrame:
 #: Words of a shingle, and the least Jaccard similarity of the sets of shingles, of near duplicates.
 WORDS, SIMILARITY = 5, 0.8
 #: Segments of 23 bits of the long fingerprint; so many make a key, and each is decoded to so many codewords.
-LONG_SEGMENTS, KEY_SEGMENTS, CODEWORDS = 12, 3, 2
-#: Texts of a key that are compared pair by pair; in a larger key each is compared with LEADERS of them.
-SMALL_KEY, LEADERS = 12, 3
+LONG_SEGMENTS, KEY_SEGMENTS, CODEWORDS = 18, 3, 2
+#: Texts of a key that are compared pair by pair; in a larger key each is compared with three leaders of them, and those
+#: that no leader links are taken again, so many times at most.
+SMALL_KEY, ROUNDS = 24, 4
 #: So many ids at most are broadcast; more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 #: Documents that are decoded in one go.
@@ -241,18 +242,19 @@ def _compared(similarity: float):
     return run
 
 
-def candidate_pairs(texts: DataFrame) -> DataFrame:
-    """Pairs (src < dst) of ids that share a key; ``texts`` has id and keys.
+def candidate_pairs(keyed: DataFrame, counts: DataFrame) -> DataFrame:
+    """Pairs (src < dst) of ids that share a key; rows are (id, key), ``counts`` has key and n.
 
-    In a small key all pairs are made.  In a larger one each text is paired with the leaders only, which are those of
-    least hash, so the pairs grow with the number of texts.
+    In a small key all pairs are made.  In a larger one each text is paired with three leaders: the one whose keys
+    most texts have, which stands amid its copies; the least; and one by hash.  So pairs grow with the number of texts.
     """
-    keyed = texts.select("id", F.explode("keys").alias("key"))
-    rank = lambda j: F.xxhash64("id", F.lit(j))
-    full = keyed.groupBy("key").agg(F.count("*").alias("n"), *(F.min_by("id", rank(j)).alias(f"l{j}") for j in range(LEADERS))).where("n > 1").checkpoint()
-    held = keyed.join(full.where(F.col("n") <= SMALL_KEY).select("key"), "key").groupBy("key").agg(F.sort_array(F.collect_list("id")).alias("ids"))  # SMALL_KEY at most
+    held = keyed.join(counts.where(F.col("n") <= SMALL_KEY).select("key"), "key").groupBy("key").agg(F.sort_array(F.collect_list("id")).alias("ids"))  # SMALL_KEY at most
     close = held.select(F.explode(F.transform("ids", lambda x, i: F.struct(x.alias("src"), F.slice("ids", i + 2, SMALL_KEY).alias("more")))).alias("p")).select("p.src", F.explode("p.more").alias("dst"))
-    led = keyed.join(full.where(F.col("n") > SMALL_KEY), "key").select("id", F.explode(F.array(*(f"l{j}" for j in range(LEADERS)))).alias("leader")).where("id <> leader")
+    crowded = keyed.join(counts.where(F.col("n") > SMALL_KEY), "key")
+    central = crowded.groupBy("id").agg(F.sum("n").alias("weight")).checkpoint()
+    ranked = crowded.select("id", "key").join(central, "id")
+    leaders = ranked.groupBy("key").agg(F.max_by("id", "weight").alias("l0"), F.min("id").alias("l1"), F.min_by("id", F.xxhash64("id")).alias("l2")).checkpoint()
+    led = crowded.select("id", "key").join(leaders, "key").select("id", F.explode(F.array("l0", "l1", "l2")).alias("leader")).where("id <> leader")
     return close.unionAll(led.select(F.least("id", "leader").alias("src"), F.greatest("id", "leader").alias("dst"))).distinct()
 
 
@@ -261,6 +263,14 @@ def some_of(documents: DataFrame, ids: DataFrame, column: str, how: str) -> Data
     return documents.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, F.col(column).cast("long") == F.col("__id"), how)
 
 
+def similar_pairs(source: DataFrame, pairs: DataFrame, size: int, similarity: float) -> DataFrame:
+    """The pairs (src, dst) whose sets of shingles are similar enough; only their texts are made into sets."""
+    wanted = pairs.select(F.col("src").alias("__id")).unionAll(pairs.select("dst")).distinct().checkpoint()
+    sets = some_of(source, wanted, "doc_id", "left_semi").mapInArrow(_shingled(size), "id long, shingles binary").checkpoint()
+    both = pairs.join(sets.select(F.col("id").alias("dst"), F.col("shingles").alias("b")), "dst").join(sets.select(F.col("id").alias("src"), F.col("shingles").alias("a")), "src")
+    return both.select("src", "dst", "a", "b").mapInArrow(_compared(similarity), "src long, dst long")
+
+
 def similar_groups(documents: DataFrame, *, key: str = "doc_id", text: str = "text", size: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
     """(doc_id, component_id): groups of texts whose sets of word shingles are similar, by their least doc_id.
 
@@ -274,12 +284,20 @@ def similar_groups(documents: DataFrame, *, key: str = "doc_id", text: str = "te
     marked = source.mapInArrow(_marked, "doc_id long, class binary, keys array<long>").checkpoint()
     classes = marked.groupBy("class").agg(F.min("doc_id").alias("first")).checkpoint()
     firsts = classes.select(F.col("first").alias("id"))
-    pairs = candidate_pairs(marked.join(firsts, F.col("doc_id") == F.col("id")).select("id", "keys")).checkpoint()
-    wanted = pairs.select(F.col("src").alias("__id")).unionAll(pairs.select("dst")).distinct().checkpoint()
-    sets = some_of(source, wanted, "doc_id", "left_semi").mapInArrow(_shingled(size), "id long, shingles binary").checkpoint()
-    both = pairs.join(sets.select(F.col("id").alias("dst"), F.col("shingles").alias("b")), "dst").join(sets.select(F.col("id").alias("src"), F.col("shingles").alias("a")), "src")
-    parts = connected_components(both.select("src", "dst", "a", "b").mapInArrow(_compared(similarity), "src long, dst long"))
-    whole = classes.join(parts, F.col("first") == F.col("node"), "left").select("class", F.coalesce("component", "first").alias("component_id"))
+    keyed = marked.join(firsts, F.col("doc_id") == F.col("id")).select("id", F.explode("keys").alias("key"))
+    found = None
+    for _ in range(ROUNDS):
+        counts = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").checkpoint()
+        pairs = candidate_pairs(keyed, counts).checkpoint()
+        linked = similar_pairs(source, pairs, size, similarity).checkpoint()
+        found = linked if found is None else found.unionAll(linked)
+        large = counts.where(F.col("n") > SMALL_KEY).select("key")
+        if large.isEmpty():
+            break
+        done = linked.select("src").unionAll(linked.select("dst")).distinct().withColumnRenamed("src", "id")
+        keyed = keyed.join(large, "key", "left_semi").join(done, "id", "left_anti").checkpoint()
+    parts = connected_components(found)
+    whole = classes.join(parts, F.col("first") == F.col("node"), "left").select("class", F.coalesce("component", "first").alias("component_id")).checkpoint()
     return marked.select("doc_id", "class").join(whole, "class").select("doc_id", "component_id")
 
 

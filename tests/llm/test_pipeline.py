@@ -114,3 +114,11 @@ def test_stages(spark):
     for r in rows:
         used[r.sequence_id] += r.length
     assert max(used.values()) <= 2048 and len(used) <= math.ceil(sum(lengths.values()) / 2048) + 1
+
+
+def test_empty_table(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        rows = stage(spark, docs, SF)
+        assert rows.columns == docs.columns and rows.count() == 0
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, SF).count() == 0

@@ -106,6 +106,24 @@ def test_large_group(spark, monkeypatch):
     assert [r.doc_id for r in keep_first(df).collect()] == [0]
 
 
+def test_copies_of_one_text(spark):
+    """Many copies that are similar to their original but not to each other; the original is neither first nor last."""
+    rng = random.Random(12)
+    base = [f"w{rng.randrange(9000)}" for _ in range(420)]
+    texts = {500: " ".join(base)}
+    for d in range(470, 560):
+        copy = base[:]
+        for at in rng.sample(range(10, 410), 8):
+            copy[at] = f"x{d}y{at}"
+        texts.setdefault(d, " ".join(copy))
+    expected = brute_similar(texts)
+    assert set(expected.values()) == {470}
+    sets = brute_similar({d: t for d, t in texts.items() if d != 500})
+    assert len(set(sets.values())) > 10
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in similar_groups(df).collect()} == expected
+
+
 def test_two_errors_share_a_codeword():
     tables = golay_tables()
     assert len({int(x) for x in tables[1]}) == 2048
