@@ -458,16 +458,117 @@ def file_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 NAMES = "SELECT c_custkey, replace(c_name, '#', '_') || '.v1' AS stem, replace(c_name, '#', ' ') || '.v1' AS title, lpad((c_custkey % 2000)::VARCHAR, 4, '0') AS padded FROM customer"
 
+# ---- single figures of the operators above, and what SQL has no words for
+
+
+def math_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    signs = F.replace(F.coalesce("text", F.lit("")), F.lit("on"), F.lit("∑"))
+    return table(spark, sf_dir, "documents").select("doc_id", X.count_math(signs).cast("long").alias("n"), (X.count_math(signs) >= C.MATH_LEAST).alias("has_math"))
+
+
+MATH = "WITH a AS (SELECT doc_id, (length(coalesce(text, '')) - length(replace(coalesce(text, ''), 'on', ''))) // 2 AS n FROM documents) SELECT doc_id, n, n >= 3 AS has_math FROM a"
+
+
+def ocr_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean confidence by document, and how many words count for it, straight from the words."""
+    held = words(spark, sf_dir).where((F.col("level") == ocr_words.WORD_LEVEL) & (X.without_space(F.col("text")) != "") & (F.col("conf") >= 0))
+    return held.groupBy("doc_id").agg((F.sum("conf") / F.count("*")).alias("confidence"), F.count("*").alias("words"))
+
+
+CONFIDENCE = rf"""WITH s AS (SELECT doc_id, string_split(coalesce(text, ''), ' ') AS w FROM documents), r AS (SELECT doc_id, p - 1 AS i, w[p] AS text FROM s, range(1, len(w) + 1) AS t(p)),
+k AS (SELECT doc_id, ((doc_id * 31 + i * 17) % 103 - 2)::DOUBLE AS conf FROM r WHERE i % 9 <> 4 AND i % 13 <> 5 AND regexp_replace(text, '{SQL_SPACE}', '', 'g') <> '')
+SELECT doc_id, sum(conf) / count(*) AS confidence, count(*) AS words FROM k WHERE conf >= 0 GROUP BY doc_id"""
+
+
+def page_summary_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sources as documents of one page a row: how many pages are of each kind, and those to review as ranges."""
+    from .pages import page_lists
+
+    rows = measured(spark, sf_dir).withColumn("page_no", F.substring("doc_id", 4, 20).cast("int")).withColumn("doc_id", F.col("source"))
+    lists = page_lists(pages.assemble(pages.decide(rows)))
+    kinds = ("pages", "direct", "failed", "skipped_ocr", "low_confidence", "complex", "blank", "review")
+    return lists.select("doc_id", *(F.size(k).cast("long").alias(k) for k in kinds), page_list(lists["blank"]).alias("blank_pages"))
+
+
+PAGE_SUMMARY = f"""WITH {MEASURED}, r AS (SELECT *, NOT failed AND chars = 0 AND ocr_mode IS NULL AS blank, failed::INT + (NOT failed AND ocr_mode IS NOT NULL)::INT + (n_reasons > 0)::INT + jumps::INT > 0 AS review FROM t4),
+i AS (SELECT source, doc_id, doc_id - row_number() OVER (PARTITION BY source ORDER BY doc_id) AS g FROM r WHERE blank), j AS (SELECT source, min(doc_id) AS lo, max(doc_id) AS hi FROM i GROUP BY source, g),
+k AS (SELECT source, string_agg(CASE WHEN lo = hi THEN lo::VARCHAR ELSE lo || '-' || hi END, ', ' ORDER BY lo) AS t FROM j GROUP BY source)
+SELECT source AS doc_id, count(*) AS pages, count(*) FILTER (WHERE NOT failed) AS direct, count(*) FILTER (WHERE failed) AS failed, count(*) FILTER (WHERE ocr_mode IS NOT NULL) AS skipped_ocr,
+count(*) FILTER (WHERE NOT failed AND coalesce(ocr_mode = 'replace', false)) AS low_confidence, count(*) FILTER (WHERE n_reasons > 0) AS complex, count(*) FILTER (WHERE blank) AS blank, count(*) FILTER (WHERE review) AS review,
+coalesce(max(k.t), '') AS blank_pages FROM r LEFT JOIN k USING (source) GROUP BY source"""
+
+
+def card_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = cards.validate(card_rows(spark, sf_dir)).where(F.col("duplicate_of").isNotNull())
+    return found.select("deck_id", F.col("number").cast("long").alias("number"), F.col("duplicate_of").cast("long").alias("duplicate_of"))
+
+
+CARD_DEDUP = f"WITH {CARDS} SELECT deck_id, number, duplicate_of FROM cards WHERE duplicate_of IS NOT NULL"
+
+
+def answer_chi2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chi-square of counted letters, and whether it is beyond the critical value."""
+    letter = F.element_at(F.array(*map(F.lit, C.LETTERS)), ((F.col("l_linenumber") * F.col("l_suppkey")) % 5 % 4 + 1).cast("int"))
+    counts = table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("deck_id")).agg(*(F.count_if(letter == x).alias(x) for x in C.LETTERS), F.count("*").alias("total"))
+    return cards.with_chi2(counts).select("deck_id", "total", F.round("chi2", 7).alias("chi2"), "unbalanced")
+
+
+CHI2 = f"""WITH a AS (SELECT l_suppkey AS deck_id, (l_linenumber * l_suppkey) % 5 % 4 AS x FROM lineitem), b AS (SELECT deck_id, count(*) AS total, sum((x = 0)::INT) AS p, sum((x = 1)::INT) AS q, sum((x = 2)::INT) AS r, sum((x = 3)::INT) AS s FROM a GROUP BY 1),
+c AS (SELECT deck_id, total, CASE WHEN total >= 8 THEN (power(p - total / 4.0::DOUBLE, 2) + power(q - total / 4.0::DOUBLE, 2) + power(r - total / 4.0::DOUBLE, 2) + power(s - total / 4.0::DOUBLE, 2)) / (total / 4.0::DOUBLE) END AS v FROM b)
+SELECT deck_id, total, round(v, 7) AS chi2, coalesce(v > {C.CHI2_CRITICAL}, false) AS unbalanced FROM c"""
+
+
+def most_least_letter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The most and least frequent letter, the earliest of equally frequent ones."""
+    n = lambda i: (F.col("c_custkey") * (i + 3) % 5).alias(C.LETTERS[i])
+    counts = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("deck_id"), *(n(i) for i in range(4)))
+    return cards.with_chi2(counts.withColumn("total", sum(F.col(x) for x in C.LETTERS))).select("deck_id", "most", "least")
+
+
+MOST = """WITH a AS (SELECT c_custkey AS deck_id, c_custkey * 3 % 5 AS p, c_custkey * 4 % 5 AS q, c_custkey * 5 % 5 AS r, c_custkey * 6 % 5 AS s FROM customer)
+SELECT deck_id, CASE greatest(p, q, r, s) WHEN p THEN 'A' WHEN q THEN 'B' WHEN r THEN 'C' ELSE 'D' END AS most, CASE least(p, q, r, s) WHEN p THEN 'A' WHEN q THEN 'B' WHEN r THEN 'C' ELSE 'D' END AS least FROM a"""
+
+
+def normalize_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Case-folded visible text with all HTML entities."""
+    return table(spark, sf_dir, "pages").select("page_id", F.md5(X.normalize_udf("html")).alias("digest"))
+
+
+def suspicious_fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tag-like fragments of pages, as the deck parser reports them for cards."""
+    card = F.struct(F.coalesce("html", F.lit("")).alias("question"), F.lit("x").alias("answer"), F.array(*map(F.lit, ("x", "y", "z", "w"))).alias("options"))
+    decks = table(spark, sf_dir, "pages").select(F.col("page_id").cast("string").alias("deck_id"), F.encode(F.to_json(F.array(card)), "UTF-8").alias("content"))
+    return parse_decks(decks).select("deck_id", F.size("question.tags").alias("n"), F.slice("question.tags", 1, 3).alias("first"))
+
+
+def deck_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Validation reports of all decks, after shuffling."""
+    from .decks import run
+
+    return run(card_rows(spark, sf_dir), seed=42).reports
+
+
+def page_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The annotated text of each source's pages."""
+    from ..sinks.pages import document_texts
+
+    rows = measured(spark, sf_dir).withColumn("page_no", F.substring("doc_id", 4, 20).cast("int")).withColumn("doc_id", F.col("source"))
+    counts = rows.groupBy("doc_id").agg(F.count("*").alias("page_count"))
+    return document_texts(pages.assemble(pages.decide(rows)), counts).select("doc_id", F.length("content").alias("n"), F.md5("content").alias("digest"))
+
+
+ROWS_ONLY = ("normalize_exact", "suspicious_fragments", "deck_reports", "page_documents")
 SQL = {
     "text_clean": TEXT_CLEAN, "text_metrics": TEXT_METRICS, "visible_text": VISIBLE, "html_unknown_tags": UNKNOWN, "doc_normalized_dedup": DEDUP, "duplicate_groups": GROUPS, "page_ranges_rows": RANGES,
     "page_ranges_array": RANGES, "ocr_regroup": OCR, "block_median": MEDIAN, "two_column": COLUMNS, "order_jumps": JUMPS, "order_jumps_array": JUMPS, "image_coverage": COVERAGE, "ink_histogram_mode": MODE, "ink_ratios": INK,
     "quality_decision": DECISION, "quality_summary_by_source": SUMMARY, "page_results": RESULTS, "page_text_render": RENDER, "card_validate": VALIDATE, "deck_parse_json": VALIDATE, "question_groups": QUESTION_GROUPS,
     "deck_summary": DECK_SUMMARY, "answer_letter": LETTER, "answer_distribution": DISTRIBUTION, "tsv_rows": TSV, "letter_labels": LABELS, "stable_ids": IDS, "option_shuffle": SHUFFLE, "file_names": NAMES,
+    "math_count": MATH, "ocr_confidence": CONFIDENCE, "page_summary_by_source": PAGE_SUMMARY, "card_dedup": CARD_DEDUP, "answer_chi2": CHI2, "most_least_letter": MOST,
 }
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: globals()[name] for name in SQL}
+    return {name: globals()[name] for name in (*SQL, *ROWS_ONLY)}
 
 
 def oracle_sql() -> dict[str, str]:
