@@ -276,7 +276,7 @@ def quality_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decided.select("doc_id", "quality_code", "ocr_mode", F.col("ocr_reason").isNotNull().alias("has_reason"), reasons.cast("long").alias("n_reasons"))
 
 
-DECISION = f"WITH {MEASURED} SELECT 'doc' || doc_id AS doc_id, quality_code, ocr_mode, ocr_mode IS NOT NULL AS has_reason, n_reasons FROM t4"
+DECISION = f"WITH {MEASURED} SELECT 'doc' || doc_id AS doc_id, quality_code, ocr_mode, ocr_mode IS NOT NULL AS has_reason, n_reasons::BIGINT AS n_reasons FROM t4"
 
 
 def quality_summary_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -299,7 +299,7 @@ def page_results(spark: SparkSession, sf_dir: str) -> DataFrame:
 RESULTS = f"""WITH {MEASURED}, r AS (SELECT 'doc' || doc_id AS doc_id, CASE WHEN failed THEN 'FAILED' ELSE 'DIRECT' END AS method, NOT failed AND chars = 0 AND ocr_mode IS NULL AS blank, NOT failed AND coalesce(ocr_mode = 'replace', false) AS low_confidence,
 n_reasons > 0 AS complex_content, failed::INT + (NOT failed AND ocr_mode IS NOT NULL)::INT + (n_reasons > 0)::INT + jumps::INT AS n_warnings,
 (NOT failed AND chars = 0 AND ocr_mode IS NULL)::INT + (NOT failed AND doc_id % 8 = 0)::INT + (NOT failed AND length(text) - length(translate(text, '{C.MATH_SIGNS}', '')) >= 3)::INT AS n_notes, ocr_mode FROM t4)
-SELECT doc_id, method, blank, low_confidence, complex_content, n_warnings, n_notes, n_warnings > 0 AS needs_review, n_warnings > 0 OR ocr_mode IS NOT NULL AS is_problem FROM r"""
+SELECT doc_id, method, blank, low_confidence, complex_content, n_warnings::BIGINT AS n_warnings, n_notes::BIGINT AS n_notes, n_warnings > 0 AS needs_review, n_warnings > 0 OR ocr_mode IS NOT NULL AS is_problem FROM r"""
 
 
 def page_text_render(spark: SparkSession, sf_dir: str) -> DataFrame:
