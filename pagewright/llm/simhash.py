@@ -155,9 +155,9 @@ def report(found: DataFrame) -> DataFrame:
 WORDS, SIMILARITY = 5, 0.8
 #: Segments of 23 bits of the long fingerprint; so many make a key, and each is decoded to so many codewords.
 LONG_SEGMENTS, KEY_SEGMENTS, CODEWORDS = 18, 3, 2
-#: Texts of a key that are compared pair by pair; in a larger key each is compared with three leaders of them, and those
-#: that no leader links are taken again, so many times at most.
-SMALL_KEY, ROUNDS = 24, 4
+#: Texts of a key that are compared pair by pair.  A text with larger keys is compared with three leaders of them, and
+#: those that no leader links are taken once more.
+SMALL_KEY, ROUNDS = 8, 2
 #: So many ids at most are broadcast; more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 #: Documents that are decoded in one go.
@@ -242,19 +242,21 @@ def _compared(similarity: float):
     return run
 
 
-def candidate_pairs(keyed: DataFrame, counts: DataFrame) -> DataFrame:
-    """Pairs (src < dst) of ids that share a key; rows are (id, key), ``counts`` has key and n.
+def candidate_pairs(shared: DataFrame, turn: int = 0) -> DataFrame:
+    """Pairs (src < dst) of ids that share a key; rows are (id, key, n), n being how many ids the key has.
 
-    In a small key all pairs are made.  In a larger one each text is paired with three leaders: the one whose keys
-    most texts have, which stands amid its copies; the least; and one by hash.  So pairs grow with the number of texts.
+    In a small key all pairs are made.  From its larger keys each text gets three leaders: the text whose keys most
+    texts have, which stands amid its copies, the least, and one by a hash of the turn.  So pairs grow with the texts.
     """
-    held = keyed.join(counts.where(F.col("n") <= SMALL_KEY).select("key"), "key").groupBy("key").agg(F.sort_array(F.collect_list("id")).alias("ids"))  # SMALL_KEY at most
+    held = shared.where(F.col("n") <= SMALL_KEY).groupBy("key").agg(F.sort_array(F.collect_list("id")).alias("ids"))  # SMALL_KEY at most
     close = held.select(F.explode(F.transform("ids", lambda x, i: F.struct(x.alias("src"), F.slice("ids", i + 2, SMALL_KEY).alias("more")))).alias("p")).select("p.src", F.explode("p.more").alias("dst"))
-    crowded = keyed.join(counts.where(F.col("n") > SMALL_KEY), "key")
+    crowded = shared.where(F.col("n") > SMALL_KEY)
     central = crowded.groupBy("id").agg(F.sum("n").alias("weight")).checkpoint()
     ranked = crowded.select("id", "key").join(central, "id")
-    leaders = ranked.groupBy("key").agg(F.max_by("id", "weight").alias("l0"), F.min("id").alias("l1"), F.min_by("id", F.xxhash64("id")).alias("l2")).checkpoint()
-    led = crowded.select("id", "key").join(leaders, "key").select("id", F.explode(F.array("l0", "l1", "l2")).alias("leader")).where("id <> leader")
+    rank = lambda c: F.xxhash64(c, F.lit(turn))
+    leaders = ranked.groupBy("key").agg(F.max("weight").alias("w"), F.max_by("id", "weight").alias("l0"), F.min("id").alias("l1"), F.min_by("id", rank("id")).alias("l2")).checkpoint()
+    own = crowded.select("id", "key").join(leaders, "key").groupBy("id").agg(F.max_by("l0", "w").alias("l0"), F.min("l1").alias("l1"), F.min_by("l2", rank("l2")).alias("l2"))
+    led = own.select("id", F.explode(F.array("l0", "l1", "l2")).alias("leader")).where("id <> leader")
     return close.unionAll(led.select(F.least("id", "leader").alias("src"), F.greatest("id", "leader").alias("dst"))).distinct()
 
 
@@ -286,16 +288,17 @@ def similar_groups(documents: DataFrame, *, key: str = "doc_id", text: str = "te
     firsts = classes.select(F.col("first").alias("id"))
     keyed = marked.join(firsts, F.col("doc_id") == F.col("id")).select("id", F.explode("keys").alias("key"))
     found = None
-    for _ in range(ROUNDS):
+    for turn in range(ROUNDS):
         counts = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").checkpoint()
-        pairs = candidate_pairs(keyed, counts).checkpoint()
+        shared = keyed.join(counts, "key").checkpoint()
+        pairs = candidate_pairs(shared, turn).checkpoint()
         linked = similar_pairs(source, pairs, size, similarity).checkpoint()
         found = linked if found is None else found.unionAll(linked)
-        large = counts.where(F.col("n") > SMALL_KEY).select("key")
+        large = shared.where(F.col("n") > SMALL_KEY).select("id", "key")
         if large.isEmpty():
             break
         done = linked.select("src").unionAll(linked.select("dst")).distinct().withColumnRenamed("src", "id")
-        keyed = keyed.join(large, "key", "left_semi").join(done, "id", "left_anti").checkpoint()
+        keyed = large.join(done, "id", "left_anti")
     parts = connected_components(found)
     whole = classes.join(parts, F.col("first") == F.col("node"), "left").select("class", F.coalesce("component", "first").alias("component_id")).checkpoint()
     return marked.select("doc_id", "class").join(whole, "class").select("doc_id", "component_id")
