@@ -154,7 +154,7 @@ def report(found: DataFrame) -> DataFrame:
 #: Words of a shingle, and the least Jaccard similarity of the sets of shingles, of near duplicates.
 WORDS, SIMILARITY = 5, 0.8
 #: Segments of 23 bits of the long fingerprint; so many make a key, and each is decoded to so many codewords.
-LONG_SEGMENTS, KEY_SEGMENTS, CODEWORDS = 18, 3, 2
+LONG_SEGMENTS, KEY_SEGMENTS, CODEWORDS = 15, 3, 2
 #: Texts of a key that are compared pair by pair.  A text with larger keys is compared with three leaders of them, and
 #: those that no leader links are taken once more.
 SMALL_KEY, ROUNDS = 8, 2
@@ -255,7 +255,9 @@ def candidate_pairs(shared: DataFrame, turn: int = 0) -> DataFrame:
     ranked = crowded.select("id", "key").join(central, "id")
     rank = lambda c: F.xxhash64(c, F.lit(turn))
     leaders = ranked.groupBy("key").agg(F.max("weight").alias("w"), F.max_by("id", "weight").alias("l0"), F.min("id").alias("l1"), F.min_by("id", rank("id")).alias("l2")).checkpoint()
-    own = crowded.select("id", "key").join(leaders, "key").groupBy("id").agg(F.max_by("l0", "w").alias("l0"), F.min("l1").alias("l1"), F.min_by("l2", rank("l2")).alias("l2"))
+    # each text looks for its leaders in its fullest key and in one by a hash
+    chosen = crowded.groupBy("id").agg(F.max_by("key", "n").alias("k0"), F.min_by("key", rank("key")).alias("k1")).select("id", F.explode(F.array_distinct(F.array("k0", "k1"))).alias("key"))
+    own = chosen.join(leaders, "key").groupBy("id").agg(F.max_by("l0", "w").alias("l0"), F.min("l1").alias("l1"), F.min_by("l2", rank("l2")).alias("l2"))
     led = own.select("id", F.explode(F.array("l0", "l1", "l2")).alias("leader")).where("id <> leader")
     return close.unionAll(led.select(F.least("id", "leader").alias("src"), F.greatest("id", "leader").alias("dst"))).distinct()
 
