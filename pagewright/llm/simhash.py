@@ -156,7 +156,7 @@ WORDS, SIMILARITY = 5, 0.8
 #: Segments of 23 bits of the long fingerprint; so many make a key, and each is decoded to so many codewords.
 LONG_SEGMENTS, KEY_SEGMENTS, CODEWORDS = 15, 3, 2
 #: Texts of a key that are compared pair by pair.  A text with larger keys is compared with three leaders of them, and
-#: those that no leader links are taken once more.
+#: those that no leader links are taken once more; then all pairs of a key that are still in different groups follow.
 SMALL_KEY, ROUNDS = 8, 2
 #: So many ids at most are broadcast; more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
@@ -262,6 +262,18 @@ def candidate_pairs(shared: DataFrame, turn: int = 0) -> DataFrame:
     return close.unionAll(led.select(F.least("id", "leader").alias("src"), F.greatest("id", "leader").alias("dst"))).distinct()
 
 
+def crossing_pairs(crowded: DataFrame, parts: DataFrame) -> DataFrame:
+    """All pairs (src < dst) of ids (id, key) that share a key and that the links so far leave in different groups.
+
+    ``parts`` has (node, component).  Groups are paired before their texts, so one large group costs no pairs in itself.
+    """
+    named = crowded.join(parts, F.col("id") == F.col("node"), "left").select("key", "id", F.coalesce("component", "id").alias("part")).checkpoint()
+    groups = named.select("key", "part").distinct().checkpoint()
+    two = groups.withColumnRenamed("part", "p").join(groups.withColumnRenamed("part", "q"), "key").where("p < q")
+    left, right = named.select("key", F.col("part").alias("p"), F.col("id").alias("x")), named.select("key", F.col("part").alias("q"), F.col("id").alias("y"))
+    return two.join(left, ["key", "p"]).join(right, ["key", "q"]).select(F.least("x", "y").alias("src"), F.greatest("x", "y").alias("dst")).distinct()
+
+
 def some_of(documents: DataFrame, ids: DataFrame, column: str, how: str) -> DataFrame:
     """Semi or anti join of documents with ids: broadcast if the ids are few, else by a shuffle."""
     return documents.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, F.col(column).cast("long") == F.col("__id"), how)
@@ -289,7 +301,7 @@ def similar_groups(documents: DataFrame, *, key: str = "doc_id", text: str = "te
     classes = marked.groupBy("class").agg(F.min("doc_id").alias("first")).checkpoint()
     firsts = classes.select(F.col("first").alias("id"))
     keyed = marked.join(firsts, F.col("doc_id") == F.col("id")).select("id", F.explode("keys").alias("key"))
-    found = None
+    found, crowded = None, None
     for turn in range(ROUNDS):
         counts = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").checkpoint()
         shared = keyed.join(counts, "key").checkpoint()
@@ -297,11 +309,15 @@ def similar_groups(documents: DataFrame, *, key: str = "doc_id", text: str = "te
         linked = similar_pairs(source, pairs, size, similarity).checkpoint()
         found = linked if found is None else found.unionAll(linked)
         large = shared.where(F.col("n") > SMALL_KEY).select("id", "key")
+        crowded = large if crowded is None else crowded
         if large.isEmpty():
             break
         done = linked.select("src").unionAll(linked.select("dst")).distinct().withColumnRenamed("src", "id")
         keyed = large.join(done, "id", "left_anti")
-    parts = connected_components(found)
+    parts = connected_components(found).checkpoint()
+    rest = similar_pairs(source, crossing_pairs(crowded, parts).checkpoint(), size, similarity).checkpoint()
+    if not rest.isEmpty():
+        parts = connected_components(found.unionAll(rest))
     whole = classes.join(parts, F.col("first") == F.col("node"), "left").select("class", F.coalesce("component", "first").alias("component_id")).checkpoint()
     return marked.select("doc_id", "class").join(whole, "class").select("doc_id", "component_id")
 

@@ -124,6 +124,24 @@ def test_copies_of_one_text(spark):
     assert {r.doc_id: r.component_id for r in similar_groups(df).collect()} == expected
 
 
+def test_crowd_of_separate_pairs(spark):
+    """Texts of one vocabulary share every key; each has one copy of its own."""
+    rng = random.Random(21)
+    pool = [f"w{i}" for i in range(300)]
+    texts = {}
+    for d in range(60):
+        words = pool[:]
+        rng.shuffle(words)
+        texts[d] = " ".join(words)
+        at = rng.randrange(280)
+        words[at], words[at + 1] = words[at + 1], words[at]
+        texts[1000 + rng.randrange(10**6) * 100 + d] = " ".join(words)
+    expected = brute_similar(texts)
+    assert len(set(expected.values())) == 60
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in similar_groups(df).collect()} == expected
+
+
 def test_two_errors_share_a_codeword():
     tables = golay_tables()
     assert len({int(x) for x in tables[1]}) == 2048
