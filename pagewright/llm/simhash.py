@@ -17,12 +17,13 @@ give a row each; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import mixed, prepare, text_of
@@ -153,82 +154,92 @@ def report(found: DataFrame) -> DataFrame:
 
 #: Words of a shingle, and the least Jaccard similarity of the sets of shingles, of near duplicates.
 WORDS, SIMILARITY = 5, 0.8
-#: Segments of 23 bits of the long fingerprint; so many make a key, and each is decoded to so many codewords.
-LONG_SEGMENTS, KEY_SEGMENTS, CODEWORDS = 15, 3, 2
+#: Shingles are ordered by their counts in so many texts at most; the counts of so many are broadcast, from so many texts.
+RANK_TEXTS, RANKS, RANK_LEAST = 20_000, 500_000, 3
 #: Texts of a key that are compared pair by pair.  A text with larger keys is compared with three leaders of them, and
 #: those that no leader links are taken once more; then all pairs of a key that are still in different groups follow.
 SMALL_KEY, ROUNDS = 8, 2
+#: Texts whose shingles are handed on in one go.
+GATHERED = 64
 #: So many ids at most are broadcast; more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
-#: Documents that are decoded in one go.
-DECODED = 64
-
-
-def codebook() -> np.ndarray:
-    """The 4096 codewords of the Golay code as rows of -1 and 1."""
-    generator = 0b101011100011
-    words = np.zeros(4096, np.int64)
-    for i in range(12):
-        words ^= np.where(np.arange(4096) >> i & 1, generator << i, 0)
-    return ((words[:, None] >> np.arange(23)) & 1).astype(np.float32) * 2 - 1
-
-
-def word_sums(words: list[bytes]) -> np.ndarray:
-    """For each bit of the long fingerprint, how many distinct words set it less how many don't."""
-    hashes = np.fromiter((xxhash.xxh64_intdigest(w, SEED) for w in set(words)), np.uint64)
-    n = LONG_SEGMENTS * 23
-    more = [mixed(hashes + np.uint64(0x9E3779B97F4A7C15 * (i + 1) % 2**64)) for i in range(-(-n // 64))]
-    bits = [np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64) for h in more]
-    return (np.concatenate(bits)[:n] * 2 - len(hashes)).astype(np.float32).reshape(LONG_SEGMENTS, 23)
-
-
-def nearest_codewords(sums: np.ndarray, book: np.ndarray) -> np.ndarray:
-    """Numbers of the codewords nearest to each segment by its sums, so that doubtful bits weigh little, nearest first."""
-    scores = sums.reshape(-1, 23) @ book.T
-    out = []
-    for _ in range(CODEWORDS):
-        best = scores.argmax(axis=1)
-        out.append(best)
-        scores[np.arange(len(scores)), best] = -np.inf
-    return np.stack(out, axis=1).reshape(*sums.shape[:-1], CODEWORDS)
-
-
-def long_keys(numbers: np.ndarray) -> np.ndarray:
-    """The keys of documents: each choice of one codeword a segment, for each run of segments of a key."""
-    choices = np.stack(np.meshgrid(*[np.arange(CODEWORDS)] * KEY_SEGMENTS, indexing="ij"), -1).reshape(-1, KEY_SEGMENTS)
-    out = []
-    for table in range(LONG_SEGMENTS // KEY_SEGMENTS):
-        key = np.full((len(numbers), len(choices)), table, np.int64)
-        for i in range(KEY_SEGMENTS):
-            key = key << np.int64(12) | numbers[:, table * KEY_SEGMENTS + i][:, choices[:, i]]
-        out.append(key)
-    return np.concatenate(out, axis=1)
-
-
-def _marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    book = codebook()
+
+def shingle_set(words: list[bytes], size: int) -> np.ndarray:
+    """Sorted distinct 64-bit hashes of the runs of ``size`` words; a shorter text is one run."""
+    if not words:
+        return np.zeros(0, np.uint64)
+    hashes = np.fromiter((xxhash.xxh64_intdigest(w, SEED) for w in words), np.uint64, len(words))
+    n, width = max(1, len(words) - size + 1), min(size, len(words))
+    out = np.full(n, width, np.uint64)
+    for i in range(width):
+        out = mixed(out * np.uint64(0x9E3779B97F4A7C15) + hashes[i : n + i])
+    return np.unique(out)
+
+
+def _classed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for at in range(0, len(batch), DECODED):
-            part = batch.slice(at, DECODED)
-            words = [x.as_buffer().to_pybytes().lower().split() for x in part.column(1).cast(pa.binary())]
-            keys = long_keys(nearest_codewords(np.stack([word_sums(w) for w in words]), book))
-            classes = [xxhash.xxh3_128_digest(b" ".join(w)) for w in words]
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(classes, pa.binary()), pa.array(list(keys), pa.list_(pa.int64()))], ["doc_id", "class", "keys"])
+        classes = [xxhash.xxh3_128_digest(b" ".join(x.as_buffer().to_pybytes().lower().split())) for x in batch.column(1).cast(pa.binary())]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(classes, pa.binary())], ["doc_id", "class"])
+
+
+def _sets(batch: pa.RecordBatch, size: int) -> Iterator[np.ndarray]:
+    return (shingle_set(x.as_buffer().to_pybytes().lower().split(), size) for x in batch.column(1).cast(pa.binary()))
 
 
 def _shingled(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = []
-            for x in batch.column(1).cast(pa.binary()):
-                words = x.as_buffer().to_pybytes().lower().split()
-                found = {xxhash.xxh64_intdigest(b" ".join(words[i : i + size]), SEED) for i in range(max(1, len(words) - size + 1))} if words else set()
-                sets.append(np.sort(np.fromiter(found, np.uint64, len(found))).tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], ["id", "shingles"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.tobytes() for s in _sets(batch, size)], pa.binary())], ["id", "shingles"])
+
+    return run
+
+
+def _listed(size: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, len(batch), GATHERED):
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(list(_sets(batch.slice(at, GATHERED), size))).view(np.int64))], ["key"])
 
     return run
 
 
+def _prefixed(size: int, similarity: float, ranks):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, counts = ranks.value
+        for batch in batches:
+            for start in range(0, len(batch), GATHERED):
+                part, found = batch.slice(start, GATHERED), []
+                for i, s in zip(part.column(0).to_pylist(), _sets(part, size), strict=True):
+                    if len(s) == 0:
+                        continue
+                    at = np.minimum(np.searchsorted(known, s), len(known) - 1)
+                    order = np.argsort(np.where(known[at] == s, counts[at], 0), kind="stable")
+                    n = len(s) - math.ceil(similarity * len(s) - 1e-9) + 1
+                    found.append((np.full(n, i, np.int64), s[order[:n]].view(np.int64), np.full(n, len(s), np.int32), np.arange(n, dtype=np.int32)))
+                if found:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found, strict=True)], ["id", "key", "size", "pos"])
+
+    return run
+
+
+def prefixes(texts: DataFrame, size: int, similarity: float) -> DataFrame:
+    """(id, key, size, pos): the shingles of a text that any similar text must share one of, rarest first.
+
+    All texts order their shingles alike, by count and hash.  Of two sets with a similarity of at least s, one of n
+    shingles has at least s * n in common with the other, so the first common one in this order is among its first
+    n - ceil(s * n) + 1.  That holds whatever the counts are, so those of some texts do; they only keep keys small.
+    """
+    session = texts.sparkSession
+    share = min(1.0, RANK_TEXTS / max(1, texts.count()))
+    some = texts.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000))
+    counted = some.mapInArrow(_listed(size), "key long").groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") >= RANK_LEAST)
+    top = counted.orderBy(F.desc("n"), "key").limit(RANKS).toArrow()
+    known, counts = top.column("key").to_numpy().view(np.uint64), top.column("n").to_numpy()
+    order = np.argsort(known)
+    known, counts = (known[order], counts[order]) if len(known) else (np.zeros(1, np.uint64), np.zeros(1, np.int64))
+    return texts.mapInArrow(_prefixed(size, similarity, session.sparkContext.broadcast((known, counts))), "id long, key long, size int, pos int")
+
+
 def _compared(similarity: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -242,14 +253,20 @@ def _compared(similarity: float):
     return run
 
 
-def candidate_pairs(shared: DataFrame, turn: int = 0) -> DataFrame:
-    """Pairs (src < dst) of ids that share a key; rows are (id, key, n), n being how many ids the key has.
+def fits(left_a: Column, size_a: Column, left_b: Column, size_b: Column, similarity: float) -> Column:
+    """Whether two texts whose first common shingle has ``left`` shingles from it on can be similar enough."""
+    return F.least(left_a, left_b) >= (size_a + size_b) * (similarity / (1 + similarity)) - 1e-6
+
+
+def candidate_pairs(shared: DataFrame, turn: int = 0, similarity: float = SIMILARITY) -> DataFrame:
+    """Pairs (src < dst) of ids that share a key; rows are (id, key, size, pos, n), n being how many ids the key has.
 
-    In a small key all pairs are made.  From its larger keys each text gets three leaders: the text whose keys most
+    In a small key all pairs that fit are made.  From its larger keys each text gets three leaders: the text whose keys most
     texts have, which stands amid its copies, the least, and one by a hash of the turn.  So pairs grow with the texts.
     """
-    held = shared.where(F.col("n") <= SMALL_KEY).groupBy("key").agg(F.sort_array(F.collect_list("id")).alias("ids"))  # SMALL_KEY at most
-    close = held.select(F.explode(F.transform("ids", lambda x, i: F.struct(x.alias("src"), F.slice("ids", i + 2, SMALL_KEY).alias("more")))).alias("p")).select("p.src", F.explode("p.more").alias("dst"))
+    held = shared.where(F.col("n") <= SMALL_KEY).groupBy("key").agg(F.sort_array(F.collect_list(F.struct("id", "size", (F.col("size") - F.col("pos")).alias("left")))).alias("ids"))  # SMALL_KEY at most
+    near = lambda x, i: F.filter(F.slice("ids", i + 2, SMALL_KEY), lambda y: fits(x["left"], x["size"], y["left"], y["size"], similarity))
+    close = held.select(F.explode(F.transform("ids", lambda x, i: F.struct(x["id"].alias("src"), near(x, i).alias("more")))).alias("p")).select("p.src", F.explode("p.more.id").alias("dst"))
     crowded = shared.where(F.col("n") > SMALL_KEY)
     central = crowded.groupBy("id").agg(F.sum("n").alias("weight")).checkpoint()
     ranked = crowded.select("id", "key").join(central, "id")
@@ -262,16 +279,18 @@ def candidate_pairs(shared: DataFrame, turn: int = 0) -> DataFrame:
     return close.unionAll(led.select(F.least("id", "leader").alias("src"), F.greatest("id", "leader").alias("dst"))).distinct()
 
 
-def crossing_pairs(crowded: DataFrame, parts: DataFrame) -> DataFrame:
-    """All pairs (src < dst) of ids (id, key) that share a key and that the links so far leave in different groups.
+def crossing_pairs(crowded: DataFrame, parts: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """All pairs (src < dst) of ids that share a key, fit, and are still in different groups; rows are (id, key, size, pos).
 
     ``parts`` has (node, component).  Groups are paired before their texts, so one large group costs no pairs in itself.
     """
-    named = crowded.join(parts, F.col("id") == F.col("node"), "left").select("key", "id", F.coalesce("component", "id").alias("part")).checkpoint()
-    groups = named.select("key", "part").distinct().checkpoint()
-    two = groups.withColumnRenamed("part", "p").join(groups.withColumnRenamed("part", "q"), "key").where("p < q")
-    left, right = named.select("key", F.col("part").alias("p"), F.col("id").alias("x")), named.select("key", F.col("part").alias("q"), F.col("id").alias("y"))
-    return two.join(left, ["key", "p"]).join(right, ["key", "q"]).select(F.least("x", "y").alias("src"), F.greatest("x", "y").alias("dst")).distinct()
+    named = crowded.join(parts, F.col("id") == F.col("node"), "left").select("key", "id", "size", (F.col("size") - F.col("pos")).alias("left"), F.coalesce("component", "id").alias("part")).checkpoint()
+    groups = named.groupBy("key", "part").agg(F.max("left").alias("left"), F.min("size").alias("size")).checkpoint()
+    side = lambda df, x: df.select("key", *(F.col(c).alias(f"{x}_{c}") for c in df.columns if c != "key"))
+    fit = fits(F.col("a_left"), F.col("a_size"), F.col("b_left"), F.col("b_size"), similarity)
+    two = side(groups, "a").join(side(groups, "b"), "key").where((F.col("a_part") < F.col("b_part")) & fit).select("key", "a_part", "b_part")
+    pairs = two.join(side(named, "a"), ["key", "a_part"]).join(side(named, "b"), ["key", "b_part"]).where(fit)
+    return pairs.select(F.least("a_id", "b_id").alias("src"), F.greatest("a_id", "b_id").alias("dst")).distinct()
 
 
 def some_of(documents: DataFrame, ids: DataFrame, column: str, how: str) -> DataFrame:
@@ -290,32 +309,31 @@ def similar_pairs(source: DataFrame, pairs: DataFrame, size: int, similarity: fl
 def similar_groups(documents: DataFrame, *, key: str = "doc_id", text: str = "text", size: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
     """(doc_id, component_id): groups of texts whose sets of word shingles are similar, by their least doc_id.
 
-    Candidates come from a long SimHash of the distinct words, whose segments are decoded to their nearest Golay
-    codewords by the sums behind the bits, so the doubtful bits, where near copies differ, count little.  Each pair is
-    then verified by the exact Jaccard similarity of its sets.  Texts with the same words in the same order are one
-    class from the start.  Rows without doc_id are left out.
+    Candidates share a shingle of their prefixes, which all pairs of that similarity do.  Each is then verified by the
+    exact Jaccard similarity of its sets, so the groups are those of comparing every pair.  Texts with the same words in
+    the same order are one class from the start.  Rows without doc_id are left out.
     """
     prepare(documents.sparkSession)
     source = documents.select(F.col(key).cast("long").alias("doc_id"), text_of(text).alias("text")).where("doc_id is not null")
-    marked = source.mapInArrow(_marked, "doc_id long, class binary, keys array<long>").checkpoint()
+    marked = source.mapInArrow(_classed, "doc_id long, class binary").checkpoint()
     classes = marked.groupBy("class").agg(F.min("doc_id").alias("first")).checkpoint()
-    firsts = classes.select(F.col("first").alias("id"))
-    keyed = marked.join(firsts, F.col("doc_id") == F.col("id")).select("id", F.explode("keys").alias("key"))
+    firsts = some_of(source, classes.select(F.col("first").alias("__id")), "doc_id", "left_semi")
+    keyed = prefixes(firsts, size, similarity).checkpoint()
     found, crowded = None, None
     for turn in range(ROUNDS):
         counts = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").checkpoint()
         shared = keyed.join(counts, "key").checkpoint()
-        pairs = candidate_pairs(shared, turn).checkpoint()
+        pairs = candidate_pairs(shared, turn, similarity).checkpoint()
         linked = similar_pairs(source, pairs, size, similarity).checkpoint()
         found = linked if found is None else found.unionAll(linked)
-        large = shared.where(F.col("n") > SMALL_KEY).select("id", "key")
+        large = shared.where(F.col("n") > SMALL_KEY).select("id", "key", "size", "pos")
         crowded = large if crowded is None else crowded
         if large.isEmpty():
             break
         done = linked.select("src").unionAll(linked.select("dst")).distinct().withColumnRenamed("src", "id")
         keyed = large.join(done, "id", "left_anti")
     parts = connected_components(found).checkpoint()
-    rest = similar_pairs(source, crossing_pairs(crowded, parts).checkpoint(), size, similarity).checkpoint()
+    rest = similar_pairs(source, crossing_pairs(crowded, parts, similarity).checkpoint(), size, similarity).checkpoint()
     if not rest.isEmpty():
         parts = connected_components(found.unionAll(rest))
     whole = classes.join(parts, F.col("first") == F.col("node"), "left").select("class", F.coalesce("component", "first").alias("component_id")).checkpoint()

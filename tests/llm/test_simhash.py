@@ -142,6 +142,21 @@ def test_crowd_of_separate_pairs(spark):
     assert {r.doc_id: r.component_id for r in similar_groups(df).collect()} == expected
 
 
+def test_pairs_near_the_threshold(spark):
+    """Copies with a tenth of the words appended, cut off or replaced in one passage, down to a similarity of 0.8."""
+    rng = random.Random(22)
+    pool = [f"v{i}" for i in range(100000)]
+    texts = {}
+    for i in range(150):
+        words, m = rng.sample(pool, 200), rng.randrange(10, 50)
+        at = rng.randrange(150)
+        copy = words + rng.sample(pool, m) if i % 3 == 0 else words[: 200 - m * 3 // 4] if i % 3 == 1 else words[:at] + rng.sample(pool, min(m, 17)) + words[at + min(m, 17) :]
+        texts[2 * i], texts[2 * i + 1] = " ".join(words), " ".join(copy)
+    expected = brute_similar(texts)
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in similar_groups(df).collect()} == expected
+
+
 def test_two_errors_share_a_codeword():
     tables = golay_tables()
     assert len({int(x) for x in tables[1]}) == 2048
