@@ -28,20 +28,29 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")
 HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{16,}")
 CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{20,}={0,2}")
-#: Per character class: what belongs to it, the window, and the bits a character that count as random.
+#: Characters of a window: no candidate is shorter.
+WINDOW = 20
+#: Per character class: what belongs to it, the window, and the bits a character that count as random, which 99 of 100
+#: random strings of one window reach.
 CLASSES = (
-    ("digits", re.compile(r"[0-9]+"), 24, 3.1),
-    ("hex", re.compile(r"[0-9A-Fa-f]+"), 24, 3.3),
-    ("base36", re.compile(r"[0-9a-z]+|[0-9A-Z]+"), 20, 3.85),
-    ("base64", re.compile(r"[A-Za-z0-9+/_=-]+"), 20, 3.9),
+    ("digits", re.compile(r"[0-9]+"), WINDOW, 2.5),
+    ("hex", re.compile(r"[0-9A-Fa-f]+"), WINDOW, 2.9),
+    ("letters", re.compile(r"[a-z]+|[A-Z]+"), WINDOW, 3.2),
+    ("base36", re.compile(r"[0-9a-z]+|[0-9A-Z]+"), WINDOW, 3.38),
+    ("base64", re.compile(r"[A-Za-z0-9+/_=-]+"), WINDOW, 3.58),
 )
-#: Harmless: UUIDs, file paths, words joined by marks, one letter case without digits, and placeholders.
+#: Harmless: UUIDs and placeholders.
 ALLOWED = (
     re.compile(r"[0-9A-Fa-f]{8}(-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}"),
+    re.compile(r".*(example|placeholder|changeme|xxxx|0123456789|abcdefgh).*", re.IGNORECASE),
+)
+#: Harmless if their letters look like words: file paths, words joined by marks, and words in one or camel case.
+WORDED = (
     re.compile(r"[/-]?([A-Za-z]+|[0-9]{1,4})([/_-]([A-Za-z]+|[0-9]{1,4}))*[/-]?"),
     re.compile(r"[A-Z]?[a-z]+([A-Z][a-z]{2,})*[0-9]{0,4}"),
-    re.compile(r".*(example|placeholder|changeme|xxxx|0123456789|abcdefgh).*", re.IGNORECASE),
 )
+#: Parts of camel case, and what no word has: a run of six consonants.
+PARTS, CLUSTER = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])"), re.compile(r"[b-df-hj-np-tv-xz]{6}")
 SCHEMA = "doc_id long, spans array<struct<kind:string,start:int,end:int>>"
 
 
@@ -72,7 +81,14 @@ def entropy_spans(text: str, width: int, threshold: float) -> list[tuple[int, in
 
 
 def allowed(text: str) -> bool:
-    return any(p.fullmatch(text) for p in ALLOWED)
+    return any(p.fullmatch(text) for p in ALLOWED) or any(p.fullmatch(text) for p in WORDED) and like_words(text)
+
+
+def like_words(text: str) -> bool:
+    """Letters in parts of more than three on average, a quarter of them vowels, without six consonants in a row."""
+    parts, low = PARTS.findall(text), text.lower()
+    letters = sum(map(len, parts))
+    return letters > 3.2 * len(parts) and 4 * sum(map(low.count, "aeiouy")) >= letters and not CLUSTER.search(low) or not parts
 
 
 def find_secrets(text: str) -> list[tuple[str, int, int]]:

@@ -57,3 +57,13 @@ def test_method():
         assert not [s for s in find_secrets(f"see {harmless}.") if s[0] == "entropy"], harmless
     inside = find_secrets(f'token = "{KEY}"')
     assert [s[0] for s in inside] == ["assign"]
+
+
+def test_random_keys_of_every_class():
+    """Random keys are found at any length; letters alone may look like words by chance."""
+    rng = random.Random(6)
+    lower, digits = "abcdefghijklmnopqrstuvwxyz", "0123456789"
+    for alphabet, lengths, least in ((lower + digits, (20, 24, 32), 0.97), (lower + lower.upper() + digits, (20, 24), 0.97), (digits + "ABCDEF", (20, 23, 24), 0.97), (lower + lower.upper(), (20, 40), 0.85)):
+        for n in lengths:
+            keys = ["".join(rng.choices(alphabet, k=n)) for _ in range(300)]
+            assert sum(any(s[0] == "entropy" for s in find_secrets(f"see {k} now")) for k in keys) >= least * 300, (alphabet, n)
