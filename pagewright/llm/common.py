@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,6 +37,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def written(df: DataFrame) -> DataFrame:
+    """The rows, written as Parquet in the checkpoint folder and read again: smaller than a checkpoint, and as durable."""
+    path = f"{df.sparkSession.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def text_of(column: str = "text") -> Column:
     """The text, with null as the empty text."""
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
@@ -58,6 +66,27 @@ def string_parts(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[ends[0] : ends[-1]], ends - ends[0]
 
 
+def word_spans(data: np.ndarray, offsets: np.ndarray, kinds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the runs of marked bytes within rows, and the number of them before each row."""
+    inside = kinds[data]
+    fresh = np.zeros(len(data) + 1, bool)
+    fresh[offsets] = True
+    before = np.zeros(len(data), bool)
+    before[1:] = inside[:-1]
+    starts = np.flatnonzero(inside & (fresh[:-1] | ~before))
+    after = np.zeros(len(data), bool)
+    after[:-1] = inside[1:]
+    ends = np.flatnonzero(inside & (fresh[1:] | ~after)) + 1
+    return starts, ends, np.searchsorted(starts, offsets)
+
+
+def lowered(data: np.ndarray) -> np.ndarray:
+    """The bytes with ASCII letters in lower case."""
+    change = np.arange(256, dtype=np.uint8)
+    change[0x41:0x5B] += 32
+    return change[data]
+
+
 def row_chunks(offsets: np.ndarray, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int]]:
     """Ranges of rows whose texts have at most ``limit`` bytes together; a longer text stands alone."""
     at, rows = 0, len(offsets) - 1

@@ -19,15 +19,16 @@ def connected_components(edges: DataFrame, *, most_rounds: int = 60) -> DataFram
     prepare(edges.sparkSession)
     apart = edges.where("src <> dst and src is not null and dst is not null")
     now = apart.select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).distinct().checkpoint()
-    before = None
+    seal = lambda df: tuple(df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+    before = seal(now)
     for _ in range(most_rounds):
         both = now.unionAll(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")).checkpoint()
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m")).checkpoint()
+        low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u")
         now = small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(low.select("u", F.col("m").alias("v"))).distinct().checkpoint()
-        seen = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+        seen = seal(now)
         if seen == before:
             break
         before = seen

@@ -14,7 +14,7 @@ from pagewright.llm.quality_rules import BUCKETS, ORDER, SMOOTHING, THRESHOLD
 
 from .test_decontaminate import brute as leaks
 from .test_line_dedup import brute as line_runs
-from .test_simhash import brute_similar
+from .test_similar import brute_similar
 
 SF = "/root/testdata/sf0.001"
 
