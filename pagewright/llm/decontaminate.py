@@ -5,19 +5,21 @@ fingerprint.  A document and a benchmark item that share the run share that fing
 ``window`` words or more is found.  A shared fingerprint is extended to the windows that hold it, and each window is
 compared word by word before it counts.  Items shorter than a window are looked up as one run of their own length.
 
-The benchmark is the small side.  It is counted first and indexed in blocks of at most ``block_words`` words, so what
-is broadcast has a bound; a larger benchmark takes more passes over the documents.
-
-Defined cases: a null text has no words; an item without words matches nothing; equal items all count; a document
-of fewer words than an item's window matches nothing; empty tables give empty results.
+The benchmark is the small side.  It is indexed in blocks of at most ``block_words`` words, or one item, so what is
+broadcast has a bound.  One block needs one pass without a shuffle; a larger benchmark takes more passes, each of which
+takes up the rows that the pass before has written, so the result is the same for blocks of any size.
+
+Defined cases: a null text has no words; an item without words matches nothing; an item without id makes hit words but
+is not among the items met; equal items all count; a document of fewer words than an item's window matches nothing;
+rows that repeat a doc_id, or have none, are rows of their own; long texts are read whole; empty tables give empty
+results; other columns are left alone, whatever their names.
 """
 
 from __future__ import annotations
 
 import hashlib
-import re
+import uuid
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -25,9 +27,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mixed, prepare, row_chunks, span_hashes, string_parts, text_of, winnowed
+from .common import lowered, mixed, prepare, row_chunks, sliding_min, span_hashes, string_parts, text_of, winnowed, word_spans, written
 
-WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+#: Bytes of words, in lower case.
+WORD_BYTES = np.zeros(256, bool)
+WORD_BYTES[[*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
 WINDOW, GRAM = 10, 5
 #: Words of benchmark text that one pass indexes and broadcasts.
 BLOCK_WORDS = 1_000_000
@@ -35,32 +39,6 @@ STEP = np.uint64(0x9E3779B97F4A7C15)
 SCHEMA = "doc_id long, n_words long, n_hit long, items array<string>, spans array<array<int>>"
 
 
-def lower_ascii(text: str) -> str:
-    return re.sub("[A-Z]+", lambda m: m[0].lower(), text)
-
-
-def words_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends of the words in lower-cased UTF-8, and the number of words before each row."""
-    kinds = np.zeros(256, bool)
-    kinds[[*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
-    inside = kinds[data]
-    fresh = np.zeros(len(data) + 1, bool)
-    fresh[offsets] = True
-    before = np.zeros(len(data), bool)
-    before[1:] = inside[:-1]
-    starts = np.flatnonzero(inside & (fresh[:-1] | ~before))
-    after = np.zeros(len(data), bool)
-    after[:-1] = inside[1:]
-    ends = np.flatnonzero(inside & (fresh[1:] | ~after)) + 1
-    return starts, ends, np.searchsorted(starts, offsets)
-
-
-def lowered(data: np.ndarray) -> np.ndarray:
-    change = np.arange(256, dtype=np.uint8)
-    change[0x41:0x5B] += 32
-    return change[data]
-
-
 def gram_hashes(words: np.ndarray, size: int) -> np.ndarray:
     """A hash of each run of ``size`` consecutive word hashes."""
     n = max(0, len(words) - size + 1)
@@ -71,79 +49,105 @@ def gram_hashes(words: np.ndarray, size: int) -> np.ndarray:
     return mixed(out)
 
 
-class Index:
-    """What a pass needs of its benchmark items, by length of window."""
+class Known:
+    """A set of 64-bit hashes."""
+
+    def __init__(self, hashes: np.ndarray) -> None:
+        self.values = np.unique(hashes)
+        self.flags = np.zeros(1 << 20, bool)
+        self.flags[(self.values & np.uint64(0xFFFFF)).astype(np.int64)] = True
 
-    def __init__(self, items: list[tuple[str, str]], window: int = WINDOW, gram: int = GRAM) -> None:
-        self.window, self.gram = window, gram
-        self.runs: dict[int, dict[tuple[str, ...], set[str]]] = {}
-        for item, text in items:
-            words = WORD.findall(lower_ascii(text or ""))
-            size = min(window, len(words))
-            for i in range(len(words) - size + 1 if size else 0):
-                self.runs.setdefault(size, {}).setdefault(tuple(words[i : i + size]), set()).add(item)
-        self.tables = {}
-        for size, runs in self.runs.items():
-            found, marks = [], []
-            for run in runs:
-                raw = " ".join(run).encode()
-                data = np.frombuffer(raw, np.uint8)
-                starts, ends, _ = words_of(data, np.array([0, len(data)]))
-                hashes = span_hashes(data, starts, ends)
-                found.append(gram_hashes(hashes, size)[0])
-                if size == window:
-                    grams = gram_hashes(hashes, gram)
-                    marks.append(grams.min())
-            whole = np.unique(np.array(found, np.uint64))
-            self.tables[size] = (np.unique(np.array(marks, np.uint64)) if marks else whole, whole)
-
-    @staticmethod
-    def among(hashes: np.ndarray, known: np.ndarray) -> np.ndarray:
-        """Marks the hashes that are among the known ones."""
-        flags = np.zeros(1 << 20, bool)
-        flags[(known & np.uint64(0xFFFFF)).astype(np.int64)] = True
-        out = flags[(hashes & np.uint64(0xFFFFF)).astype(np.int64)]
+    def among(self, hashes: np.ndarray) -> np.ndarray:
+        """Marks the hashes that are known."""
+        out = self.flags[(hashes & np.uint64(0xFFFFF)).astype(np.int64)]
         at = np.flatnonzero(out)
-        place = np.minimum(np.searchsorted(known, hashes[at]), len(known) - 1)
-        out[at] = known[place] == hashes[at]
+        place = np.minimum(np.searchsorted(self.values, hashes[at]), len(self.values) - 1)
+        out[at] = self.values[place] == hashes[at]
         return out
 
-    def candidates(self, hashes: np.ndarray, size: int) -> np.ndarray:
-        """Starts of runs of ``size`` words that a benchmark window may equal."""
+
+class Index:
+    """What a pass needs of its benchmark items, by length of window."""
+
+    def __init__(self, names: list[str | None], texts: pa.Array, window: int = WINDOW, gram: int = GRAM) -> None:
+        self.window, self.gram, self.names = window, gram, names
+        data, offsets = string_parts(texts)
+        self.data = lowered(data)
+        parts, self.starts, self.ends, firsts, before = [], [], [], [np.zeros(1, np.int64)], 0
+        for low, high in row_chunks(offsets):
+            part = self.data[offsets[low] : offsets[high]]
+            starts, ends, first = word_spans(part, offsets[low : high + 1] - offsets[low], WORD_BYTES)
+            parts.append(span_hashes(part, starts, ends))
+            self.starts.append(starts + offsets[low])
+            self.ends.append(ends + offsets[low])
+            firsts.append(first[1:] + before)
+            before += len(starts)
+        joined = lambda arrays, kind: np.concatenate([np.zeros(0, kind), *arrays])
+        hashes, self.starts, self.ends, first = joined(parts, np.uint64), joined(self.starts, np.int64), joined(self.ends, np.int64), np.concatenate(firsts)
+        counts = np.diff(first)
+        self.item = np.repeat(np.arange(len(counts)), counts)
+        self.tables: dict[int, tuple[Known, Known]] = {}
+        self.runs: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        self.met: dict[tuple[int, int], dict[tuple[bytes, ...], set[str]]] = {}
+        for size in np.unique(np.minimum(counts[counts > 0], window)).tolist():
+            at = np.arange(len(hashes) - size + 1) if size == window else first[:-1][counts == size]
+            at = at[self.item[at] == self.item[at + size - 1]]
+            whole = gram_hashes(hashes, size)[at]
+            marks = sliding_min(gram_hashes(hashes, gram), window - gram + 1)[at] if size == window else whole
+            self.tables[size] = (Known(marks), Known(whole))
+            order = np.argsort(whole, kind="stable")
+            self.runs[size] = (whole[order], at[order])
+
+    def candidates(self, hashes: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """Starts of runs of ``size`` words that a benchmark window may equal, and their hashes."""
         marks, whole = self.tables[size]
         if size < self.window:
-            return np.flatnonzero(self.among(gram_hashes(hashes, size), whole))
+            runs = gram_hashes(hashes, size)
+            starts = np.flatnonzero(whole.among(runs))
+            return starts, runs[starts]
         grams = gram_hashes(hashes, self.gram)
         picked = np.flatnonzero(winnowed(grams, self.window - self.gram + 1))
-        seeds = picked[self.among(grams[picked], marks)]
+        seeds = picked[marks.among(grams[picked])]
         reach = np.arange(self.gram - self.window, 1)
         starts = np.unique((seeds[:, None] + reach[None, :]).ravel())
         starts = starts[(starts >= 0) & (starts + size <= len(hashes))]
-        if not len(starts):
-            return starts
         runs = np.zeros(len(starts), np.uint64)
         factor = 1
-        for i in range(size):
+        for i in range(size if len(starts) else 0):
             runs += hashes[starts + i] * np.uint64(factor)
             factor = factor * int(STEP) % 2**64
-        return starts[self.among(mixed(runs), whole)]
-
-    def matches(self, texts: pa.Array) -> Iterator[tuple[int, int, dict[int, tuple[set[str], np.ndarray]]]]:
+        runs = mixed(runs)
+        kept = whole.among(runs)
+        return starts[kept], runs[kept]
+
+    def items_of(self, size: int, hashed: int, run: tuple[bytes, ...]) -> set[str | None] | None:
+        """The items with exactly this run of words, whose hash is given."""
+        held = self.met.get((size, hashed))
+        if held is None:
+            held = self.met[size, hashed] = {}
+            hashes, at = self.runs[size]
+            low, high = np.searchsorted(hashes, np.uint64(hashed)), np.searchsorted(hashes, np.uint64(hashed), "right")
+            for start in at[low:high].tolist():
+                words = tuple(self.data[a:b].tobytes() for a, b in zip(self.starts[start : start + size], self.ends[start : start + size], strict=True))
+                held.setdefault(words, set()).add(self.names[self.item[start]])
+        return held.get(run)
+
+    def matches(self, texts: pa.Array) -> Iterator[tuple[int, np.ndarray, dict[int, tuple[set[str], np.ndarray]]]]:
         """For each range of rows: its first row, words in each row, and by row with a hit the items and hit words."""
         data, offsets = string_parts(texts)
         for low, high in row_chunks(offsets):
             part = lowered(data[offsets[low] : offsets[high]])
-            starts, ends, first = words_of(part, offsets[low : high + 1] - offsets[low])
+            starts, ends, first = word_spans(part, offsets[low : high + 1] - offsets[low], WORD_BYTES)
             hashes = span_hashes(part, starts, ends)
             hits: dict[int, tuple[set[str], np.ndarray]] = {}
             for size in self.tables:
-                at = self.candidates(hashes, size)
+                at, runs = self.candidates(hashes, size)
                 rows = np.searchsorted(first, at, "right") - 1
-                for start, row in zip(at.tolist(), rows.tolist(), strict=True):
+                for start, hashed, row in zip(at.tolist(), runs.tolist(), rows.tolist(), strict=True):
                     if start + size > first[row + 1]:
                         continue
-                    run = tuple(part[starts[i] : ends[i]].tobytes().decode() for i in range(start, start + size))
-                    if items := self.runs[size].get(run):
+                    run = tuple(part[starts[i] : ends[i]].tobytes() for i in range(start, start + size))
+                    if items := self.items_of(size, hashed, run):
                         if row not in hits:
                             hits[row] = (set(), np.zeros(first[row + 1] - first[row], bool))
                         hits[row][0].update(items)
@@ -151,24 +155,33 @@ class Index:
             yield low, np.diff(first), hits
 
 
+#: The index that a worker has built last: its tasks share it.
+_BUILT: dict[int, Index] = {}
+
+
+def index_of(shared, window: int, gram: int) -> Index:
+    number, names, texts = shared.value
+    if number not in _BUILT:
+        _BUILT.clear()
+        _BUILT[number] = Index(names, texts, window, gram)
+    return _BUILT[number]
+
+
 def spans_of(mask: np.ndarray) -> list[list[int]]:
     """Maximal true runs as pairs of start and end."""
     edges = np.flatnonzero(np.diff(np.concatenate([[0], mask.astype(np.int8), [0]])))
     return edges.reshape(-1, 2).tolist()
 
 
-def _blocks(benchmark: DataFrame, item: str, text: str, block_words: int) -> list[list[tuple[str, str]]]:
-    """The items in blocks of bounded size; beyond one block they come by ranges of a hash of the item."""
-    rows = benchmark.select(F.col(item).cast("string").alias("item"), text_of(text).alias("text")).where(F.col("item").isNotNull())
-    bound = F.length("text") / 2 + 1  # no text has more words
-    total = rows.agg(F.sum(bound)).first()[0] or 0
+def _blocks(benchmark: DataFrame, item: str, text: str, block_words: int) -> Iterator[tuple[bool, tuple[int, list[str | None], pa.Array]]]:
+    """The items in blocks of bounded size, one after another, and whether a block is the last.  Many come by ranges of a hash."""
+    rows = benchmark.select(F.col(item).cast("string").alias("item"), text_of(text).alias("text"))
+    total = rows.agg(F.sum(F.length("text") / 2 + 1)).first()[0] or 0  # no text has more words
     n = max(1, -(-int(total) // block_words))
     block = F.pmod(F.xxhash64("item", "text"), F.lit(n))
-    out = []
     for k in range(n):
-        held = [(r["item"], r["text"]) for r in rows.where(block == k).toLocalIterator()]
-        out.append(held)
-    return out
+        held = rows.where(block == k).toArrow()
+        yield k == n - 1, (uuid.uuid4().int, held.column("item").to_pylist(), held.column("text").combine_chunks())
 
 
 def contaminated_spans(
@@ -178,50 +191,40 @@ def contaminated_spans(
     """Per document: its words, the hit words, the items met and the hit spans (word numbers, end exclusive)."""
     spark = documents.sparkSession
     prepare(spark)
-    source = documents.select(F.col(key).cast("long").alias("doc_id"), text_of(text).alias("text"))
-    passes = []
-    for items in _blocks(benchmark, item, item_text, block_words):
-        shared = spark.sparkContext.broadcast(items)
-        passes.append(source.mapInArrow(_searcher(shared, window, gram), SCHEMA))
-    if len(passes) == 1:
-        return passes[0]
-    together = reduce(DataFrame.unionAll, passes)
-    merged = together.groupBy("doc_id").agg(F.max("n_words").alias("n_words"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"))  # one row a pass
-    return merged.mapInArrow(_union, SCHEMA)
-
-
-def _searcher(shared, window: int, gram: int):
+    nothing = F.array().cast("array<string>").alias("items"), F.array().cast("array<array<int>>").alias("spans")
+    state = documents.select(F.col(key).cast("long").alias("doc_id"), text_of(text).alias("text"), *nothing)
+    for last, block in _blocks(benchmark, item, item_text, block_words):
+        shared = spark.sparkContext.broadcast(block)
+        if last:
+            return state.mapInArrow(_searcher(shared, window, gram, with_text=False), SCHEMA)
+        state = written(state.mapInArrow(_searcher(shared, window, gram, with_text=True), f"{SCHEMA}, text string")).select("doc_id", "text", "items", "spans")
+        shared.destroy()
+    raise AssertionError("there is a last block")
+
+
+def _searcher(shared, window: int, gram: int, *, with_text: bool):
+    """Adds a block's hits to those that rows (doc_id, text, items, spans) have."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = Index(shared.value, window, gram)
+        index = index_of(shared, window, gram)
         for batch in batches:
-            ids, texts = batch.column(0), batch.column(1)
-            for low, counts, hits in index.matches(texts):
-                n = len(counts)
-                nothing = (set(), np.zeros(0, bool))
-                found = [hits.get(i, nothing) for i in range(n)]
-                yield pa.RecordBatch.from_arrays([
-                    ids.slice(low, n), pa.array(counts, pa.int64()), pa.array([int(m.sum()) for _, m in found], pa.int64()),
-                    pa.array([sorted(s) for s, _ in found], pa.list_(pa.string())), pa.array([spans_of(m) for _, m in found], pa.list_(pa.list_(pa.int32()))),
-                ], ["doc_id", "n_words", "n_hit", "items", "spans"])
+            for low, counts, hits in index.matches(batch.column("text")):
+                part = batch.slice(low, len(counts))
+                items, spans, totals = part.column("items").to_pylist(), part.column("spans").to_pylist(), []
+                for i, (met, own) in enumerate(zip(items, spans, strict=True)):
+                    if i in hits:
+                        more, mask = hits[i]
+                        for a, b in own:
+                            mask[a:b] = True
+                        items[i], spans[i] = sorted({*met, *more} - {None}), spans_of(mask)
+                    totals.append(sum(b - a for a, b in spans[i]))
+                columns = [part.column("doc_id"), pa.array(counts, pa.int64()), pa.array(totals, pa.int64()), pa.array(items, pa.list_(pa.string())), pa.array(spans, pa.list_(pa.list_(pa.int32())))]
+                names = ["doc_id", "n_words", "n_hit", "items", "spans"]
+                yield pa.RecordBatch.from_arrays(*((columns + [part.column("text")], names + ["text"]) if with_text else (columns, names)))
 
     return run
 
 
-def _union(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        spans, counts = [], []
-        for row in batch.column("spans").to_pylist():
-            joined: list[list[int]] = []
-            for low, high in row:
-                if joined and low <= joined[-1][1]:
-                    joined[-1][1] = max(high, joined[-1][1])
-                else:
-                    joined.append([low, high])
-            spans.append(joined)
-            counts.append(sum(b - a for a, b in joined))
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_words"), pa.array(counts, pa.int64()), batch.column("items"), pa.array(spans, pa.list_(pa.list_(pa.int32())))], ["doc_id", "n_words", "n_hit", "items", "spans"])
-
-
 def clean_documents(documents: DataFrame, benchmark: DataFrame, *, text: str = "text", item: str = "item_id", item_text: str = "text", window: int = WINDOW, gram: int = GRAM, block_words: int = BLOCK_WORDS) -> DataFrame:
     """The rows of ``documents`` without a hit, unchanged and without a shuffle; a pass follows another's result."""
     spark = documents.sparkSession
@@ -229,7 +232,7 @@ def clean_documents(documents: DataFrame, benchmark: DataFrame, *, text: str = "
 
     def without(shared):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            index = Index(shared.value, window, gram)
+            index = index_of(shared, window, gram)
             for batch in batches:
                 keep = np.ones(len(batch), bool)
                 for low, _, hits in index.matches(pc.fill_null(batch.column(batch.schema.get_field_index(text)), "")):
@@ -238,8 +241,12 @@ def clean_documents(documents: DataFrame, benchmark: DataFrame, *, text: str = "
 
         return run
 
-    for items in _blocks(benchmark, item, item_text, block_words):
-        documents = documents.mapInArrow(without(spark.sparkContext.broadcast(items)), documents.schema)
+    for last, block in _blocks(benchmark, item, item_text, block_words):
+        shared = spark.sparkContext.broadcast(block)
+        documents = documents.mapInArrow(without(shared), documents.schema)
+        if not last:
+            documents = written(documents)
+            shared.destroy()
     return documents
 
 
@@ -264,7 +271,7 @@ ks AS (SELECT DISTINCT k FROM bw), pairs AS (SELECT doc_id, w, k FROM d, ks),
 dw AS (SELECT doc_id, i, k, array_to_string(w[i : i + k - 1], ' ') AS s FROM pairs, range(1, len(w) - k + 2) AS t(i)),
 hits AS (SELECT doc_id, i, k, item FROM dw JOIN bw USING (k, s)),
 places AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, p FROM hits, range(i, i + k) AS t(p)) GROUP BY doc_id),
-met AS (SELECT doc_id, count(*) AS n, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item FROM hits) GROUP BY doc_id)
+met AS (SELECT doc_id, count(item) AS n, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item FROM hits) GROUP BY doc_id)
 SELECT d.doc_id, len(d.w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN places USING (doc_id) LEFT JOIN met USING (doc_id)
 """

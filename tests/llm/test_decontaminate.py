@@ -3,8 +3,11 @@
 import hashlib
 import random
 import re
+import time
 
-from pagewright.llm.decontaminate import contaminated_spans, report
+import pyarrow as pa
+
+from pagewright.llm.decontaminate import Index, clean_documents, contaminated_spans, report
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
@@ -65,6 +68,32 @@ def test_blocks_of_the_benchmark(spark):
     check(spark, *cases(), block_words=300)
 
 
+def test_rows_that_repeat_an_id_and_items_without(spark):
+    """Each row is for itself, whatever the blocks; an item without id hits but isn't counted."""
+    item = "one two three four five six seven eight nine ten eleven"
+    other = "red green blue"
+    docs = [(7, f"x {item} y", 1), (7, f"{other} {item}", 2), (7, None, 3), (None, other, 4), (None, "nothing here", 5), (None, f"a {other} {other}", 6), (8, "a no name b", 7)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, n_hit int")
+    bench = spark.createDataFrame([("b", item), ("a", other), ("a2", other), (None, "no name"), ("z", None)], "item_id string, text string")
+    expected = [(7, 13, 11, 1, True), (7, 14, 14, 3, True), (7, 0, 0, 0, False), (None, 3, 3, 2, True), (None, 2, 0, 0, False), (None, 7, 6, 2, True), (8, 4, 2, 0, True)]
+    order = lambda rows: sorted(rows, key=str)
+    for block_words in (1_000_000, 300, 5):
+        rows = report(contaminated_spans(df, bench, block_words=block_words)).collect()
+        assert order((r.doc_id, r.n_words, r.n_hit, r.n_items, r.contaminated) for r in rows) == order(expected)
+        assert sorted(r.n_hit for r in clean_documents(df, bench, block_words=block_words).collect()) == [3, 5]
+
+
+def test_index_of_a_million_words():
+    rng = random.Random(8)
+    pool = [f"w{i}" for i in range(50_000)]
+    texts = pa.array([" ".join(rng.choices(pool, k=2000)) for _ in range(500)])
+    began = time.process_time()
+    index = Index([str(i) for i in range(500)], texts)
+    assert time.process_time() - began < 10
+    (_, _, hits), = index.matches(pa.array(["x " + texts[77].as_py()[:300]]))
+    assert hits[0][0] == {"77"}
+
+
 def test_empty_tables(spark):
     check(spark, [], [(1, "a b")])
     check(spark, [(1, "a b")], [])
