@@ -19,8 +19,12 @@ An anchor that more than ``HOT`` documents share sends its runs one by one under
 cutting, so a passage found in a large share of all documents is spread over buckets, and each bucket has it once a
 block.  Cuttings of equal length are told apart by two 64-bit hashes.
 
+Blocks and buckets are as many as the bytes of all texts need, so each fits a task's memory; a block sends a bucket one
+row with all it has for it, some KB of hashes, as there are fewer rows that way than anchors at any size.
+
 Defined cases: a null text is empty; documents shorter than ``LENGTH`` lose nothing; rows that repeat a doc_id don't
-affect each other; a null doc_id counts as larger than any other; an empty table gives an empty result.
+affect each other, whether their texts are equal or not; a null doc_id counts as larger than any other, and such rows
+don't affect each other; equal rows lose the same; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -37,8 +41,8 @@ from .common import mixed, partitions, prepare, row_chunks, string_parts, text_o
 LENGTH, GRAM = 50, 20
 #: Documents that share an anchor before its runs go one by one.
 HOT = 4096
-#: Blocks for each shuffle partition; there is a bucket for each partition, so a block sends a row to each at most.
-BLOCKS = 4
+#: Blocks for each shuffle partition, and a bucket for each; but no block gets more bytes of text than this on average.
+BLOCKS, BLOCK_BYTES = 4, 32_000_000
 #: Bytes of cuttings that a bucket compares at a time.
 PART = 1_500_000
 LAST = np.int64(2**63 - 1)
@@ -167,9 +171,13 @@ def block_rows(table: pa.Table) -> tuple[pa.Array, np.ndarray, np.ndarray, np.nd
     return column, ids, *string_parts(table.column("text"))
 
 
-def without_copies(copies: pa.Table, ids: np.ndarray, row: np.ndarray) -> np.ndarray:
-    """Marks the anchors that are not in a copy of an earlier document."""
-    return ~np.isin(ids, copies.column("copy_id").to_numpy())[row]
+def whole_copies(copies: pa.Table, ids: np.ndarray, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Marks the rows that are copies of an earlier document: their doc_id and the digest of their text are told."""
+    told = {x for x in zip(copies.column("copy_id").to_pylist(), copies.column("digest").to_pylist(), strict=True) if x[0] is not None}
+    out = np.zeros(len(ids), bool)
+    for i in np.flatnonzero(np.isin(ids, np.array([x for x, _ in told], np.int64))).tolist():
+        out[i] = (int(ids[i]), hashlib.sha256(data[offsets[i] : offsets[i + 1]]).digest()) in told
+    return out
 
 
 def ask(buckets: int):
@@ -178,7 +186,7 @@ def ask(buckets: int):
     def run(key, left: pa.Table, copies: pa.Table) -> pa.Table:
         _, ids, data, offsets = block_rows(left)
         row, _, hashes = anchors(data, offsets)
-        live = without_copies(copies, ids, row)
+        live = ~whole_copies(copies, ids, data, offsets)[row]
         hashes, row = hashes[live], row[live]  # rows in order
         order = np.argsort(hashes, kind="stable")
         hashes, row = hashes[order], row[order]
@@ -294,7 +302,7 @@ def cut_out(buckets: int):
         _, ids, data, offsets = block_rows(left)
         row, place, hashes = anchors(data, offsets)
         given = told.filter(pa.compute.is_null(told.column("copy_id")))
-        live = without_copies(told.filter(pa.compute.is_valid(told.column("copy_id"))), ids, row)
+        live = ~whole_copies(told, ids, data, offsets)[row]
         row, place, hashes = row[live], place[live], hashes[live]
         joined = lambda name: np.unique(np.concatenate([np.zeros(0, "<u8"), *(np.frombuffer(x.as_buffer(), "<u8") for x in given.column(name))]))
         shared, hot = joined("shared"), joined("hot")
@@ -438,7 +446,7 @@ def take_out(with_text: bool):
         lengths = np.diff(offsets)
         lists = [np.frombuffer(x.as_buffer(), "<u4").reshape(3, -1) for x in told.column("ranges") if x.is_valid]
         row, start, end = np.concatenate(lists, axis=1).astype(np.int64) if lists else np.zeros((3, 0), np.int64)
-        copies = np.flatnonzero(np.isin(ids, told.column("copy_id").drop_null().to_numpy()) & (lengths >= LENGTH))
+        copies = np.flatnonzero(whole_copies(told, ids, data, offsets) & (lengths >= LENGTH))
         row, start, end = merged(np.concatenate([row, copies]), np.concatenate([start, np.zeros(len(copies), np.int64)]), np.concatenate([end, lengths[copies]]))
         change = np.zeros(len(data) + 1, np.int32)
         np.add.at(change, offsets[row] + start, 1)
@@ -462,22 +470,23 @@ def take_out(with_text: bool):
 def remove_repeats(documents: DataFrame, *, key: str = "doc_id", text: str = "text", with_text: bool = False) -> DataFrame:
     """Per document: bytes, bytes and runs removed, and the SHA-256 of the rest (``with_text``: also the bytes)."""
     prepare(documents.sparkSession)
+    texts = documents.select(F.col(key).cast("long").alias("doc_id"), text_of(text).alias("text"))
+    needed = -(-(texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // BLOCK_BYTES)
     n = partitions(documents)
-    blocks, buckets = n * BLOCKS, n
-    source = documents.select(F.col(key).cast("long").alias("doc_id"), text_of(text).alias("text"), F.pmod(F.xxhash64(F.col(key).cast("long")), F.lit(blocks)).alias("block"))
-    named = source.where(F.col("doc_id").isNotNull()).select("doc_id", "block", F.sha2("text", 256).alias("h"))
-    first = named.groupBy("h").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1").checkpoint()
-    copies = named.join(first, "h").where("doc_id > first").select(F.col("doc_id").alias("copy_id"), F.col("block").alias("home")).distinct().checkpoint()
+    blocks, buckets = max(n * BLOCKS, needed), max(n, needed)
+    source = texts.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)))
+    named = source.select(F.coalesce("doc_id", F.lit(int(LAST))).alias("copy_id"), F.col("block").alias("home"), F.unhex(F.sha2("text", 256)).alias("digest"))
+    first = named.groupBy("digest").agg(F.min("copy_id").alias("first"), F.max("copy_id").alias("last")).where("first < last").select("digest", "first").checkpoint()
+    copies = named.join(first, "digest").where("copy_id > first").select("home", "copy_id", "digest").distinct().checkpoint()
     same = lambda a, b: a.groupBy("block").cogroup(b.groupBy("home"))
+    with_copies = lambda found: found.unionByName(copies, allowMissingColumns=True)
 
     asked = same(source, copies).applyInArrow(ask(buckets), "bucket long, block long, hashes binary, counts binary")
     told = asked.groupBy("bucket").applyInArrow(answer, "home long, shared binary, hot binary")
-    both = told.select("home", "shared", "hot", F.lit(None).cast("long").alias("copy_id")).unionByName(copies.select("home", F.lit(None).cast("binary").alias("shared"), F.lit(None).cast("binary").alias("hot"), "copy_id"))
-    cuttings = same(source, both).applyInArrow(cut_out(buckets), "bucket long, block long, cuttings binary, ranges binary")
+    cuttings = same(source, with_copies(told)).applyInArrow(cut_out(buckets), "bucket long, block long, cuttings binary, ranges binary")
     found = cuttings.groupBy("bucket").applyInArrow(compare, "home long, ranges binary")
-    ranges = found.select("home", "ranges", F.lit(None).cast("long").alias("copy_id")).unionByName(copies.select("home", F.lit(None).cast("binary").alias("ranges"), "copy_id"))
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text
-    return same(source, ranges).applyInArrow(take_out(with_text), schema)
+    return same(source, with_copies(found)).applyInArrow(take_out(with_text), schema)
 
 
 ORACLE = f"""

@@ -87,6 +87,17 @@ def test_missing_ids(spark):
     assert sorted((r.doc_id or 0, r.n_bytes, r.n_removed) for r in remove_repeats(df).collect()) == [(0, 59, 0), (0, 59, 0), (0, 141, 141), (5, 141, 0)]
 
 
+def test_rows_that_repeat_an_id(spark, monkeypatch):
+    """A row whose doc_id also has a copy of an earlier text keeps its own text; many rows without id; blocks by bytes."""
+    monkeypatch.setattr(suffix_dedup, "BLOCK_BYTES", 500)
+    t, u, v = (" ".join(f"{w}{i * i}" for i in range(20)) for w in ("one", "two", "six"))
+    rows = [(1, t), (5, t), (5, u), (5, u), (7, u + v), (None, v), (None, t + "!"), *((None, f"{u} {i % 3}") for i in range(40)), (9, None), (None, None)]
+    last = 2**63 - 1
+    found = remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((last if r.doc_id is None else r.doc_id, *r[1:]) for r in found) == brute([(last if d is None else d, x) for d, x in rows])
+    assert [r.n_removed for r in found if r.doc_id == 5].count(0) == 2
+
+
 def test_empty(spark):
     assert remove_repeats(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     check(spark, [(1, None), (2, "")])
