@@ -1,21 +1,21 @@
 """Removal of repeated runs of lines by winnowing, in DataFrame functions only.
 
 A text is split at line feeds; lines are compared without the blanks around them, and empty lines are passed over.
-A run is ``WINDOW`` lines in a row, or one line of at least ``LONG`` characters.  Each run's fingerprint is the least of
-its lines' hashes (MD5, so that equal hashes mean equal lines), placed where that line stands: the minima of sliding
-windows, which guarantee that equal runs have equal fingerprints.
+A run is ``window`` lines in a row, or one line of at least ``long`` characters.  In every run the line with the least
+hash (MD5, so that equal hashes mean equal lines) is selected: the minima of sliding windows, so equal runs have equal
+selected lines.  Only selected lines are shuffled, and of those only the ones that stand at several places go on.
 
-Fingerprints that stand at one place only are dropped.  Around each of the others the match is extended to every run,
-on both sides, that the fingerprint stands for; runs with equal contents form a class, and all but its first run in
-order of doc_id and line are repeats.  Repeats that touch or overlap join to longer runs, and their lines go, with
-empty lines between them.
+At those places the match is extended both ways: over the lines before and after the selected one, as far as a run
+that it is the minimum of can reach.  Runs with equal contents form a class, and all but its first run in order of
+doc_id and line are repeats.  Repeats that touch or overlap join to longer runs, and their lines go.
 
 No pairs are made.  Both groupings are summed up before their shuffle, and the joins' small sides are written first, so
 that Spark can split a line that very many documents have.
 
 Defined cases: a null text is an empty one and has one empty line; a document may lose every line; runs repeated inside
-a document count too; rows that repeat a doc_id lose the same lines and don't count against each other; null doc_ids
-lose nothing.
+a document count too; equal runs at the same line of rows that repeat a doc_id are one place, so such rows lose the
+same lines and don't count against each other; null doc_ids lose nothing; an empty table gives an empty result; n_lines,
+n_removed and the text are put in place of columns of these names, and other columns are left alone.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import prepare, text_of
+from .common import prepare, text_of, written
 
 WINDOW = 2
 LONG = 200
@@ -33,40 +33,53 @@ def lines_of(text: Column) -> Column:
     return F.split(text, "\n", -1)
 
 
-def runs_of(lines: Column, window: int, long: int) -> Column:
-    """Every run of a text's lines: fingerprint and its line, contents, first and last line."""
-    numbered = F.transform(lines, lambda x, i: F.struct(i.alias("at"), F.btrim(x, F.lit(" \t\r")).alias("line")))
+def hashed_lines(text: Column, long: int) -> Column:
+    """The lines that aren't empty: hash, number, and whether a line is a run by itself."""
+    numbered = F.transform(lines_of(text), lambda x, i: F.struct(i.alias("at"), F.btrim(x, F.lit(" \t\r")).alias("line")))
     full = F.filter(numbered, lambda x: x["line"] != "")
-    hashed = F.transform(full, lambda x: F.struct(F.unhex(F.md5(x["line"])).alias("h"), x["at"].alias("at"), (F.length(x["line"]) >= long).alias("long")))
+    return F.transform(full, lambda x: F.struct(F.unhex(F.md5(x["line"])).alias("h"), x["at"].alias("at"), (F.length(x["line"]) >= long).alias("long")))
+
+
+def starts_of(n: Column, window: int) -> Column:
+    """Where windows of n lines start."""
+    return F.when(n >= window, F.sequence(F.lit(0), F.greatest(n - window, F.lit(0)))).otherwise(F.array().cast("array<int>"))
+
+
+def selected_lines(source: DataFrame, window: int, long: int) -> DataFrame:
+    """(doc_id, part, own): each selected line with the lines around it that a run over it can hold, and its place in them."""
+    # the minimum of a window, the first of equal ones
+    least = F.transform(starts_of(F.size("hashed"), window), lambda i: i + F.array_position(F.slice("hashed", i + 1, window), F.array_min(F.slice("hashed", i + 1, window))).cast("int") - 1)
+    alone = F.filter(F.transform("hashed", lambda x, i: F.when(x["long"], i)), lambda i: i.isNotNull())
+    picked = source.select("doc_id", hashed_lines(F.col("text"), long).alias("hashed")).select("doc_id", "hashed", F.explode(F.array_distinct(F.concat(least, alone))).alias("i"))
+    low = F.greatest(F.col("i") - (window - 1), F.lit(0))
+    return picked.select("doc_id", F.slice("hashed", low + 1, F.col("i") - low + window).alias("part"), (F.col("i") - low).alias("own"))
+
+
+def runs_over(window: int) -> Column:
+    """The runs that a selected line is the minimum of: contents, first and last line."""
+    part, own = F.col("part"), F.col("own")
 
     def run(i: Column, size: int) -> Column:
-        part = F.slice(F.col("hashed"), i + 1, size)
-        least = F.array_min(part)
-        return F.struct(
-            least["h"].alias("mark"), least["at"].alias("mark_at"),
-            F.unhex(F.md5(F.concat(F.lit(bytes([size])), *(part[j]["h"] for j in range(size))))).alias("contents"), part[0]["at"].alias("first"), part[size - 1]["at"].alias("last"),
-        )
+        held = F.slice(part, i + 1, size)
+        contents = F.unhex(F.md5(F.concat(F.lit(size.to_bytes(4, "big")), *(held[j]["h"] for j in range(size)))))
+        return F.struct(contents.alias("contents"), held[0]["at"].alias("first"), held[size - 1]["at"].alias("last"))
 
-    n = F.size("hashed")
-    windows = F.when(n >= window, F.transform(F.sequence(F.lit(0), F.greatest(n - window, F.lit(0))), lambda i: run(i, window)))
-    singles = F.transform(F.filter(F.transform(F.col("hashed"), lambda x, i: F.struct(i.alias("i"), x["long"].alias("long"))), lambda x: x["long"]), lambda x: run(x["i"], 1))
-    return hashed, F.concat(F.coalesce(windows, F.array().cast("array<struct<mark:binary,mark_at:int,contents:binary,first:int,last:int>>")), singles)
+    led = F.filter(starts_of(F.size(part), window), lambda i: (i <= own) & (own < i + window) & (F.array_min(F.slice(part, i + 1, window))["at"] == F.get(part, own)["at"]))
+    return F.concat(F.transform(led, lambda i: run(i, window)), F.transform(F.filter(F.array(own), lambda i: F.get(part, i)["long"]), lambda i: run(i, 1)))
 
 
 def repeated_lines(documents: DataFrame, *, key: str = "doc_id", text: str = "text", window: int = WINDOW, long: int = LONG) -> DataFrame:
     """(doc_id, gone): the numbers of the lines to remove, of the documents that have any."""
     prepare(documents.sparkSession)
     source = documents.select(F.col(key).cast("long").alias("doc_id"), text_of(text).alias("text")).where("doc_id is not null")
-    hashed, runs = runs_of(lines_of(F.col("text")), window, long)
-    every = source.select("doc_id", hashed.alias("hashed")).select("doc_id", F.explode(runs).alias("r")).select("doc_id", "r.*")
-    # two places differ in the document or in the line
-    apart = (F.col("d0") < F.col("d1")) | (F.col("l0") < F.col("l1"))
-    places = every.groupBy("mark").agg(F.min("doc_id").alias("d0"), F.max("doc_id").alias("d1"), F.min("mark_at").alias("l0"), F.max("mark_at").alias("l1"))
-    shared = places.where(apart).select("mark").checkpoint()
+    selected = selected_lines(source, window, long).withColumn("line", F.get("part", "own"))
+    marked = selected.select(F.xxhash64("line.h").alias("mark"), F.xxhash64("doc_id", "line.at").alias("place"), "doc_id", "part", "own")
+    shared = written(marked.groupBy("mark").agg(F.min("place").alias("low"), F.max("place").alias("high")).where("low < high").select("mark"))
     start = F.col("doc_id").cast("decimal(38,0)") * F.lit(1 << 32).cast("decimal(38,0)") + F.col("first")  # in order of document, then line
-    near = every.join(shared.hint("shuffle_hash"), "mark").select("contents", "doc_id", "first", "last", start.cast("decimal(38,0)").alias("start"))
+    near = written(marked.select("mark", "doc_id", "part", "own").join(shared.hint("shuffle_hash"), "mark").select("doc_id", F.explode(runs_over(window)).alias("r")).select("doc_id", "r.*"))
+    near = near.withColumn("start", start.cast("decimal(38,0)"))
     ends = near.groupBy("contents").agg(F.min("start").alias("lead"), F.max("start").alias("end"))
-    leads = ends.where("lead < end").select("contents", "lead").checkpoint()
+    leads = written(ends.where("lead < end").select("contents", "lead"))
     later = near.join(leads.hint("shuffle_hash"), "contents").where("start > lead")
     return later.select("doc_id", F.explode(F.sequence("first", "last")).alias("line")).groupBy("doc_id").agg(F.collect_set("line").alias("gone"))
 
