@@ -6,8 +6,10 @@ window's entropy is kept up by adding the term of the entering character and tak
 a candidate whose windows reach the class's threshold is reported from the first such window to the last.  Strings
 on the allow list, which covers well-known harmless shapes, are passed over, and so are those that a base span covers.
 
-Defined cases: a null text is empty; all places are code points with exclusive ends; spans are in order of start, then
-of kind as listed in KINDS.
+Defined cases: a null text is empty and has no spans; all places are code points with exclusive ends; spans are in
+order of start, then of kind as listed in KINDS; long texts are read whole, in time in proportion to their length;
+repeated rows, and rows without id, are rows of their own; an empty table gives an empty result; other columns of the
+table are left aside, whatever their names.
 """
 
 from __future__ import annotations
@@ -15,7 +17,9 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -97,14 +101,18 @@ def find_secrets(text: str) -> list[tuple[str, int, int]]:
     found += [("access", m.start(), m.end()) for m in ACCESS.finditer(text)]
     found += [("hex", m.start(), m.end()) for m in HEX.finditer(text)]
     base = sorted((a, b) for _, a, b in found)
+    starts, reach = [a for a, _ in base], list(accumulate((b for _, b in base), max))
+
+    def covered(low: int, high: int) -> bool:
+        before = bisect_right(starts, low)
+        return before > 0 and reach[before - 1] >= high
+
     for m in CANDIDATE.finditer(text):
-        if any(a <= m.start() and m.end() <= b for a, b in base) or allowed(m[0]):
+        if covered(m.start(), m.end()) or allowed(m[0]):
             continue
         _, _, width, threshold = next(c for c in CLASSES if c[1].fullmatch(m[0]))
-        for low, high in entropy_spans(m[0], width, threshold):
-            low, high = low + m.start(), high + m.start()
-            if not any(a <= low and high <= b for a, b in base):
-                found.append(("entropy", low, high))
+        spans = ((low + m.start(), high + m.start()) for low, high in entropy_spans(m[0], width, threshold))
+        found += [("entropy", low, high) for low, high in spans if not covered(low, high)]
     return sorted(found, key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
 
 
