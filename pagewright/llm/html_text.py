@@ -2,20 +2,26 @@
 
 The standard library's parser streams a page's tags and texts.  Block elements end a line.  Each line has a
 text-to-tag ratio: its characters over the tags it holds, links counting double.  The ratios are smoothed along the
-page by a Gaussian, and the mean of the two clusters that they fall into is the threshold.  Lines above it vote, by
-their characters, for the region that holds them: an article, else the main element, else the body.  The region with
-most votes is the content.  In an article or main element every line counts then, however short; in a bare body it is
-the lines from above the threshold, with those between two of them.  Lines inside furniture never count: menus,
-headers, footers, sidebars, notices, adverts, forms, scripts, styles, reader comments, hidden elements.
+page by a Gaussian, and the mean of the two clusters that they fall into is the threshold.  Lines that are above it,
+smoothed and nearly so by themselves, are the core of the content.  Lines inside furniture never are: menus, headers,
+footers, sidebars, notices, adverts, forms, scripts, styles, reader comments, hidden elements.
+
+The core chooses the content.  Where articles hold most of its characters, all lines of the articles with core lines
+are the content, however short, with the page's headline if it stands before them; else, where a main element does,
+all its lines.  In other pages it is all from the first core line to the last, and the headings, paragraphs and list
+items next to them, as far as they follow each other in the innermost element around the core, or directly in those
+around it.
 
 Defined cases: null, empty and text-free pages give the empty text; unclosed and stray tags are taken as browsers take
-them; equal pages give equal rows.
+them, and malformed declarations as comments; a tag that the page ends in has no text; equal pages give equal rows;
+long pages are read whole; an empty table gives an empty result; other columns are left aside, whatever their names.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -36,56 +42,66 @@ FURNITURE = frozenset("aside button canvas dialog fieldset footer form head ifra
 HINTS = frozenset(
     "ad ads advert adverts advertisement adsense advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies discussion disqus footer gdpr masthead menu modal nav navbar navigation newsletter notice notices popup promo promoted promotion related replies reply respond share sharing sidebar social sponsor sponsored subscribe toolbar widget".split()
 )
+#: What a class name within an article may hold besides: there only names made of hints and these are furniture.
+PLAIN = frozenset("area article articles bar block body bottom box button buttons center container content form foot global group head heading inner item items left link links list main module outer page panel post posts primary right section side site slot social story tools top unit wrap wrapper".split())
 ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search toolbar".split())
+#: Elements whose lines read as text.
+TEXTUAL = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd blockquote pre figcaption caption td th summary".split())
+LISTS = frozenset("ul ol dl blockquote figure table details".split())
 SIGMA = 1.5
+#: A line with links on so much of its text is a list of links.
+LINKED = 0.6
 SCHEMA_TAIL = "text string"
 
 
 class Line:
-    __slots__ = ("links", "out", "parts", "region", "tags")
+    __slots__ = ("linked", "out", "parts", "region", "tag", "tags")
 
-    def __init__(self, out: bool, region: int) -> None:
+    def __init__(self, out: bool, region: int, tag: str) -> None:
         self.parts: list[str] = []
-        self.tags, self.links, self.out, self.region = 0, 0, out, region
+        self.tags, self.linked, self.out, self.region, self.tag = 0, 0, out, region, tag
 
 
 class Lines(HTMLParser):
-    """The lines of a page, with their tags, their region and whether they are furniture."""
+    """The lines of a page, with their tags, their region (the innermost element around them) and whether they are furniture."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.open: list[tuple[str, bool, int]] = []
-        self.regions = 0
-        self.kinds = {0: "body"}
-        self.lines = [Line(False, 0)]
-        self.hint = False
+        self.opened: Counter[str] = Counter()
+        #: Element and parent of each region.
+        self.regions: list[tuple[str, int]] = [("body", -1)]
+        self.lines = [Line(False, 0, "body")]
+        self.linking = False
+        self.articles = 0
 
-    def state(self) -> tuple[bool, int]:
-        return (self.open[-1][1], self.open[-1][2]) if self.open else (False, 0)
+    def state(self) -> tuple[str, bool, int]:
+        return self.open[-1] if self.open else ("body", False, 0)
 
-    def end_line(self, hint: bool = False) -> None:
-        out, region = self.state()
-        self.hint = hint
+    def end_line(self, tag: str | None = None, hint: bool = False) -> None:
+        around, out, region = self.state()
         last = self.lines[-1]
         if last.parts or last.tags:
-            self.lines.append(Line(out or hint, region))
+            self.lines.append(Line(out or hint, region, tag or around))
         else:
-            last.out, last.region = out or hint, region
+            last.out, last.region, last.tag = out or hint, region, tag or around
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
-        hinted = bool(attrs) and self.is_furniture(tag, attrs)
+        hinted = bool(attrs) and self.is_furniture(tag, attrs, self.articles > 0)
         if tag in HOLDER:
-            out, region = self.state()
-            if tag == "article" and self.kinds[region] != "article" or tag == "main" and region == 0:
-                self.regions += 1
-                region = self.regions
-                self.kinds[region] = tag
-            page_header = tag == "header" and self.kinds[region] != "article"
-            self.open.append((tag, out or hinted or tag in FURNITURE or page_header, region))
+            _, out, region = self.state()
+            page_header = tag == "header" and not self.articles
+            self.regions.append((tag, region))
+            self.open.append((tag, out or hinted or tag in FURNITURE or page_header, len(self.regions) - 1))
+            self.opened[tag] += 1
+            self.articles += tag == "article"
         if tag in BLOCK or tag in HOLDER:
-            self.end_line(hinted and tag not in HOLDER)
+            self.linking = False
+            self.end_line(tag, hinted and tag not in HOLDER)
         elif tag == "br":
             self.lines[-1].parts.append(" ")
+        elif tag == "a":
+            self.linking = True
         self.lines[-1].tags += 2 if tag == "a" else 1
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
@@ -94,20 +110,28 @@ class Lines(HTMLParser):
             self.handle_endtag(tag)
 
     def handle_endtag(self, tag: str) -> None:
-        if tag in HOLDER:
-            for i in range(len(self.open) - 1, -1, -1):
-                if self.open[i][0] == tag:
-                    del self.open[i:]
-                    break
+        while self.opened[tag]:  # what is open inside ends too
+            ended = self.open.pop()[0]
+            self.opened[ended] -= 1
+            self.articles -= ended == "article"
+            if ended == tag:
+                break
+        if tag == "a":
+            self.linking = False
         if tag in BLOCK or tag in HOLDER:
             self.end_line()
 
     def handle_data(self, data: str) -> None:
         if self.cdata_elem is None:
-            self.lines[-1].parts.append(data)
+            line = self.lines[-1]
+            line.parts.append(data)
+            line.linked += len(data.strip()) * self.linking
+
+    def parse_marked_section(self, i: int, report: int = 1) -> int:
+        return self.parse_bogus_comment(i)
 
     @staticmethod
-    def is_furniture(tag: str, attrs: list[tuple[str, str | None]]) -> bool:
+    def is_furniture(tag: str, attrs: list[tuple[str, str | None]], within: bool) -> bool:
         if tag in ("html", "body", "article", "main"):
             return False
         for name, value in attrs:
@@ -118,11 +142,24 @@ class Lines(HTMLParser):
                 return True
             if name == "role" and value.strip() in ROLES:
                 return True
-            if name in ("class", "id") and not HINTS.isdisjoint(re.split(r"[^a-z]+", value)):
-                return True
+            if name in ("class", "id"):
+                for word in value.split():
+                    parts = set(re.findall("[a-z]+", word))
+                    if parts & HINTS and (not within or parts <= HINTS | PLAIN):
+                        return True
         return False
 
 
+def lines_of(html: str) -> Lines:
+    """The parsed page.  What follows the last tag's end holds no tag that browsers would show anything of."""
+    end = html.rfind(">") + 1
+    parser = Lines()
+    parser.feed(html[:end])
+    parser.feed(re.split("<[A-Za-z!/?]", html[end:], maxsplit=1)[0])
+    parser.close()
+    return parser
+
+
 def smoothed(ratios: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
     """Gaussian smoothing; beyond the ends the first and last values go on."""
     reach = max(1, math.ceil(3 * sigma))
@@ -145,31 +182,65 @@ def two_means(values: np.ndarray) -> float:
     return (low + high) / 2
 
 
+def chosen(parser: Lines, lines: list[tuple[str, Line]], threshold: float | None = None) -> list[int]:
+    """The numbers of the lines that are content."""
+    own = np.array([0.0 if x.out else len(t) / max(1, x.tags) for t, x in lines])
+    ratios = smoothed(own)
+    if threshold is None:
+        threshold = two_means(ratios)
+    linked = [x.linked >= LINKED * len(t) for t, x in lines]
+    usable = [i for i, (_, x) in enumerate(lines) if not x.out]
+    core = [i for i in usable if ratios[i] >= threshold and own[i] >= threshold / 2 and not linked[i]] or usable
+    # characters of the core by region, with those inside
+    held = [0] * len(parser.regions)
+    for i in core:
+        held[lines[i][1].region] += len(lines[i][0])
+    for region in range(len(held) - 1, 0, -1):
+        held[parser.regions[region][1]] += held[region]
+    # for each region, the outermost article and main element around it; parents come first
+    around = {"article": [-1] * len(held), "main": [-1] * len(held)}
+    for kind, outer in around.items():
+        for region, (tag, parent) in enumerate(parser.regions):
+            outer[region] = outer[parent] if parent >= 0 and outer[parent] >= 0 else region if tag == kind else -1
+    for kind, outer in around.items():
+        if 2 * sum(held[r] for r in set(outer) - {-1}) >= held[0]:
+            wanted = {outer[lines[i][1].region] for i in core} - {-1}
+            inside = [i for i in usable if outer[lines[i][1].region] in wanted]
+            if not any(lines[i][1].tag == "h1" for i in inside):
+                inside = [i for i in usable if i < inside[0] and lines[i][1].tag == "h1"][-1:] + inside
+            return inside
+    # the innermost region that holds nearly all of the core, and those around it
+    region, within = 0, [0] * len(held)
+    for r, (_, parent) in enumerate(parser.regions):
+        if parent == region and held[r] >= 0.9 * held[0]:
+            region = r
+    path, r = set(), region
+    while r >= 0:
+        path.add(r)
+        r = parser.regions[r][1]
+    for r, (tag, parent) in enumerate(parser.regions):
+        # a box beside bare paragraphs is another thing; a list among them isn't
+        within[r] = r == region or parent >= 0 and within[parent] and (region > 0 or tag in LISTS)
+    inside = [i for i in usable if core[0] <= i <= core[-1]]
+    joins = lambda i: not lines[i][1].out and not linked[i] and lines[i][1].tag in TEXTUAL and (within[lines[i][1].region] or lines[i][1].region in path)
+    low, high = core[0], core[-1]
+    while low > 0 and joins(low - 1):
+        low -= 1
+    while high + 1 < len(lines) and joins(high + 1):
+        high += 1
+    return [*range(low, core[0]), *inside, *range(core[-1] + 1, high + 1)]
+
+
 def main_text(html: str | None) -> str:
     """The main text of a page: its blocks in order, one a line."""
     if not html:
         return ""
-    parser = Lines()
-    parser.feed(html)
-    parser.close()
+    parser = lines_of(html)
     lines = [(" ".join("".join(x.parts).split()), x) for x in parser.lines]
     lines = [(t, x) for t, x in lines if t]
     if all(x.out for _, x in lines):
         return ""
-    own = np.array([0.0 if x.out else len(t) / max(1, x.tags) for t, x in lines])
-    ratios = smoothed(own)
-    threshold = two_means(ratios)
-    votes: dict[int, float] = {}
-    for (t, x), r in zip(lines, ratios.tolist(), strict=True):
-        if not x.out:
-            votes[x.region] = votes.get(x.region, 0.0) + len(t) * (1.0 if r >= threshold else 0.01)
-    best = max(votes, key=lambda k: (votes[k], -k))
-    inside = [i for i, (_, x) in enumerate(lines) if x.region == best and not x.out]
-    if parser.kinds[best] == "body":
-        # smoothing lifts the neighbours of the content, so the first and last lines are dense by themselves too
-        above = [i for i in inside if ratios[i] >= threshold and own[i] >= threshold / 2] or inside
-        inside = [i for i in inside if above[0] <= i <= above[-1]]
-    return "\n".join(lines[i][0] for i in inside)
+    return "\n".join(lines[i][0] for i in chosen(parser, lines))
 
 
 def extract(pages: DataFrame, *, html: str = "html", keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:
