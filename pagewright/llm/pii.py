@@ -2,17 +2,22 @@
 
 Entities are found by one regular expression over the whole text: mail addresses, phone numbers, IPv4 addresses, card
 and account numbers, social security numbers, IBANs, and names of persons after a form of address or a known given
-name.  Each distinct entity gets a surrogate from a keyed hash of its canonical form, so one entity has one surrogate in
-all documents (coreference), however it is written.  The surrogate has the entity's type and format: digits stay
-digits at their places with the separators between them, a country code stays, a valid check digit stays valid, letters
-keep their case and script, octets stay octets of as many digits, and given names keep gender and script.
+name.  A name that a text has introduced is also found there when it stands alone.  Each distinct entity gets a surrogate
+from a keyed hash of its canonical form, so one entity has one surrogate in all documents (coreference), however it is
+written.  The surrogate has the entity's type and format: digits stay digits at their places with the separators between
+them, a country code stays, a valid check digit stays valid, letters keep their case and script, octets stay octets of as
+many digits, and given names keep script and gender.  A given name's gender is that of the name lists, else of the forms
+of address that all texts use with it, else open.
 
 A surrogate must not be another entity's surrogate, nor an entity that occurs.  All entities' surrogates are checked
-against both, and those that collide are drawn again with the next number until none does; after ``ROUNDS`` draws an
-entity gets its hash itself, which is distinct.
+against both, and those that collide are drawn again with the next number until none does.
+
+Texts are read once for their entities; only those that have any are joined with their surrogates.
 
 Defined cases: null texts stay null and have no entities; texts without entities come back unchanged; equal rows get
-equal results; ``key`` is a secret parameter, and another key gives other surrogates.
+equal results; rows that repeat a doc_id, or have none, are rows of their own; an empty table gives an empty result; the
+text and mentions are put in place of columns of these names, and other columns are left alone; ``key`` is a secret
+parameter, and another key gives other surrogates.
 """
 
 from __future__ import annotations
@@ -22,10 +27,11 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions, prepare, text_of
+from .common import BROADCAST_IDS, partitions, prepare, some_of, text_of, written
 
 KEY = "surrogates-1"
-ROUNDS = 12
+#: After so many draws addresses may have octets of any width; after the last, no surrogate is left.
+WIDE, ROUNDS = 6, 60
 #: Forms of address, and given names by gender and script.
 FEMALE_TITLES = ("Mrs", "Ms", "Miss", "Frau", "Señora", "Sra", "Madame", "Mme", "Mademoiselle", "госпожа", "г-жа", "κυρία")
 MALE_TITLES = ("Mr", "Herr", "Señor", "Sr", "Monsieur", "господин", "г-н", "κύριος")
@@ -54,7 +60,11 @@ PATTERNS = {
     "phone": r"(?<![0-9])(?:\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?[0-9]{2,4}(?:[ .-]?[0-9]{2,4}){1,4}|\([0-9]{2,4}\)[ .-]?[0-9]{3,4}[ .-][0-9]{3,4}|[0-9]{3}[.-][0-9]{3}[.-][0-9]{4})(?![0-9])",
     "name": rf"(?<![\p{{L}}\p{{N}}])(?:(?:{TITLES})\.? {NAME}(?: {NAME})?|(?:{'|'.join(x for names in GIVEN.values() for x in names)}) {NAME})(?![\p{{L}}\p{{N}}])",
 }
-ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
+#: All patterns: a letter is looked at only where a word starts, a name only where its first letter can be one.
+ANY = (
+    rf"(?<![\p{{L}}\p{{N}}])(?:{PATTERNS['email']}|{PATTERNS['iban']})|(?=[0-9+(])(?:{PATTERNS['card']}|{PATTERNS['ip']}|{PATTERNS['ssn']}|{PATTERNS['phone']})"
+    rf"|(?<![\p{{L}}\p{{N}}])(?=[\p{{Lu}}гκ])(?:{PATTERNS['name']})"
+)
 KINDS = ("email", "phone", "ip", "card", "ssn", "iban", "name")
 
 
@@ -73,25 +83,30 @@ def names_in(mention: Column) -> Column:
 
 
 def gender_of(mention: Column) -> Column:
+    """The gender that a form of address tells; null if none does."""
     title = lambda titles: mention.rlike(rf"^(?:{'|'.join(titles)})\.? ")
-    first = F.element_at(F.split(mention, " "), 1)
-    return F.when(title(FEMALE_TITLES), "f").when(title(MALE_TITLES), "m").when(title(OTHER_TITLES), "x").when(first.isin(*(n for k, v in GIVEN.items() if k[0] == "f" for n in v)), "f").otherwise("m")
+    return F.when(title(FEMALE_TITLES), "f").when(title(MALE_TITLES), "m")
+
+
+def listed_gender(form: Column) -> Column:
+    listed = lambda gender: form.isin(*(n.lower() for k, names in GIVEN.items() if k[0] == gender for n in names))
+    return F.when(listed("f"), "f").when(listed("m"), "m")
 
 
 def parts_of(mention: Column) -> Column:
-    """The entities of a mention: type and canonical form.  A name's given name and surname are two."""
+    """The entities of a mention: type, canonical form, and gender if it is told.  A name's given name and surname are two."""
     kind, digits = kind_of(mention), F.regexp_replace(mention, "[^0-9]", "")
-    one = lambda k, v: F.array(F.struct(k.alias("kind"), v.alias("form")))
+    entity = lambda k, v, g=None: F.struct(k.alias("kind"), v.alias("form"), F.lit(g).cast("string").alias("gender") if g is None else g.alias("gender"))
     words = names_in(mention)
-    surname = F.struct(F.concat(F.lit("surname_"), script_of(mention)).alias("kind"), F.lower(F.element_at(words, -1)).alias("form"))
-    given = F.struct(F.concat(F.lit("given_"), gender_of(mention), F.lit("_"), script_of(mention)).alias("kind"), F.lower(F.element_at(words, 1)).alias("form"))
+    surname = entity(F.concat(F.lit("surname_"), script_of(mention)), F.lower(F.element_at(words, -1)))
+    given = entity(F.concat(F.lit("given_"), script_of(mention)), F.lower(F.element_at(words, 1)), gender_of(mention))
     return (
-        F.when(kind == "email", one(kind, F.lower(mention)))
-        .when(kind == "ip", one(kind, mention))
-        .when(kind == "iban", one(kind, F.regexp_replace(mention, " ", "")))
-        .when(kind == "phone", one(kind, F.concat(F.when(F.startswith(mention, F.lit("+")), F.concat(F.regexp_extract(mention, "^[+]([0-9]{1,3})(?:[ .(-]|$)", 1), F.lit("+"))).otherwise(F.lit("")), digits)))
+        F.when(kind == "email", F.array(entity(kind, F.lower(mention))))
+        .when(kind == "ip", F.array(entity(kind, mention)))
+        .when(kind == "iban", F.array(entity(kind, F.regexp_replace(mention, " ", ""))))
+        .when(kind == "phone", F.array(entity(kind, F.concat(F.when(F.startswith(mention, F.lit("+")), F.concat(F.regexp_extract(mention, "^[+]([0-9]{1,3})(?:[ .(-]|$)", 1), F.lit("+"))).otherwise(F.lit("")), digits))))
         .when(kind == "name", F.when(F.size(words) > 1, F.array(given, surname)).otherwise(F.array(surname)))
-        .otherwise(one(kind, digits))
+        .otherwise(F.array(entity(kind, digits)))
     )
 
 
@@ -126,7 +141,7 @@ def luhn(digits: Column) -> Column:
     return F.aggregate(values, F.lit(0), lambda a, v: a + F.when(v > 9, v - 9).otherwise(v)) % 10
 
 
-def surrogate(key: str, kind: Column, form: Column, draw: Column) -> Column:
+def surrogate(key: str, kind: Column, form: Column, gender: Column, draw: Column) -> Column:
     """The surrogate of a canonical form at a draw: the same type and format."""
     h = hexes(key, kind, form, draw)
     stream = F.concat(h, hexes(key, kind, form, draw, "more"))
@@ -135,7 +150,7 @@ def surrogate(key: str, kind: Column, form: Column, draw: Column) -> Column:
     octet = lambda x, i: F.when(F.length(x) == 3, number(h, i * 6 + 1) % 156 + 100).when(F.length(x) == 2, number(h, i * 6 + 1) % 90 + 10).otherwise(number(h, i * 6 + 1) % 10)
     wide = lambda x, i: number(h, i * 6 + 1) % 256  # noqa: E731, ARG005  when those of as many digits run out
     octets = F.split(form, r"\.")
-    ip = F.when(draw < ROUNDS // 2, F.array_join(F.transform(octets, lambda x, i: octet(x, i).cast("string")), ".")).otherwise(F.array_join(F.transform(octets, lambda x, i: wide(x, i).cast("string")), "."))
+    ip = F.when(draw < WIDE, F.array_join(F.transform(octets, lambda x, i: octet(x, i).cast("string")), ".")).otherwise(F.array_join(F.transform(octets, lambda x, i: wide(x, i).cast("string")), "."))
     # a canonical phone number: its country code and a plus sign, if it has any, and all digits
     code = F.instr(form, "+")
     phone = F.concat(F.left(form, code), redrawn(F.substr(form, code + 1), stream, F.greatest(code - 1, F.lit(0))))
@@ -146,33 +161,35 @@ def surrogate(key: str, kind: Column, form: Column, draw: Column) -> Column:
         names = [n.lower() for g in genders for n in GIVEN[f"{g}_{script}"]]
         return F.get(F.array(*map(F.lit, names)), (number(h, 1) % len(names)).cast("int"))
 
-    sounds = lambda script, least: F.array_join(F.transform(F.sequence(F.lit(1), least + F.least(draw, F.lit(5)).cast("int")), lambda i: F.get(F.array(*map(F.lit, SYLLABLES[script])), (number(h, i * 4, 4) % 16).cast("int"))), "")
+    # later draws are longer, up to twelve syllables
+    sounds = lambda script, least: F.array_join(F.transform(F.sequence(F.lit(1), F.least(F.lit(least) + draw, F.lit(12)).cast("int")), lambda i: F.get(F.array(*map(F.lit, SYLLABLES[script])), (number(h, i * 4, 4) % 16).cast("int"))), "")
     out = F.when(kind == "email", mail).when(kind == "ip", ip).when(kind == "phone", phone).when(kind == "card", card).when(kind == "ssn", redrawn(form, stream)).when(kind == "iban", redrawn(form, stream, 2))
     for script in SYLLABLES:
-        for gender, genders in (("f", "f"), ("m", "m"), ("x", "fm")):
+        endings = {"latin": ("a", "o"), "cyrillic": ("а", "ий"), "greek": ("α", "ος")}[script]
+        for told, genders, ending in ((gender == "f", "f", endings[0]), (gender == "m", "m", endings[1]), (gender.isNull(), "fm", "")):
             # a list's names first, then names made of syllables with the gender's ending
-            made = F.concat(sounds(script, F.lit(2)), F.lit({"latin": {"f": "a", "m": "o"}, "cyrillic": {"f": "а", "m": "ий"}, "greek": {"f": "α", "m": "ος"}}[script].get(gender, "")))
-            out = out.when(kind == f"given_{gender}_{script}", F.when(draw < 3, given(script, genders)).otherwise(made))
-        out = out.when(kind == f"surname_{script}", sounds(script, F.lit(3)))
-    return F.when(draw >= ROUNDS, F.concat(kind, F.lit("-"), h)).otherwise(out)
+            out = out.when((kind == f"given_{script}") & told, F.when(draw < 3, given(script, genders)).otherwise(F.concat(sounds(script, 2), F.lit(ending))))
+        out = out.when(kind == f"surname_{script}", sounds(script, 3))
+    return out
 
 
 def mapping(entities: DataFrame, *, key: str = KEY) -> DataFrame:
-    """(kind, form, surrogate) of distinct entities, no surrogate being another's or an entity that occurs."""
+    """(kind, form, surrogate) of distinct entities (kind, form, gender), no surrogate being another's or an entity that occurs."""
     spread = entities.repartition(partitions(entities), "kind", "form")  # few bytes but much work, which Spark would gather in a task
-    drawn = spread.select("kind", "form", F.lit(0).alias("draw")).withColumn("surrogate", surrogate(key, F.col("kind"), F.col("form"), F.col("draw"))).checkpoint()
+    drawing = surrogate(key, F.col("kind"), F.col("form"), F.col("gender"), F.col("draw"))
+    drawn = written(spread.select("kind", "form", "gender", F.lit(0).alias("draw")).withColumn("surrogate", drawing))
     known = drawn.select("kind", F.col("form").alias("surrogate"))
-    for _ in range(ROUNDS + 1):
+    for _ in range(ROUNDS):
         twice = drawn.groupBy("kind", "surrogate").agg(F.min(F.struct("draw", "form")).alias("first"), F.count("*").alias("n")).where("n > 1")
         taken = drawn.join(known, ["kind", "surrogate"], "left_semi").select("kind", "form")
         behind = drawn.join(twice.select("kind", "surrogate", F.col("first.form").alias("lead")), ["kind", "surrogate"]).where("form <> lead").select("kind", "form")
-        again = taken.unionAll(behind).distinct().checkpoint()
+        again = written(taken.unionAll(behind).distinct())
         if again.isEmpty():
-            break
+            return drawn.select("kind", "form", "surrogate")
         marked = drawn.join(again.withColumn("again", F.lit(1)), ["kind", "form"], "left")
-        moved = marked.select("kind", "form", (F.col("draw") + F.coalesce("again", F.lit(0))).alias("draw"), F.when(F.col("again").isNull(), F.col("surrogate")).alias("old"))
-        drawn = moved.select("kind", "form", "draw", F.coalesce("old", surrogate(key, F.col("kind"), F.col("form"), F.col("draw"))).alias("surrogate")).checkpoint()
-    return drawn.select("kind", "form", "surrogate")
+        moved = marked.select("kind", "form", "gender", (F.col("draw") + F.coalesce("again", F.lit(0))).alias("draw"), F.when(F.col("again").isNull(), F.col("surrogate")).alias("old"))
+        drawn = written(moved.select("kind", "form", "gender", "draw", F.coalesce("old", drawing).alias("surrogate")))
+    raise RuntimeError("a type has more entities than its format has surrogates")
 
 
 def laid_out(mention: Column, signs: Column, inside: str) -> Column:
@@ -181,14 +198,16 @@ def laid_out(mention: Column, signs: Column, inside: str) -> Column:
     return F.aggregate(F.filter(F.split(mention, ""), lambda c: c != ""), F.struct(F.lit("").alias("out"), F.lit(0).alias("n")), step, lambda a: a["out"])
 
 
-def written(mention: Column, held: Column) -> Column:
+def written_as(mention: Column, held: Column) -> Column:
     """A mention's surrogate as it is written in the text; ``held`` maps type and form to surrogates."""
     kind, parts = kind_of(mention), parts_of(mention)
-    of = lambda part: F.element_at(held, F.concat(part["kind"], F.lit(":"), part["form"]))
+    of = lambda part: F.try_element_at(held, F.concat(part["kind"], F.lit(":"), part["form"]))
     first = of(F.element_at(parts, 1))
     cased = lambda x, like: F.when(like == F.upper(like), F.upper(x)).otherwise(x)
     title = F.regexp_extract(mention, rf"^((?:{TITLES})\.? )?", 0)
-    name = F.concat(title, F.array_join(F.transform(parts, lambda p: F.initcap(of(p))), " "))
+    # a name that stands alone is a surname, else a given name
+    alone = F.try_element_at(held, F.concat(F.lit("given_"), script_of(mention), F.lit(":"), F.lower(mention)))
+    name = F.concat(title, F.array_join(F.transform(parts, lambda p: F.initcap(F.coalesce(of(p), alone))), " "))
     digits = F.regexp_replace(first, "^[0-9]*[+]", "")
     fits = F.length(digits) == F.length(F.regexp_replace(mention, "[^0-9]", ""))
     numbered = F.when(fits, laid_out(mention, digits, "[0-9]")).otherwise(first)
@@ -196,24 +215,39 @@ def written(mention: Column, held: Column) -> Column:
     return F.when(kind == "email", cased(first, mention)).when(kind == "ip", first).when(kind == "iban", letters).when(kind == "name", name).otherwise(numbered)
 
 
+def pattern_of(held: Column) -> Column:
+    """The expression, with the names of a text as far as they are no part of it."""
+    names = F.filter(F.map_keys(held), lambda k: k.rlike("^(?:surname|given)_"))
+    words = F.array_join(F.transform(names, lambda k: F.initcap(F.substring_index(k, ":", -1))), "|")
+    return F.when(words == "", F.lit(ANY)).otherwise(F.concat(F.lit(ANY + r"|(?<![\p{L}\p{N}])(?:"), words, F.lit(r")(?![\p{L}\p{N}])")))
+
+
 def with_surrogates(documents: DataFrame, *, key: str = KEY, id_column: str = "doc_id", text: str = "text") -> DataFrame:
     """The documents with surrogates in the text, and mentions: the types in order, in place of a column of this name."""
     prepare(documents.sparkSession)
-    found = F.regexp_extract_all(text_of(text), F.lit(ANY), F.lit(0))
-    source = documents.select(F.col(id_column).cast("long").alias("_id"), F.explode(F.array_distinct(found)).alias("mention"))
-    parts = source.select("_id", F.explode(parts_of(F.col("mention"))).alias("p")).select("_id", "p.kind", "p.form").distinct().checkpoint()
-    names = mapping(parts.select("kind", "form").distinct(), key=key).checkpoint()
-    held = parts.join(names, ["kind", "form"]).groupBy("_id").agg(F.map_from_entries(F.collect_set(F.struct(F.concat("kind", F.lit(":"), "form").alias("k"), F.col("surrogate").alias("v")))).alias("_held"))
-    held = held.select(F.col("_id").alias("__id"), F.col("_held").alias("__held"))
-    joined = documents.join(held, F.col(id_column).cast("long").eqNullSafe(F.col("__id")), "left")
-    between = F.split(F.col(text), ANY, -1)
-    new = F.transform(found, lambda m: written(m, F.col("__held")))
-    filled = F.array_join(F.zip_with(between, F.concat(new, F.array(F.lit(""))), lambda a, b: F.concat(a, b)), "")
-    made = {
-        text: F.when(F.col("__held").isNull(), F.col(text)).otherwise(filled),
-        "mentions": F.when(F.col("__held").isNull(), F.array().cast("array<string>")).otherwise(F.transform(found, kind_of)),
-    }
-    return joined.select(*(F.col(c) for c in documents.columns if c not in made), *(v.alias(k) for k, v in made.items()))
+    row = F.xxhash64(F.col(id_column).cast("long"), F.col(text).cast("string"))
+    found = documents.select(row.alias("__row"), F.regexp_extract_all(text_of(text), F.lit(ANY), F.lit(0)).alias("found")).where(F.size("found") > 0)
+    parts = written(found.select("__row", F.explode(F.array_distinct("found")).alias("mention")).select("__row", F.explode(parts_of(F.col("mention"))).alias("p")).select("__row", "p.*").distinct())
+    told = parts.groupBy("kind", "form").agg(F.min("gender").alias("low"), F.max("gender").alias("high"))
+    gender = F.when(F.startswith("kind", F.lit("given")), F.coalesce(listed_gender(F.col("form")), F.when(F.col("low") == F.col("high"), F.col("low"))))
+    names = written(mapping(told.select("kind", "form", gender.alias("gender")), key=key))
+    entry = F.struct(F.concat("kind", F.lit(":"), "form").alias("k"), F.col("surrogate").alias("v"))
+    held = written(parts.join(names, ["kind", "form"]).groupBy("__row").agg(F.map_from_entries(F.collect_set(entry)).alias("__held")))
+    rows = held.select("__row")
+    new = {text: F.array_join(F.zip_with(F.split(text, F.col("__pattern"), -1), F.concat(F.transform("__found", lambda m: written_as(m, F.col("__held"))), F.array(F.lit(""))), lambda a, b: F.concat(a, b)), ""), "mentions": F.transform("__found", kind_of)}
+    old = {text: F.col(text), "mentions": F.array().cast("array<string>")}
+    shown = lambda df, made: df.select(*(F.col(c) for c in documents.columns if c not in made), *(v.alias(k) for k, v in made.items()))
+    keyed = documents.withColumn("__row", row)
+    if held.count() <= BROADCAST_IDS:  # then only texts with entities are shuffled
+        without = documents.join(F.broadcast(rows.withColumnRenamed("__row", "__no")), row == F.col("__no"), "left_anti")
+        keyed = some_of(keyed, rows.withColumnRenamed("__row", "__yes"), F.col("__row") == F.col("__yes"), "left_semi")
+        joined = keyed.join(held, "__row")
+    else:
+        joined = keyed.join(held.hint("shuffle_hash"), "__row", "left")
+        without = joined.where("__held is null")
+        joined = joined.where("__held is not null")
+    joined = joined.withColumn("__pattern", pattern_of(F.col("__held"))).withColumn("__found", F.regexp_extract_all(text, F.col("__pattern"), F.lit(0)))
+    return shown(without, old).unionAll(shown(joined, new))
 
 
 def report(found: DataFrame) -> DataFrame:

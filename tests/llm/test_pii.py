@@ -2,6 +2,8 @@
 
 import re
 
+import regex
+
 from pagewright.llm import pii
 from pagewright.llm.pii import mapping, report, with_surrogates
 
@@ -62,11 +64,67 @@ def test_key(spark):
 def test_collisions(spark):
     """A small space of addresses: all surrogates are distinct and none is an entity."""
     forms = [("ip", f"{a}.{b}.{c}.{d}") for a in (1, 2, 3) for b in range(10) for c in range(10) for d in range(10)]
-    forms += [("given_f_latin", f"name{i}") for i in range(60)] + [("given_f_latin", n.lower()) for n in pii.GIVEN["f_latin"]]
-    rows = mapping(spark.createDataFrame(forms, "kind string, form string")).collect()
+    forms += [("given_latin", f"name{i}") for i in range(60)] + [("given_latin", n.lower()) for n in pii.GIVEN["f_latin"]]
+    rows = mapping(spark.createDataFrame([(*f, "f") for f in forms], "kind string, form string, gender string")).collect()
     assert len(rows) == len(forms) == len({(r.kind, r.surrogate) for r in rows})
     assert not {(r.kind, r.surrogate) for r in rows} & set(forms)
 
 
+def test_one_person_has_one_name(spark):
+    """Neutral titles, lone names, and a name whose gender only a title in another text tells."""
+    texts = [
+        (1, "Dr. Anna Smith came. Anna Smith left; Smithson and Susanna stayed. Later Smith said so, and Anna's dog with Mrs. Smith."),
+        (2, "Smith is not introduced here."),
+        (None, "Mrs. Robin Hill."),
+        (None, "Dr. Robin Hill and Prof. Kim Vale; Kim, Robin."),
+    ]
+    rows = [r.text for r in with_surrogates(spark.createDataFrame(texts, "doc_id long, text string")).collect()]
+    one = next(regex.fullmatch(r"Dr\. (\w+) (\w+) came\. (\w+) (\w+) left; Smithson and Susanna stayed\. Later (\w+) said so, and (\w+)'s dog with Mrs\. (\w+)\.", r) for r in rows if "Smithson" in r)
+    assert one[1] == one[3] == one[6] in pii.GIVEN["f_latin"] and one[2] == one[4] == one[5] == one[7] != "Smith"
+    assert "Smith is not introduced here." in rows
+    robin = next(regex.fullmatch(r"Mrs\. (\w+) (\w+)\.", r) for r in rows if r.startswith("Mrs"))
+    two = next(regex.fullmatch(r"Dr\. (\w+) (\w+) and Prof\. (\w+) (\w+); (\w+), (\w+)\.", r) for r in rows if "Prof" in r)
+    assert robin[1] == two[1] == two[6] in pii.GIVEN["f_latin"] and robin[2] == two[2] and two[3] == two[5] != "Kim"
+
+
+def test_tables_by_a_plain_detector(spark):
+    """Each kind searched by itself, the earliest taken; then one surrogate an entity, and nothing else changed."""
+    df = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").unionAll(spark.createDataFrame([(9000 + (d or 0), t, "", "", 0) for d, t in TEXTS], "doc_id long, text string, lang string, source string, n_chars int"))
+    kinds = {k: regex.compile(p) for k, p in pii.PATTERNS.items()}
+    to, back, found = {}, {}, 0
+
+    def entities(text):
+        at = 0
+        while best := min(((m.start(), i, m.end(), k) for i, (k, p) in enumerate(kinds.items()) if (m := p.search(text, at))), default=None):
+            yield best[0], best[2], best[3]
+            at = best[2]
+
+    rows = {r.doc_id: r for r in with_surrogates(df).collect()}
+    for before in df.collect():
+        text, r = before.text or "", rows[before.doc_id]
+        names = {w for a, b, k in entities(text) if k == "name" for w in regex.sub(rf"^(?:{pii.TITLES})\.? ", "", text[a:b]).split()}
+        lone = regex.compile(rf"(?<![\p{{L}}\p{{N}}])(?:{'|'.join(names)})(?![\p{{L}}\p{{N}}])") if names else None
+        spans, at = [], 0
+        for a, b, k in [*entities(text), (len(text), len(text), None)]:
+            spans += [(m.start(), m.end(), "name") for m in lone.finditer(text, at, a)] if lone else []
+            spans += [(a, b, k)] if k else []
+            at = b
+        assert r.mentions == [k for _, _, k in spans], before.doc_id
+        found += len(spans)
+        # the text between entities is the same, in order; what stands for an entity is always the same
+        pieces, at = [], 0
+        for a, b, k in spans:
+            pieces += [regex.escape(text[at:a]), "(.+?)" if k == "name" else f"({pii.PATTERNS[k]})"]
+            at = b
+        whole = regex.fullmatch("".join([*pieces, regex.escape(text[at:])]), r.text or "", regex.S)
+        assert whole, before.doc_id
+        for (a, b, k), new in zip(spans, whole.groups(), strict=True):
+            if k != "name":
+                form = (k, regex.sub("[^0-9A-Za-z.@_%+-]" if k == "email" else r"[^0-9A-Z.]" if k in ("ip", "iban") else "[^0-9]", "", text[a:b]).lower())
+                fresh = (k, regex.sub("[^0-9A-Za-z.@_%+-]" if k == "email" else r"[^0-9A-Z.]" if k in ("ip", "iban") else "[^0-9]", "", new).lower())
+                assert kinds[k].fullmatch(new) and to.setdefault(form, fresh) == fresh != form and back.setdefault(fresh, form) == form
+    assert found > 30
+
+
 def test_empty(spark):
     assert report(with_surrogates(spark.createDataFrame([], "doc_id long, text string"))).count() == 0
