@@ -31,11 +31,14 @@ def parse_page_range(spec: str, count: int) -> list[int]:
 
 
 def page_list(pages: Column) -> Column:
-    """An array of page numbers as text: ``1-3, 7, 9-10``."""
+    """An array of page numbers as text: ``1-3, 7, 9-10``.  Each number is compared with its neighbours only."""
     ordered = F.array_sort(F.array_distinct(pages))
-    starts = F.filter(ordered, lambda x: ~F.array_contains(pages, x - 1))
-    ends = F.filter(ordered, lambda x: ~F.array_contains(pages, x + 1))
-    return F.array_join(F.zip_with(starts, ends, lambda a, b: F.when(a == b, a.cast("string")).otherwise(F.concat_ws("-", a.cast("string"), b.cast("string")))), ", ")
+    before = F.concat(F.array(F.lit(None).cast("long")), F.transform(F.slice(ordered, F.lit(1), F.greatest(F.size(ordered) - 1, F.lit(0))), lambda x: x.cast("long")))
+    stepped = F.zip_with(ordered, before, lambda x, y: F.struct(x.cast("long").alias("x"), y.alias("before")))
+    starts = F.filter(stepped, lambda s: s["before"].isNull() | (s["before"] + 1 < s["x"]))
+    # a run ends where the next one starts, or with the last number
+    ends = F.concat(F.transform(F.slice(starts, F.lit(2), F.greatest(F.size(starts) - 1, F.lit(0))), lambda s: s["before"]), F.slice(F.transform(ordered, lambda x: x.cast("long")), F.greatest(F.size(ordered), F.lit(1)), F.lit(1)))
+    return F.array_join(F.zip_with(starts, ends, lambda s, e: F.when(s["x"] == e, e.cast("string")).otherwise(F.concat_ws("-", s["x"].cast("string"), e.cast("string")))), ", ")
 
 
 def page_ranges(pages: DataFrame, group: list[str], page: str) -> DataFrame:

@@ -137,5 +137,10 @@ def fixed_udf(values: pd.Series, digits: pd.Series) -> pd.Series:
     return pd.Series([None if v != v else f"{v:.{int(d)}f}" for v, d in zip(values.astype(float), digits, strict=True)])
 
 
+def tags_of(tags: Column) -> Column:
+    """A text's words: the tags of an export; none of a null."""
+    return F.filter(F.split(F.coalesce(tags, F.lit("")), f"{SPACE}+"), lambda t: t != "")
+
+
 def split_tags(tags: str | None) -> list[str]:
     return (tags or "").split()

@@ -111,13 +111,18 @@ def with_errors(cards: DataFrame) -> DataFrame:
     return cards.withColumns({"errors": errors.cast(MESSAGES), "_doubtful": F.coalesce(doubtful, F.lit(False))})
 
 
+def labelled_letters(options: Column) -> Column:
+    """The letters of the options that start with a letter label of their own."""
+    return F.array_compact(F.transform(options, lambda o, i: F.when(o.rlike(C.OPTION_LABEL), F.get(letters(), i))))
+
+
 def with_warnings(cards: DataFrame) -> DataFrame:
     """Adds warnings to cards with errors: what can be exported but may not look right."""
     items = F.col("options.items")
     fields = [("question", F.col("question")), ("answer", F.col("answer")), *((f"option {x}", F.get(items, F.lit(i))) for i, x in enumerate(C.LETTERS)), ("explanation", F.col("explanation"))]
     quoted = lambda tags: F.array_join(F.transform(F.slice(tags, 1, 3), lambda t: F.when(F.contains(t, F.lit("'")) & ~F.contains(t, F.lit('"')), F.concat(F.lit('"'), t, F.lit('"'))).otherwise(F.concat(F.lit("'"), F.replace(t, F.lit("'"), F.lit("\\'")), F.lit("'")))), ", ")
     tags = [(F.size(f["tags"]) > 0, message("html_tag", f"{name} contains ", quoted(f["tags"]), ", which Anki will treat as an HTML tag and hide. If it is meant literally, write &lt; instead of <.")) for name, f in fields]
-    labelled = F.array_compact(F.transform(items, lambda o, i: F.when(o["value"].rlike(C.OPTION_LABEL), F.get(letters(), i))))
+    labelled = labelled_letters(F.transform(items, lambda o: o["value"]))
     label = (F.size(labelled) >= 2, message("letter_labels", "options ", F.array_join(labelled, ", "), " start with their own letter label (e.g. 'A. ...'); the Anki template already adds A-D labels."))
     sound = F.size("errors") == 0
     doubtful = F.when(F.col("_doubtful"), F.array(message("placeholder_answer", "'answer' looks like a placeholder: ", F.col("answer.repr")))).otherwise(nothing())
@@ -157,8 +162,9 @@ def correct_letter(options: Column, answer: Column) -> Column:
 
 
 def shuffled(options: Column, seed: int, *keys: Column) -> Column:
-    """The options in an order that depends on the seed and the card alone."""
-    keyed = F.transform(options, lambda o, i: F.struct(F.xxhash64(F.lit(seed), *keys, i).alias("k"), i.alias("i"), o.alias("o")))
+    """The options in an order that depends on the seed and the card alone: that of the hashes of seed, card and place."""
+    card = F.concat_ws(":", F.lit(str(seed)), *(k.cast("string") for k in keys))
+    keyed = F.transform(options, lambda o, i: F.struct(F.sha2(F.concat_ws(":", card, i.cast("string")), 256).alias("k"), o.alias("o")))
     return F.transform(F.array_sort(keyed), lambda x: x["o"])
 
 

@@ -30,6 +30,11 @@ def none() -> Column:
     return F.lit(None).cast("string")
 
 
+def in_math_fonts(fonts: Column) -> Column:
+    """Whether a font of formulas is among the names; null is no font."""
+    return F.array_join(F.coalesce(fonts, F.array().cast("array<string>")), " ").rlike(f"(?i){C.MATH_FONTS}")
+
+
 def measure(pages: DataFrame, *, sort: bool = False) -> DataFrame:
     """The page's text and metrics; of a page with an error the text is empty and the metrics are the defaults."""
     held = pages.withColumn("blocks", F.when(F.col("error").isNull(), layout.text_blocks(F.col("blocks"), sort)).otherwise(F.slice("blocks", 1, 0)))
@@ -37,7 +42,6 @@ def measure(pages: DataFrame, *, sort: bool = False) -> DataFrame:
     held = held.withColumn("_ink", layout.ink_udf("raster", "blocks", "x0", "y0"))
     held = held.withColumn("_shares", layout.image_shares(F.coalesce("images", F.array().cast(pages.schema["images"].dataType)), F.col("x0"), F.col("y0"), F.col("width"), F.col("height")))
     ok = F.col("error").isNull()
-    fonts = F.array_join(F.coalesce("fonts", F.array().cast("array<string>")), " ")
     values = {
         "chars": count_chars(F.col("text")), "garbage_ratio": garbage_ratio(F.col("text")), "alnum_ratio": alnum_ratio(F.col("text")),
         "ink_ratio": F.when(ok, F.col("_ink.ink_ratio")).otherwise(0.0), "nontext_ink_ratio": F.when(ok, F.col("_ink.nontext_ink_ratio")).otherwise(0.0),
@@ -45,7 +49,7 @@ def measure(pages: DataFrame, *, sort: bool = False) -> DataFrame:
         "drawing_count": F.when(ok, F.coalesce("drawing_count", F.lit(0))).otherwise(0), "table_count": F.when(ok, F.coalesce("table_count", F.lit(0))).otherwise(0),
         "block_count": F.coalesce(F.nullif(F.size("blocks"), F.lit(-1)), F.lit(0)), "median_block_chars": F.coalesce(layout.median_chars(F.col("blocks")), F.lit(0.0)),
         "multi_column": F.coalesce(layout.multi_column(F.col("blocks"), F.col("x0"), F.col("width")), F.lit(False)), "order_jumps": F.coalesce(layout.order_jumps(F.col("blocks")), F.lit(0)),
-        "has_math": ok & (fonts.rlike(f"(?i){C.MATH_FONTS}") | (count_math(F.col("text")) >= C.MATH_LEAST)),
+        "has_math": ok & (in_math_fonts(F.col("fonts")) | (count_math(F.col("text")) >= C.MATH_LEAST)),
     }
     return held.withColumns(values).drop("_ink", "_shares", "images", "fonts")
 

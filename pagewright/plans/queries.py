@@ -6,8 +6,6 @@ from their words, images and pixels from line items, cards from parts.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -16,7 +14,6 @@ from ..functions import text as X
 from ..functions.ranges import page_list, page_ranges
 from ..operators import cards, layout, ocr_words, pages
 from ..sinks.decks import tsv_line
-from ..sinks.pages import page_text
 from ..sources.decks import parse_decks
 
 SQL_SPACE = r"[\s\x0b\x1c-\x1f\x{85}\p{Z}]"
@@ -76,15 +73,17 @@ SELECT page_id, length(t) AS n, md5(t) AS digest, CASE WHEN length(t) > 70 THEN
 
 
 def html_unknown_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tags = F.transform(F.regexp_extract_all(F.coalesce("html", F.lit("")), F.lit(r"</?\s*([A-Za-z][A-Za-z0-9-]*)"), F.lit(1)), F.lower)
-    known = F.array(*map(F.lit, sorted(C.HTML_TAGS)))
-    unknown = F.filter(tags, lambda t: ~F.array_contains(known, t))
-    return table(spark, sf_dir, "pages").select("page_id", F.size(tags).cast("long").alias("n_tags"), F.size(unknown).cast("long").alias("n_unknown"), F.array_join(F.array_sort(F.array_distinct(unknown)), ",").alias("unknown"))
+    """Tag-like fragments of pages that are no known tag, as the deck parser reports them for cards."""
+    card = F.struct(F.coalesce("html", F.lit("")).alias("question"), F.lit("x").alias("answer"), F.array(*map(F.lit, ("x", "y", "z", "w"))).alias("options"))
+    decks = table(spark, sf_dir, "pages").select(F.col("page_id").cast("string").alias("deck_id"), F.encode(F.to_json(F.array(card)), "UTF-8").alias("content"))
+    tags = F.col("question.tags")
+    return parse_decks(decks).select(F.col("deck_id").cast("long").alias("page_id"), F.size(tags).cast("long").alias("n_unknown"), F.array_join(F.slice(tags, 1, 3), " ").alias("first"), F.md5(F.array_join(tags, " ")).alias("digest"))
 
 
-UNKNOWN = rf"""WITH a AS (SELECT page_id, list_transform(regexp_extract_all(coalesce(html, ''), '</?\s*([A-Za-z][A-Za-z0-9-]*)', 1), lambda x: lower(x)) AS t FROM pages),
-b AS (SELECT page_id, t, list_filter(t, lambda x: NOT list_contains([{', '.join(f"'{t}'" for t in sorted(C.HTML_TAGS))}], x)) AS u FROM a)
-SELECT page_id, len(t) AS n_tags, len(u) AS n_unknown, array_to_string(list_sort(list_distinct(u)), ',') AS unknown FROM b"""
+UNKNOWN = rf"""WITH a AS (SELECT page_id, regexp_extract_all(coalesce(html, ''), '</?\s*[A-Za-z][A-Za-z0-9-]*[^>]*>') AS t FROM pages),
+b AS (SELECT page_id, list_filter(t, lambda x: NOT list_contains([{', '.join(f"'{t}'" for t in sorted(C.HTML_TAGS))}], lower(regexp_extract(x, '</?\s*([A-Za-z][A-Za-z0-9-]*)', 1)))) AS u FROM a),
+c AS (SELECT page_id, list_transform(u, lambda x: CASE WHEN length(x) <= {C.PREVIEW_SNIPPET} THEN x ELSE regexp_extract(x, '</?\s*[A-Za-z][A-Za-z0-9-]*') END) AS u FROM b)
+SELECT page_id, len(u) AS n_unknown, array_to_string(u[1:3], ' ') AS first, md5(array_to_string(u, ' ')) AS digest FROM c"""
 
 
 # ---- duplicates and page lists
@@ -224,59 +223,68 @@ c AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY n DESC, grey
 
 
 def ink_ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first 1024 ASCII characters of a document as a raster of 64 by 16 grey pixels, with two text boxes."""
+    """All ASCII characters of a document as a raster of 64 grey pixels a line, with two text boxes."""
     d = F.col("doc_id")
-    samples = F.encode(F.rpad(F.left(F.regexp_replace(F.coalesce("text", F.lit("")), "[^ -~]", ""), F.lit(1024)), 1024, "#"), "UTF-8")
+    ascii_text = F.regexp_replace(F.coalesce("text", F.lit("")), "[^ -~]", "")
+    rows = table(spark, sf_dir, "documents").select("doc_id", ascii_text.alias("t")).withColumn("h", F.greatest(F.ceil(F.length("t") / 64), F.lit(1)).cast("int"))
+    samples = F.encode(F.rpad("t", F.col("h") * 64, F.lit("#")), "UTF-8")
     box = lambda i: F.struct(F.lit(i).alias("seq"), (d % 20 * 2 + i * 50).cast("double").alias("x0"), (d % 5 * 4).cast("double").alias("y0"), (d % 20 * 2 + i * 50 + 33).cast("double").alias("x1"), (d % 5 * 4 + 12).cast("double").alias("y1"), F.lit("").alias("text"), F.lit(0).alias("type"))
-    raster = F.struct(F.lit(64).alias("w"), F.lit(16).alias("h"), F.lit(64).alias("stride"), samples.alias("samples"))
-    rows = table(spark, sf_dir, "documents").select("doc_id", raster.alias("raster"), F.array(box(0), box(1)).alias("blocks"))
-    return rows.select("doc_id", layout.ink_udf("raster", "blocks", F.lit(0.0), F.lit(0.0)).alias("i")).select("doc_id", "i.ink_ratio", "i.nontext_ink_ratio")
+    raster = F.struct(F.lit(64).alias("w"), "h", F.lit(64).alias("stride"), samples.alias("samples"))
+    found = rows.select("doc_id", layout.ink_udf(raster, F.array(box(0), box(1)), F.lit(0.0), F.lit(0.0)).alias("i"))
+    return found.select("doc_id", F.round("i.ink_ratio", 9).alias("ink_ratio"), F.round("i.nontext_ink_ratio", 9).alias("nontext_ink_ratio"))
 
 
-INK = """WITH a AS (SELECT doc_id, rpad(left(regexp_replace(coalesce(text, ''), '[^ -~]', '', 'g'), 1024), 1024, '#') AS s FROM documents),
-p AS (SELECT doc_id, i, i % 64 AS x, i // 64 AS y, ascii(substr(s, (i + 1)::INT, 1)) AS g FROM a, range(0, 1024) AS t(i)),
+INK = """WITH r AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[^ -~]', '', 'g') AS t FROM documents), a AS (SELECT doc_id, greatest(1, ceil(length(t) / 64.0))::BIGINT AS h, t FROM r),
+b AS (SELECT doc_id, h, encode(rpad(t, (h * 64)::INT, '#')) AS s FROM a), c AS (SELECT doc_id, h, hex(s) AS x FROM b),
+p AS (SELECT doc_id, h, i, i % 64 AS x, i // 64 AS y, ('0x' || substr(x, (2 * i + 1)::INT, 2))::INT AS g FROM c, range(0, h * 64) AS t(i)),
 m AS (SELECT doc_id, g AS bg FROM (SELECT doc_id, g, row_number() OVER (PARTITION BY doc_id ORDER BY count(*) DESC, g) AS k FROM p GROUP BY doc_id, g) WHERE k = 1),
-q AS (SELECT p.doc_id, abs(g - bg) > 48 AS ink, x, y, (p.doc_id % 20) * 2 AS bx, (p.doc_id % 5) * 4 AS b_y FROM p JOIN m USING (doc_id)),
-o AS (SELECT doc_id, ink, ((x >= greatest(0, trunc((bx - 3) * 0.5)) AND x < least(64, trunc((bx + 36) * 0.5) + 1)) OR (x >= greatest(0, trunc((bx + 47) * 0.5)) AND x < least(64, trunc((bx + 86) * 0.5) + 1)))
-  AND y >= greatest(0, trunc((b_y - 3) * 0.5)) AND y < least(16, trunc((b_y + 15) * 0.5) + 1) AS inside FROM q)
-SELECT doc_id, count(*) FILTER (WHERE ink) / 1024.0::DOUBLE AS ink_ratio, count(*) FILTER (WHERE ink AND NOT inside) / 1024.0::DOUBLE AS nontext_ink_ratio FROM o GROUP BY doc_id"""
+q AS (SELECT p.doc_id, h, abs(g - bg) > 48 AS ink, x, y, (p.doc_id % 20) * 2 AS bx, (p.doc_id % 5) * 4 AS b_y FROM p JOIN m USING (doc_id)),
+o AS (SELECT doc_id, h, ink, ((x >= greatest(0, trunc((bx - 3) * 0.5)) AND x < least(64, trunc((bx + 36) * 0.5) + 1)) OR (x >= greatest(0, trunc((bx + 47) * 0.5)) AND x < least(64, trunc((bx + 86) * 0.5) + 1)))
+  AND y >= greatest(0, trunc((b_y - 3) * 0.5)) AND y < least(h, trunc((b_y + 15) * 0.5) + 1) AS inside FROM q)
+SELECT doc_id, round(count(*) FILTER (WHERE ink) / (64.0::DOUBLE * max(h)), 9) AS ink_ratio, round(count(*) FILTER (WHERE ink AND NOT inside) / (64.0::DOUBLE * max(h)), 9) AS nontext_ink_ratio FROM o GROUP BY doc_id"""
 
 
 # ---- decisions
 
 
 def measured(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as pages: text metrics as they are, layout metrics by rule."""
-    d = F.col("doc_id")
-    t = F.coalesce(F.when(d % 17 == 0, F.lit("")).when(d % 19 == 0, F.regexp_replace("text", "[a-z]", "-")).when(d % 23 == 0, F.regexp_replace("text", "[aeiou]", "�")).when(d % 5 == 0, F.left("text", F.lit(40))).otherwise(F.col("text")), F.lit(""))
-    rows = table(spark, sf_dir, "documents").select("doc_id", "source", t.alias("text"))
+    """Each document's whole text as a page, and beside it, by rule, pages that are empty, unreadable or short; layout metrics by rule."""
+    d, t = F.col("doc_id"), F.coalesce("text", F.lit(""))
+    variants = (
+        (F.lit(True), t), (d % 17 == 0, F.lit("")), (d % 19 == 0, F.regexp_replace(t, "[a-z]", "-")), (d % 23 == 0, F.regexp_replace(t, "[aeiou]", "�")), (d % 5 == 0, F.concat(F.lit("A line of page "), d.cast("string"))),
+    )
+    pages_of = F.array_compact(F.array(*(F.when(held, F.struct(F.lit(i).alias("v"), text.alias("text"))) for i, (held, text) in enumerate(variants))))
+    rows = table(spark, sf_dir, "documents").select("doc_id", "source", F.explode(pages_of).alias("p")).select("doc_id", "source", "p.*").withColumn("k", F.col("doc_id") + F.col("v"))
+    k = F.col("k")
     return rows.select(
-        F.concat(F.lit("doc"), "doc_id").alias("doc_id"), (d % 9 + 1).cast("int").alias("page_no"), "source", "text", X.count_chars(F.col("text")).alias("chars"), X.garbage_ratio(F.col("text")).alias("garbage_ratio"),
-        X.alnum_ratio(F.col("text")).alias("alnum_ratio"), ((d % 4) / 1000.0).alias("ink_ratio"), ((d % 5) / 100.0).alias("nontext_ink_ratio"), (d % 6).cast("int").alias("image_count"), ((d % 7) / 10.0).alias("image_coverage"),
-        (d % 11 * 9).cast("int").alias("drawing_count"), (d % 3).cast("int").alias("table_count"), (d % 15).cast("int").alias("block_count"), ((d % 50) / 1.0).alias("median_block_chars"), (d % 8 == 0).alias("multi_column"),
-        (d % 6).cast("int").alias("order_jumps"), (X.count_math(F.col("text")) >= C.MATH_LEAST).alias("has_math"), F.when(d % 31 == 0, F.lit("ValueError: damaged")).alias("error"),
+        F.concat(F.lit("doc"), "doc_id").alias("doc_id"), (d * 5 + F.col("v")).cast("int").alias("page_no"), "source", "text", X.count_chars(F.col("text")).alias("chars"), X.garbage_ratio(F.col("text")).alias("garbage_ratio"),
+        X.alnum_ratio(F.col("text")).alias("alnum_ratio"), ((k % 4) / 1000.0).alias("ink_ratio"), ((k % 5) / 100.0).alias("nontext_ink_ratio"), (k % 6).cast("int").alias("image_count"), ((k % 7) / 10.0).alias("image_coverage"),
+        (k % 11 * 9).cast("int").alias("drawing_count"), (k % 3).cast("int").alias("table_count"), (k % 15).cast("int").alias("block_count"), ((k % 50) / 1.0).alias("median_block_chars"), (k % 8 == 0).alias("multi_column"),
+        (k % 6).cast("int").alias("order_jumps"), (X.count_math(F.col("text")) >= C.MATH_LEAST).alias("has_math"), F.when(k % 31 == 0, F.lit("ValueError: damaged")).alias("error"),
     )
 
 
-MEASURED = rf"""t0 AS (SELECT doc_id, source, coalesce(CASE WHEN doc_id % 17 = 0 THEN '' WHEN doc_id % 19 = 0 THEN regexp_replace(text, '[a-z]', '-', 'g') WHEN doc_id % 23 = 0 THEN regexp_replace(text, '[aeiou]', chr(65533), 'g')
-  WHEN doc_id % 5 = 0 THEN left(text, 40) ELSE text END, '') AS text FROM documents),
+MEASURED = rf"""whole AS (SELECT doc_id AS d, source, coalesce(text, '') AS text FROM documents),
+t0 AS (SELECT *, d + v AS k, 'doc' || d AS doc_id, (d * 5 + v)::INT AS page_no FROM (SELECT d, source, 0 AS v, text FROM whole UNION ALL SELECT d, source, 1, '' FROM whole WHERE d % 17 = 0
+  UNION ALL SELECT d, source, 2, regexp_replace(text, '[a-z]', '-', 'g') FROM whole WHERE d % 19 = 0 UNION ALL SELECT d, source, 3, regexp_replace(text, '[aeiou]', chr(65533), 'g') FROM whole WHERE d % 23 = 0
+  UNION ALL SELECT d, source, 4, 'A line of page ' || d FROM whole WHERE d % 5 = 0)),
 t1 AS (SELECT *, regexp_replace(text, '{SQL_SPACE}', '', 'g') AS s FROM t0),
 t2 AS (SELECT *, length(s) AS chars, CASE WHEN length(s) > 0 THEN length(regexp_replace(s, '[^\x{{fffd}}\p{{Co}}\p{{Cc}}]', '', 'g')) / length(s)::DOUBLE ELSE 0 END AS garbage,
-  CASE WHEN length(s) > 0 THEN length(regexp_replace(s, '[^\p{{L}}\p{{N}}]', '', 'g')) / length(s)::DOUBLE ELSE 1 END AS alnum, (doc_id % 7) / 10.0::DOUBLE AS coverage, doc_id % 31 = 0 AS failed FROM t1),
-t3 AS (SELECT *, CASE WHEN chars = 0 AND (doc_id % 4) / 1000.0::DOUBLE < 0.001 THEN NULL WHEN chars = 0 THEN 'no_text' WHEN garbage > 0.10 THEN 'garbled' WHEN chars >= 20 AND alnum < 0.15 THEN 'few_letters'
-  WHEN chars < 50 AND ((doc_id % 5) / 100.0::DOUBLE >= 0.02 OR coverage >= 0.10) THEN 'short' END AS quality_code FROM t2),
+  CASE WHEN length(s) > 0 THEN length(regexp_replace(s, '[^\p{{L}}\p{{N}}]', '', 'g')) / length(s)::DOUBLE ELSE 1 END AS alnum, (k % 7) / 10.0::DOUBLE AS coverage, k % 31 = 0 AS failed FROM t1),
+t3 AS (SELECT *, CASE WHEN chars = 0 AND (k % 4) / 1000.0::DOUBLE < 0.001 THEN NULL WHEN chars = 0 THEN 'no_text' WHEN garbage > 0.10 THEN 'garbled' WHEN chars >= 20 AND alnum < 0.15 THEN 'few_letters'
+  WHEN chars < 50 AND ((k % 5) / 100.0::DOUBLE >= 0.02 OR coverage >= 0.10) THEN 'short' END AS quality_code FROM t2),
 t4 AS (SELECT *, CASE WHEN failed THEN 'replace' WHEN quality_code IN ('no_text', 'garbled', 'few_letters') THEN 'replace' WHEN quality_code IS NOT NULL OR coverage >= 0.4 THEN 'supplement' END AS ocr_mode,
-  CASE WHEN failed THEN 0 ELSE (coverage >= 0.3)::INT + (coverage < 0.3 AND doc_id % 6 >= 3)::INT + ((doc_id % 11) * 9 >= 50)::INT + (doc_id % 3 > 0)::INT + (doc_id % 15 >= 12 AND doc_id % 50 < 25)::INT END AS n_reasons,
-  NOT failed AND doc_id % 6 >= 2 AND doc_id % 6 >= 0.25 * greatest(doc_id % 15 - 1, 1) AS jumps FROM t3)"""
+  CASE WHEN failed THEN 0 ELSE (coverage >= 0.3)::INT + (coverage < 0.3 AND k % 6 >= 3)::INT + ((k % 11) * 9 >= 50)::INT + (k % 3 > 0)::INT + (k % 15 >= 12 AND k % 50 < 25)::INT END AS n_reasons,
+  NOT failed AND k % 6 >= 2 AND k % 6 >= 0.25 * greatest(k % 15 - 1, 1) AS jumps FROM t3)"""
 
 
 def quality_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
     decided = pages.decide(measured(spark, sf_dir))
     reasons = F.when(F.col("error").isNotNull(), F.lit(0)).otherwise(F.size(pages.complex_reasons()))
-    return decided.select("doc_id", "quality_code", "ocr_mode", F.col("ocr_reason").isNotNull().alias("has_reason"), reasons.cast("long").alias("n_reasons"))
+    return decided.select("doc_id", "page_no", "quality_code", "ocr_mode", F.col("ocr_reason").isNotNull().alias("has_reason"), reasons.cast("long").alias("n_reasons"))
 
 
-DECISION = f"WITH {MEASURED} SELECT 'doc' || doc_id AS doc_id, quality_code, ocr_mode, ocr_mode IS NOT NULL AS has_reason, n_reasons::BIGINT AS n_reasons FROM t4"
+DECISION = f"WITH {MEASURED} SELECT doc_id, page_no, quality_code, ocr_mode, ocr_mode IS NOT NULL AS has_reason, n_reasons::BIGINT AS n_reasons FROM t4"
 
 
 def quality_summary_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -293,35 +301,26 @@ count(*) FILTER (WHERE quality_code = 'no_text') AS no_text, count(*) FILTER (WH
 
 def page_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pages.assemble(pages.decide(measured(spark, sf_dir)))
-    return found.select("doc_id", "method", "blank", "low_confidence", "complex_content", F.size("warnings").cast("long").alias("n_warnings"), F.size("notes").cast("long").alias("n_notes"), "needs_review", "is_problem")
+    return found.select("doc_id", "page_no", "method", "blank", "low_confidence", "complex_content", F.size("warnings").cast("long").alias("n_warnings"), F.size("notes").cast("long").alias("n_notes"), "needs_review", "is_problem")
 
 
-RESULTS = f"""WITH {MEASURED}, r AS (SELECT 'doc' || doc_id AS doc_id, CASE WHEN failed THEN 'FAILED' ELSE 'DIRECT' END AS method, NOT failed AND chars = 0 AND ocr_mode IS NULL AS blank, NOT failed AND coalesce(ocr_mode = 'replace', false) AS low_confidence,
+RESULTS = f"""WITH {MEASURED}, r AS (SELECT doc_id, page_no, CASE WHEN failed THEN 'FAILED' ELSE 'DIRECT' END AS method, NOT failed AND chars = 0 AND ocr_mode IS NULL AS blank, NOT failed AND coalesce(ocr_mode = 'replace', false) AS low_confidence,
 n_reasons > 0 AS complex_content, failed::INT + (NOT failed AND ocr_mode IS NOT NULL)::INT + (n_reasons > 0)::INT + jumps::INT AS n_warnings,
-(NOT failed AND chars = 0 AND ocr_mode IS NULL)::INT + (NOT failed AND doc_id % 8 = 0)::INT + (NOT failed AND length(text) - length(translate(text, '{C.MATH_SIGNS}', '')) >= 3)::INT AS n_notes, ocr_mode FROM t4)
-SELECT doc_id, method, blank, low_confidence, complex_content, n_warnings::BIGINT AS n_warnings, n_notes::BIGINT AS n_notes, n_warnings > 0 AS needs_review, n_warnings > 0 OR ocr_mode IS NOT NULL AS is_problem FROM r"""
-
-
-def page_text_render(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = pages.assemble(pages.decide(measured(spark, sf_dir)))
-    shown = F.element_at(F.split(page_text(), "\n"), 1)
-    return found.select("doc_id", shown.alias("marker"), F.element_at(F.split(page_text(), "\n"), 2).alias("extraction"), F.endswith(page_text(), F.concat("text", F.lit("\n"))).alias("has_text"))
-
-
-RENDER = f"WITH {MEASURED} SELECT 'doc' || doc_id AS doc_id, '--- PAGE ' || (doc_id % 9 + 1) || ' ---' AS marker, '[EXTRACTION: ' || CASE WHEN failed THEN 'FAILED' ELSE 'DIRECT' END || ']' AS extraction, true AS has_text FROM t4"
+(NOT failed AND chars = 0 AND ocr_mode IS NULL)::INT + (NOT failed AND k % 8 = 0)::INT + (NOT failed AND length(text) - length(translate(text, '{C.MATH_SIGNS}', '')) >= 3)::INT AS n_notes, ocr_mode FROM t4)
+SELECT doc_id, page_no, method, blank, low_confidence, complex_content, n_warnings::BIGINT AS n_warnings, n_notes::BIGINT AS n_notes, n_warnings > 0 AS needs_review, n_warnings > 0 OR ocr_mode IS NOT NULL AS is_problem FROM r"""
 
 
 # ---- cards
 
 
-def card_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+def card_values(spark: SparkSession, sf_dir: str, deck: Column | str = "p_size") -> DataFrame:
     """(deck_id, number, question, answer, o: options) from parts, with faults by rule."""
     p = F.col("p_partkey")
-    base = table(spark, sf_dir, "part").select("*", F.row_number().over(Window.partitionBy("p_size").orderBy("p_partkey")).alias("number"))
+    base = table(spark, sf_dir, "part").select("*", F.row_number().over(Window.partitionBy(deck).orderBy("p_partkey")).alias("number"), (F.col(deck) if isinstance(deck, str) else deck).cast("string").alias("deck_id"))
     fourth = F.when(p % 17 == 0, F.upper("p_brand")).otherwise(F.concat(F.lit("size "), F.col("p_size").cast("string"), F.lit("\t"), F.lit('"'), "p_partkey"))
     options = F.when(p % 10 == 0, F.array(*map(F.lit, ("w", "x", "y", "z")))).when(p % 19 == 0, F.array("p_name", "p_brand", "p_type")).otherwise(F.array("p_name", "p_brand", "p_type", fourth))
     question = F.when(p % 11 == 0, "  ").when(p % 13 == 0, "<b></b>").when(p % 29 == 0, "TODO").when(p % 5 == 0, F.concat(F.lit("Same <i>question</i> "), (p % 15).cast("string"))).otherwise(F.concat_ws(" ", F.lit("#"), "p_type", "p_brand", (p % 40).cast("string")))
-    rows = base.select(F.col("p_size").cast("string").alias("deck_id"), "number", p.alias("p"), "p_name", question.alias("question"), options.alias("o"))
+    rows = base.select("deck_id", "number", p.alias("p"), "p_name", question.alias("question"), options.alias("o"))
     answer = F.when(F.col("p") % 23 == 0, "nothing").when((F.col("p") % 7 == 0) & (F.col("p") % 10 != 0), F.upper("p_name")).otherwise(F.get("o", (F.col("p") % 3).cast("int")))
     return rows.select("deck_id", "number", "question", answer.alias("answer"), "o")
 
@@ -342,7 +341,7 @@ c7 AS (SELECT *, CASE WHEN valid THEN min(CASE WHEN valid THEN number END) OVER
 cards AS (SELECT *, CASE WHEN valid AND gn > 1 THEN g END AS question_group, ['A', 'B', 'C', 'D'][list_position(o, answer)] AS letter FROM c7)"""
 
 
-def card_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+def card_rows(spark: SparkSession, sf_dir: str, deck: Column | str = "p_size") -> DataFrame:
     """The same as parsed cards."""
 
     def field(value: Column) -> Column:
@@ -353,7 +352,7 @@ def card_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     keys = F.array(*(F.struct(F.lit(k).alias("name"), F.lit(f"'{k}'").alias("repr"), F.lit(None).cast("string").alias("hint")) for k in C.REQUIRED))
     items = F.struct(F.lit("list").alias("py_type"), F.transform("o", field).alias("items"))
     empty = field(F.lit(None).cast("string"))
-    return card_values(spark, sf_dir).select(
+    return card_values(spark, sf_dir, deck).select(
         "deck_id", F.lit("Python").alias("format"), F.array().cast("array<string>").alias("notes"), F.lit(None).cast("string").alias("error"), "number", F.lit("dict").alias("py_type"), F.concat(F.lit("question: "), "question").alias("label"),
         keys.alias("keys"), field(F.col("question")).alias("question"), field(F.col("answer")).alias("answer"), F.when(F.lit(False), empty).alias("explanation"), items.alias("options"),
     )
@@ -425,13 +424,13 @@ TSV = f"WITH {CARDS} SELECT deck_id, number, concat_ws(chr(9), {', '.join(TSV_FI
 def letter_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = F.col("p_partkey")
     options = F.array(*(F.concat(F.element_at(F.array(*map(F.lit, ("A. ", "(b) ", "c", "", " D: "))), ((p + i) % 5 + 1).cast("int")), F.col(c).cast("string")) for i, c in enumerate(("p_name", "p_brand", "p_type", "p_size"))))
-    labelled = F.size(F.filter(options, lambda o: o.rlike(C.OPTION_LABEL)))
-    return table(spark, sf_dir, "part").select("p_partkey", labelled.cast("long").alias("labelled"), (labelled >= 2).alias("warn"))
+    labelled = cards.labelled_letters(options)
+    return table(spark, sf_dir, "part").select("p_partkey", F.array_join(labelled, "").alias("labelled"), (F.size(labelled) >= 2).alias("warn"))
 
 
 LABELS = r"""WITH a AS (SELECT p_partkey, [['A. ', '(b) ', 'c', '', ' D: '][((p_partkey + 0) % 5 + 1)::INT] || p_name, ['A. ', '(b) ', 'c', '', ' D: '][((p_partkey + 1) % 5 + 1)::INT] || p_brand, ['A. ', '(b) ', 'c', '', ' D: '][((p_partkey + 2) % 5 + 1)::INT] || p_type,
-['A. ', '(b) ', 'c', '', ' D: '][((p_partkey + 3) % 5 + 1)::INT] || p_size] AS o FROM part), b AS (SELECT p_partkey, len(list_filter(o, lambda x: regexp_matches(x, '^\s*(?:\(?[A-Da-d]\)|[A-Da-d][.:)])\s+'))) AS labelled FROM a)
-SELECT p_partkey, labelled, labelled >= 2 AS warn FROM b"""
+['A. ', '(b) ', 'c', '', ' D: '][((p_partkey + 3) % 5 + 1)::INT] || p_size] AS o FROM part), b AS (SELECT p_partkey, list_filter(['A', 'B', 'C', 'D'], lambda x, i: regexp_matches(o[i], '^\s*(?:\(?[A-Da-d]\)|[A-Da-d][.:)])\s+')) AS l FROM a)
+SELECT p_partkey, array_to_string(l, '') AS labelled, len(l) >= 2 AS warn FROM b"""
 
 
 def stable_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -442,13 +441,13 @@ IDS = "SELECT c_custkey, 1073741824 + ('0x' || substr(sha256('deck:' || c_name),
 
 
 def option_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What a shuffle must keep: the answer, and the options as a set."""
-    valid = cards.validate(card_rows(spark, sf_dir))
-    rows = cards.export_rows(valid, seed=42)
-    return rows.select("deck_id", F.col("number").cast("long").alias("number"), "CorrectAnswer", F.array_join(F.array_sort(F.array(*(f"Option{x}" for x in C.LETTERS))), "|").alias("options"))
+    """Where a shuffle puts each option, and the answer's new letter."""
+    rows = cards.export_rows(cards.validate(card_rows(spark, sf_dir)), seed=42)
+    return rows.select("deck_id", F.col("number").cast("long").alias("number"), F.concat_ws("|", *(f"Option{x}" for x in C.LETTERS)).alias("options"), "CorrectAnswer", "CorrectLetter")
 
 
-SHUFFLE = f"""WITH {CARDS} SELECT deck_id, number, answer AS "CorrectAnswer", array_to_string(list_sort(o), '|') AS options FROM cards WHERE valid"""
+SHUFFLED = "s0 AS (SELECT *, list_sort(list_transform([1, 2, 3, 4], lambda i: {'k': sha256('42:' || deck_id || ':' || number || ':' || (i - 1)), 'o': o[i]})) AS h FROM cards WHERE valid), s1 AS (SELECT *, list_transform(h, lambda x: x.o) AS mixed FROM s0)"
+SHUFFLE = f"""WITH {CARDS}, {SHUFFLED} SELECT deck_id, number, array_to_string(mixed, '|') AS options, answer AS "CorrectAnswer", ['A', 'B', 'C', 'D'][list_position(mixed, answer)] AS "CorrectLetter" FROM s1"""
 
 
 def file_names(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -469,35 +468,6 @@ def math_count(spark: SparkSession, sf_dir: str) -> DataFrame:
 MATH = "WITH a AS (SELECT doc_id, (length(coalesce(text, '')) - length(replace(coalesce(text, ''), 'on', ''))) // 2 AS n FROM documents) SELECT doc_id, n, n >= 3 AS has_math FROM a"
 
 
-def ocr_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Mean confidence by document, and how many words count for it, straight from the words."""
-    held = words(spark, sf_dir).where((F.col("level") == ocr_words.WORD_LEVEL) & (X.without_space(F.col("text")) != "") & (F.col("conf") >= 0))
-    return held.groupBy("doc_id").agg((F.sum("conf") / F.count("*")).alias("confidence"), F.count("*").alias("words"))
-
-
-CONFIDENCE = rf"""WITH s AS (SELECT doc_id, string_split(coalesce(text, ''), ' ') AS w FROM documents), r AS (SELECT doc_id, p - 1 AS i, w[p] AS text FROM s, range(1, len(w) + 1) AS t(p)),
-k AS (SELECT doc_id, ((doc_id * 31 + i * 17) % 103 - 2)::DOUBLE AS conf FROM r WHERE i % 9 <> 4 AND i % 13 <> 5 AND regexp_replace(text, '{SQL_SPACE}', '', 'g') <> '')
-SELECT doc_id, sum(conf) / count(*) AS confidence, count(*) AS words FROM k WHERE conf >= 0 GROUP BY doc_id"""
-
-
-def page_summary_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sources as documents of one page a row: how many pages are of each kind, and those to review as ranges."""
-    from .pages import page_lists
-
-    rows = measured(spark, sf_dir).withColumn("page_no", F.substring("doc_id", 4, 20).cast("int")).withColumn("doc_id", F.col("source"))
-    lists = page_lists(pages.assemble(pages.decide(rows)))
-    kinds = ("pages", "direct", "failed", "skipped_ocr", "low_confidence", "complex", "blank", "review")
-    return lists.select("doc_id", *(F.size(k).cast("long").alias(k) for k in kinds), page_list(lists["blank"]).alias("blank_pages"))
-
-
-PAGE_SUMMARY = f"""WITH {MEASURED}, r AS (SELECT *, NOT failed AND chars = 0 AND ocr_mode IS NULL AS blank, failed::INT + (NOT failed AND ocr_mode IS NOT NULL)::INT + (n_reasons > 0)::INT + jumps::INT > 0 AS review FROM t4),
-i AS (SELECT source, doc_id, doc_id - row_number() OVER (PARTITION BY source ORDER BY doc_id) AS g FROM r WHERE blank), j AS (SELECT source, min(doc_id) AS lo, max(doc_id) AS hi FROM i GROUP BY source, g),
-k AS (SELECT source, string_agg(CASE WHEN lo = hi THEN lo::VARCHAR ELSE lo || '-' || hi END, ', ' ORDER BY lo) AS t FROM j GROUP BY source)
-SELECT source AS doc_id, count(*) AS pages, count(*) FILTER (WHERE NOT failed) AS direct, count(*) FILTER (WHERE failed) AS failed, count(*) FILTER (WHERE ocr_mode IS NOT NULL) AS skipped_ocr,
-count(*) FILTER (WHERE NOT failed AND coalesce(ocr_mode = 'replace', false)) AS low_confidence, count(*) FILTER (WHERE n_reasons > 0) AS complex, count(*) FILTER (WHERE blank) AS blank, count(*) FILTER (WHERE review) AS review,
-coalesce(max(k.t), '') AS blank_pages FROM r LEFT JOIN k USING (source) GROUP BY source"""
-
-
 def card_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = cards.validate(card_rows(spark, sf_dir)).where(F.col("duplicate_of").isNotNull())
     return found.select("deck_id", F.col("number").cast("long").alias("number"), F.col("duplicate_of").cast("long").alias("duplicate_of"))
@@ -529,47 +499,10 @@ MOST = """WITH a AS (SELECT c_custkey AS deck_id, c_custkey * 3 % 5 AS p, c_cust
 SELECT deck_id, CASE greatest(p, q, r, s) WHEN p THEN 'A' WHEN q THEN 'B' WHEN r THEN 'C' ELSE 'D' END AS most, CASE least(p, q, r, s) WHEN p THEN 'A' WHEN q THEN 'B' WHEN r THEN 'C' ELSE 'D' END AS least FROM a"""
 
 
-def normalize_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Case-folded visible text with all HTML entities."""
-    return table(spark, sf_dir, "pages").select("page_id", F.md5(X.normalize_udf("html")).alias("digest"))
-
-
-def suspicious_fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tag-like fragments of pages, as the deck parser reports them for cards."""
-    card = F.struct(F.coalesce("html", F.lit("")).alias("question"), F.lit("x").alias("answer"), F.array(*map(F.lit, ("x", "y", "z", "w"))).alias("options"))
-    decks = table(spark, sf_dir, "pages").select(F.col("page_id").cast("string").alias("deck_id"), F.encode(F.to_json(F.array(card)), "UTF-8").alias("content"))
-    return parse_decks(decks).select("deck_id", F.size("question.tags").alias("n"), F.slice("question.tags", 1, 3).alias("first"))
-
-
-def deck_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Validation reports of all decks, after shuffling."""
-    from .decks import run
-
-    return run(card_rows(spark, sf_dir), seed=42).reports
-
-
-def page_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The annotated text of each source's pages."""
-    from ..sinks.pages import document_texts
-
-    rows = measured(spark, sf_dir).withColumn("page_no", F.substring("doc_id", 4, 20).cast("int")).withColumn("doc_id", F.col("source"))
-    counts = rows.groupBy("doc_id").agg(F.count("*").alias("page_count"))
-    return document_texts(pages.assemble(pages.decide(rows)), counts).select("doc_id", F.length("content").alias("n"), F.md5("content").alias("digest"))
-
-
-ROWS_ONLY = ("normalize_exact", "suspicious_fragments", "deck_reports", "page_documents")
 SQL = {
     "text_clean": TEXT_CLEAN, "text_metrics": TEXT_METRICS, "visible_text": VISIBLE, "html_unknown_tags": UNKNOWN, "doc_normalized_dedup": DEDUP, "duplicate_groups": GROUPS, "page_ranges_rows": RANGES,
     "page_ranges_array": RANGES, "ocr_regroup": OCR, "block_median": MEDIAN, "two_column": COLUMNS, "order_jumps": JUMPS, "order_jumps_array": JUMPS, "image_coverage": COVERAGE, "ink_histogram_mode": MODE, "ink_ratios": INK,
-    "quality_decision": DECISION, "quality_summary_by_source": SUMMARY, "page_results": RESULTS, "page_text_render": RENDER, "card_validate": VALIDATE, "deck_parse_json": VALIDATE, "question_groups": QUESTION_GROUPS,
+    "quality_decision": DECISION, "quality_summary_by_source": SUMMARY, "page_results": RESULTS, "card_validate": VALIDATE, "deck_parse_json": VALIDATE, "question_groups": QUESTION_GROUPS,
     "deck_summary": DECK_SUMMARY, "answer_letter": LETTER, "answer_distribution": DISTRIBUTION, "tsv_rows": TSV, "letter_labels": LABELS, "stable_ids": IDS, "option_shuffle": SHUFFLE, "file_names": NAMES,
-    "math_count": MATH, "ocr_confidence": CONFIDENCE, "page_summary_by_source": PAGE_SUMMARY, "card_dedup": CARD_DEDUP, "answer_chi2": CHI2, "most_least_letter": MOST,
+    "math_count": MATH, "card_dedup": CARD_DEDUP, "answer_chi2": CHI2, "most_least_letter": MOST,
 }
-
-
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: globals()[name] for name in (*SQL, *ROWS_ONLY)}
-
-
-def oracle_sql() -> dict[str, str]:
-    return dict(SQL)

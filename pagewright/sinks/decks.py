@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pathlib import Path
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import config as C
@@ -62,9 +62,15 @@ def deck_tsvs(rows: DataFrame, *, header: str = "") -> DataFrame:
     return lines.select("deck_id", F.concat(F.lit(header), F.array_join(F.transform("x", lambda x: x["line"]), "\n"), F.lit("\n")).alias("content"))
 
 
-def export_dataset(rows: DataFrame, path: str) -> None:
-    """All decks' rows as text files in a folder by deck, written by Spark's committer."""
-    rows.select("deck_id", tsv_line().alias("line")).repartition("deck_id").write.partitionBy("deck_id").mode("overwrite").text(path)
+def export_dataset(rows: DataFrame, path: str, *, header: str = "") -> None:
+    """All decks' rows as text files in a folder by deck: the header, then the rows by number.
+
+    Spark writes and commits the files.  Rows are ordered in a task's partition, which spills, so no deck is gathered.
+    """
+    lines = rows.select("deck_id", F.col("number").cast("long").alias("number"), tsv_line().alias("line"))
+    if header:
+        lines = lines.unionAll(lines.select("deck_id").distinct().select("deck_id", F.lit(-1).cast("long"), F.lit(header.removesuffix("\n"))))
+    lines.repartition("deck_id").sortWithinPartitions("deck_id", "number").select("deck_id", "line").write.partitionBy("deck_id").mode("overwrite").text(path)
 
 
 def distribution_lines(dist: DataFrame) -> DataFrame:
@@ -158,8 +164,3 @@ def write_package(rows: DataFrame, path: str | Path, deck_name: str, tags: list[
         genanki.Package(deck).write_to_file(str(path))
     except OSError as error:
         raise C.InputError(f"Could not write {path}: {error.strerror or error}") from None
-
-
-def numbered(rows: DataFrame) -> DataFrame:
-    """Rows with their place in the deck, from 1."""
-    return rows.withColumn("place", F.row_number().over(Window.partitionBy("deck_id").orderBy("number")))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..config import InputError
 from ..functions.ranges import page_list
-from ..functions.text import percent, stem, zero_padded
+from ..functions.text import percent, zero_padded
 
 
 def page_text() -> Column:
@@ -90,7 +90,3 @@ def write_text(path: str | Path, content: str) -> None:
     except OSError as error:
         part.unlink(missing_ok=True)
         raise InputError(f"Could not write {path}: {error.strerror or error}") from None
-
-
-def output_names(documents: DataFrame) -> DataFrame:
-    return documents.select("doc_id", F.concat(stem(F.col("doc_id")), F.lit("_raw.txt")).alias("output_name"))

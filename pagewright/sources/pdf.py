@@ -91,11 +91,23 @@ def counted(probe) -> int:
         return 0
 
 
-def rendered(content: bytes, number: int, dpi: int, password: str | None = None) -> bytes:
-    """A page as PNG."""
+def opened(content: bytes, password: str | None = None):
+    """An open document; PyMuPDF closes it with the last reference."""
     import pymupdf
 
     document = pymupdf.open(stream=content, filetype="pdf")
     if document.needs_pass:
         document.authenticate(password or "")
+    return document
+
+
+def image_of(document, number: int, dpi: int) -> bytes:
+    """A page of an open document as PNG."""
+    import pymupdf
+
     return document[number - 1].get_pixmap(matrix=pymupdf.Matrix(dpi / 72, dpi / 72), alpha=False).tobytes("png")
+
+
+def rendered(content: bytes, number: int, dpi: int, password: str | None = None) -> bytes:
+    """A page as PNG."""
+    return image_of(opened(content, password), number, dpi)

@@ -72,8 +72,8 @@ def test_page_ranges(spark):
     for spec, said in (("0", "Invalid"), ("5-2", "Invalid"), ("a", "Use forms"), ("1-20", "past the end"), ("3,,x", "Invalid"), (" , ", "No pages"), ("9-", "Invalid")):
         with pytest.raises(InputError, match=said):
             parse_page_range(spec, 8)
-    df = spark.createDataFrame([([8, 1, 2, 3, 13, 9],), ([],), ([5],)], "p array<int>")
-    assert [r[0] for r in df.select(page_list(F.col("p"))).collect()] == ["1-3, 8-9, 13", "", "5"]
+    df = spark.createDataFrame([([8, 1, 2, 3, 13, 9],), ([],), ([5],), ([4, 4, 3],), ([1, 3, 5],), (list(range(200_000, 0, -1)),)], "p array<int>")
+    assert [r[0] for r in df.select(page_list(F.col("p"))).collect()] == ["1-3, 8-9, 13", "", "5", "3-4", "1, 3, 5", "1-200000"]
 
 
 def test_characters_like_python(spark):
@@ -178,6 +178,28 @@ def test_scans_failures_and_doubts(spark, tmp_path):
     assert sorted(p.name for p in tmp_path.iterdir()) == ["1", "2", "3", "4"]
 
 
+def test_a_file_is_opened_once_for_many_pages(spark, tmp_path):
+    """With a stand-in for the reader: pages in portions, one broken page and one broken file."""
+
+    def reader(content):
+        if content == b"broken":
+            raise OSError("cut off")
+        (tmp_path / f"{len(list(tmp_path.iterdir()))}").write_bytes(content)
+
+        def read(n):
+            if n == 5:
+                raise ValueError("blot")
+            return [{"word_idx": 0, "level": 5, "block_num": 1, "par_num": 1, "line_num": 1, "text": f"{content.decode()}{n}", "conf": 80.0}]
+
+        return read
+
+    files = spark.createDataFrame([("a", b"A"), ("b", b"broken"), ("c", b"never asked for")], "doc_id string, content binary")
+    needed = spark.createDataFrame([*(("a", n) for n in range(1, 71)), ("b", 1), ("b", 2)], "doc_id string, page_no int")
+    rows = {(r.doc_id, r.page_no): r for r in ocr.recogniser(files, reader=reader)(needed).coalesce(1).collect()}
+    assert len(rows) == 72 and len(list(tmp_path.iterdir())) == 3
+    assert rows["a", 70].text == "A70" and rows["a", 5].error == "ValueError: blot" and rows["b", 2].error == "OSError: cut off"
+
+
 def test_notes_and_options(spark):
     columns = [block(i, 40 if i < 2 else 320, 100 * (i % 2), 290 if i < 2 else 570, 100 * (i % 2) + 90, PROSE) for i in range(4)]
     jumpy = [block(i, 50, 700 - 60 * i, 200, 720 - 60 * i, PROSE) for i in range(4)]
