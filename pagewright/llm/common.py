@@ -46,6 +46,17 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, made longer until no column has them."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def some_of(rows: DataFrame, wanted: DataFrame, condition: Column, how: str) -> DataFrame:
     """Semi or anti join with a written table: broadcast if it is short, else by a hash join."""
     return rows.join(F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted.hint("shuffle_hash"), condition, how)

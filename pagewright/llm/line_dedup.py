@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import prepare, text_of, written
+from .common import prepare, text_of, unused, written
 
 WINDOW = 2
 LONG = 200
@@ -86,13 +86,14 @@ def repeated_lines(documents: DataFrame, *, key: str = "doc_id", text: str = "te
 
 def without_repeats(documents: DataFrame, *, key: str = "doc_id", text: str = "text", window: int = WINDOW, long: int = LONG) -> DataFrame:
     """The documents with repeated runs taken out of the text, and n_lines and n_removed, in place of columns of these names."""
-    gone = repeated_lines(documents, key=key, text=text, window=window, long=long).select(F.col("doc_id").alias("__id"), F.col("gone").alias("__gone"))
+    own, out = unused(documents, "__id", "__gone")
+    gone = repeated_lines(documents, key=key, text=text, window=window, long=long).select(F.col("doc_id").alias(own), F.col("gone").alias(out))
     # the texts stream past a hash table of a partition's removals instead of being sorted
-    joined = documents.join(gone.hint("shuffle_hash"), F.col(key).cast("long") == F.col("__id"), "left")
+    joined = documents.join(gone.hint("shuffle_hash"), F.col(key).cast("long") == F.col(own), "left")
     lines = lines_of(text_of(text))
-    kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("__gone"))
-    rest = F.when(F.col("__gone").isNull(), F.col(text)).otherwise(F.array_join(F.transform(kept, lambda i: F.get(lines, i)), "\n"))
-    made = {text: rest, "n_lines": F.size(lines).cast("long"), "n_removed": F.coalesce(F.size("__gone"), F.lit(0)).cast("long")}
+    kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(out))
+    rest = F.when(F.col(out).isNull(), F.col(text)).otherwise(F.array_join(F.transform(kept, lambda i: F.get(lines, i)), "\n"))
+    made = {text: rest, "n_lines": F.size(lines).cast("long"), "n_removed": F.coalesce(F.size(out), F.lit(0)).cast("long")}
     return joined.select(*(F.col(c) for c in documents.columns if c not in made), *(v.alias(k) for k, v in made.items()))
 
 

@@ -27,7 +27,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_IDS, partitions, prepare, some_of, text_of, written
+from .common import BROADCAST_IDS, partitions, prepare, some_of, text_of, unused, written
 
 KEY = "surrogates-1"
 #: After so many draws addresses may have octets of any width; after the last, no surrogate is left.
@@ -225,28 +225,29 @@ def pattern_of(held: Column) -> Column:
 def with_surrogates(documents: DataFrame, *, key: str = KEY, id_column: str = "doc_id", text: str = "text") -> DataFrame:
     """The documents with surrogates in the text, and mentions: the types in order, in place of a column of this name."""
     prepare(documents.sparkSession)
+    own, no, yes, map_, pattern, mentions = unused(documents, "__row", "__no", "__yes", "__held", "__pattern", "__found")
     row = F.xxhash64(F.col(id_column).cast("long"), F.col(text).cast("string"))
-    found = documents.select(row.alias("__row"), F.regexp_extract_all(text_of(text), F.lit(ANY), F.lit(0)).alias("found")).where(F.size("found") > 0)
-    parts = written(found.select("__row", F.explode(F.array_distinct("found")).alias("mention")).select("__row", F.explode(parts_of(F.col("mention"))).alias("p")).select("__row", "p.*").distinct())
+    found = documents.select(row.alias(own), F.regexp_extract_all(text_of(text), F.lit(ANY), F.lit(0)).alias("found")).where(F.size("found") > 0)
+    parts = written(found.select(own, F.explode(F.array_distinct("found")).alias("mention")).select(own, F.explode(parts_of(F.col("mention"))).alias("p")).select(own, "p.*").distinct())
     told = parts.groupBy("kind", "form").agg(F.min("gender").alias("low"), F.max("gender").alias("high"))
     gender = F.when(F.startswith("kind", F.lit("given")), F.coalesce(listed_gender(F.col("form")), F.when(F.col("low") == F.col("high"), F.col("low"))))
     names = written(mapping(told.select("kind", "form", gender.alias("gender")), key=key))
     entry = F.struct(F.concat("kind", F.lit(":"), "form").alias("k"), F.col("surrogate").alias("v"))
-    held = written(parts.join(names, ["kind", "form"]).groupBy("__row").agg(F.map_from_entries(F.collect_set(entry)).alias("__held")))
-    rows = held.select("__row")
-    new = {text: F.array_join(F.zip_with(F.split(text, F.col("__pattern"), -1), F.concat(F.transform("__found", lambda m: written_as(m, F.col("__held"))), F.array(F.lit(""))), lambda a, b: F.concat(a, b)), ""), "mentions": F.transform("__found", kind_of)}
+    held = written(parts.join(names, ["kind", "form"]).groupBy(own).agg(F.map_from_entries(F.collect_set(entry)).alias(map_)))
+    rows = held.select(own)
+    new = {text: F.array_join(F.zip_with(F.split(text, F.col(pattern), -1), F.concat(F.transform(mentions, lambda m: written_as(m, F.col(map_))), F.array(F.lit(""))), lambda a, b: F.concat(a, b)), ""), "mentions": F.transform(mentions, kind_of)}
     old = {text: F.col(text), "mentions": F.array().cast("array<string>")}
     shown = lambda df, made: df.select(*(F.col(c) for c in documents.columns if c not in made), *(v.alias(k) for k, v in made.items()))
-    keyed = documents.withColumn("__row", row)
+    keyed = documents.withColumn(own, row)
     if held.count() <= BROADCAST_IDS:  # then only texts with entities are shuffled
-        without = documents.join(F.broadcast(rows.withColumnRenamed("__row", "__no")), row == F.col("__no"), "left_anti")
-        keyed = some_of(keyed, rows.withColumnRenamed("__row", "__yes"), F.col("__row") == F.col("__yes"), "left_semi")
-        joined = keyed.join(held, "__row")
+        without = documents.join(F.broadcast(rows.withColumnRenamed(own, no)), row == F.col(no), "left_anti")
+        keyed = some_of(keyed, rows.withColumnRenamed(own, yes), F.col(own) == F.col(yes), "left_semi")
+        joined = keyed.join(held, own)
     else:
-        joined = keyed.join(held.hint("shuffle_hash"), "__row", "left")
-        without = joined.where("__held is null")
-        joined = joined.where("__held is not null")
-    joined = joined.withColumn("__pattern", pattern_of(F.col("__held"))).withColumn("__found", F.regexp_extract_all(text, F.col("__pattern"), F.lit(0)))
+        joined = keyed.join(held.hint("shuffle_hash"), own, "left")
+        without = joined.where(F.col(map_).isNull())
+        joined = joined.where(F.col(map_).isNotNull())
+    joined = joined.withColumn(pattern, pattern_of(F.col(map_))).withColumn(mentions, F.regexp_extract_all(text, F.col(pattern), F.lit(0)))
     return shown(without, old).unionAll(shown(joined, new))
 
 

@@ -7,12 +7,13 @@
 4. The rules that are left are compiled into one Spark expression, which scores every document.
 
 Labelled rows are learned from only if the CRC-32 of the doc_id as text, modulo ``FOLDS``, is not zero.  Of those, at
-most ``MOST_LABELLED`` are used, the first by a hash of the doc_id.  Labels, language, source and doc_id are no inputs
-of a score.
+most ``MOST_LABELLED`` ids are used, the first by a hash of the doc_id; where ids repeat in the documents, at most twice
+as many texts.  Labels, language, source and doc_id are no inputs of a score.
 
 Defined cases: null and empty texts have all statistics zero and get the score that the rules give them; with no
 labels, or labels of one kind, every score is the labels' mean (0.5 without labels); rows that repeat a doc_id get a
-row each.
+row each; long texts are read whole; an empty table gives an empty result; other columns are left aside, whatever their
+names.
 """
 
 from __future__ import annotations

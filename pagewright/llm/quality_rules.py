@@ -8,7 +8,10 @@ of its n-grams under the two, over their number.  It is kept if it passes the ba
 The counts come from every document.  Each task adds up its own bins before the shuffle, and the driver gets one row a
 bin, whatever the input.
 
-Defined cases: a null text has no words and fails the base; without trusted documents the score of every document is 0.
+Defined cases: a null text has no words and fails the base; without trusted documents the score of every document is 0;
+a score equal to the threshold is kept; repeated rows count as often as they occur and get equal rows; rows without
+id count too and are never trusted; long texts are read whole; an empty table gives an empty result; other columns are
+left alone, whatever their names.
 """
 
 from __future__ import annotations
@@ -23,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import prepare, row_chunks, string_parts, text_of
+from .common import BROADCAST_IDS, prepare, row_chunks, string_parts, text_of
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SYMBOL = re.compile(r"[#*$%&|<>]")
@@ -33,8 +36,6 @@ BUCKETS = 1 << 16
 MIN_WORDS, MOST_REPEATED = 50, 50
 THRESHOLD = -1.0
 SMOOTHING = 1.0
-#: So many trusted ids at most are broadcast; more are joined by a shuffle.
-BROADCAST_IDS = 2_000_000
 SCHEMA = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, llr double"
 
 

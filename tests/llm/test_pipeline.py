@@ -76,6 +76,58 @@ def test_quality_rules(spark):
     assert {r.llr for r in quality_rules.verdicts(more, trusted.limit(0)).collect()} == {0.0}
 
 
+def test_quality_rules_on_odd_rows(spark):
+    """Repeated rows, rows without id, a very long text, and columns named like the results."""
+    good, bad = " ".join(f"word{i % 60}a{i}" for i in range(80)), "one two three " * 40
+    rows = [(1, good, 5.0, False), (1, good, 5.0, False), (None, good, 1.0, True), (None, None, 0.0, True), (2, bad, 0.0, True), (3, good + " end" + " ".join(map(str, range(200_000))), 0.0, True)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, llr double, kept boolean")
+    trusted = spark.createDataFrame([(1,), (1,), (None,), (77,)], "doc_id long")
+    found = quality_rules.report(quality_rules.verdicts(df, trusted)).collect()
+    assert len(found) == 6 and len({tuple(r) for r in found if r.doc_id == 1}) == 1
+    expected, scores = verdicts([(i, r[1]) for i, r in enumerate(rows)], {0, 1})
+    assert sorted(round(r.llr, 3) for r in found) == sorted(round(x, 3) for x in scores.values())
+    kept = quality_rules.kept_documents(df, trusted)
+    assert kept.columns == df.columns and sorted(r.text for r in kept.collect()) == sorted(rows[i][1] for i, k in expected.items() if k)
+
+
+def test_components(spark):
+    """Chains, stars, cycles, repeated and loose edges, against joining sets."""
+    import random
+
+    from pagewright.llm.components import connected_components
+
+    rng = random.Random(2)
+    edges = [(i, i + 1) for i in range(100, 160)] + [(500, i) for i in range(400, 460)] + [(i, 300 + (i + 1) % 9) for i in range(300, 309)] + [(7, 7), (None, 3), (4, None), (9, 8), (8, 9), (9, 8)]
+    edges += [(rng.randrange(1000, 1200), rng.randrange(1000, 1200)) for _ in range(120)]
+    group = {}
+    for a, b in edges:
+        if a is not None and b is not None and a != b:
+            joined = group.get(a, {a}) | group.get(b, {b})
+            group.update(dict.fromkeys(joined, joined))
+    found = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "src long, dst long")).collect()}
+    assert found == {n: min(g) for n, g in group.items()}
+    assert connected_components(spark.createDataFrame([], "src long, dst long")).count() == 0
+
+
+def test_stages_with_odd_rows(spark):
+    """Columns named like those that operators make, null texts and ids, repeated rows: no stage fails, and the columns stay."""
+    text = " ".join(f"word{i * 7 % 90}" for i in range(120))
+    names = ["n_removed", "n_lines", "mentions", "__id", "__h", "__gone", "node", "h", "row", "key", "bits", "kept", "spans", "items"]
+    docs = spark.createDataFrame(
+        [(d, t, "en", "s", len(t or ""), *("x" for _ in names)) for d, t in ((1, text), (1, text), (2, None), (None, text), (None, None), (3, ""), (4, text + " more"), (5, "a\na\nb"))],
+        "doc_id long, text string, lang string, source string, n_chars int, " + ", ".join(f"`{n}` string" for n in names),
+    )
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        rows = stage(spark, docs, SF)
+        assert rows.columns == docs.columns, name
+        found = [r.doc_id for r in rows.collect()]
+        if name == "near_duplicates":
+            assert sorted(found, key=str) == [1, 1, 2, 5, None, None]
+        if name == "line_dedup":
+            assert len(found) == 8
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, SF).count() == 8
+
+
 def test_stages(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     trusted = {r.doc_id for r in quality_rules.trusted_of(spark.read.parquet(f"{SF}/labels.parquet")).collect()}
