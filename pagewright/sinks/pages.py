@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..config import InputError
 from ..functions.ranges import page_list
 from ..functions.text import percent, zero_padded
+from ..sources.rows import map_rows
 
 
 def page_text() -> Column:
@@ -68,16 +69,19 @@ def problem_images(results: DataFrame, page_counts: DataFrame) -> DataFrame:
     return held.select("doc_id", "page_no", F.concat(F.lit("page_"), zero_padded(F.col("page_no"), F.col("page_count")), F.lit(".png")).alias("image_name"))
 
 
-def save_images(images: DataFrame, render: Callable[[str, int], bytes], folder: str) -> None:
-    """Renders and writes each image on the executors; folders and names follow the document and the page."""
+def save_images(images: DataFrame, render: Callable[[str, int], bytes], folder: str) -> int:
+    """Renders each image on the executors; the driver, whose folder it is, takes one partition at a time and writes the files."""
 
-    def write(rows) -> None:
-        for r in rows:
-            target = Path(folder, f"{Path(r['doc_id']).stem}_problem_pages")
-            target.mkdir(parents=True, exist_ok=True)
-            (target / r["image_name"]).write_bytes(render(r["doc_id"], r["page_no"]))
+    def rows(doc_id: str, page_no: int, image_name: str) -> list[dict]:
+        return [{"place": f"{Path(doc_id).stem}_problem_pages/{image_name}", "image": render(doc_id, page_no)}]
 
-    images.foreachPartition(write)
+    n = 0
+    for r in map_rows(images.select("doc_id", "page_no", "image_name"), rows, "place string, image binary").toLocalIterator():
+        target = Path(folder, r["place"])
+        target.parent.mkdir(parents=True, exist_ok=True)
+        target.write_bytes(r["image"])
+        n += 1
+    return n
 
 
 def write_text(path: str | Path, content: str) -> None:

@@ -1,6 +1,5 @@
 """Every query that SQL can express, against DuckDB on the same tables."""
 
-import hashlib
 import math
 from pathlib import Path
 
@@ -8,8 +7,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from pagewright.functions.text import visible
-from pagewright.sources.decks import suspicious_tags
+from pagewright.plans import catalog
 
 SF = "/root/testdata/sf0.001"
 
@@ -43,19 +41,7 @@ def test_same_rows(spark, name):
     assert values
 
 
-@pytest.mark.parametrize("name", ["normalize_exact", "suspicious_fragments", "deck_reports", "page_documents"])
-def test_rows_without_sql(spark, name):
-    rows = entry.queries()[name](spark, SF).collect()
-    again = entry.queries()[name](spark, SF).collect()
-    assert rows and sorted(map(str, rows)) == sorted(map(str, again))
-    if name == "normalize_exact":
-        html = {r.page_id: r.html for r in spark.read.parquet(f"{SF}/pages.parquet").collect()}
-        assert {r.page_id: r.digest for r in rows} == {p: hashlib.md5(visible(h).casefold().encode()).hexdigest() for p, h in html.items()}
-    if name == "suspicious_fragments":
-        html = {str(r.page_id): r.html for r in spark.read.parquet(f"{SF}/pages.parquet").collect()}
-        assert {r.deck_id: r.n for r in rows} == {p: len(suspicious_tags(h)) for p, h in html.items()}
-
-
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+    assert set(catalog.queries()) == set(catalog.oracle_sql())
