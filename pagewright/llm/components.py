@@ -8,6 +8,12 @@ from pyspark.sql import functions as F
 from .common import prepare
 
 
+def settled(edges: DataFrame) -> bool:
+    """Whether all edges (u, v) are those of stars: each u hangs on one v, and no v on another."""
+    n, nodes = edges.agg(F.count("*"), F.count_distinct("u")).first()
+    return n == nodes and edges.join(edges.select(F.col("u").alias("v")), "v", "left_semi").isEmpty()
+
+
 def connected_components(edges: DataFrame, *, most_rounds: int = 60) -> DataFrame:
     """(node, component) for each node of ``edges`` (src, dst: long), the component being its least node.
 
@@ -19,8 +25,6 @@ def connected_components(edges: DataFrame, *, most_rounds: int = 60) -> DataFram
     prepare(edges.sparkSession)
     apart = edges.where("src <> dst and src is not null and dst is not null")
     now = apart.select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).distinct().checkpoint()
-    seal = lambda df: tuple(df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-    before = seal(now)
     for _ in range(most_rounds):
         both = now.unionAll(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")).checkpoint()
@@ -28,10 +32,8 @@ def connected_components(edges: DataFrame, *, most_rounds: int = 60) -> DataFram
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u")
         now = small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(low.select("u", F.col("m").alias("v"))).distinct().checkpoint()
-        seen = seal(now)
-        if seen == before:
+        if settled(now):
             break
-        before = seen
     else:
         raise RuntimeError("components have not settled")
     # the stars have settled: each node but the least hangs on the least
