@@ -235,8 +235,8 @@ def ink_ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 INK = """WITH r AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[^ -~]', '', 'g') AS t FROM documents), a AS (SELECT doc_id, greatest(1, ceil(length(t) / 64.0))::BIGINT AS h, t FROM r),
-b AS (SELECT doc_id, h, encode(rpad(t, (h * 64)::INT, '#')) AS s FROM a), c AS (SELECT doc_id, h, hex(s) AS x FROM b),
-p AS (SELECT doc_id, h, i, i % 64 AS x, i // 64 AS y, ('0x' || substr(x, (2 * i + 1)::INT, 2))::INT AS g FROM c, range(0, h * 64) AS t(i)),
+b AS (SELECT doc_id, h, unnest(range(0, h * 64)) AS i, unnest(string_split(rpad(t, (h * 64)::INT, '#'), '')) AS c FROM a),
+p AS (SELECT doc_id, h, i, i % 64 AS x, i // 64 AS y, ascii(c) AS g FROM b),
 m AS (SELECT doc_id, g AS bg FROM (SELECT doc_id, g, row_number() OVER (PARTITION BY doc_id ORDER BY count(*) DESC, g) AS k FROM p GROUP BY doc_id, g) WHERE k = 1),
 q AS (SELECT p.doc_id, h, abs(g - bg) > 48 AS ink, x, y, (p.doc_id % 20) * 2 AS bx, (p.doc_id % 5) * 4 AS b_y FROM p JOIN m USING (doc_id)),
 o AS (SELECT doc_id, h, ink, ((x >= greatest(0, trunc((bx - 3) * 0.5)) AND x < least(64, trunc((bx + 36) * 0.5) + 1)) OR (x >= greatest(0, trunc((bx + 47) * 0.5)) AND x < least(64, trunc((bx + 86) * 0.5) + 1)))
