@@ -19,14 +19,23 @@ class DeckRun:
     cards: DataFrame  # validated
     rows: DataFrame  # to export
     reports: DataFrame
+    held: tuple[DataFrame, ...] = ()
+
+    def release(self) -> None:
+        for df in self.held:
+            df.unpersist()
 
 
 def run(parsed: DataFrame, *, seed: int | None = None) -> DeckRun:
-    """From parsed decks to rows and reports."""
+    """From parsed decks to rows and reports.
+
+    Parsed and validated cards are persisted, as each section of a report reads them; ``release`` drops them.
+    """
+    parsed = parsed.persist()
     decks = parsed.groupBy("deck_id").agg(F.first("format").alias("format"), F.first("notes").alias("notes"), F.max("error").alias("error"))
-    cards = ops.validate(parsed)
+    cards = ops.validate(parsed).persist()
     plain = ops.export_rows(cards)
     before = ops.distribution_warnings(ops.distribution(plain))
     rows = plain if seed is None else ops.export_rows(cards, seed=seed)
     after = None if seed is None else ops.distribution_warnings(ops.distribution(rows))
-    return DeckRun(decks, cards, rows, sinks.reports(cards, decks.where(F.col("error").isNull()), before, after, seed=seed))
+    return DeckRun(decks, cards, rows, sinks.reports(cards, decks.where(F.col("error").isNull()), before, after, seed=seed), (cards, parsed))

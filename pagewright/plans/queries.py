@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from .. import config as C
 from ..functions import text as X
 from ..functions.ranges import page_list, page_ranges
-from ..operators import cards, layout, ocr_words, pages
+from ..operators import cards, duplicates, layout, ocr_words, pages
 from ..sinks.decks import tsv_line
 from ..sources.decks import parse_decks
 
@@ -89,11 +89,14 @@ SELECT page_id, len(u) AS n_unknown, array_to_string(u[1:3], ' ') AS first, md5(
 # ---- duplicates and page lists
 
 
+def keyed_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with the digest of their text but for case and white space."""
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(F.lower(X.squeezed(F.coalesce("text", F.lit(""))))).alias("key"))
+
+
 def doc_normalized_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first document with the same text but for case and white space, by a summed-up minimum and a join."""
-    keyed = table(spark, sf_dir, "documents").select("doc_id", F.md5(F.lower(X.squeezed(F.coalesce("text", F.lit(""))))).alias("key"))
-    first = keyed.groupBy("key").agg(F.min("doc_id").alias("first"))
-    return keyed.join(first, "key").select("doc_id", F.when(F.col("first") < F.col("doc_id"), F.col("first")).alias("duplicate_of"))
+    """The first document with the same text but for case and white space."""
+    return duplicates.first_seen(keyed_texts(spark, sf_dir), "key", "doc_id").select("doc_id", "duplicate_of")
 
 
 KEYED = f"SELECT doc_id, md5(lower(trim(regexp_replace(coalesce(text, ''), '{SQL_SPACE}+', ' ', 'g'), ' '))) AS key FROM documents"
@@ -101,8 +104,7 @@ DEDUP = f"WITH a AS ({KEYED}), b AS (SELECT doc_id, min(doc_id) OVER (PARTITION
 
 
 def duplicate_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    keyed = table(spark, sf_dir, "documents").select("doc_id", F.md5(F.lower(X.squeezed(F.coalesce("text", F.lit(""))))).alias("key"))
-    return keyed.groupBy("key").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.count("*").alias("n")).where("n > 1")
+    return duplicates.repeated(keyed_texts(spark, sf_dir), "key", "doc_id")
 
 
 GROUPS = f"WITH a AS ({KEYED}) SELECT key, min(doc_id) AS first, max(doc_id) AS last, count(*) AS n FROM a GROUP BY key HAVING count(*) > 1"
