@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, html_text, line_dedup, packing, pii, quality_model, quality_rules, secrets, simhash, suffix_dedup
+from . import decontaminate, fill_middle, html_text, line_dedup, packing, pii, quality_model, quality_rules, secrets, simhash, suffix_dedup
 from .common import prepare, table
 
 
@@ -63,10 +63,15 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages"))
 
 
+def op11_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    return fill_middle.report(fill_middle.rearranged(table(spark, sf_dir, "documents")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
 
 
 def oracle_sql() -> dict[str, str]:
     """SQL for the operators that SQL can express; tests hold the others against brute force."""
-    return {"op1_decontaminate": decontaminate.ORACLE, "op4_line_dedup": line_dedup.ORACLE, "op8_suffix_dedup": suffix_dedup.ORACLE}
+    return {"op1_decontaminate": decontaminate.ORACLE, "op4_line_dedup": line_dedup.ORACLE, "op8_suffix_dedup": suffix_dedup.ORACLE, "op11_fill_middle": fill_middle.ORACLE}
