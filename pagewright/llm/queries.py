@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, fill_middle, html_text, line_dedup, packing, pii, quality_model, quality_rules, secrets, simhash, suffix_dedup
+from . import balanced, decontaminate, fill_middle, html_text, line_dedup, packing, pii, quality_model, quality_rules, secrets, simhash, suffix_dedup
 from .common import prepare, table
 
 
@@ -68,6 +68,11 @@ def op11_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fill_middle.report(fill_middle.rearranged(table(spark, sf_dir, "documents")))
 
 
+def op12_balanced_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    return balanced.report(balanced.pack(table(spark, sf_dir, "documents"), str(public_tokenizers.path("word_bpe_49k.json"))))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
 
