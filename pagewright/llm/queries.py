@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import balanced, decontaminate, fill_middle, html_text, line_dedup, packing, pii, quality_model, quality_rules, secrets, simhash, suffix_dedup
+from . import balanced, conversation_trie, decontaminate, fill_middle, html_text, line_dedup, packing, pii, quality_model, quality_rules, secrets, simhash, suffix_dedup
 from .common import prepare, table
 
 
@@ -73,10 +73,18 @@ def op12_balanced_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return balanced.report(balanced.pack(table(spark, sf_dir, "documents"), str(public_tokenizers.path("word_bpe_49k.json"))))
 
 
+def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    return conversation_trie.trie(table(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
 
 
 def oracle_sql() -> dict[str, str]:
     """SQL for the operators that SQL can express; tests hold the others against brute force."""
-    return {"op1_decontaminate": decontaminate.ORACLE, "op4_line_dedup": line_dedup.ORACLE, "op8_suffix_dedup": suffix_dedup.ORACLE, "op11_fill_middle": fill_middle.ORACLE}
+    return {
+        "op1_decontaminate": decontaminate.ORACLE, "op4_line_dedup": line_dedup.ORACLE, "op8_suffix_dedup": suffix_dedup.ORACLE, "op11_fill_middle": fill_middle.ORACLE,
+        "op13_conversation_trie": conversation_trie.ORACLE,
+    }
