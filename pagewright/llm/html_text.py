@@ -1,12 +1,12 @@
 """Main text of web pages: parser events, text-to-tag ratios, Gaussian smoothing and a threshold.
 
 The standard library's parser streams a page's tags and texts.  Block elements end a line.  Each line has a
-text-to-tag ratio: its characters over the tags it holds, links counting double.  The ratios are smoothed along the
-page by a Gaussian, and the mean of the two clusters that they fall into is the threshold.  Lines that are above it,
-smoothed and nearly so by themselves, are the core of the content.  Lines inside furniture never are: menus, headers,
-footers, sidebars, notices, adverts, forms, scripts, styles, reader comments, hidden elements.
+text-to-tag ratio: its characters over the tags it holds, links counting double.  Furniture has the ratio 0: menus,
+headers, footers, sidebars, notices, adverts, forms, scripts, styles, reader comments, hidden elements.  The ratios are
+smoothed along the page by a Gaussian, and the mean of the two clusters that they fall into is the threshold.  Lines that
+are above it, smoothed and nearly so by themselves, are the core of the content.
 
-The core chooses the content.  Where articles hold most of its characters, all lines of the articles with core lines
+The core chooses the content.  Where articles hold two thirds of its lines, all lines of the articles with core lines
 are the content, however short, with the page's headline if it stands before them; else, where a main element does,
 all its lines.  In other pages it is all from the first core line to the last, and the headings, paragraphs and list
 items next to them, as far as they follow each other in the innermost element around the core, or directly in those
@@ -49,6 +49,8 @@ ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog for
 TEXTUAL = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd blockquote pre figcaption caption td th summary".split())
 LISTS = frozenset("ul ol dl blockquote figure table details".split())
 SIGMA = 1.5
+#: Less than any line with text has, but for furniture, which has 0.
+LEAST = 1e-9
 #: A line with links on so much of its text is a list of links.
 LINKED = 0.6
 SCHEMA_TAIL = "text string"
@@ -183,18 +185,22 @@ def two_means(values: np.ndarray) -> float:
 
 
 def chosen(parser: Lines, lines: list[tuple[str, Line]], threshold: float | None = None) -> list[int]:
-    """The numbers of the lines that are content."""
+    """The numbers of the lines that are content.  With a threshold given, a page may have none."""
     own = np.array([0.0 if x.out else len(t) / max(1, x.tags) for t, x in lines])
     ratios = smoothed(own)
-    if threshold is None:
+    fixed = threshold is not None
+    if not fixed:
         threshold = two_means(ratios)
     linked = [x.linked >= LINKED * len(t) for t, x in lines]
-    usable = [i for i, (_, x) in enumerate(lines) if not x.out]
-    core = [i for i in usable if ratios[i] >= threshold and own[i] >= threshold / 2 and not linked[i]] or usable
-    # characters of the core by region, with those inside
+    usable = [i for i in range(len(lines)) if own[i] >= min(threshold, LEAST)]
+    dense = [i for i in usable if ratios[i] >= threshold and own[i] >= threshold / 2]
+    core = dense if fixed else [i for i in dense if not linked[i]] or usable
+    if not core:
+        return []
+    # lines of the core by region, with those inside
     held = [0] * len(parser.regions)
     for i in core:
-        held[lines[i][1].region] += len(lines[i][0])
+        held[lines[i][1].region] += 1
     for region in range(len(held) - 1, 0, -1):
         held[parser.regions[region][1]] += held[region]
     # for each region, the outermost article and main element around it; parents come first
@@ -203,7 +209,7 @@ def chosen(parser: Lines, lines: list[tuple[str, Line]], threshold: float | None
         for region, (tag, parent) in enumerate(parser.regions):
             outer[region] = outer[parent] if parent >= 0 and outer[parent] >= 0 else region if tag == kind else -1
     for kind, outer in around.items():
-        if 2 * sum(held[r] for r in set(outer) - {-1}) >= held[0]:
+        if 3 * sum(held[r] for r in set(outer) - {-1}) >= 2 * held[0]:
             wanted = {outer[lines[i][1].region] for i in core} - {-1}
             inside = [i for i in usable if outer[lines[i][1].region] in wanted]
             if not any(lines[i][1].tag == "h1" for i in inside):
@@ -222,7 +228,7 @@ def chosen(parser: Lines, lines: list[tuple[str, Line]], threshold: float | None
         # a box beside bare paragraphs is another thing; a list among them isn't
         within[r] = r == region or parent >= 0 and within[parent] and (region > 0 or tag in LISTS)
     inside = [i for i in usable if core[0] <= i <= core[-1]]
-    joins = lambda i: not lines[i][1].out and not linked[i] and lines[i][1].tag in TEXTUAL and (within[lines[i][1].region] or lines[i][1].region in path)
+    joins = lambda i: own[i] >= LEAST and not linked[i] and lines[i][1].tag in TEXTUAL and (within[lines[i][1].region] or lines[i][1].region in path)
     low, high = core[0], core[-1]
     while low > 0 and joins(low - 1):
         low -= 1

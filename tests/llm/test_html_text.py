@@ -3,6 +3,8 @@
 import re
 import time
 
+import pyarrow.parquet as pq
+
 from pagewright.llm.html_text import Lines, chosen, extract, lines_of, main_text, smoothed, two_means
 
 ARTICLE = "<article><h1>Title &amp; more</h1><p><b>First  para\n graph.<br><p>Second &lt;para&gt; &copy; with <a href='/x'>a link</a> in it, long enough to be content.</p><p>De.</p></article>"
@@ -55,6 +57,22 @@ def test_the_threshold_decides():
     assert len(chosen(parser, lines, threshold=-1.0)) > 3
 
 
+def test_the_threshold_decides_on_the_table():
+    """Without a threshold, or with one that no line reaches, most pages come out differently, marked articles or not."""
+    pages = [r["html"] for r in pq.read_table("/root/testdata/sf0.01/pages.parquet").to_pylist()]
+
+    def text(html, threshold):
+        parser = lines_of(html)
+        lines = [(" ".join("".join(x.parts).split()), x) for x in parser.lines]
+        lines = [(t, x) for t, x in lines if t]
+        return "\n".join(lines[i][0] for i in chosen(parser, lines, threshold))
+
+    for change in (lambda h: h, lambda h: h.replace("<article>", "<div>").replace("</article>", "</div>")):
+        for threshold in (-1e9, 1e9):
+            assert sum(text(change(h), threshold) != main_text(h) for h in pages) > 0.8 * len(pages)
+        assert all(main_text(change(h)) == main_text(h) for h in pages)
+
+
 def test_hostile_pages():
     """Malformed declarations, and tags that would take a time that grows with the square."""
     assert main_text("<p>a<![foo[bar]]>b</p>") == main_text("<p>a<![CDATA[x>b") == main_text("<p>a<!ELEMENT x>b") == "ab"
