@@ -7,14 +7,15 @@ selected lines.  Only selected lines are shuffled, and of those only the ones th
 
 At those places the match is extended both ways: over the lines before and after the selected one, as far as a run
 that it is the minimum of can reach.  Runs with equal contents form a class, and all but its first run in order of
-doc_id and line are repeats.  Repeats that touch or overlap join to longer runs, and their lines go.
+doc_id, text and line are repeats.  Repeats that touch or overlap join to longer runs, and their lines go.
 
 No pairs are made.  Both groupings are summed up before their shuffle, and the joins' small sides are written first, so
 that Spark can split a line that very many documents have.
 
 Defined cases: a null text is an empty one and has one empty line; a document may lose every line; runs repeated inside
-a document count too; equal runs at the same line of rows that repeat a doc_id are one place, so such rows lose the
-same lines and don't count against each other; null doc_ids lose nothing; an empty table gives an empty result; n_lines,
+a document count too; rows with equal doc_id and text are one place, so they lose the same lines and don't count against
+each other, while rows with equal doc_id and other texts are rows of their own, in the order of their texts' hashes; rows
+without doc_id lose nothing; an empty table gives an empty result; n_lines,
 n_removed and the text are put in place of columns of these names, and other columns are left alone.
 """
 
@@ -46,13 +47,13 @@ def starts_of(n: Column, window: int) -> Column:
 
 
 def selected_lines(source: DataFrame, window: int, long: int) -> DataFrame:
-    """(doc_id, part, own): each selected line with the lines around it that a run over it can hold, and its place in them."""
+    """(doc_id, row, part, own): each selected line with the lines around it that a run over it can hold, and its place in them."""
     # the minimum of a window, the first of equal ones
     least = F.transform(starts_of(F.size("hashed"), window), lambda i: i + F.array_position(F.slice("hashed", i + 1, window), F.array_min(F.slice("hashed", i + 1, window))).cast("int") - 1)
     alone = F.filter(F.transform("hashed", lambda x, i: F.when(x["long"], i)), lambda i: i.isNotNull())
-    picked = source.select("doc_id", hashed_lines(F.col("text"), long).alias("hashed")).select("doc_id", "hashed", F.explode(F.array_distinct(F.concat(least, alone))).alias("i"))
+    picked = source.select("doc_id", "row", hashed_lines(F.col("text"), long).alias("hashed")).select("doc_id", "row", "hashed", F.explode(F.array_distinct(F.concat(least, alone))).alias("i"))
     low = F.greatest(F.col("i") - (window - 1), F.lit(0))
-    return picked.select("doc_id", F.slice("hashed", low + 1, F.col("i") - low + window).alias("part"), (F.col("i") - low).alias("own"))
+    return picked.select("doc_id", "row", F.slice("hashed", low + 1, F.col("i") - low + window).alias("part"), (F.col("i") - low).alias("own"))
 
 
 def runs_over(window: int) -> Column:
@@ -68,28 +69,35 @@ def runs_over(window: int) -> Column:
     return F.concat(F.transform(led, lambda i: run(i, window)), F.transform(F.filter(F.array(own), lambda i: F.get(part, i)["long"]), lambda i: run(i, 1)))
 
 
+def row_of(text: str) -> Column:
+    """What tells rows with equal doc_id apart."""
+    return F.xxhash64(text_of(text))
+
+
 def repeated_lines(documents: DataFrame, *, key: str = "doc_id", text: str = "text", window: int = WINDOW, long: int = LONG) -> DataFrame:
-    """(doc_id, gone): the numbers of the lines to remove, of the documents that have any."""
+    """(doc_id, row, gone): the numbers of the lines to remove, of the rows that have any."""
     prepare(documents.sparkSession)
-    source = documents.select(F.col(key).cast("long").alias("doc_id"), text_of(text).alias("text")).where("doc_id is not null")
+    source = documents.select(F.col(key).cast("long").alias("doc_id"), row_of(text).alias("row"), text_of(text).alias("text")).where("doc_id is not null")
     selected = selected_lines(source, window, long).withColumn("line", F.get("part", "own"))
-    marked = selected.select(F.xxhash64("line.h").alias("mark"), F.xxhash64("doc_id", "line.at").alias("place"), "doc_id", "part", "own")
+    marked = selected.select(F.xxhash64("line.h").alias("mark"), F.xxhash64("doc_id", "row", "line.at").alias("place"), "doc_id", "row", "part", "own")
     shared = written(marked.groupBy("mark").agg(F.min("place").alias("low"), F.max("place").alias("high")).where("low < high").select("mark"))
-    start = F.col("doc_id").cast("decimal(38,0)") * F.lit(1 << 32).cast("decimal(38,0)") + F.col("first")  # in order of document, then line
-    near = written(marked.select("mark", "doc_id", "part", "own").join(shared.hint("shuffle_hash"), "mark").select("doc_id", F.explode(runs_over(window)).alias("r")).select("doc_id", "r.*"))
+    # in order of document, text, then line; 30 bits of the text's hash have room, and only rows with equal doc_id need them
+    exact = lambda x: F.lit(x).cast("decimal(38,0)")
+    start = F.col("doc_id").cast("decimal(38,0)") * exact(1 << 62) + F.col("row").bitwiseAND(F.lit((1 << 30) - 1)).cast("decimal(38,0)") * exact(1 << 32) + F.col("first")
+    near = written(marked.select("mark", "doc_id", "row", "part", "own").join(shared.hint("shuffle_hash"), "mark").select("doc_id", "row", F.explode(runs_over(window)).alias("r")).select("doc_id", "row", "r.*"))
     near = near.withColumn("start", start.cast("decimal(38,0)"))
-    ends = near.groupBy("contents").agg(F.min("start").alias("lead"), F.max("start").alias("end"))
-    leads = written(ends.where("lead < end").select("contents", "lead"))
-    later = near.join(leads.hint("shuffle_hash"), "contents").where("start > lead")
-    return later.select("doc_id", F.explode(F.sequence("first", "last")).alias("line")).groupBy("doc_id").agg(F.collect_set("line").alias("gone"))
+    ends = near.groupBy("contents").agg(F.min("start").alias("lead"), F.max("start").alias("end"), F.min_by("row", "start").alias("lead_row"), F.min("row").alias("low"), F.max("row").alias("high"))
+    leads = written(ends.where("lead < end or low < high").select("contents", "lead", "lead_row"))
+    later = near.join(leads.hint("shuffle_hash"), "contents").where("start > lead or row <> lead_row")
+    return later.select("doc_id", "row", F.explode(F.sequence("first", "last")).alias("line")).groupBy("doc_id", "row").agg(F.collect_set("line").alias("gone"))
 
 
 def without_repeats(documents: DataFrame, *, key: str = "doc_id", text: str = "text", window: int = WINDOW, long: int = LONG) -> DataFrame:
     """The documents with repeated runs taken out of the text, and n_lines and n_removed, in place of columns of these names."""
-    own, out = unused(documents, "__id", "__gone")
-    gone = repeated_lines(documents, key=key, text=text, window=window, long=long).select(F.col("doc_id").alias(own), F.col("gone").alias(out))
+    own, row, out = unused(documents, "__id", "__row", "__gone")
+    gone = repeated_lines(documents, key=key, text=text, window=window, long=long).select(F.col("doc_id").alias(own), F.col("row").alias(row), F.col("gone").alias(out))
     # the texts stream past a hash table of a partition's removals instead of being sorted
-    joined = documents.join(gone.hint("shuffle_hash"), F.col(key).cast("long") == F.col(own), "left")
+    joined = documents.join(gone.hint("shuffle_hash"), (F.col(key).cast("long") == F.col(own)) & (row_of(text) == F.col(row)), "left")
     lines = lines_of(text_of(text))
     kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(out))
     rest = F.when(F.col(out).isNull(), F.col(text)).otherwise(F.array_join(F.transform(kept, lambda i: F.get(lines, i)), "\n"))

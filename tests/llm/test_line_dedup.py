@@ -45,3 +45,16 @@ def test_defined_cases(spark):
     df = spark.createDataFrame([(1, "p\nq"), (1, "p\nq"), (2, "p\nq"), (None, "p\nq"), (None, None)], "doc_id long, text string")
     assert sorted((r.doc_id or 0, r.n_removed) for r in without_repeats(df).collect()) == [(0, 0), (0, 0), (1, 0), (1, 0), (2, 2)]
     assert without_repeats(df.limit(0)).count() == 0
+
+
+def test_rows_that_repeat_an_id(spark):
+    """Each row loses its own repeats only: nothing that is found once goes."""
+    long, other = "l" * 250, "u" * 250
+    df = spark.createDataFrame([(1, long), (5, long), (5, other)], "doc_id long, text string")
+    assert sorted((r.doc_id, r.text, r.n_removed) for r in without_repeats(df).collect()) == [(1, long, 0), (5, "", 1), (5, other, 0)]
+    # of equal runs at the same line of two rows, one stays
+    df = spark.createDataFrame([(5, f"{long}\n{x}") for x in "abc"] + [(5, f"{long}\na")], "doc_id long, text string")
+    found = sorted((r.text, r.n_removed) for r in without_repeats(df).collect())
+    kept = [t for t, n in found if n == 0]
+    assert len(set(kept)) == 1 and kept[0].startswith(long) and len(found) == 4
+    assert {t for t, n in found if n} == {"a", "b", "c"} - {kept[0][-1]}

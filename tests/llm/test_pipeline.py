@@ -126,6 +126,9 @@ def test_stages_with_odd_rows(spark):
         if name == "line_dedup":
             assert len(found) == 8
     assert corpus_pipeline.STAGES[-1][1](spark, docs, SF).count() == 8
+    line, other = "l" * 250, "u" * 250
+    docs = spark.createDataFrame([(1, line, "en", "s", 250), (5, line, "en", "s", 250), (5, other, "en", "s", 250)], "doc_id long, text string, lang string, source string, n_chars long")
+    assert sorted((r.doc_id, r.text, r.n_chars) for r in corpus_pipeline.lines(spark, docs, SF).collect()) == [(1, line, 250), (5, "", 0), (5, other, 250)]
 
 
 def test_stages(spark):
