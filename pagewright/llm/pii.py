@@ -2,7 +2,8 @@
 
 Entities are found by one regular expression over the whole text: mail addresses, phone numbers, IPv4 addresses, card
 and account numbers, social security numbers, IBANs, and names of persons after a form of address or a known given
-name.  A name that a text has introduced is also found there when it stands alone.  Each distinct entity gets a surrogate
+name.  A name that a text has introduced is also found there when it stands alone, and in capitals; given name and surname
+together in small letters too.  Each distinct entity gets a surrogate
 from a keyed hash of its canonical form, so one entity has one surrogate in all documents (coreference), however it is
 written.  The surrogate has the entity's type and format: digits stay digits at their places with the separators between
 them, a country code stays, a valid check digit stays valid, letters keep their case and script, octets stay octets of as
@@ -10,7 +11,9 @@ many digits, and given names keep script and gender.  A given name's gender is t
 of address that all texts use with it, else open.
 
 A surrogate must not be another entity's surrogate, nor an entity that occurs.  All entities' surrogates are checked
-against both, and those that collide are drawn again with the next number until none does.
+against both, and those that collide are drawn again with the next number until none does.  Later draws have longer hosts,
+phone numbers and names, so those never run out.  Should a format of fixed width be used up, as there are more entities
+than it has numbers, the rest get a mark of type and hash each: distinct, and telling nothing, but not in the format.
 
 Texts are read once for their entities; only those that have any are joined with their surrogates.
 
@@ -30,8 +33,9 @@ from pyspark.sql import functions as F
 from .common import BROADCAST_IDS, partitions, prepare, some_of, text_of, unused, written
 
 KEY = "surrogates-1"
-#: After so many draws addresses may have octets of any width; after the last, no surrogate is left.
-WIDE, ROUNDS = 6, 60
+#: After so many draws addresses may have octets of any width, and phone numbers more digits; after the last, a format has
+#: no surrogate left, and the rest get marks by type and hash.
+WIDE, LONGER, ROUNDS = 6, 2, 40
 #: Forms of address, and given names by gender and script.
 FEMALE_TITLES = ("Mrs", "Ms", "Miss", "Frau", "Señora", "Sra", "Madame", "Mme", "Mademoiselle", "госпожа", "г-жа", "κυρία")
 MALE_TITLES = ("Mr", "Herr", "Señor", "Sr", "Monsieur", "господин", "г-н", "κύριος")
@@ -50,7 +54,8 @@ SYLLABLES = {
     "greek": ("βα", "γιλ", "δαν", "ζορ", "θελ", "καλ", "λιν", "μορ", "νελ", "παν", "ριν", "σολ", "ταν", "φελ", "χαρ", "ψιν"),
 }
 TITLES = "|".join(sorted(FEMALE_TITLES + MALE_TITLES + OTHER_TITLES, key=lambda t: (-len(t), t)))
-NAME = r"\p{Lu}\p{Ll}{1,30}"
+NAME, CAPITALS = r"\p{Lu}\p{Ll}{1,30}", r"\p{Lu}{2,31}"
+CAPITAL_TITLES = "|".join(t.upper() for t in TITLES.split("|"))
 PATTERNS = {
     "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]{1,64}+@[A-Za-z0-9](?:[A-Za-z0-9-]{0,62}\.){1,8}[A-Za-z]{2,24}(?![A-Za-z0-9])",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
@@ -58,7 +63,8 @@ PATTERNS = {
     "ip": r"(?<![0-9.])(?:(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])(?![0-9]|\.[0-9])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "phone": r"(?<![0-9])(?:\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?[0-9]{2,4}(?:[ .-]?[0-9]{2,4}){1,4}|\([0-9]{2,4}\)[ .-]?[0-9]{3,4}[ .-][0-9]{3,4}|[0-9]{3}[.-][0-9]{3}[.-][0-9]{4})(?![0-9])",
-    "name": rf"(?<![\p{{L}}\p{{N}}])(?:(?:{TITLES})\.? {NAME}(?: {NAME})?|(?:{'|'.join(x for names in GIVEN.values() for x in names)}) {NAME})(?![\p{{L}}\p{{N}}])",
+    "name": rf"(?<![\p{{L}}\p{{N}}])(?:(?:{TITLES})\.? {NAME}(?: {NAME})?|(?:{'|'.join(x for names in GIVEN.values() for x in names)}) {NAME}"
+    rf"|(?:{CAPITAL_TITLES})\. {CAPITALS}(?: {CAPITALS})?|(?:{'|'.join(x.upper() for names in GIVEN.values() for x in names)}) {CAPITALS})(?![\p{{L}}\p{{N}}])",
 }
 #: All patterns: a letter is looked at only where a word starts, a name only where its first letter can be one.
 ANY = (
@@ -77,14 +83,18 @@ def script_of(text: Column) -> Column:
     return F.when(text.rlike(r"\p{IsCyrillic}"), "cyrillic").when(text.rlike(r"\p{IsGreek}"), "greek").otherwise("latin")
 
 
+#: A form of address at the start of a mention.
+TITLE = rf"^(?:(?:{TITLES})\.?|(?:{CAPITAL_TITLES})\.) "
+
+
 def names_in(mention: Column) -> Column:
     """The words of a name without its form of address."""
-    return F.split(F.regexp_replace(mention, rf"^(?:{TITLES})\.? ", ""), " ")
+    return F.split(F.regexp_replace(mention, TITLE, ""), " ")
 
 
 def gender_of(mention: Column) -> Column:
     """The gender that a form of address tells; null if none does."""
-    title = lambda titles: mention.rlike(rf"^(?:{'|'.join(titles)})\.? ")
+    title = lambda titles: mention.rlike(rf"^(?:(?:{'|'.join(titles)})\.?|(?:{'|'.join(t.upper() for t in titles)})\.) ")
     return F.when(title(FEMALE_TITLES), "f").when(title(MALE_TITLES), "m")
 
 
@@ -146,14 +156,19 @@ def surrogate(key: str, kind: Column, form: Column, gender: Column, draw: Column
     h = hexes(key, kind, form, draw)
     stream = F.concat(h, hexes(key, kind, form, draw, "more"))
     at = F.instr(form, "@")
-    mail = F.concat(redrawn(F.left(form, at - 1), stream), F.lit("@mail"), (number(h, 40, 4) % 90 + 10).cast("string"), F.lit(".example.org"))
+    # a host of two digits, and later ones of more
+    host = F.concat((number(h, 40, 6) % 9 + 1).cast("string"), F.reverse(F.lpad(number(h, 47, 12).cast("string"), 15, "0")))
+    host = F.left(host, F.least(draw + 2, F.lit(12)))
+    mail = F.concat(redrawn(F.left(form, at - 1), stream), F.lit("@mail"), host, F.lit(".example.org"))
     octet = lambda x, i: F.when(F.length(x) == 3, number(h, i * 6 + 1) % 156 + 100).when(F.length(x) == 2, number(h, i * 6 + 1) % 90 + 10).otherwise(number(h, i * 6 + 1) % 10)
     wide = lambda x, i: number(h, i * 6 + 1) % 256  # noqa: E731, ARG005  when those of as many digits run out
     octets = F.split(form, r"\.")
     ip = F.when(draw < WIDE, F.array_join(F.transform(octets, lambda x, i: octet(x, i).cast("string")), ".")).otherwise(F.array_join(F.transform(octets, lambda x, i: wide(x, i).cast("string")), "."))
     # a canonical phone number: its country code and a plus sign, if it has any, and all digits
     code = F.instr(form, "+")
-    phone = F.concat(F.left(form, code), redrawn(F.substr(form, code + 1), stream, F.greatest(code - 1, F.lit(0))))
+    more = F.greatest(draw - LONGER, F.lit(0))  # later numbers are longer, 15 digits at most, and international
+    longer = F.rpad(F.substr(form, code + 1), F.greatest(F.length(form) - code, F.least(F.length(form) - code + more, F.lit(15))), F.lit("0"))
+    phone = F.concat(F.when((code == 0) & (more > 0), "+").otherwise(F.left(form, code)), redrawn(longer, stream, F.greatest(code - 1, F.lit(0))))
     numbers = redrawn(form, stream, 1)
     fixed = F.concat(F.left(numbers, F.length(numbers) - 1), F.lit("0"))
     card = F.when(luhn(form) == 0, F.concat(F.left(numbers, F.length(numbers) - 1), ((10 - luhn(fixed)) % 10).cast("string"))).otherwise(numbers)
@@ -174,22 +189,28 @@ def surrogate(key: str, kind: Column, form: Column, gender: Column, draw: Column
 
 
 def mapping(entities: DataFrame, *, key: str = KEY) -> DataFrame:
-    """(kind, form, surrogate) of distinct entities (kind, form, gender), no surrogate being another's or an entity that occurs."""
+    """(kind, form, surrogate) of distinct entities (kind, form, gender), no surrogate being another's or an entity that occurs.
+
+    In each round only entities without a surrogate draw one; those settled are written and not touched again.
+    """
     spread = entities.repartition(partitions(entities), "kind", "form")  # few bytes but much work, which Spark would gather in a task
     drawing = surrogate(key, F.col("kind"), F.col("form"), F.col("gender"), F.col("draw"))
-    drawn = written(spread.select("kind", "form", "gender", F.lit(0).alias("draw")).withColumn("surrogate", drawing))
-    known = drawn.select("kind", F.col("form").alias("surrogate"))
+    open_ = written(spread.select("kind", "form", "gender", F.lit(0).alias("draw")).withColumn("surrogate", drawing))
+    known = open_.select("kind", F.col("form").alias("surrogate"))
+    settled: list[DataFrame] = []
+    same = lambda a, b: (a["kind"] == b["kind"]) & (a["surrogate"] == b["surrogate"])
     for _ in range(ROUNDS):
-        twice = drawn.groupBy("kind", "surrogate").agg(F.min(F.struct("draw", "form")).alias("first"), F.count("*").alias("n")).where("n > 1")
-        taken = drawn.join(known, ["kind", "surrogate"], "left_semi").select("kind", "form")
-        behind = drawn.join(twice.select("kind", "surrogate", F.col("first.form").alias("lead")), ["kind", "surrogate"]).where("form <> lead").select("kind", "form")
-        again = written(taken.unionAll(behind).distinct())
-        if again.isEmpty():
-            return drawn.select("kind", "form", "surrogate")
-        marked = drawn.join(again.withColumn("again", F.lit(1)), ["kind", "form"], "left")
-        moved = marked.select("kind", "form", "gender", (F.col("draw") + F.coalesce("again", F.lit(0))).alias("draw"), F.when(F.col("again").isNull(), F.col("surrogate")).alias("old"))
-        drawn = written(moved.select("kind", "form", "gender", "draw", F.coalesce("old", drawing).alias("surrogate")))
-    raise RuntimeError("a type has more entities than its format has surrogates")
+        drawn = open_.select("kind", "surrogate").distinct()
+        taken = [some_of(t.select("kind", "surrogate"), drawn, same(t, drawn), "left_semi") for t in (known, *settled)]
+        free = open_.join(reduce(DataFrame.unionAll, taken).distinct(), ["kind", "surrogate"], "left_anti")
+        first = free.groupBy("kind", "surrogate").agg(F.min("form").alias("form"))
+        settled.append(written(first.select("kind", "form", "surrogate")))
+        left = open_.join(settled[-1].select("kind", "form"), ["kind", "form"], "left_anti")
+        open_ = written(left.select("kind", "form", "gender", (F.col("draw") + 1).alias("draw")).withColumn("surrogate", drawing))
+        if open_.isEmpty():
+            break
+    mark = F.concat_ws("-", F.regexp_extract("kind", "^[a-z]+", 0), F.left(hexes(key, F.col("kind"), F.col("form"), F.col("draw")), F.lit(24)))
+    return reduce(DataFrame.unionAll, [*settled, open_.select("kind", "form", mark.alias("surrogate"))])
 
 
 def laid_out(mention: Column, signs: Column, inside: str) -> Column:
@@ -204,22 +225,32 @@ def written_as(mention: Column, held: Column) -> Column:
     of = lambda part: F.try_element_at(held, F.concat(part["kind"], F.lit(":"), part["form"]))
     first = of(F.element_at(parts, 1))
     cased = lambda x, like: F.when(like == F.upper(like), F.upper(x)).otherwise(x)
-    title = F.regexp_extract(mention, rf"^((?:{TITLES})\.? )?", 0)
+    title = F.regexp_extract(mention, TITLE, 0)
+    own = F.element_at(names_in(mention), -1)
+    named = lambda x: F.when((F.length(own) > 1) & (own == F.upper(own)), F.upper(x)).when(own == F.lower(own), x).otherwise(F.initcap(x))
     # a name that stands alone is a surname, else a given name
     alone = F.try_element_at(held, F.concat(F.lit("given_"), script_of(mention), F.lit(":"), F.lower(mention)))
-    name = F.concat(title, F.array_join(F.transform(parts, lambda p: F.initcap(F.coalesce(of(p), alone))), " "))
+    name = F.concat(title, F.array_join(F.transform(parts, lambda p: named(F.coalesce(of(p), alone))), " "))
     digits = F.regexp_replace(first, "^[0-9]*[+]", "")
     fits = F.length(digits) == F.length(F.regexp_replace(mention, "[^0-9]", ""))
-    numbered = F.when(fits, laid_out(mention, digits, "[0-9]")).otherwise(first)
+    # a longer number: its country code, if it has one, then the rest
+    code = F.regexp_extract(first, "^([0-9]+)[+]", 1)
+    longer = F.when(~F.contains(first, F.lit("+")), first).when(code == "", first).otherwise(F.concat(F.lit("+"), code, F.lit(" "), F.substr(digits, F.length(code) + 1)))
+    numbered = F.when(fits, laid_out(mention, digits, "[0-9]")).otherwise(longer)
     letters = F.when(F.length(first) == F.length(F.regexp_replace(mention, " ", "")), laid_out(mention, first, "[A-Z0-9]")).otherwise(first)
     return F.when(kind == "email", cased(first, mention)).when(kind == "ip", first).when(kind == "iban", letters).when(kind == "name", name).otherwise(numbered)
 
 
 def pattern_of(held: Column) -> Column:
-    """The expression, with the names of a text as far as they are no part of it."""
-    names = F.filter(F.map_keys(held), lambda k: k.rlike("^(?:surname|given)_"))
-    words = F.array_join(F.transform(names, lambda k: F.initcap(F.substring_index(k, ":", -1))), "|")
-    return F.when(words == "", F.lit(ANY)).otherwise(F.concat(F.lit(ANY + r"|(?<![\p{L}\p{N}])(?:"), words, F.lit(r")(?![\p{L}\p{N}])")))
+    """The expression, with the names of a text as far as they are no part of it.
+
+    Names that stand alone are found with a capital letter or in capitals, given name and surname together in small letters too.
+    """
+    of = lambda kind: F.transform(F.filter(F.map_keys(held), lambda k: k.rlike(f"^{kind}_")), lambda k: F.substring_index(k, ":", -1))
+    names = F.concat(of("surname"), of("given"))
+    words = F.array_join(F.array_distinct(F.concat(F.transform(names, F.initcap), F.transform(names, F.upper))), "|")
+    pair = F.when((F.size(of("given")) > 0) & (F.size(of("surname")) > 0), F.concat(F.lit("|(?:"), F.array_join(of("given"), "|"), F.lit(") (?:"), F.array_join(of("surname"), "|"), F.lit(")"))).otherwise(F.lit(""))
+    return F.when(words == "", F.lit(ANY)).otherwise(F.concat(F.lit(ANY + r"|(?<![\p{L}\p{N}])(?:"), words, pair, F.lit(r")(?![\p{L}\p{N}])")))
 
 
 def with_surrogates(documents: DataFrame, *, key: str = KEY, id_column: str = "doc_id", text: str = "text") -> DataFrame:

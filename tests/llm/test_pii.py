@@ -87,6 +87,39 @@ def test_one_person_has_one_name(spark):
     assert robin[1] == two[1] == two[6] in pii.GIVEN["f_latin"] and robin[2] == two[2] and two[3] == two[5] != "Kim"
 
 
+def test_names_in_other_letters(spark):
+    texts = [(1, "Mr. John Smith and JOHN SMITH; a smith, john smith, SMITH's. MRS. ANNA BELL, ANNA BELL and Anna."), (2, "DR NO has no DOT, JOHN does not. PETER ROW.")]
+    one, two = (r.text for r in with_surrogates(spark.createDataFrame(texts, "doc_id long, text string")).orderBy("doc_id").collect())
+    m = regex.fullmatch(r"Mr\. (\w+) (\w+) and (\w+) (\w+); a smith, (\w+) (\w+), (\w+)'s\. MRS\. (\w+) (\w+), (\w+) (\w+) and (\w+)\.", one)
+    given, surname = m[1], m[2]
+    assert given in pii.GIVEN["m_latin"] and (m[3], m[4], m[5], m[6], m[7]) == (given.upper(), surname.upper(), given.lower(), surname.lower(), surname.upper())
+    assert m[8] == m[10] == m[12].upper() != "ANNA" and m[9] == m[11] == m[9].upper() != "BELL" and m[12] in pii.GIVEN["f_latin"]
+    assert regex.fullmatch(r"DR NO has no DOT, JOHN does not\. (?!PETER ROW)\p{Lu}+ \p{Lu}+\.", two)
+
+
+def test_small_formats_do_not_run_out(spark):
+    """All short phone numbers that there are, thousands of one-digit addresses, and more entities than a format can hold."""
+    phones = [f"+1 {i // 100:02d} {i % 100:02d}" for i in range(10_000)]
+    mails = [f"1@d{i}.com" for i in range(5_000)]
+    rows = with_surrogates(spark.createDataFrame([(i, f"call {p} or {mails[i % 5_000]}") for i, p in enumerate(phones)], "doc_id long, text string")).collect()
+    phone, mail = {}, {}
+    for r in rows:
+        m = regex.fullmatch(rf"call ({pii.PATTERNS['phone']}) or ({pii.PATTERNS['email']})", r.text)
+        assert m and r.mentions == ["phone", "email"] and regex.fullmatch(r"\+1 \d+( \d+)?", m[1]) and regex.fullmatch(r"\d@mail\d+\.example\.org", m[2]), r.text
+        assert mail.setdefault(r.doc_id % 5_000, m[2]) == m[2]
+        phone[r.doc_id] = regex.sub(" ", "", m[1])
+    assert len(set(phone.values())) == 10_000 and not set(phone.values()) & {regex.sub(" ", "", p) for p in phones}
+    assert len(set(mail.values())) == 5_000
+
+
+def test_a_format_that_is_used_up(spark, monkeypatch):
+    monkeypatch.setattr(pii, "ROUNDS", 3)
+    forms = [("card", f"{i}") for i in range(10)]  # one digit, and the check digit: nothing is free
+    rows = mapping(spark.createDataFrame([(*f, None) for f in forms], "kind string, form string, gender string")).collect()
+    assert len({r.surrogate for r in rows}) == len(rows) == 10 and not {r.surrogate for r in rows} & {f for _, f in forms}
+    assert all(re.fullmatch("card-[0-9a-f]{24}", r.surrogate) for r in rows)
+
+
 def test_tables_by_a_plain_detector(spark):
     """Each kind searched by itself, the earliest taken; then one surrogate an entity, and nothing else changed."""
     df = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").unionAll(spark.createDataFrame([(9000 + (d or 0), t, "", "", 0) for d, t in TEXTS], "doc_id long, text string, lang string, source string, n_chars int"))
@@ -102,7 +135,8 @@ def test_tables_by_a_plain_detector(spark):
     rows = {r.doc_id: r for r in with_surrogates(df).collect()}
     for before in df.collect():
         text, r = before.text or "", rows[before.doc_id]
-        names = {w for a, b, k in entities(text) if k == "name" for w in regex.sub(rf"^(?:{pii.TITLES})\.? ", "", text[a:b]).split()}
+        held = [regex.sub(pii.TITLE, "", text[a:b]).lower().split() for a, b, k in entities(text) if k == "name"]
+        names = {x for words in held for w in words for x in (w.capitalize(), w.upper())} | {f"{g[0]} {n[-1]}" for g in held if len(g) > 1 for n in held}
         lone = regex.compile(rf"(?<![\p{{L}}\p{{N}}])(?:{'|'.join(names)})(?![\p{{L}}\p{{N}}])") if names else None
         spans, at = [], 0
         for a, b, k in [*entities(text), (len(text), len(text), None)]:
