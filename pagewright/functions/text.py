@@ -127,8 +127,9 @@ def deck_title(path: Column) -> Column:
 
 
 def zero_padded(number: Column, most: Column) -> Column:
-    """At least three digits, or as many as the largest number has."""
-    return F.lpad(number.cast("string"), F.greatest(F.lit(3), F.length(most.cast("string"))), F.lit("0"))
+    """At least three digits, as many as the largest number has, and never fewer than the number's own."""
+    digits = number.cast("string")
+    return F.lpad(digits, F.greatest(F.lit(3), F.length(most.cast("string")), F.length(digits)), F.lit("0"))
 
 
 @pandas_udf(T.StringType())

@@ -18,7 +18,7 @@ class DeckRun:
     decks: DataFrame  # format, notes, error
     cards: DataFrame  # validated
     rows: DataFrame  # to export
-    reports: DataFrame
+    report: DataFrame  # the pieces of the reports
     held: tuple[DataFrame, ...] = ()
 
     def release(self) -> None:
@@ -27,7 +27,7 @@ class DeckRun:
 
 
 def run(parsed: DataFrame, *, seed: int | None = None) -> DeckRun:
-    """From parsed decks to rows and reports.
+    """From parsed decks to rows and the pieces of reports.
 
     Parsed and validated cards are persisted, as each section of a report reads them; ``release`` drops them.
     """
@@ -38,4 +38,4 @@ def run(parsed: DataFrame, *, seed: int | None = None) -> DeckRun:
     before = ops.distribution_warnings(ops.distribution(plain))
     rows = plain if seed is None else ops.export_rows(cards, seed=seed)
     after = None if seed is None else ops.distribution_warnings(ops.distribution(rows))
-    return DeckRun(decks, cards, rows, sinks.reports(cards, decks.where(F.col("error").isNull()), before, after, seed=seed), (cards, parsed))
+    return DeckRun(decks, cards, rows, sinks.report_pieces(cards, decks.where(F.col("error").isNull()), before, after, seed=seed), (cards, parsed))

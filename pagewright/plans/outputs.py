@@ -10,13 +10,15 @@ from pyspark.sql import functions as F
 
 from .. import config as C
 from ..functions import text as X
-from ..functions.ranges import page_list, parse_page_range
+from ..functions.ranges import parse_page_range
 from ..operators import cards, layout, pages
 from ..sinks import decks as deck_sinks
-from ..sinks.pages import document_texts, page_text, problem_images, summaries
+from ..sinks import files
+from ..sinks.pages import page_text, problem_images, summaries, write_documents
 from ..sources.decks import parse_decks
+from ..sources.stores import scratch
 from . import decks as deck_plan
-from .pages import page_lists, select_pages
+from .pages import page_kinds, select_pages
 from .queries import BLOCKS, CARDS, MEASURED, SHUFFLED, VISIBLE, block_rows, card_rows, measured, table
 
 # ---- page texts
@@ -106,9 +108,15 @@ q4 AS (SELECT source, {', '.join(f"coalesce(max(CASE WHEN kind = '{k}' THEN n EN
 
 
 def page_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The annotated text of all pages of each source."""
+    """The annotated text of all pages of each source, written as files and read again."""
     found, counts = by_source(spark, sf_dir, ocr=True)
-    return document_texts(found, counts).select("doc_id", F.length("content").cast("long").alias("n"), F.md5("content").alias("digest"))
+    write_documents(found, counts, folder := scratch(spark, "documents"))
+    return digests(spark, folder, ".txt", "doc_id")
+
+
+def digests(spark: SparkSession, folder: str, ending: str, key: str) -> DataFrame:
+    """The length and digest of each file in a folder, by the id that its name stands for."""
+    return files.read(spark, folder).select(files.key_of(F.col("name"), ending).alias(key), F.length("content").cast("long").alias("n"), F.md5("content").alias("digest"))
 
 
 DOCUMENTS = rf"""WITH {page_sql(True)}, {ranges_sql({"pages": "true"})}, r AS (SELECT source, string_agg(shown, chr(10) ORDER BY page_no) AS body FROM p6 GROUP BY source),
@@ -119,7 +127,7 @@ SELECT doc_id, length(t) AS n, md5(t) AS digest FROM u"""
 
 def summary_of(spark: SparkSession, sf_dir: str, ocr: bool) -> DataFrame:
     found, counts = by_source(spark, sf_dir, ocr)
-    return summaries(page_lists(found), counts, ocr=ocr)
+    return summaries(page_kinds(found), counts, ocr=ocr)
 
 
 def page_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -149,9 +157,9 @@ def summary_sql(ocr: bool) -> str:
 
 def page_lists_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many pages of each kind a source has, and the blank ones as ranges."""
-    lists = page_lists(by_source(spark, sf_dir, ocr=False)[0])
+    sets = page_kinds(by_source(spark, sf_dir, ocr=False)[0])
     kinds = ("pages", "direct", "failed", "skipped_ocr", "low_confidence", "complex", "blank", "review", "problem")
-    return lists.select("doc_id", *(F.size(k).cast("long").alias(k) for k in kinds), page_list(lists["blank"]).alias("blank_pages"))
+    return sets.select("doc_id", *(F.col(f"{k}.n").alias(k) for k in kinds), F.col("blank.ranges").alias("blank_pages"))
 
 
 PAGE_LISTS = f"""WITH {page_sql(False)}, {ranges_sql({"pages": "true", "blank": "blank"})}, s AS (SELECT source, count(*) FILTER (WHERE method = 'DIRECT') AS direct, count(*) FILTER (WHERE failed) AS failed, count(*) FILTER (WHERE ocr_reason IS NOT NULL) AS skipped_ocr,
@@ -302,9 +310,10 @@ STRICT_GATE = f"WITH {SMALL} SELECT deck_id, number FROM cards WHERE deck_id NOT
 
 
 def tsv_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whole export files with their header, after shuffling."""
+    """Whole export files with their header, after shuffling, written and read again."""
     rows = cards.export_rows(cards.validate(card_rows(spark, sf_dir)), seed=42)
-    return deck_sinks.deck_tsvs(rows, header=deck_sinks.tsv_header("Parts::All", ["one", "two"])).select("deck_id", F.length("content").cast("long").alias("n"), F.md5("content").alias("digest"))
+    deck_sinks.write_tsvs(rows, folder := scratch(spark, "tsv"), header=deck_sinks.tsv_header("Parts::All", ["one", "two"]))
+    return digests(spark, folder, ".tsv", "deck_id")
 
 
 FIELD = "CASE WHEN contains({0}, chr(9)) OR contains({0}, '\"') OR starts_with({0}, '#') THEN '\"' || replace({0}, '\"', '\"\"') || '\"' ELSE {0} END"
@@ -340,8 +349,11 @@ SELECT deck_id, {LETTER_LINES} AS lines FROM b GROUP BY deck_id"""
 
 
 def deck_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whole validation reports, with the distribution before and after shuffling."""
-    return deck_plan.run(card_rows(spark, sf_dir), seed=42).reports
+    """Whole validation reports, with the distribution before and after shuffling, written as files and read again."""
+    run = deck_plan.run(card_rows(spark, sf_dir), seed=42)
+    deck_sinks.write_reports(run.report, folder := scratch(spark, "reports"))
+    run.release()
+    return files.read(spark, folder).select(files.key_of(F.col("name"), ".txt").alias("deck_id"), F.col("content").alias("report"))
 
 
 def message_sql() -> tuple[str, str]:

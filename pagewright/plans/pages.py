@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import PageOptions
+from ..functions.ranges import page_sets
 from ..operators import pages as ops
 from ..operators.ocr_words import regroup
 
@@ -38,11 +39,11 @@ def process(pages: DataFrame, options: PageOptions | None = None, recogniser: Re
     return ops.assemble(decided, found, ocr=options.ocr, sort=options.sort, threshold=options.ocr_threshold)
 
 
-def page_lists(results: DataFrame) -> DataFrame:
-    """A row a document with the page numbers of each kind."""
+def page_kinds(results: DataFrame) -> DataFrame:
+    """A row a document with the number and the ranges of the pages of each kind."""
     kinds = {
-        "pages": F.lit(True), "direct": F.col("method") == "DIRECT", "replaced": F.col("method") == "OCR", "supplemented": F.col("method") == "DIRECT + OCR", "failed": F.col("method") == "FAILED",
-        "skipped_ocr": F.col("ocr_reason").isNotNull() & ~F.col("used_ocr"), "low_confidence": F.col("low_confidence"), "complex": F.col("complex_content"), "blank": F.col("blank"), "review": F.col("needs_review"),
-        "problem": F.col("is_problem"),
+        "pages": F.lit(True), "direct": F.col("method") == "DIRECT", "replaced": F.col("method") == "OCR", "supplemented": F.col("method") == "DIRECT + OCR", "recognised": F.col("method").isin("OCR", "DIRECT + OCR"),
+        "failed": F.col("method") == "FAILED", "skipped_ocr": F.col("ocr_reason").isNotNull() & ~F.col("used_ocr"), "low_confidence": F.col("low_confidence"), "complex": F.col("complex_content"), "blank": F.col("blank"),
+        "review": F.col("needs_review"), "problem": F.col("is_problem"),
     }
-    return results.groupBy("doc_id").agg(*(F.array_sort(F.collect_list(F.when(condition, F.col("page_no")))).alias(name) for name, condition in kinds.items()))
+    return page_sets(results, kinds)

@@ -13,8 +13,11 @@ from .. import config as C
 from ..functions import text as X
 from ..functions.ranges import page_list, page_ranges
 from ..operators import cards, duplicates, layout, ocr_words, pages
+from ..sinks import files
 from ..sinks.decks import tsv_line
+from ..sources import deck_source
 from ..sources.decks import parse_decks
+from ..sources.stores import scratch
 
 SQL_SPACE = r"[\s\x0b\x1c-\x1f\x{85}\p{Z}]"
 
@@ -374,11 +377,13 @@ duplicate_of, question_group, valid FROM cards"""
 
 
 def deck_parse_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Decks written as JSON, read by the parser and validated: the whole path of a file."""
-    card = F.to_json(F.struct("question", "answer", F.col("o").alias("options")))
-    texts = card_values(spark, sf_dir).groupBy("deck_id").agg(F.array_sort(F.collect_list(F.struct("number", card.alias("c")))).alias("x"))
-    content = F.concat(F.lit("```json\n["), F.array_join(F.transform("x", lambda x: x["c"]), ",\n"), F.lit("]\n```"))
-    return validation_digest(cards.validate(parse_decks(texts.select("deck_id", F.encode(content, "UTF-8").alias("content")))))
+    """Decks written as files of JSON, read by the deck source and validated: the whole path of a file."""
+    values = card_values(spark, sf_dir)
+    card = F.concat(F.when(F.col("number") > 1, ",\n").otherwise(""), F.to_json(F.struct("question", "answer", F.col("o").alias("options"))))
+    ends = values.groupBy("deck_id").agg((F.max("number") + 1).alias("last"))
+    pieces = values.select("deck_id", "number", card.alias("piece")).unionAll(ends.select("deck_id", F.lit(0), F.lit("```json\n["))).unionAll(ends.select("deck_id", "last", F.lit("]\n```")))
+    files.save(pieces, folder := scratch(spark, "decks"), name=files.file_name(F.col("deck_id"), ".json"), order=["number"])
+    return validation_digest(cards.validate(deck_source.load(spark, folder, ids="name", glob="*.json")))
 
 
 def question_groups(spark: SparkSession, sf_dir: str) -> DataFrame:

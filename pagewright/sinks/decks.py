@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .. import config as C
 from ..functions.text import fixed_udf, tsv_field
 from ..operators.cards import package_ids, question_groups
+from . import files
 from .pages import write_text
 
 FRONT = """<section class="quiz">
@@ -56,77 +57,76 @@ def tsv_header(deck_name: str | None = None, tags: list[str] | None = None) -> s
     return "".join(f"{x}\n" for x in [*lines, "#columns:" + "\t".join(C.EXPORT_COLUMNS)])
 
 
-def deck_tsvs(rows: DataFrame, *, header: str = "") -> DataFrame:
-    """(deck_id, content): each deck's file.  A deck's rows are gathered, as they go to one file."""
-    lines = rows.select("deck_id", "number", tsv_line().alias("line")).groupBy("deck_id").agg(F.array_sort(F.collect_list(F.struct("number", "line"))).alias("x"))
-    return lines.select("deck_id", F.concat(F.lit(header), F.array_join(F.transform("x", lambda x: x["line"]), "\n"), F.lit("\n")).alias("content"))
+def tsv_pieces(rows: DataFrame, *, header: str = "") -> DataFrame:
+    """(deck_id, number, piece): the lines of each deck's file in order, the header first."""
+    lines = rows.select("deck_id", F.col("number").cast("long").alias("number"), F.concat(tsv_line(), F.lit("\n")).alias("piece"))
+    return lines.unionAll(lines.select("deck_id").distinct().select("deck_id", F.lit(-1).cast("long"), F.lit(header))) if header else lines
 
 
-def export_dataset(rows: DataFrame, path: str, *, header: str = "") -> None:
-    """All decks' rows as text files in a folder by deck: the header, then the rows by number.
+def write_tsvs(rows: DataFrame, folder: str, *, header: str = "", mode: str = "error") -> None:
+    """A file for each deck, ``deck_id`` with the ending .tsv."""
+    files.save(tsv_pieces(rows, header=header), folder, name=files.file_name(F.col("deck_id"), ".tsv"), order=["number"], mode=mode)
 
-    Spark writes and commits the files.  Rows are ordered in a task's partition, which spills, so no deck is gathered.
-    """
-    lines = rows.select("deck_id", F.col("number").cast("long").alias("number"), tsv_line().alias("line"))
-    if header:
-        lines = lines.unionAll(lines.select("deck_id").distinct().select("deck_id", F.lit(-1).cast("long"), F.lit(header.removesuffix("\n"))))
-    lines.repartition("deck_id").sortWithinPartitions("deck_id", "number").select("deck_id", "line").write.partitionBy("deck_id").mode("overwrite").text(path)
+
+def write_reports(pieces: DataFrame, folder: str, *, mode: str = "error") -> None:
+    """A file for each deck's report."""
+    files.save(pieces, folder, name=files.file_name(F.col("deck_id"), ".txt"), order=REPORT_ORDER, mode=mode, trim=True)
 
 
 def distribution_lines(dist: DataFrame) -> DataFrame:
     """(deck_id, lines): a line a letter with its count and percentage."""
-    long = dist.select("deck_id", "total", F.posexplode(F.array(*(F.struct(F.lit(x).alias("letter"), F.col(x).alias("n")) for x in C.LETTERS))).alias("i", "v"))
-    share = F.when(F.col("total") > 0, F.col("v.n") / F.col("total") * 100).otherwise(F.lit(0.0))
-    line = F.concat(F.lit("  "), F.col("v.letter"), F.lit(": "), F.lpad(F.col("v.n").cast("string"), 4, " "), F.lit(" ("), F.lpad(fixed_udf(share, F.lit(1)), 5, " "), F.lit("%)"))
-    return long.select("deck_id", "i", line.alias("line")).groupBy("deck_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "line"))), lambda x: x["line"]), "\n").alias("lines"))
+    share = lambda c: F.when(F.col("total") > 0, F.col(c) / F.col("total") * 100).otherwise(F.lit(0.0))
+    line = lambda c: F.concat(F.lit(f"  {c}: "), F.lpad(F.col(c).cast("string"), 4, " "), F.lit(" ("), F.lpad(fixed_udf(share(c), F.lit(1)), 5, " "), F.lit("%)"))
+    return dist.select("deck_id", F.concat_ws("\n", *map(line, C.LETTERS)).alias("lines"))
+
 
+REPORT_ORDER = ["section", "number"]
 
-def reports(validated: DataFrame, decks: DataFrame, dist: DataFrame, after: DataFrame | None = None, *, seed: int | None = None) -> DataFrame:
-    """(deck_id, report): sections of lines in a fixed order, joined by deck.
+
+def report_pieces(validated: DataFrame, decks: DataFrame, dist: DataFrame, after: DataFrame | None = None, *, seed: int | None = None) -> DataFrame:
+    """(deck_id, section, number, piece): a report's pieces; in the order of section and number they make up the text.
 
     ``decks`` has deck_id, format and notes; ``dist`` and ``after`` are distributions with warnings, before and after
     shuffling.
     """
     text = lambda *parts: F.concat(*(F.lit(p) if isinstance(p, str) else p for p in parts))
-    prefixed = lambda lines, prefix: F.transform(lines, lambda x: F.concat(F.lit(prefix), x))
     number = F.col("number").cast("string")
-    bullet = lambda a: F.transform(a, lambda m: F.concat(F.lit("    - "), m["message"]))
+    at = lambda section, n=-1: (F.lit(section).alias("section"), (F.lit(n) if isinstance(n, int) else n).cast("int").alias("number"))
+    prefixed = lambda lines, prefix: F.transform(lines, lambda x: F.concat(F.lit(prefix), x))
+    bullet = lambda a: prefixed(F.transform(a, lambda m: m["message"]), "    - ")
+    ended = lambda lines: text(F.array_join(lines, "\n"), "\n").alias("piece")
     head = validated.withColumn("head", text("  Card ", number, " (", F.col("label"), ")"))
     own = F.array(F.col("head"))
-    wrong = head.where(F.size("errors") > 0).select("deck_id", F.lit(2).alias("section"), "number", F.concat(own, bullet(F.col("errors"))).alias("lines"))
-    twice = head.where(F.col("duplicate_of").isNotNull()).select("deck_id", F.lit(3).alias("section"), "number", F.array(text("  Card ", number, " is a duplicate of card ", F.col("duplicate_of").cast("string"), " (", F.col("label"), ")")).alias("lines"))
-    again = question_groups(validated).select("deck_id", F.lit(4).alias("section"), F.col("first").alias("number"), F.array(text("  Cards ", F.array_join(F.transform("numbers", lambda n: n.cast("string")), ", "), " (", F.col("label"), ")")).alias("lines"))
-    odd = head.where(F.col("valid") & (F.size("warnings") > 0)).select("deck_id", F.lit(5).alias("section"), "number", F.concat(own, bullet(F.col("warnings"))).alias("lines"))
-    parts = [wrong, twice, again, odd]
-    for at, (d, label) in enumerate(((dist, "Before shuffling: " if after is not None else ""), (after, "After shuffling: "))):
+    wrong = head.where(F.size("errors") > 0).select("deck_id", *at(2, F.col("number")), ended(F.concat(own, bullet(F.col("errors")))))
+    twice = head.where(F.col("duplicate_of").isNotNull()).select("deck_id", *at(3, F.col("number")), text("  Card ", number, " is a duplicate of card ", F.col("duplicate_of").cast("string"), " (", F.col("label"), ")\n").alias("piece"))
+    again = question_groups(validated).select("deck_id", *at(4, F.col("first")), text("  Cards ", F.array_join(F.transform("numbers", lambda n: n.cast("string")), ", "), " (", F.col("label"), ")\n").alias("piece"))
+    odd = head.where(F.col("valid") & (F.size("warnings") > 0)).select("deck_id", *at(5, F.col("number")), ended(F.concat(own, bullet(F.col("warnings")))))
+    rows = wrong.unionByName(twice).unionByName(again).unionByName(odd)
+    for i, (d, label) in enumerate(((dist, "Before shuffling: " if after is not None else ""), (after, "After shuffling: "))):
         if d is not None:
-            parts.append(d.select("deck_id", F.lit(5).alias("section"), F.lit((1 << 31) - 3 + at).alias("number"), prefixed("warnings", f"  - {label}").alias("lines")).where(F.size("lines") > 0))
-    rows = parts[0]
-    for p in parts[1:]:
-        rows = rows.unionByName(p)
-    # a section's rows and lines; the title counts the rows
-    sections = rows.groupBy("deck_id", "section").agg(F.count("*").cast("string").alias("n"), F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("number", "lines"))), lambda x: x["lines"])).alias("lines"))
+            rows = rows.unionByName(d.where(F.size("warnings") > 0).select("deck_id", *at(5, (1 << 31) - 3 + i), ended(prefixed(F.col("warnings"), f"  - {label}"))))
+    n = F.col("n").cast("string")
     title = (
-        F.when(F.col("section") == 2, text("INVALID CARDS (", F.col("n"), ") - not exported:"))
-        .when(F.col("section") == 3, text("DUPLICATE CARDS (", F.col("n"), ") - not exported:"))
-        .when(F.col("section") == 4, text("DUPLICATE QUESTIONS (", F.col("n"), " group(s)) - exported, please review:"))
+        F.when(F.col("section") == 2, text("INVALID CARDS (", n, ") - not exported:"))
+        .when(F.col("section") == 3, text("DUPLICATE CARDS (", n, ") - not exported:"))
+        .when(F.col("section") == 4, text("DUPLICATE QUESTIONS (", n, " group(s)) - exported, please review:"))
         .otherwise("WARNINGS:")
     )
-    blocks = sections.select("deck_id", "section", text(title, "\n", F.array_join("lines", "\n"), "\n").alias("block"))
-    opening = decks.select("deck_id", F.lit(0).alias("section"), text("Flashcard validation report for ", F.col("deck_id"), " (parsed as ", F.col("format"), ")\n").alias("block"))
-    notes = decks.where(F.size("notes") > 0).select("deck_id", F.lit(1).alias("section"), text(F.array_join(F.transform("notes", lambda n: F.concat(F.lit("Note: "), n)), "\n"), "\n").alias("block"))
+    # an empty line before each section but the first
+    titles = rows.groupBy("deck_id", "section").agg(F.count("*").alias("n")).select("deck_id", "section", F.lit(-1).alias("number"), text("\n", title, "\n").alias("piece"))
+    opening = decks.select("deck_id", *at(0), text("Flashcard validation report for ", F.col("deck_id"), " (parsed as ", F.col("format"), ")\n").alias("piece"))
+    notes = decks.where(F.size("notes") > 0).select("deck_id", *at(1), text("\n", F.array_join(F.transform("notes", lambda x: F.concat(F.lit("Note: "), x)), "\n"), "\n").alias("piece"))
     counts = validated.groupBy("deck_id").agg(
         F.count("*").alias("a"), F.count_if("valid").alias("b"), F.count_if(F.size("errors") > 0).alias("c"), F.count_if(F.col("duplicate_of").isNotNull()).alias("d"), F.count_if(F.col("question_group") < F.col("number")).alias("e")
     )
     labels = (("Total cards:         ", "a"), ("Valid cards:         ", "b"), ("Invalid cards:       ", "c"), ("Duplicate cards:     ", "d"), ("Duplicate questions: ", "e"))
-    summary = counts.select("deck_id", F.lit(6).alias("section"), text("SUMMARY\n", F.concat_ws("\n", *(text(f"  {label}", F.col(c).cast("string")) for label, c in labels)), "\n").alias("block"))
-    blocks = opening.unionByName(notes).unionByName(blocks).unionByName(summary)
-    titles = ("Correct answer distribution (as generated):" if after is not None else "Correct answer distribution:", f"Correct answer distribution (after --shuffle-options, seed {seed}):")
-    for at, (d, label) in enumerate(zip((dist, after), titles, strict=True)):
+    summary = counts.select("deck_id", *at(6), text("\nSUMMARY\n", F.concat_ws("\n", *(text(f"  {label}", F.col(c).cast("string")) for label, c in labels)), "\n").alias("piece"))
+    pieces = rows.unionByName(titles).unionByName(opening).unionByName(notes).unionByName(summary)
+    labels = ("Correct answer distribution (as generated):" if after is not None else "Correct answer distribution:", f"Correct answer distribution (after --shuffle-options, seed {seed}):")
+    for i, (d, label) in enumerate(zip((dist, after), labels, strict=True)):
         if d is not None:
-            blocks = blocks.unionByName(distribution_lines(d.where("total > 0")).select("deck_id", F.lit(7 + at).alias("section"), text(f"{label}\n", F.col("lines"), "\n").alias("block")))
-    joined = blocks.groupBy("deck_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("section", "block"))), lambda x: x["block"]), "\n").alias("t"))
-    return joined.select("deck_id", text(F.rtrim(F.regexp_replace("t", r"\s+\z", "")), "\n").alias("report"))
+            pieces = pieces.unionByName(distribution_lines(d.where("total > 0")).select("deck_id", *at(7 + i), text(f"\n{label}\n", F.col("lines"), "\n").alias("piece")))
+    return pieces
 
 
 def write_templates(folder: str | Path) -> list[Path]:

@@ -10,9 +10,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import InputError
-from ..functions.ranges import page_list
+from ..functions.ranges import page_sets
 from ..functions.text import percent, zero_padded
 from ..sources.rows import map_rows
+from . import files
 
 
 def page_text() -> Column:
@@ -29,38 +30,43 @@ def page_text() -> Column:
     return F.concat(F.array_join(head, "\n"), F.when(F.size(body) > 0, line("\n\n", F.array_join(body, "\n\n"))).otherwise(F.lit("")), F.lit("\n"))
 
 
-def document_texts(results: DataFrame, page_counts: DataFrame) -> DataFrame:
-    """(doc_id, content) of each document; ``page_counts`` has doc_id and page_count.  A document's pages are gathered."""
-    pages = results.select("doc_id", "page_no", page_text().alias("t")).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("page_no", "t"))).alias("p"))
-    name = F.regexp_replace("doc_id", "^.*/", "")
+def document_pieces(results: DataFrame, page_counts: DataFrame) -> DataFrame:
+    """(doc_id, page_no, piece): each document's heading, then its pages in order; ``page_counts`` has doc_id and page_count."""
+    pages = results.select("doc_id", F.col("page_no").cast("long").alias("page_no"), F.concat(F.lit("\n"), page_text()).alias("piece"))
+    extracted = page_sets(results, {"pages": F.lit(True)}).join(page_counts, "doc_id")
     head = F.concat(
-        F.lit("[SOURCE: "), name, F.lit("]\n[PAGES IN DOCUMENT: "), F.col("page_count").cast("string"), F.lit(" | PAGES EXTRACTED: "), page_list(F.transform("p", lambda x: x["page_no"])),
-        F.lit("]\n[RAW EXTRACTION - not cleaned, summarized or reordered. [WARNING] lines mark pages that may need review.]\n\n"),
+        F.lit("[SOURCE: "), F.regexp_replace("doc_id", "^.*/", ""), F.lit("]\n[PAGES IN DOCUMENT: "), F.col("page_count").cast("string"), F.lit(" | PAGES EXTRACTED: "), F.col("pages.ranges"),
+        F.lit("]\n[RAW EXTRACTION - not cleaned, summarized or reordered. [WARNING] lines mark pages that may need review.]\n"),
     )
-    return pages.join(page_counts, "doc_id").select("doc_id", F.concat(head, F.array_join(F.transform("p", lambda x: x["t"]), "\n")).alias("content"))
+    return pages.unionAll(extracted.select("doc_id", F.lit(-1).cast("long"), head))
 
 
-def summaries(lists: DataFrame, page_counts: DataFrame, *, ocr: bool = False) -> DataFrame:
-    """(doc_id, summary): the counts and ranges of pages of each kind; lists from ``plans.pages.page_lists``."""
-    n = lambda c: F.size(c).cast("string")
-    shown = lambda c: F.concat(n(c), F.lit(" page(s)"), F.when(F.size(c) > 0, F.concat(F.lit("  ["), page_list(c), F.lit("]"))).otherwise(F.lit("")))
+def write_documents(results: DataFrame, page_counts: DataFrame, folder: str, *, mode: str = "error") -> None:
+    """A text file for each document, ``doc_id`` with the ending .txt."""
+    files.save(document_pieces(results, page_counts), folder, name=files.file_name(F.col("doc_id"), ".txt"), order=["page_no"], mode=mode)
+
+
+def summaries(sets: DataFrame, page_counts: DataFrame, *, ocr: bool = False) -> DataFrame:
+    """(doc_id, summary): the counts and ranges of pages of each kind; ``sets`` from ``plans.pages.page_kinds``."""
     c = F.col
-    both = F.concat(c("replaced"), c("supplemented"))
-    added = F.when(F.size("supplemented") > 0, F.concat(F.lit("  ("), n(c("replaced")), F.lit(" replaced, "), n(c("supplemented")), F.lit(" added to direct text)"))).otherwise(F.lit(""))
+    n = lambda k: c(f"{k}.n").cast("string")
+    some = lambda k: c(f"{k}.n") > 0
+    shown = lambda k: F.concat(n(k), F.lit(" page(s)"), F.when(some(k), F.concat(F.lit("  ["), c(f"{k}.ranges"), F.lit("]"))).otherwise(F.lit("")))
+    added = F.when(some("supplemented"), F.concat(F.lit("  ("), n("replaced"), F.lit(" replaced, "), n("supplemented"), F.lit(" added to direct text)"))).otherwise(F.lit(""))
     rows = (
         (F.lit(True), "Input file:            ", c("doc_id")),
-        (F.lit(True), "Pages:                 ", F.concat(n(c("pages")), F.when(F.size("pages") != c("page_count"), F.concat(F.lit(" of "), c("page_count").cast("string"))).otherwise(F.lit("")))),
-        (F.lit(True), "Direct extraction:     ", shown(c("direct"))),
-        (F.lit(ocr), "OCR fallback:          ", F.concat(shown(both), added)),
-        (F.lit(not ocr) & (F.size("skipped_ocr") > 0), "Would benefit from OCR: ", F.concat(shown(c("skipped_ocr")), F.lit("  -> rerun with --ocr"))),
-        (F.size("failed") > 0, "Extraction failed:     ", shown(c("failed"))),
-        (F.lit(True), "Low-confidence pages:  ", shown(c("low_confidence"))),
-        (F.lit(True), "Non-text content:      ", shown(c("complex"))),
-        (F.size("blank") > 0, "Blank pages:           ", shown(c("blank"))),
-        (F.lit(True), "Pages needing review:  ", F.when(F.size("review") > 0, page_list(c("review"))).otherwise(F.lit("none"))),
+        (F.lit(True), "Pages:                 ", F.concat(n("pages"), F.when(c("pages.n") != c("page_count"), F.concat(F.lit(" of "), c("page_count").cast("string"))).otherwise(F.lit("")))),
+        (F.lit(True), "Direct extraction:     ", shown("direct")),
+        (F.lit(ocr), "OCR fallback:          ", F.concat(shown("recognised"), added)),
+        (F.lit(not ocr) & some("skipped_ocr"), "Would benefit from OCR: ", F.concat(shown("skipped_ocr"), F.lit("  -> rerun with --ocr"))),
+        (some("failed"), "Extraction failed:     ", shown("failed")),
+        (F.lit(True), "Low-confidence pages:  ", shown("low_confidence")),
+        (F.lit(True), "Non-text content:      ", shown("complex")),
+        (some("blank"), "Blank pages:           ", shown("blank")),
+        (F.lit(True), "Pages needing review:  ", F.when(some("review"), c("review.ranges")).otherwise(F.lit("none"))),
     )
     lines = F.array_compact(F.array(*(F.when(condition, F.concat(F.lit(label), value)) for condition, label, value in rows)))
-    return lists.join(page_counts, "doc_id").select("doc_id", F.array_join(lines, "\n").alias("summary"))
+    return sets.join(page_counts, "doc_id").select("doc_id", F.array_join(lines, "\n").alias("summary"))
 
 
 def problem_images(results: DataFrame, page_counts: DataFrame) -> DataFrame:

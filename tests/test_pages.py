@@ -11,6 +11,7 @@ from pagewright.functions import text as X
 from pagewright.functions.ranges import page_list, parse_page_range
 from pagewright.operators import layout, ocr_words
 from pagewright.plans import pages as plan
+from pagewright.sinks import files
 from pagewright.sinks import pages as sinks
 from pagewright.sources import ocr, pdf
 from pagewright.sources.rows import map_rows
@@ -144,7 +145,7 @@ def test_without_ocr(spark):
     assert rows[2].warnings[1] == "PAGE MAY CONTAIN SIGNIFICANT NON-TEXT CONTENT (images cover 53% of the page)"
     assert rows[3].warnings == ["PAGE MAY CONTAIN SIGNIFICANT NON-TEXT CONTENT (80 vector drawing elements - possible diagram, chart or flowchart; fragmented text (12 short text blocks) - possible diagram labels)"]
     assert rows[4].warnings == ["PAGE MAY CONTAIN SIGNIFICANT NON-TEXT CONTENT (1 table(s) detected - text kept, table layout not reconstructed)"]
-    lists = plan.page_lists(plan.process(mixed(spark)))
+    lists = plan.page_kinds(plan.process(mixed(spark)))
     counts = spark.createDataFrame([("/d/mixed.pdf", 6)], "doc_id string, page_count int")
     summary = sinks.summaries(lists, counts).first().summary.split("\n")
     assert "Would benefit from OCR: 1 page(s)  [2]  -> rerun with --ocr" in summary and summary[-1] == "Pages needing review:  2-4" and "Blank pages:           1 page(s)  [5]" in summary and "Pages:                 6" in summary
@@ -157,7 +158,7 @@ def test_ocr_runs_only_where_needed(spark, tmp_path):
     assert sorted(p.name for p in tmp_path.iterdir()) == ["2"]
     assert rows[2].method == "DIRECT + OCR" and rows[2].ocr_text.startswith("Recognised words here on the\npage") and rows[2].ocr_confidence == 91.0
     counts = spark.createDataFrame([("/d/mixed.pdf", 6)], "doc_id string, page_count int")
-    content = sinks.document_texts(plan.process(mixed(spark), options, counting(spark, tmp_path)), counts).first().content
+    content = files.text_of(sinks.document_pieces(plan.process(mixed(spark), options, counting(spark, tmp_path)), counts), ["page_no"])
     assert content.startswith("[SOURCE: mixed.pdf]\n[PAGES IN DOCUMENT: 6 | PAGES EXTRACTED: 1-6]\n")
     assert "--- PAGE 2 ---\n[EXTRACTION: DIRECT + OCR]\n[OCR REASON: only 7 characters of text, but the page has other visible content, confidence 91%]\n" in content
     assert "Figure 1\n\n[OCR TEXT FROM PAGE IMAGE - may repeat text above]\nRecognised" in content and content.endswith(f"{PROSE}\n")
