@@ -1,13 +1,14 @@
 """Text functions as Spark columns.
 
-White space means what Python's ``str.isspace`` means; Java's own class is narrower.  Functions that Spark lacks
-(case folding, all HTML entities, exact half-even formatting) are Arrow UDFs and named ``*_udf``.
+White space means what Python's ``str.isspace`` means; Java's own class is narrower.  What Spark lacks (exact half-even
+formatting) is an Arrow UDF and named ``*_udf``; ``markup`` and ``folding`` hold what takes tables.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -20,6 +21,22 @@ from ..config import MATH_SIGNS, PREVIEW
 SPACE = r"[\s\x1c-\x1f\x85\p{Z}]"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once: inside a lambda, Spark works out everything else anew for each element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def table_text(entries: dict[str, str]) -> str:
+    """A small table as one text, for ``looked_up``: a literal of Spark's, where a map of columns is planned entry by entry."""
+    return "".join(f"\0{k}\1{v}" for k, v in entries.items()) + "\0"
+
+
+def looked_up(table: Column, key: Column) -> Column:
+    """The value of a key in a table's text; null if there is none."""
+    at = F.instr(table, F.concat(F.lit("\0"), key, F.lit("\1")))
+    return F.when(at > 0, F.substring_index(F.substr(table, at + F.length(key) + 2), "\0", 1))
+
+
 def without_space(text: Column) -> Column:
     return F.regexp_replace(text, SPACE, "")
 
@@ -68,30 +85,12 @@ def squeezed(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(text, f"{SPACE}+", " "), "^ | $", "")
 
 
-def visible_text(text: Column) -> Column:
-    """Text without tags and with the common entities decoded; ``visible_udf`` knows all entities."""
-    plain = F.regexp_replace(text, "<[^>]*>", "")
-    for entity, sign in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&nbsp;", " "), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&")):
-        plain = F.replace(plain, F.lit(entity), F.lit(sign))
-    return squeezed(plain)
-
-
 def visible(value: str) -> str:
     """What a reader sees of an HTML fragment: tags go first, then entities are decoded."""
     shown = html.unescape(re.sub("<[^>]*>", "", value))
     return " ".join(shown.split())
 
 
-@pandas_udf(T.StringType())
-def visible_udf(values: pd.Series) -> pd.Series:
-    return values.map(visible, na_action="ignore")
-
-
-@pandas_udf(T.StringType())
-def normalize_udf(values: pd.Series) -> pd.Series:
-    return values.map(lambda v: visible(v).casefold(), na_action="ignore")
-
-
 def preview(text: Column, limit: int = PREVIEW) -> Column:
     return F.when(F.length(text) > limit, F.concat(F.left(text, F.lit(limit - 3)), F.lit("..."))).otherwise(text)
 

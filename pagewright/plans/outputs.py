@@ -9,7 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import config as C
+from ..functions import markup
 from ..functions import text as X
+from ..functions.folding import folded
 from ..functions.ranges import parse_page_range
 from ..operators import cards, layout, pages
 from ..sinks import decks as deck_sinks
@@ -222,7 +224,7 @@ SELECT l_orderkey, l_linenumber, round_even(v * 100, 0)::BIGINT || '%' AS whole,
 
 def normalize_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Case-folded visible text with all HTML entities."""
-    return table(spark, sf_dir, "pages").select("page_id", F.md5(X.normalize_udf(F.coalesce("html", F.lit("")))).alias("digest"))
+    return table(spark, sf_dir, "pages").select("page_id", F.md5(folded(markup.visible_text(F.coalesce("html", F.lit(""))))).alias("digest"))
 
 
 NORMALIZED = VISIBLE[: VISIBLE.rindex("SELECT page_id")] + "SELECT page_id, md5(replace(lower(t), 'ß', 'ss')) AS digest FROM c"

@@ -10,13 +10,14 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import config as C
+from ..functions import markup
 from ..functions import text as X
+from ..functions.folding import folded
 from ..functions.ranges import page_list, page_ranges
 from ..operators import cards, duplicates, layout, ocr_words, pages
 from ..sinks import files
 from ..sinks.decks import tsv_line
 from ..sources import deck_source
-from ..sources.decks import parse_decks
 from ..sources.stores import scratch
 
 SQL_SPACE = r"[\s\x0b\x1c-\x1f\x{85}\p{Z}]"
@@ -65,7 +66,7 @@ SELECT doc_id, length(s) AS chars,
 
 
 def visible_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    seen = X.visible_text(F.coalesce("html", F.lit("")))
+    seen = markup.visible_text(F.coalesce("html", F.lit("")))
     return table(spark, sf_dir, "pages").select("page_id", F.length(seen).cast("long").alias("n"), F.md5(seen).alias("digest"), X.preview(seen).alias("preview"))
 
 
@@ -76,11 +77,9 @@ SELECT page_id, length(t) AS n, md5(t) AS digest, CASE WHEN length(t) > 70 THEN
 
 
 def html_unknown_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tag-like fragments of pages that are no known tag, as the deck parser reports them for cards."""
-    card = F.struct(F.coalesce("html", F.lit("")).alias("question"), F.lit("x").alias("answer"), F.array(*map(F.lit, ("x", "y", "z", "w"))).alias("options"))
-    decks = table(spark, sf_dir, "pages").select(F.col("page_id").cast("string").alias("deck_id"), F.encode(F.to_json(F.array(card)), "UTF-8").alias("content"))
-    tags = F.col("question.tags")
-    return parse_decks(decks).select(F.col("deck_id").cast("long").alias("page_id"), F.size(tags).cast("long").alias("n_unknown"), F.array_join(F.slice(tags, 1, 3), " ").alias("first"), F.md5(F.array_join(tags, " ")).alias("digest"))
+    """Tag-like fragments of pages that are no known tag, as they are reported for cards."""
+    tags = table(spark, sf_dir, "pages").select("page_id", markup.unknown_tags(F.coalesce("html", F.lit(""))).alias("tags"))
+    return tags.select("page_id", F.size("tags").cast("long").alias("n_unknown"), F.array_join(F.slice("tags", 1, 3), " ").alias("first"), F.md5(F.array_join("tags", " ")).alias("digest"))
 
 
 UNKNOWN = rf"""WITH a AS (SELECT page_id, regexp_extract_all(coalesce(html, ''), '</?\s*[A-Za-z][A-Za-z0-9-]*[^>]*>') AS t FROM pages),
@@ -350,9 +349,9 @@ def card_rows(spark: SparkSession, sf_dir: str, deck: Column | str = "p_size") -
     """The same as parsed cards."""
 
     def field(value: Column) -> Column:
-        seen = X.visible_text(value)
         quoted = F.concat(F.lit("'"), value, F.lit("'"))
-        return F.struct(F.lit("str").alias("py_type"), value.alias("value"), quoted.alias("repr"), seen.alias("visible"), F.lower(seen).alias("norm"), quoted.alias("shown"), F.array().cast("array<string>").alias("tags"))
+        whole = lambda seen: F.struct(F.lit("str").alias("py_type"), value.alias("value"), quoted.alias("repr"), seen.alias("visible"), folded(seen).alias("norm"), quoted.alias("shown"), F.array().cast("array<string>").alias("tags"))
+        return X.let(markup.visible_text(value), whole)
 
     keys = F.array(*(F.struct(F.lit(k).alias("name"), F.lit(f"'{k}'").alias("repr"), F.lit(None).cast("string").alias("hint")) for k in C.REQUIRED))
     items = F.struct(F.lit("list").alias("py_type"), F.transform("o", field).alias("items"))

@@ -1,4 +1,4 @@
-"""Question decks as a Spark data source: ``spark.read.format("question-decks").load(folder)``.
+"""Question decks as a Spark data source: ``spark.read.format("question-decks").load(folder)``; ``load`` completes its rows.
 
 Files are planned by their bytes: a partition is a run of files of some megabytes, or one larger file.  Filters on deck_id
 choose files, so a selection of decks lists the folder but opens only its own files; filters on the card's number choose the
@@ -24,7 +24,7 @@ from pyspark.sql import datasource as S
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from .decks import DECKS, deck_rows
+from .decks import RAW, completed, deck_rows
 from .stores import store_of
 
 FORMAT = "question-decks"
@@ -122,7 +122,7 @@ class QuestionDecks(S.DataSource):
         return FORMAT
 
     def schema(self) -> str:
-        return DECKS
+        return RAW
 
     def reader(self, schema: StructType) -> DeckReader:
         if odd := [c for c in schema.fieldNames() if c not in COLUMNS]:
@@ -141,5 +141,5 @@ def load(spark: SparkSession, path: str, *, columns: Sequence[str] = (), **optio
     register(spark)
     reader = spark.read.format(FORMAT).options(**options)
     if columns:
-        reader = reader.schema(StructType([f for f in StructType.fromDDL(DECKS) if f.name in columns]))
-    return reader.load(path)
+        reader = reader.schema(StructType([f for f in StructType.fromDDL(RAW) if f.name in columns]))
+    return completed(reader.load(path))

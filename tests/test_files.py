@@ -12,7 +12,7 @@ from pagewright.functions.text import zero_padded
 from pagewright.sinks import files
 from pagewright.sinks.pages import problem_images
 from pagewright.sources import deck_source
-from pagewright.sources.decks import DECKS, parse_decks
+from pagewright.sources.decks import RAW, parse_decks
 
 CARD = "{'question': 'Q%d of %s?', 'answer': 'B', 'options': ['A', 'B', 'C', 'D']}"
 
@@ -28,7 +28,7 @@ def decks_in(folder, n=6, cards=3):
 
 
 def reader(folder, *filters, fields=("deck_id", "number"), **options):
-    schema = T.StructType([f for f in T.StructType.fromDDL(DECKS) if f.name in fields])
+    schema = T.StructType([f for f in T.StructType.fromDDL(RAW) if f.name in fields])
     made = deck_source.QuestionDecks({"path": str(folder), **options}).reader(schema)
     return made, list(made.pushFilters(list(filters)))
 
