@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
 from ..config import ANALYSIS_DPI, BOX_PADDING, COLUMN_CHARS, COLUMN_MARGIN, INK_DELTA, JUMP_LEFT, JUMP_UP, SIGNIFICANT_IMAGE
-from ..functions.text import count_chars, without_space
+from ..functions.text import count_chars, let, without_space
 
 
 def text_blocks(blocks: Column, by_position: bool = False) -> Column:
@@ -30,14 +30,25 @@ def joined_text(blocks: Column) -> Column:
     return F.array_join(F.transform(blocks, lambda b: F.btrim(b["text"], F.lit("\n"))), "\n\n")
 
 
+def beside(left: Column, right: Column) -> Column:
+    """Whether a block of one side overlaps in height with one of the other: one sweep down the page.
+
+    Blocks of the left come by their upper edges, those of the right by their lower edges.  When one of the right comes, the
+    blocks of the left so far all start above its end, and one overlaps if the lowest end among them is below its start.
+    """
+    event = lambda y, kind, other: F.struct(y.cast("double").alias("y"), F.lit(kind).alias("kind"), other.cast("double").alias("other"))
+    events = F.array_sort(F.concat(F.transform(left, lambda b: event(b["y0"], 1, b["y1"])), F.transform(right, lambda b: event(b["y1"], 0, b["y0"]))))
+    start = F.struct(F.lit(float("-inf")).alias("low"), F.lit(False).alias("found"))
+    step = lambda a, e: F.struct(F.when(e["kind"] == 1, F.greatest(a["low"], e["other"])).otherwise(a["low"]).alias("low"), (a["found"] | ((e["kind"] == 0) & (a["low"] > e["other"]))).alias("found"))
+    return F.aggregate(events, start, step, lambda a: a["found"])
+
+
 def multi_column(blocks: Column, left_edge: Column, width: Column) -> Column:
     """Two or more large blocks on either half of the page, with a pair side by side."""
-    large = F.filter(blocks, lambda b: count_chars(b["text"]) >= COLUMN_CHARS)
     middle, margin = left_edge + width / 2, width * COLUMN_MARGIN
-    left = F.filter(large, lambda b: b["x1"] <= middle + margin)
-    right = F.filter(large, lambda b: b["x0"] >= middle - margin)
-    beside = F.exists(left, lambda a: F.exists(right, lambda b: (a["y0"] < b["y1"]) & (b["y0"] < a["y1"])))
-    return (F.size(left) >= 2) & (F.size(right) >= 2) & beside
+    large = F.filter(blocks, lambda b: count_chars(b["text"]) >= COLUMN_CHARS)
+    sides = let(large, lambda held: F.struct(F.filter(held, lambda b: b["x1"] <= middle + margin).alias("left"), F.filter(held, lambda b: b["x0"] >= middle - margin).alias("right")))
+    return let(sides, lambda s: (F.size(s["left"]) >= 2) & (F.size(s["right"]) >= 2) & beside(s["left"], s["right"]))
 
 
 def order_jumps(blocks: Column) -> Column:
@@ -55,12 +66,16 @@ def order_jumps_rows(blocks: DataFrame, page: list[str]) -> DataFrame:
 
 
 def multi_column_rows(blocks: DataFrame, pages: DataFrame, page: list[str]) -> DataFrame:
-    """The same from rows of blocks and of pages (x0, width): (page, multi_column).
-
-    Each side's blocks are gathered by page, which bounds them; no block is paired up across pages.
-    """
-    gathered = blocks.groupBy(*page).agg(F.collect_list(F.struct("seq", "x0", "y0", "x1", "y1", "text")).alias("b"))
-    return pages.select(*page, F.col("x0").alias("_x"), "width").join(gathered, page).select(*page, multi_column(F.col("b"), F.col("_x"), F.col("width")).alias("multi_column"))
+    """The same from rows of blocks and of pages (x0, width): (page, multi_column), by a window that Spark sorts and spills."""
+    middle, margin = F.col("_x") + F.col("width") / 2, F.col("width") * COLUMN_MARGIN
+    held = pages.select(*page, F.col("x0").alias("_x"), "width").join(blocks.where(count_chars(F.col("text")) >= COLUMN_CHARS), page)
+    event = lambda on, y, kind, other: F.when(on, F.struct(F.col(y).alias("y"), F.lit(kind).alias("kind"), F.col(other).alias("other")))
+    events = F.array_compact(F.array(event(F.col("x1") <= middle + margin, "y0", 1, "y1"), event(F.col("x0") >= middle - margin, "y1", 0, "y0")))
+    swept = held.select(*page, F.explode(events).alias("e")).select(*page, "e.*")
+    low = F.max(F.when(F.col("kind") == 1, F.col("other"))).over(Window.partitionBy(*page).orderBy("y", "kind"))
+    found = swept.withColumn("found", (F.col("kind") == 0) & F.coalesce(low > F.col("other"), F.lit(False)))
+    counts = found.groupBy(*page).agg(((F.count_if(F.col("kind") == 1) >= 2) & (F.count_if(F.col("kind") == 0) >= 2) & F.bool_or("found")).alias("multi_column"))
+    return pages.select(*page).join(counts, page, "left").select(*page, F.coalesce("multi_column", F.lit(False)).alias("multi_column"))
 
 
 def median_chars(blocks: Column) -> Column:

@@ -1,6 +1,7 @@
 """Columns that stand for library functions: character references, case folding, unknown tags."""
 
 import html
+import math
 import random
 import re
 from html.entities import html5
@@ -11,6 +12,8 @@ from pagewright.config import HTML_TAGS, PREVIEW_SNIPPET
 from pagewright.functions.folding import folded
 from pagewright.functions.markup import unescaped, unknown_tags, visible_text
 from pagewright.functions.text import visible
+from pagewright.operators.cards import chi2_tail
+from pagewright.operators.layout import multi_column, multi_column_rows
 
 
 def values(spark, texts, made):
@@ -62,3 +65,38 @@ def test_unknown_tags(spark):
     texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(0, 40))) for _ in range(3000)] + ["", "<", "<b", "< b >", "</ b\n>", "<" * 50 + "x>", "<b <b <b <b <b <b <b <b <b <b <b <b>", "<x" * 2_000, "<x>" * 20_000]
     assert values(spark, texts, unknown_tags) == [unknown(t) for t in texts]
     assert values(spark, [None], unknown_tags) == [[]]
+
+
+def test_chi2_tail(spark):
+    xs = [0.0, 1e-9, 0.01, 0.5, 1.0, 3.0, 7.9, 7.999999, 8.0, 8.1, 11.344866730144373, 20.0, 50.0, 200.0, 700.0, *(i / 7 for i in range(400))]
+    df = spark.createDataFrame([(x,) for x in [*xs, None]], "x double")
+    for r in df.select("x", chi2_tail(F.col("x")).alias("p")).collect():
+        if r.x is None:
+            assert r.p is None
+        else:
+            exact = math.erfc(math.sqrt(r.x / 2)) + math.sqrt(2 * r.x / math.pi) * math.exp(-r.x / 2)
+            assert abs(r.p - exact) <= 1e-12 * max(exact, 1e-300) + 1e-14 * (r.x < 8), r.x
+
+
+def test_columns_by_a_sweep(spark):
+    """Against all pairs, also with heights of nothing or less; and a page of very many blocks."""
+    rng = random.Random(9)
+    text = "x" * 50
+    made = lambda n: [(i, float(rng.choice((0, 40, 280, 320))), float(rng.randrange(40)), float(rng.choice((250, 300, 340, 600))), float(rng.randrange(40)), rng.choice((text, "short")), 0) for i in range(n)]
+    pages = [(k, made(rng.randrange(0, 9))) for k in range(400)]
+
+    def pairs(blocks):
+        large = [b for b in blocks if len(b[5]) >= 40]
+        left, right = [b for b in large if b[3] <= 306 + 612 * 0.05], [b for b in large if b[1] >= 306 - 612 * 0.05]
+        return len(left) >= 2 and len(right) >= 2 and any(a[2] < b[4] and b[2] < a[4] for a in left for b in right)
+
+    block = "struct<seq:int,x0:double,y0:double,x1:double,y1:double,text:string,type:int>"
+    df = spark.createDataFrame(pages, f"k int, b array<{block}>")
+    expected = {k: pairs(b) for k, b in pages}
+    assert {r.k: r.m for r in df.select("k", multi_column(F.col("b"), F.lit(0.0), F.lit(612.0)).alias("m")).collect()} == expected
+    rows, frame = df.select("k", F.explode("b").alias("b")).select("k", "b.*"), df.select("k", F.lit(0.0).alias("x0"), F.lit(612.0).alias("width"))
+    assert {r.k: r.multi_column for r in multi_column_rows(rows, frame, ["k"]).collect()} == expected
+    assert 20 < sum(expected.values()) < 380
+    i = F.col("id")
+    many = spark.range(100_000).select(F.struct(i.cast("int").alias("seq"), F.when(i % 2 == 0, 0.0).otherwise(320.0).alias("x0"), (i * 10.0).alias("y0"), F.when(i % 2 == 0, 300.0).otherwise(600.0).alias("x1"), (i * 10.0 + 10).alias("y1"), F.lit(text).alias("text"), F.lit(0).alias("type")).alias("b"))
+    assert many.groupBy().agg(F.collect_list("b").alias("b")).select(multi_column(F.col("b"), F.lit(0.0), F.lit(612.0))).first()[0] is False
