@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import config as C
-from ..functions.text import fixed_udf, let, line_breaks, percent, stable_id, without_space
+from ..functions.text import fixed_udf, line_breaks, percent, stable_id, without_space
 
 MESSAGES = "array<struct<code:string,message:string>>"
 
@@ -176,18 +176,23 @@ def export_rows(validated: DataFrame, *, seed: int | None = None) -> DataFrame:
     ).select("deck_id", "number", *C.EXPORT_COLUMNS)
 
 
-def erfc(z: Column) -> Column:
-    """The complementary error function of a number that is not negative: a series of positive terms, from 2 on a continued fraction."""
-    steps = lambda a, b: F.sequence(F.lit(a), F.lit(b)) if a < b else F.sequence(F.lit(a), F.lit(b), F.lit(-1))
-    square = z * z
-    terms = F.aggregate(steps(1, 60), F.struct(z.alias("term"), z.alias("sum")), lambda a, n: let(a["term"] * 2 * square / (2 * n + 1), lambda t: F.struct(t.alias("term"), (a["sum"] + t).alias("sum"))), lambda a: a["sum"])
-    fraction = F.aggregate(steps(120, 1), z, lambda a, n: z + n / 2.0 / a)
-    return F.when(z < 2, 1 - 2 / math.sqrt(math.pi) * F.exp(-square) * terms).otherwise(F.exp(-square) / (math.sqrt(math.pi) * fraction))
+def erfc_sql(z: str) -> str:
+    """The complementary error function of a column that is not negative: a series of positive terms, from 2 on a continued fraction.
 
+    Both are written out as nested arithmetic, so no lambda comes near the formatting UDF, which Spark could not evaluate then.
+    """
+    series, fraction = "1D", z
+    for n in range(60, 0, -1):
+        series = f"(1D + {z} * {z} * {2 / (2 * n + 1)!r}D * {series})"
+        fraction = f"({z} + {n / 2}D / {fraction})"
+    down, root = f"exp(-{z} * {z})", f"{math.sqrt(math.pi)!r}D"
+    return f"CASE WHEN {z} < 2 THEN 1 - 2 / {root} * {down} * {z} * {series} ELSE {down} / ({root} * {fraction}) END"
 
-def chi2_tail(x: Column) -> Column:
-    """Probability that chi-square with three degrees of freedom exceeds x."""
-    return erfc(F.sqrt(x / 2)) + F.sqrt(2 * x / math.pi) * F.exp(-x / 2)
+
+def chi2_tail(root: str) -> Column:
+    """Probability that chi-square with three degrees of freedom exceeds x, from a column that holds the root of x / 2."""
+    z = f"`{root}`"
+    return F.expr(f"{erfc_sql(z)} + {2 / math.sqrt(math.pi)!r}D * {z} * exp(-{z} * {z})")
 
 
 def distribution(rows: DataFrame) -> DataFrame:
@@ -209,7 +214,7 @@ def with_chi2(counts: DataFrame) -> DataFrame:
 
 def distribution_warnings(dist: DataFrame) -> DataFrame:
     """Adds p_value and warnings (array of text) of a deck's distribution."""
-    held = dist.withColumn("p_value", chi2_tail(F.col("chi2")))
+    held = dist.withColumn("_root", F.sqrt(F.col("chi2") / 2)).withColumn("p_value", chi2_tail("_root")).drop("_root")
     count = lambda letter: F.element_at(F.create_map(*(y for x in C.LETTERS for y in (F.lit(x), F.col(x)))), letter)
     skewed = F.concat(
         F.lit("Correct-answer placement is highly unbalanced: "), F.col("most"), F.lit(" is correct "), percent(count(F.col("most")) / F.col("total")), F.lit(" of the time and "), F.col("least"), F.lit(" only "),
