@@ -29,13 +29,13 @@ class DeckRun:
 def run(parsed: DataFrame, *, seed: int | None = None) -> DeckRun:
     """From parsed decks to rows and the pieces of reports.
 
-    Parsed and validated cards are persisted, as each section of a report reads them; ``release`` drops them.
+    Parsed and validated cards and the distributions are persisted, as each section of a report reads them; ``release`` drops them.
     """
     parsed = parsed.persist()
     decks = parsed.groupBy("deck_id").agg(F.first("format").alias("format"), F.first("notes").alias("notes"), F.max("error").alias("error"))
     cards = ops.validate(parsed).persist()
     plain = ops.export_rows(cards)
-    before = ops.distribution_warnings(ops.distribution(plain))
+    before = ops.distribution_warnings(ops.distribution(plain)).persist()  # a row a deck
     rows = plain if seed is None else ops.export_rows(cards, seed=seed)
-    after = None if seed is None else ops.distribution_warnings(ops.distribution(rows))
-    return DeckRun(decks, cards, rows, sinks.report_pieces(cards, decks.where(F.col("error").isNull()), before, after, seed=seed), (cards, parsed))
+    after = None if seed is None else ops.distribution_warnings(ops.distribution(rows)).persist()
+    return DeckRun(decks, cards, rows, sinks.report_pieces(cards, decks.where(F.col("error").isNull()), before, after, seed=seed), (cards, parsed, before, *([] if after is None else [after])))
