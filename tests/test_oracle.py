@@ -12,9 +12,13 @@ from pagewright.plans import catalog
 SF = "/root/testdata/sf0.001"
 
 
-def connect():
+#: With page numbers of four digits, and counts of many rows.
+LARGER = "/root/testdata/sf0.01"
+
+
+def connect(folder=SF):
     c = duckdb.connect()
-    for p in Path(SF).glob("*.parquet"):
+    for p in Path(folder).glob("*.parquet"):
         c.execute(f"CREATE VIEW {p.stem} AS SELECT * FROM read_parquet('{p}{'/*.parquet' if p.is_dir() else ''}')")
     return c
 
@@ -41,6 +45,14 @@ def test_same_rows(spark, name):
     assert values
 
 
+@pytest.mark.parametrize("name", ["problem_image_names", "file_names", "shares_as_text"])
+def test_same_rows_of_more(spark, name):
+    found = entry.queries()[name](spark, LARGER)
+    expected = connect(LARGER).execute(entry.oracle_sql()[name])
+    names = [d[0] for d in expected.description]
+    assert rows(found.columns, [tuple(r) for r in found.collect()]) == rows(names, expected.fetchall())
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
