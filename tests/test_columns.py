@@ -1,5 +1,6 @@
-"""Columns that stand for library functions: character references, case folding, unknown tags."""
+"""Columns that stand for library functions: character references, case folding, unknown tags, likeness of names."""
 
+import difflib
 import html
 import math
 import random
@@ -10,10 +11,12 @@ from pyspark.sql import functions as F
 
 from pagewright.config import HTML_TAGS, PREVIEW_SNIPPET
 from pagewright.functions.folding import folded
+from pagewright.functions.likeness import likeness
 from pagewright.functions.markup import unescaped, unknown_tags, visible_text
 from pagewright.functions.text import visible
 from pagewright.operators.cards import chi2_tail
 from pagewright.operators.layout import multi_column, multi_column_rows
+from pagewright.sources.decks import hint
 
 
 def values(spark, texts, made):
@@ -100,3 +103,32 @@ def test_columns_by_a_sweep(spark):
     i = F.col("id")
     many = spark.range(100_000).select(F.struct(i.cast("int").alias("seq"), F.when(i % 2 == 0, 0.0).otherwise(320.0).alias("x0"), (i * 10.0).alias("y0"), F.when(i % 2 == 0, 300.0).otherwise(600.0).alias("x1"), (i * 10.0 + 10).alias("y1"), F.lit(text).alias("text"), F.lit(0).alias("type")).alias("b"))
     assert many.groupBy().agg(F.collect_list("b").alias("b")).select(multi_column(F.col("b"), F.lit(0.0), F.lit(612.0))).first()[0] is False
+
+
+KNOWN = ["question", "answer", "options", "explanation"]
+
+
+def near_names():
+    rng = random.Random(5)
+    names = [*KNOWN, "", "q", "Question", "questoin", "anwser", "option", "optoins", "explain", "explanations", "answers", "('question',)", "b'answer'", "5", "None", "qu€stion", "aaaa", "nnnnnnnnnnn", "question" * 5, "x" * 250, "😀question"]
+    for word in KNOWN:
+        for _ in range(60):
+            held = list(word)
+            for _ in range(rng.randrange(1, 6)):
+                at, what = rng.randrange(len(held) + 1), rng.choice("dis")
+                held[at : at + (what != "i")] = [] if what == "d" else [rng.choice("aeinopqstuxz")]
+            names.append("".join(held))
+    return names + ["".join(rng.choice("aenopqstu") for _ in range(rng.randrange(14))) for _ in range(200)]
+
+
+def test_likeness(spark):
+    names = near_names()
+    for word in ["question", "explanation", "aab"]:
+        assert values(spark, names, lambda t, word=word: likeness(word, t)) == [difflib.SequenceMatcher(None, word, n, autojunk=False).ratio() for n in names]
+
+
+def test_hints(spark):
+    names = near_names()
+    expected = [None if n in KNOWN else (difflib.get_close_matches(n, KNOWN, n=1) or [None])[0] for n in names]
+    assert values(spark, names, hint) == expected
+    assert {*KNOWN, None} == set(expected)
