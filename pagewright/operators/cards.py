@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from .. import config as C
 from ..functions.text import fixed_udf, line_breaks, percent, stable_id, without_space
+from .draws import drawn_options
 
 MESSAGES = "array<struct<code:string,message:string>>"
 
@@ -165,12 +166,17 @@ def shuffled(options: Column, seed: int, *keys: Column) -> Column:
     return F.transform(F.array_sort(keyed), lambda x: x["o"])
 
 
-def export_rows(validated: DataFrame, *, seed: int | None = None) -> DataFrame:
-    """(deck_id, number, the eight columns) of valid cards; with a seed the options are shuffled."""
+def export_rows(validated: DataFrame, *, seed: int | None = None, drawn: bool = False) -> DataFrame:
+    """(deck_id, number, the eight columns) of valid cards; with a seed the options are shuffled.
+
+    They are shuffled card by card, or ``drawn`` from one generator in the order of each deck's valid cards.
+    """
     options = F.transform("options.items", lambda o: o["value"])
-    if seed is not None:
+    if seed is not None and not drawn:
         options = shuffled(options, seed, F.col("deck_id"), F.col("number"))
     held = validated.where("valid").select("deck_id", "number", F.col("question.value").alias("Question"), options.alias("_o"), F.col("answer.value").alias("CorrectAnswer"), F.coalesce("explanation.value", F.lit("")).alias("Explanation"))
+    if seed is not None and drawn:
+        held = drawn_options(held, "_o", seed)
     return held.select(
         "deck_id", "number", "Question", *(F.get("_o", F.lit(i)).alias(f"Option{x}") for i, x in enumerate(C.LETTERS)), "CorrectAnswer", correct_letter(F.col("_o"), F.col("CorrectAnswer")).alias("CorrectLetter"), "Explanation"
     ).select("deck_id", "number", *C.EXPORT_COLUMNS)

@@ -26,8 +26,8 @@ class DeckRun:
             df.unpersist()
 
 
-def run(parsed: DataFrame, *, seed: int | None = None) -> DeckRun:
-    """From parsed decks to rows and the pieces of reports.
+def run(parsed: DataFrame, *, seed: int | None = None, drawn: bool = False) -> DeckRun:
+    """From parsed decks to rows and the pieces of reports; options are shuffled by a seed, see ``export_rows``.
 
     Parsed and validated cards and the distributions are persisted, as each section of a report reads them; ``release`` drops them.
     """
@@ -36,6 +36,6 @@ def run(parsed: DataFrame, *, seed: int | None = None) -> DeckRun:
     cards = ops.validate(parsed).persist()
     plain = ops.export_rows(cards)
     before = ops.distribution_warnings(ops.distribution(plain)).persist()  # a row a deck
-    rows = plain if seed is None else ops.export_rows(cards, seed=seed)
+    rows = plain if seed is None else ops.export_rows(cards, seed=seed, drawn=drawn)
     after = None if seed is None else ops.distribution_warnings(ops.distribution(rows)).persist()
     return DeckRun(decks, cards, rows, sinks.report_pieces(cards, decks.where(F.col("error").isNull()), before, after, seed=seed), (cards, parsed, before, *([] if after is None else [after])))

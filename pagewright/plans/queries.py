@@ -456,6 +456,40 @@ SHUFFLED = "s0 AS (SELECT *, list_sort(list_transform([1, 2, 3, 4], lambda i: {'
 SHUFFLE = f"""WITH {CARDS}, {SHUFFLED} SELECT deck_id, number, array_to_string(mixed, '|') AS options, answer AS "CorrectAnswer", ['A', 'B', 'C', 'D'][list_position(mixed, answer)] AS "CorrectLetter" FROM s1"""
 
 
+def option_draws(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same by draws from one generator through the cards of each deck."""
+    rows = cards.export_rows(cards.validate(card_rows(spark, sf_dir)), seed=42, drawn=True)
+    return rows.select("deck_id", F.col("number").cast("long").alias("number"), F.concat_ws("|", *(f"Option{x}" for x in C.LETTERS)).alias("options"), "CorrectAnswer", "CorrectLetter")
+
+
+def swapped(options: str, i: int, j: str) -> str:
+    """SQL for a list of four with the places i and j (from 1) exchanged."""
+    return f"list_transform([1, 2, 3, 4], lambda k: CASE WHEN k = {i} THEN {options}[{j}] WHEN k = {j} THEN {options}[{i}] ELSE {options}[k] END)"
+
+
+#: The generator from its definition: a state of 624 words from the seed, 227 new words a step, each tempered.
+DRAWN = f"""ranked AS (SELECT *, row_number() OVER (PARTITION BY deck_id ORDER BY number) AS rank FROM cards WHERE valid),
+g0(i, v) AS (SELECT 0::BIGINT, 19650218::BIGINT UNION ALL SELECT i + 1, (1812433253 * xor(v, v >> 30) + i + 1) % 4294967296 FROM g0 WHERE i < 623),
+g1(k, v, first) AS (SELECT -1::BIGINT, v, NULL::BIGINT FROM g0 WHERE i = 0
+  UNION ALL SELECT g1.k + 1, (xor(CASE WHEN g1.k = 622 THEN g1.first ELSE g0.v END, xor(g1.v, g1.v >> 30) * 1664525) + 42) % 4294967296 AS n, CASE WHEN g1.k = -1 THEN (xor(g0.v, xor(g1.v, g1.v >> 30) * 1664525) + 42) % 4294967296 ELSE g1.first END
+  FROM g1 JOIN g0 ON g0.i = CASE WHEN g1.k = 622 THEN 1 ELSE g1.k + 2 END WHERE g1.k < 623),
+m1 AS (SELECT k + 1 AS i, v FROM g1 WHERE k BETWEEN 1 AND 622 UNION ALL SELECT 1, v FROM g1 WHERE k = 623),
+g2(k, v) AS (SELECT -1::BIGINT, v FROM m1 WHERE i = 1
+  UNION ALL SELECT g2.k + 1, (xor(m1.v, xor(g2.v, g2.v >> 30) * 1566083941) - m1.i + 4294967296) % 4294967296 FROM g2 JOIN m1 ON m1.i = CASE WHEN g2.k = 621 THEN 1 ELSE g2.k + 3 END WHERE g2.k < 622),
+seeded AS (SELECT list(v ORDER BY i) AS s FROM (SELECT 0 AS i, 2147483648 AS v UNION ALL SELECT CASE WHEN k = 622 THEN 1 ELSE k + 2 END, v FROM g2 WHERE k >= 0)),
+steps(b, s, made) AS (SELECT 0::BIGINT, s, []::BIGINT[] FROM seeded
+  UNION ALL SELECT b + 1, list_concat(s[228:], n), n FROM (SELECT b, s, list_transform(range(1, 228), lambda k: xor(xor(s[k + 397], ((s[k] & 2147483648) | (s[k + 1] & 2147483647)) >> 1), (s[k + 1] & 1) * 2567483615)) AS n
+    FROM steps WHERE b < (SELECT max(rank) * 16 // 227 + 3 FROM ranked))),
+t0 AS (SELECT (b - 1) * 227 + generate_subscripts(made, 1) AS n, unnest(made) AS v FROM steps WHERE b > 0), t1 AS (SELECT n, xor(v, v >> 11) AS v FROM t0), t2 AS (SELECT n, xor(v, (v << 7) & 2636928640) AS v FROM t1), t3 AS (SELECT n, xor(v, (v << 15) & 4022730752) AS v FROM t2),
+words AS (SELECT n, xor(v, v >> 18) AS v FROM t3),
+draws(n, rank, below, hit) AS (SELECT 0::BIGINT, 1::BIGINT, 4::BIGINT, NULL::STRUCT(rank BIGINT, below BIGINT, r BIGINT)
+  UNION ALL SELECT n, CASE WHEN r < below AND below = 2 THEN rank + 1 ELSE rank END, CASE WHEN r >= below THEN below WHEN below = 2 THEN 4 ELSE below - 1 END, CASE WHEN r < below THEN {{'rank': rank, 'below': below, 'r': r}} END
+    FROM (SELECT w.n, d.rank, d.below, CASE WHEN d.below = 4 THEN w.v >> 29 ELSE w.v >> 30 END AS r FROM draws d JOIN words w ON w.n = d.n + 1 WHERE d.rank <= (SELECT max(rank) FROM ranked))),
+places AS (SELECT hit.rank AS rank, max(hit.r + 1) FILTER (WHERE hit.below = 4) AS j4, max(hit.r + 1) FILTER (WHERE hit.below = 3) AS j3, max(hit.r + 1) FILTER (WHERE hit.below = 2) AS j2 FROM draws WHERE hit IS NOT NULL GROUP BY 1),
+d0 AS (SELECT *, {swapped('o', 4, 'j4')} AS o4 FROM ranked JOIN places USING (rank)), d1 AS (SELECT *, {swapped('o4', 3, 'j3')} AS o3 FROM d0), d2 AS (SELECT *, {swapped('o3', 2, 'j2')} AS mixed FROM d1)"""
+OPTION_DRAWS = f"""WITH RECURSIVE {CARDS}, {DRAWN} SELECT deck_id, number, array_to_string(mixed, '|') AS options, answer AS "CorrectAnswer", ['A', 'B', 'C', 'D'][list_position(mixed, answer)] AS "CorrectLetter" FROM d2"""
+
+
 def file_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = F.concat(F.lit("/in/"), F.replace("c_name", F.lit("#"), F.lit("_")), F.lit(".v1.txt"))
     return table(spark, sf_dir, "customer").select("c_custkey", X.stem(path).alias("stem"), X.deck_title(path).alias("title"), X.zero_padded(F.col("c_custkey") % 2000, F.lit(1999)).alias("padded"))
@@ -509,6 +543,6 @@ SQL = {
     "text_clean": TEXT_CLEAN, "text_metrics": TEXT_METRICS, "visible_text": VISIBLE, "html_unknown_tags": UNKNOWN, "doc_normalized_dedup": DEDUP, "duplicate_groups": GROUPS, "page_ranges_rows": RANGES,
     "page_ranges_array": RANGES, "ocr_regroup": OCR, "block_median": MEDIAN, "two_column": COLUMNS, "order_jumps": JUMPS, "order_jumps_array": JUMPS, "image_coverage": COVERAGE, "ink_histogram_mode": MODE, "ink_ratios": INK,
     "quality_decision": DECISION, "quality_summary_by_source": SUMMARY, "page_results": RESULTS, "card_validate": VALIDATE, "deck_parse_json": VALIDATE, "question_groups": QUESTION_GROUPS,
-    "deck_summary": DECK_SUMMARY, "answer_letter": LETTER, "answer_distribution": DISTRIBUTION, "tsv_rows": TSV, "letter_labels": LABELS, "stable_ids": IDS, "option_shuffle": SHUFFLE, "file_names": NAMES,
+    "deck_summary": DECK_SUMMARY, "answer_letter": LETTER, "answer_distribution": DISTRIBUTION, "tsv_rows": TSV, "letter_labels": LABELS, "stable_ids": IDS, "option_shuffle": SHUFFLE, "option_draws": OPTION_DRAWS, "file_names": NAMES,
     "math_count": MATH, "card_dedup": CARD_DEDUP, "answer_chi2": CHI2, "most_least_letter": MOST,
 }
