@@ -14,24 +14,24 @@ MEANT = 0.6
 RANGES = "array<struct<a0:int,a1:int,b0:int,b1:int>>"
 
 
-def pieces(word: str) -> Column:
-    """All parts (start, size, text) of a word, the longest first and those of a size from left to right: a constant."""
-    n = len(word)
-    part = lambda k: F.transform(F.sequence(F.lit(0), F.lit(n) - k), lambda i: F.struct(i.alias("i"), k.alias("k"), F.substr(F.lit(word), i + 1, k).alias("s")))
-    return F.flatten(F.transform(F.sequence(F.lit(n), F.lit(1), F.lit(-1)), part))
+def pieces(word: Column) -> Column:
+    """All parts (start, size, text) of a word, the longest first and those of a size from left to right."""
+    n = F.length(word)
+    part = lambda k: F.transform(F.sequence(F.lit(0), n - k), lambda i: F.struct(i.alias("i"), k.alias("k"), F.substr(word, i + 1, k).alias("s")))
+    return F.flatten(F.transform(F.sequence(n, F.lit(1), F.lit(-1)), part))
 
 
-def common(word: str, text: Column) -> Column:
+def common(word: Column, parts: Column, text: Column) -> Column:
     """Characters in common blocks: the longest common block, the first in the word and then in the text, and so on on either side of it.
 
     Ranges that are still to be looked at wait in a list.  Each look ends a range or finds a block of a character at least,
-    so twice the word's length and one are enough.
+    so twice the word's length and one are enough.  ``parts`` are the word's pieces.
     """
 
     def look(held: Column, _: Column) -> Column:
         last = F.get(held["todo"], F.size(held["todo"]) - 1)
         inside = lambda r: F.substr(text, r["b0"] + 1, r["b1"] - r["b0"])
-        fits = lambda r: F.filter(pieces(word), lambda p: (p["i"] >= r["a0"]) & (p["i"] + p["k"] <= r["a1"]) & F.contains(inside(r), p["s"]))
+        fits = lambda r: F.filter(parts, lambda p: (p["i"] >= r["a0"]) & (p["i"] + p["k"] <= r["a1"]) & F.contains(inside(r), p["s"]))
         rest = F.slice(held["todo"], F.lit(1), F.size(held["todo"]) - 1)
 
         def split(r: Column, p: Column) -> Column:
@@ -45,18 +45,18 @@ def common(word: str, text: Column) -> Column:
         found = let(last, lambda r: let(F.get(fits(r), F.lit(0)), lambda p: F.when(p.isNull(), F.struct(rest.alias("todo"), held["n"].alias("n"))).otherwise(split(r, p))))
         return F.when(F.size(held["todo"]) == 0, held).otherwise(found)
 
-    whole = F.array(F.struct(F.lit(0).alias("a0"), F.lit(len(word)).alias("a1"), F.lit(0).alias("b0"), F.length(text).alias("b1"))).cast(RANGES)
-    return F.aggregate(F.sequence(F.lit(0), F.lit(2 * len(word))), F.struct(whole.alias("todo"), F.lit(0).alias("n")), look, lambda held: held["n"])
+    whole = F.array(F.struct(F.lit(0).alias("a0"), F.length(word).alias("a1"), F.lit(0).alias("b0"), F.length(text).alias("b1"))).cast(RANGES)
+    return F.aggregate(F.sequence(F.lit(0), F.length(word) * 2), F.struct(whole.alias("todo"), F.lit(0).alias("n")), look, lambda held: held["n"])
 
 
-def likeness(word: str, text: Column, least: float = 0.0) -> Column:
-    """From 0 to 1; 0 where the lengths alone tell that it is below ``least``.  The blocks' order depends on which is the word."""
-    total = F.length(text) + len(word)
-    bound = 2.0 * F.least(F.length(text), F.lit(len(word))) / total
-    return F.when(bound >= least, 2.0 * common(word, text) / total).otherwise(F.lit(0.0))
+def likeness(word: Column, text: Column, least: float = 0.0) -> Column:
+    """From 0 to 1; 0 where the lengths alone tell that it is below ``least``.  The word is not empty; which one is the word tells the order of blocks."""
+    total = F.length(text) + F.length(word)
+    bound = 2.0 * F.least(F.length(text), F.length(word)) / total
+    return F.when(bound >= least, 2.0 * let(pieces(word), lambda parts: common(word, parts, text)) / total).otherwise(F.lit(0.0))
 
 
 def meant(names: Sequence[str], text: Column) -> Column:
     """The name that is likest to the text, the last in the alphabet of equally like ones; null if none is like enough."""
-    each = F.array(*(F.struct(likeness(n, text, MEANT).alias("r"), F.lit(n).alias("name")) for n in names))
+    each = F.transform(F.array(*map(F.lit, names)), lambda n: F.struct(likeness(n, text, MEANT).alias("r"), n.alias("name")))
     return F.array_max(F.filter(each, lambda x: x["r"] >= MEANT))["name"]

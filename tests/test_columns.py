@@ -124,7 +124,7 @@ def near_names():
 def test_likeness(spark):
     names = near_names()
     for word in ["question", "explanation", "aab"]:
-        assert values(spark, names, lambda t, word=word: likeness(word, t)) == [difflib.SequenceMatcher(None, word, n, autojunk=False).ratio() for n in names]
+        assert values(spark, names, lambda t, word=word: likeness(F.lit(word), t)) == [difflib.SequenceMatcher(None, word, n, autojunk=False).ratio() for n in names]
 
 
 def test_hints(spark):
