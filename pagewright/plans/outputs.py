@@ -279,6 +279,30 @@ DECK_ERRORS = (
 )
 
 
+def deck_syntax(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is said of decks that neither grammar takes: a quote inside a string, a comma left out, a bare name, curly quotes."""
+    k, name = F.col("p_partkey") % 4, F.expr("repeat(coalesce(p_name, 'x') || ' ', int(p_partkey % 7 + 1))")
+    content = (
+        F.when(k == 0, F.concat(F.lit("[{'question': 'It's "), name, F.lit("'}]"))).when(k == 1, F.concat(F.lit("[\n {'question': '"), name, F.lit("'\n  'answer': 'b'}\n]")))
+        .when(k == 2, F.concat(F.lit('[{"question": "'), name, F.lit('", "answer": size_'), F.col("p_size").cast("string"), F.lit("}]"))).otherwise(F.concat(F.lit('[\n{"question":\n “'), name, F.lit("”}]")))
+    )
+    decks = table(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("deck_id"), F.encode(content, "UTF-8").alias("content"))
+    return parse_decks(decks).select(F.col("deck_id").cast("long").alias("p_partkey"), "error")
+
+
+DECK_SYNTAX = """WITH a AS (SELECT p_partkey, p_partkey % 4 AS k, p_size, repeat(coalesce(p_name, 'x') || ' ', (p_partkey % 7 + 1)::INT) AS name FROM part),
+b AS (SELECT *, CASE k WHEN 0 THEN '[{''question'': ''It''s ' || name || '''}]' WHEN 1 THEN '  ''answer'': ''b''}' WHEN 2 THEN '[{"question": "' || name || '", "answer": size_' || p_size || '}]' ELSE ' “' || name || '”}]' END AS line,
+  CASE k WHEN 0 THEN 1 WHEN 2 THEN 1 ELSE 3 END AS row, CASE k WHEN 0 THEN 21 + length(name) WHEN 1 THEN 11 WHEN 2 THEN 29 + length(name) ELSE 2 END AS col FROM a),
+c AS (SELECT *, greatest(0, col - 100) AS start FROM b)
+SELECT p_partkey, 'Could not parse the flashcard list as a Python literal or as JSON.' || chr(10)
+  || 'As Python: ' || CASE k WHEN 0 THEN 'unterminated string literal (detected at line 1)' WHEN 1 THEN 'invalid syntax' WHEN 2 THEN 'malformed node or string on line 1: <ast.Name object>' ELSE 'invalid character ''“'' (U+201C)' END || chr(10)
+  || 'As JSON: ' || CASE k WHEN 0 THEN 'Expecting property name enclosed in double quotes (line 1, column 3)' WHEN 1 THEN 'Expecting property name enclosed in double quotes (line 2, column 3)' WHEN 2 THEN 'Expecting value (line 1, column ' || col || ')' ELSE 'Expecting value (line 3, column 2)' END || chr(10)
+  || 'Line ' || row || ', column ' || col || ':' || chr(10) || '    ' || rtrim(substr(line, start + 1, 160)) || chr(10) || '    ' || repeat(' ', (col - start - 1)::INT) || '^'
+  || CASE k WHEN 0 THEN chr(10) || 'Likely causes:' || chr(10) || '  - line 1: an apostrophe or quote inside a string ends it early: use the other kind of quote around the string, or write a backslash before it' WHEN 1 THEN ''
+    ELSE chr(10) || 'Likely causes:' || CASE WHEN k = 3 THEN chr(10) || '  - line 3: curly quotes don''t delimit strings: write straight quotes ('' or ")' ELSE '' END
+    || chr(10) || '  - line ' || row || ': a name outside of quotes: only plain literals (strings, numbers, lists, dicts) are allowed, no variables or calls' END AS error FROM c"""
+
+
 def key_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cards whose keys are missing, unknown or misspelt, read from JSON: what each is told, and its label."""
     k, q, a, o = F.col("p_partkey") % 6, F.col("p_name").alias("question"), F.col("p_brand"), F.array("p_brand", "p_type", F.lit("third"), F.lit("fourth"))
@@ -401,5 +425,5 @@ SELECT deck_id, rtrim(concat_ws(chr(10), opening, s2, s3, s4, s5, s6, s7, s8), c
 SQL = {
     "page_text_render": render_sql(False), "ocr_page_render": render_sql(True), "page_documents": DOCUMENTS, "page_summaries": summary_sql(False), "ocr_summaries": summary_sql(True), "page_lists_by_source": PAGE_LISTS,
     "problem_image_names": IMAGE_NAMES, "page_selection": PAGE_SELECTION, "sorted_blocks": SORTED_BLOCKS, "math_fonts": MATH_FONTS, "shares_as_text": SHARES, "normalize_exact": NORMALIZED, "line_breaks": LINE_BREAKS, "tag_words": TAG_WORDS,
-    "deck_errors": DECK_ERRORS, "key_messages": KEY_MESSAGES, "strict_gate": STRICT_GATE, "tsv_files": TSV_FILES, "answer_p_value": P_VALUE, "distribution_text": DISTRIBUTION_TEXT, "deck_reports": reports_sql(),
+    "deck_errors": DECK_ERRORS, "deck_syntax": DECK_SYNTAX, "key_messages": KEY_MESSAGES, "strict_gate": STRICT_GATE, "tsv_files": TSV_FILES, "answer_p_value": P_VALUE, "distribution_text": DISTRIBUTION_TEXT, "deck_reports": reports_sql(),
 }
