@@ -11,7 +11,7 @@ import re
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
@@ -26,6 +26,14 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def once(rows: DataFrame, made: dict[str, Column]) -> DataFrame:
+    """The rows with these columns, worked out once a row.
+
+    They come from a generator, as Spark would copy the expressions of a projection into each filter and column that names them.
+    """
+    return rows.select(*(c for c in rows.columns if c not in made), F.inline(F.array(F.struct(*(v.alias(k) for k, v in made.items())))))
+
+
 def table_text(entries: dict[str, str]) -> str:
     """A small table as one text, for ``looked_up``: a literal of Spark's, where a map of columns is planned entry by entry."""
     return "".join(f"\0{k}\1{v}" for k, v in entries.items()) + "\0"
@@ -38,7 +46,7 @@ def looked_up(table: Column, key: Column) -> Column:
 
 
 def without_space(text: Column) -> Column:
-    return F.regexp_replace(text, SPACE, "")
+    return F.regexp_replace(text, f"{SPACE}++", "")
 
 
 def count_chars(text: Column) -> Column:
@@ -48,23 +56,31 @@ def count_chars(text: Column) -> Column:
 
 def count_math(text: Column) -> Column:
     """Mathematical signs."""
-    return F.length(text) - F.length(F.translate(text, MATH_SIGNS, ""))
+    return F.length(F.regexp_replace(text, rf"[^\Q{MATH_SIGNS}\E]++", ""))
+
 
+#: What is no garbage, and what is no letter or number: by runs, as each match costs Spark a piece of text.
+GARBAGE, ALNUM = r"[^\x{FFFD}\p{Co}\p{Cc}\p{Cs}]++", r"[^\p{L}\p{N}]++"
 
-def share_of(text: Column, unwanted: str, empty: float) -> Column:
-    """Share, among characters other than white space, of those that a pattern does not remove."""
-    solid = without_space(text)
+
+def share_of(solid: Column, unwanted: str, empty: float) -> Column:
+    """Share, among the characters of a text without white space, of those that a pattern does not remove."""
     return F.when(F.length(solid) > 0, F.length(F.regexp_replace(solid, unwanted, "")) / F.length(solid)).otherwise(F.lit(empty))
 
 
 def garbage_ratio(text: Column) -> Column:
     """Share of replacement, private-use, control and surrogate characters; 0 without text."""
-    return share_of(text, r"[^\x{FFFD}\p{Co}\p{Cc}\p{Cs}]", 0.0)
+    return let(without_space(text), lambda solid: share_of(solid, GARBAGE, 0.0))
 
 
 def alnum_ratio(text: Column) -> Column:
     """Share of letters and numbers; 1 without text."""
-    return share_of(text, r"[^\p{L}\p{N}]", 1.0)
+    return let(without_space(text), lambda solid: share_of(solid, ALNUM, 1.0))
+
+
+def solid_metrics(text: Column) -> Column:
+    """A struct of chars, garbage_ratio and alnum_ratio, from one look for white space."""
+    return let(without_space(text), lambda solid: F.struct(F.length(solid).alias("chars"), share_of(solid, GARBAGE, 0.0).alias("garbage_ratio"), share_of(solid, ALNUM, 1.0).alias("alnum_ratio")))
 
 
 def clean_text(text: Column) -> Column:

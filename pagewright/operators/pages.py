@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import config as C
-from ..functions.text import alnum_ratio, clean_text, count_chars, count_math, garbage_ratio, percent
+from ..functions.text import clean_text, count_chars, count_math, once, percent, solid_metrics
 from . import layout
 
 METRICS = (
@@ -38,20 +38,21 @@ def in_math_fonts(fonts: Column) -> Column:
 def measure(pages: DataFrame, *, sort: bool = False) -> DataFrame:
     """The page's text and metrics; of a page with an error the text is empty and the metrics are the defaults."""
     held = pages.withColumn("blocks", F.when(F.col("error").isNull(), layout.text_blocks(F.col("blocks"), sort)).otherwise(F.slice("blocks", 1, 0)))
-    held = held.withColumn("text", F.coalesce(clean_text(layout.joined_text(F.col("blocks"))), F.lit("")))
+    held = once(held, {"text": F.coalesce(clean_text(layout.joined_text(F.col("blocks"))), F.lit(""))})
+    held = once(held, {"_solid": solid_metrics(F.col("text")), "_math": count_math(F.col("text"))})
     held = held.withColumn("_ink", layout.ink_udf("raster", "blocks", "x0", "y0"))
     held = held.withColumn("_shares", layout.image_shares(F.coalesce("images", F.array().cast(pages.schema["images"].dataType)), F.col("x0"), F.col("y0"), F.col("width"), F.col("height")))
     ok = F.col("error").isNull()
     values = {
-        "chars": count_chars(F.col("text")), "garbage_ratio": garbage_ratio(F.col("text")), "alnum_ratio": alnum_ratio(F.col("text")),
+        **{k: F.col(f"_solid.{k}") for k in ("chars", "garbage_ratio", "alnum_ratio")},
         "ink_ratio": F.when(ok, F.col("_ink.ink_ratio")).otherwise(0.0), "nontext_ink_ratio": F.when(ok, F.col("_ink.nontext_ink_ratio")).otherwise(0.0),
         "image_count": F.when(ok, layout.image_count(F.col("_shares"))).otherwise(0), "image_coverage": F.when(ok, layout.image_coverage(F.col("_shares"))).otherwise(0.0),
         "drawing_count": F.when(ok, F.coalesce("drawing_count", F.lit(0))).otherwise(0), "table_count": F.when(ok, F.coalesce("table_count", F.lit(0))).otherwise(0),
         "block_count": F.coalesce(F.nullif(F.size("blocks"), F.lit(-1)), F.lit(0)), "median_block_chars": F.coalesce(layout.median_chars(F.col("blocks")), F.lit(0.0)),
         "multi_column": F.coalesce(layout.multi_column(F.col("blocks"), F.col("x0"), F.col("width")), F.lit(False)), "order_jumps": F.coalesce(layout.order_jumps(F.col("blocks")), F.lit(0)),
-        "has_math": ok & (in_math_fonts(F.col("fonts")) | (count_math(F.col("text")) >= C.MATH_LEAST)),
+        "has_math": ok & (in_math_fonts(F.col("fonts")) | (F.col("_math") >= C.MATH_LEAST)),
     }
-    return held.withColumns(values).drop("_ink", "_shares", "images", "fonts")
+    return held.withColumns(values).drop("_ink", "_shares", "_solid", "_math", "images", "fonts")
 
 
 def low_quality(threshold: int = C.OCR_THRESHOLD) -> tuple[Column, Column]:
@@ -81,7 +82,7 @@ def decide(measured: DataFrame, *, threshold: int = C.OCR_THRESHOLD) -> DataFram
     mode = F.when(F.col("error").isNotNull(), "replace").when(F.col("quality_code").isin("no_text", "garbled", "few_letters"), "replace").when(F.col("quality_code").isNotNull() | large, "supplement")
     covered = F.concat(F.lit("images cover "), percent(F.col("image_coverage")), F.lit(" of the page and may contain text"))
     why = F.when(F.col("error").isNotNull(), "direct extraction failed").otherwise(F.coalesce("_reason", F.when(large, covered)))
-    return coded.withColumns({"ocr_mode": mode, "ocr_reason": why}).drop("_reason")
+    return once(coded, {"ocr_mode": mode, "ocr_reason": why}).drop("_reason")
 
 
 def complex_reasons() -> Column:
@@ -101,25 +102,28 @@ def complex_reasons() -> Column:
 def assemble(decided: DataFrame, recognised: DataFrame | None = None, *, ocr: bool = False, sort: bool = False, threshold: int = C.OCR_THRESHOLD) -> DataFrame:
     """Page results.  ``recognised`` has doc_id, page_no, text, confidence and error of the pages that OCR was run on."""
     if ocr and recognised is not None:
-        found = recognised.select("doc_id", "page_no", clean_text(F.coalesce("text", F.lit(""))).alias("_text"), F.col("confidence").alias("_conf"), F.col("error").alias("_error"), F.lit(True).alias("_ran"))
+        seen = once(recognised.select("doc_id", "page_no", F.coalesce("text", F.lit("")).alias("_text"), F.col("confidence").alias("_conf"), F.col("error").alias("_error")), {"_text": clean_text(F.col("_text"))})
+        found = seen.withColumns({"_chars": count_chars(F.col("_text")), "_signs": count_math(F.col("_text")), "_ran": F.lit(True)})
         pages = decided.join(found, ["doc_id", "page_no"], "left")
     else:
-        pages = decided.withColumns({"_text": none(), "_conf": F.lit(None).cast("double"), "_error": none(), "_ran": F.lit(None).cast("boolean")})
+        empty = {"_text": "string", "_conf": "double", "_error": "string", "_chars": "int", "_signs": "int", "_ran": "boolean"}
+        pages = decided.withColumns({k: F.lit(None).cast(kind) for k, kind in empty.items()})
+    pages = once(pages, {"_reasons": complex_reasons()})
     failed, need, replace = F.col("error").isNotNull(), F.col("ocr_mode").isNotNull(), F.col("ocr_mode") == "replace"
     done = need & F.col("_ran").isNotNull() & F.col("_error").isNull()
     lost = need & F.col("_ran").isNotNull() & F.col("_error").isNotNull()
     unsure = F.col("_conf") < C.LOW_CONFIDENCE
-    little = replace & (count_chars(F.col("_text")) < threshold)
+    little = replace & (F.col("_chars") < threshold)
     problems = texts(
         F.array().cast("array<string>"),
         (unsure, F.concat(F.lit("mean OCR confidence "), percent(F.col("_conf") / 100))),
-        (little, F.concat(F.lit("OCR recovered only "), count_chars(F.col("_text")).cast("string"), F.lit(" characters"))),
+        (little, F.concat(F.lit("OCR recovered only "), F.col("_chars").cast("string"), F.lit(" characters"))),
     )
     doubtful = done & (F.coalesce(unsure, F.lit(False)) | F.coalesce(little, F.lit(False)))
-    reasons = complex_reasons()
+    reasons = F.col("_reasons")
     is_complex = ~failed & (F.size(reasons) > 0)
     jumps = ~failed & F.lit(not sort) & (F.col("order_jumps") >= C.JUMPS_LEAST) & (F.col("order_jumps") >= C.JUMPS_SHARE * F.greatest(F.col("block_count") - 1, F.lit(1)))
-    math = F.col("has_math") | (count_math(F.col("_text")) >= C.MATH_LEAST)
+    math = F.col("has_math") | (F.col("_signs") >= C.MATH_LEAST)
     warnings = texts(
         F.array().cast("array<string>"),
         (failed, F.concat(F.lit("DIRECT EXTRACTION FAILED ("), F.col("error"), F.lit(")"))),
@@ -139,11 +143,12 @@ def assemble(decided: DataFrame, recognised: DataFrame | None = None, *, ocr: bo
         (~failed & F.col("has_math") & ~done, F.lit("CONTAINS MATHEMATICAL NOTATION - fractions, subscripts and superscripts may be flattened")),
     )
     method = F.when(done & replace, "OCR").when(done, "DIRECT + OCR").when(failed, "FAILED").otherwise("DIRECT")
-    out = pages.withColumns({
-        "method": method, "text": F.when(done & replace, F.col("_text")).otherwise(F.col("text")), "ocr_text": F.when(done & ~replace, F.col("_text")).otherwise(F.lit("")),
-        "ocr_confidence": F.when(done, F.col("_conf")), "blank": blank, "complex_content": is_complex, "warnings": warnings, "notes": notes,
+    out = once(pages, {
+        "method": method, "ocr_confidence": F.when(done, F.col("_conf")), "blank": blank, "complex_content": is_complex, "warnings": warnings, "notes": notes,
         "low_confidence": doubtful | lost | (F.lit(not ocr) & ~failed & F.coalesce(replace, F.lit(False))),
     })
+    # texts stay outside of it, so that they are not read where nobody asks for them
+    out = out.withColumns({"text": F.when(done & replace, F.col("_text")).otherwise(F.col("text")), "ocr_text": F.when(done & ~replace, F.col("_text")).otherwise(F.lit(""))})
     out = out.withColumns({"needs_review": F.size("warnings") > 0, "used_ocr": F.contains("method", F.lit("OCR"))})
     out = out.withColumn("is_problem", F.col("needs_review") | F.col("used_ocr") | F.col("ocr_reason").isNotNull())
     return out.select(*RESULT, *METRICS)

@@ -10,6 +10,7 @@ from pagewright.config import InputError, PageOptions
 from pagewright.functions import text as X
 from pagewright.functions.ranges import page_list, parse_page_range
 from pagewright.operators import layout, ocr_words
+from pagewright.plans import outputs
 from pagewright.plans import pages as plan
 from pagewright.sinks import files
 from pagewright.sinks import pages as sinks
@@ -225,3 +226,12 @@ def test_files(spark, tmp_path):
     images = spark.createDataFrame([("/d/m.pdf", 2, "page_002.png")], "doc_id string, page_no int, image_name string")
     sinks.save_images(images, lambda d, n: f"{d}{n}".encode(), str(tmp_path))
     assert (tmp_path / "m_problem_pages" / "page_002.png").read_bytes() == b"/d/m.pdf2"
+
+
+@pytest.mark.parametrize("name", ["problem_image_names", "ocr_summaries", "ocr_page_render"])
+def test_texts_are_measured_once(spark, name):
+    """Spark must not copy the expressions over a page's text into the filters and columns that name their results."""
+    found = getattr(outputs, name)(spark, "/root/testdata/sf0.001")
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    sides = 1 if name == "problem_image_names" else 2  # the pages, and those that OCR is run on
+    assert 0 < plan.count("p{L}") <= sides
