@@ -133,7 +133,11 @@ def links(classes: DataFrame, *, crowd: int = CROWD) -> DataFrame:
 
 def near_duplicates(documents: DataFrame, *, key: str = "doc_id", text: str = "text", size: int = SHINGLE, seed: int = SEED, crowd: int = CROWD) -> DataFrame:
     """(doc_id, fp, component_id): component_id is the least doc_id that links lead to."""
-    marked = fingerprints(documents, key=key, text=text, size=size, seed=seed).checkpoint()
+    return fingerprint_groups(fingerprints(documents, key=key, text=text, size=size, seed=seed).checkpoint(), crowd=crowd)
+
+
+def fingerprint_groups(marked: DataFrame, *, crowd: int = CROWD) -> DataFrame:
+    """The same for rows (doc_id, fp), which are read twice."""
     classes = marked.groupBy("fp").agg(F.min("doc_id").alias("first")).checkpoint()
     parts = connected_components(links(classes, crowd=crowd))
     named = classes.join(parts.withColumnRenamed("node", "fp"), "fp")

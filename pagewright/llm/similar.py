@@ -1,13 +1,16 @@
 """Groups of texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more, exactly.
 
-Two bits of a 64-bit fingerprint don't reach that similarity, so the pipeline's near-duplicate stage takes this instead.
+The pipeline's near-duplicate stage.  It starts from the groups of 64-bit SimHash fingerprints; as two bits don't reach that
+similarity, what these leave apart is found by shared shingles.
 
 1. Each text has a class (equal words in equal order), a sketch and its prefix.  The sketch tells for each of some
    four to eight bits a shingle whether an odd number of shingles falls on it; the bits in which two sketches differ
    are at most the shingles that one set has and the other lacks, so a sketch never denies a similar pair.  The prefix
    holds the rarest fifth of the shingles: any similar text shares one of them.
-2. Of each shared shingle two texts lead: the one whose shingles most texts have, which stands amid its copies, and the
-   least.  Each text is compared with the leader that its sketch is nearest to, and hangs on it if they are similar.
+2. Texts with SimHash fingerprints that links of two bits at most lead to (operator 2) are groups; each is compared with
+   the least of its group, and hangs on it if they are similar.  Of each shared shingle two texts lead: the one whose
+   shingles most texts have, which stands amid its copies, and the least.  Each text that hangs on none yet is compared
+   with the leader that its sketch is nearest to, and hangs on it if they are similar.
 3. Texts that share a shingle and are in different groups yet are compared by their leaders first.  Jaccard distance
    is a metric: where the leaders are further apart than a link and both reaches together, no two texts can be linked.
    Leaders that are similar join their groups.
@@ -36,6 +39,7 @@ from pyspark.sql import functions as F
 
 from .common import lowered, mixed, prepare, row_chunks, some_of, span_hashes, string_parts, text_of, unused, word_spans, written
 from .components import connected_components
+from .simhash import SEED, SHINGLE, fingerprint_groups, shingle_fingerprint
 
 #: Words of a shingle, and the least Jaccard similarity of the sets of shingles, of near duplicates.
 WORDS, SIMILARITY = 5, 0.8
@@ -150,7 +154,7 @@ def ranks_of(texts: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
     return known[order], counts[order]
 
 
-MARKED = "doc_id long, h long, node long, size int, bits binary, keys array<long>"
+MARKED = "doc_id long, h long, node long, fp long, size int, bits binary, keys array<long>"
 
 
 def _marked(size: int, similarity: float, ranks):
@@ -165,8 +169,10 @@ def _marked(size: int, similarity: float, ranks):
                 bits.append(sketch(shingles))
                 keys.append(prefix(shingles, np.where(known[at] == shingles, counts[at], 0), similarity).view(np.int64))
             ends = np.cumsum([0, *map(len, keys)])
+            prints = np.array([shingle_fingerprint(x.as_buffer().to_pybytes(), SHINGLE, SEED) for x in batch.column(2).cast(pa.binary())], np.uint64)
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *keys])))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int32()), pa.array(bits, pa.binary()), lists], ["doc_id", "h", "node", "size", "bits", "keys"])
+            columns = {"doc_id": batch.column(0), "h": batch.column(1), "node": pa.array(nodes, pa.int64()), "fp": pa.array(prints.view(np.int64)), "size": pa.array(sizes, pa.int32()), "bits": pa.array(bits, pa.binary()), "keys": lists}
+            yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
     return run
 
@@ -238,6 +244,12 @@ def fits(a: Column, b: Column, similarity: float) -> Column:
     return F.least(a["left"], b["left"]) >= (a["size"] + b["size"]) * (similarity / (1 + similarity)) - 1e-6
 
 
+def printed_pairs(firsts: DataFrame) -> DataFrame:
+    """Pairs (src, dst) of texts and the least of their group by fingerprints; rows have node and fp."""
+    groups = fingerprint_groups(firsts.select(F.col("node").alias("doc_id"), "fp"))
+    return groups.where("doc_id <> component_id").select(F.col("doc_id").alias("src"), F.col("component_id").alias("dst"))
+
+
 def led_pairs(shared: DataFrame, similarity: float) -> DataFrame:
     """Pairs (src, dst) of texts and the leaders of their shingles; rows are (node, key, size, left, n), n being the texts of a key."""
     weight = shared.groupBy("node").agg(F.sum("n").alias("weight"))
@@ -305,9 +317,10 @@ def similar_groups(documents: DataFrame, *, key: str = "doc_id", text: str = "te
     counts = written(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))
     shared = written(keyed.join(counts, "key").select("key", "node", F.shiftright("fit", 32).cast("int").alias("size"), F.col("fit").bitwiseAND((1 << 32) - 1).cast("int").alias("left"), "n"))
     near = estimated(led_pairs(shared, similarity), sketches).where(F.col("most") >= similarity - 1e-9)
-    best = near.groupBy("src").agg(F.max_by("dst", F.struct("most", "dst")).alias("dst"))
     texts = Texts(source, places, size, similarity)
-    stars = texts.verified(best)
+    printed = texts.verified(printed_pairs(firsts))
+    best = near.join(printed.select("src"), "src", "left_anti").groupBy("src").agg(F.max_by("dst", F.struct("most", "dst")).alias("dst"))
+    stars = printed.unionAll(texts.verified(best))
     parts = joined_groups(shared, stars, sketches, texts)
     named = places.join(parts, "node")
     least = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))

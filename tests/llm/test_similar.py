@@ -5,6 +5,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
 
 from pagewright.llm.similar import keep_first, most_similarity, shingle_sets, similar_groups, sketch
 
@@ -215,3 +216,19 @@ def test_shingles_of_odd_texts():
     found = list(shingle_sets(pa.array(texts), 5))
     assert [len(s) for s, _ in found] == [0, 1, 1, 2, 2, 1, 1, 1]
     assert found[1][1] == found[2][1] and found[3][1] == found[4][1] and found[6][1] != found[7][1]
+
+
+def test_stage_starts_from_fingerprints(spark, monkeypatch):
+    """The pipeline's stage links texts by SimHash first: each text's fingerprint is that of operator 2, and its groups' pairs are used."""
+    import corpus_pipeline
+    from pagewright.llm import similar, simhash
+
+    seen = []
+    monkeypatch.setattr(similar, "fingerprint_groups", lambda marked: seen.append(marked) or simhash.fingerprint_groups(marked))
+    words = [f"w{i * 7 % 5003}" for i in range(6000)]
+    texts = {3: " ".join(words), 5: "\n".join(words[:5999]), 8: "something else that is said only here"}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert sorted(r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()) == [3, 8]
+    assert {r.fp for r in seen[0].collect()} == {r.fp for r in simhash.fingerprints(docs).collect()}
+    firsts = seen[0].select(F.col("doc_id").alias("node"), "fp")
+    assert similar.printed_pairs(firsts).count() == 1
