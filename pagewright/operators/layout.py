@@ -135,6 +135,18 @@ def ink_udf(raster: pd.DataFrame, blocks: pd.Series, x0: pd.Series, y0: pd.Serie
     return pd.DataFrame(rows, columns=["ink_ratio", "nontext_ink_ratio"])
 
 
+#: Rows that go to Python at a time: rasters are large.
+RASTERS = 256
+
+
+def with_ink(rows: DataFrame, name: str, raster: Column | str, blocks: Column | str, x0: Column | str, y0: Column | str) -> DataFrame:
+    """Adds the ink of each raster, in Arrow batches whose rows are bounded, so a worker's memory does not grow with the partition."""
+    conf = rows.sparkSession.conf
+    if not 0 < int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= RASTERS:
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(RASTERS))
+    return rows.withColumn(name, ink_udf(raster, blocks, x0, y0))
+
+
 def background_rows(pixels: DataFrame, page: list[str], grey: str = "grey") -> DataFrame:
     """The most frequent grey level of each page, the lowest of equally frequent ones, from rows of pixels."""
     counts = pixels.groupBy(*page, grey).agg(F.count("*").alias("n"))

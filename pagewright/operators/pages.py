@@ -40,7 +40,7 @@ def measure(pages: DataFrame, *, sort: bool = False) -> DataFrame:
     held = pages.withColumn("blocks", F.when(F.col("error").isNull(), layout.text_blocks(F.col("blocks"), sort)).otherwise(F.slice("blocks", 1, 0)))
     held = once(held, {"text": F.coalesce(clean_text(layout.joined_text(F.col("blocks"))), F.lit(""))})
     held = once(held, {"_solid": solid_metrics(F.col("text")), "_math": count_math(F.col("text"))})
-    held = held.withColumn("_ink", layout.ink_udf("raster", "blocks", "x0", "y0"))
+    held = layout.with_ink(held, "_ink", "raster", "blocks", "x0", "y0")
     held = held.withColumn("_shares", layout.image_shares(F.coalesce("images", F.array().cast(pages.schema["images"].dataType)), F.col("x0"), F.col("y0"), F.col("width"), F.col("height")))
     ok = F.col("error").isNull()
     values = {

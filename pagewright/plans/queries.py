@@ -234,7 +234,7 @@ def ink_ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
     samples = F.encode(F.rpad("t", F.col("h") * 64, F.lit("#")), "UTF-8")
     box = lambda i: F.struct(F.lit(i).alias("seq"), (d % 20 * 2 + i * 50).cast("double").alias("x0"), (d % 5 * 4).cast("double").alias("y0"), (d % 20 * 2 + i * 50 + 33).cast("double").alias("x1"), (d % 5 * 4 + 12).cast("double").alias("y1"), F.lit("").alias("text"), F.lit(0).alias("type"))
     raster = F.struct(F.lit(64).alias("w"), "h", F.lit(64).alias("stride"), samples.alias("samples"))
-    found = rows.select("doc_id", layout.ink_udf(raster, F.array(box(0), box(1)), F.lit(0.0), F.lit(0.0)).alias("i"))
+    found = layout.with_ink(rows, "i", raster, F.array(box(0), box(1)), F.lit(0.0), F.lit(0.0)).select("doc_id", "i")
     return found.select("doc_id", F.round("i.ink_ratio", 9).alias("ink_ratio"), F.round("i.nontext_ink_ratio", 9).alias("nontext_ink_ratio"))
 
 

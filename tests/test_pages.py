@@ -10,7 +10,7 @@ from pagewright.config import InputError, PageOptions
 from pagewright.functions import text as X
 from pagewright.functions.ranges import page_list, parse_page_range
 from pagewright.operators import layout, ocr_words
-from pagewright.plans import outputs
+from pagewright.plans import outputs, queries
 from pagewright.plans import pages as plan
 from pagewright.sinks import files
 from pagewright.sinks import pages as sinks
@@ -235,3 +235,12 @@ def test_texts_are_measured_once(spark, name):
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     sides = 1 if name == "problem_image_names" else 2  # the pages, and those that OCR is run on
     assert 0 < plan.count("p{L}") <= sides
+
+
+def test_rasters_go_to_python_in_small_batches(spark):
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "10000")
+    assert queries.ink_ratios(spark, "/root/testdata/sf0.001").count() == 200
+    assert int(spark.conf.get(key)) <= layout.RASTERS
+    spark.conf.set(key, before)
