@@ -25,7 +25,7 @@ def common(word: Column, parts: Column, text: Column) -> Column:
     """Characters in common blocks: the longest common block, the first in the word and then in the text, and so on on either side of it.
 
     Ranges that are still to be looked at wait in a list.  Each look ends a range or finds a block of a character at least,
-    so twice the word's length and one are enough.  ``parts`` are the word's pieces.
+    so twice the word's length and one are enough.  ``parts`` are the word's pieces, at least those that the text has.
     """
 
     def look(held: Column, _: Column) -> Column:
@@ -50,10 +50,12 @@ def common(word: Column, parts: Column, text: Column) -> Column:
 
 
 def likeness(word: Column, text: Column, least: float = 0.0) -> Column:
-    """From 0 to 1; 0 where the lengths alone tell that it is below ``least``.  The word is not empty; which one is the word tells the order of blocks."""
+    """From 0 to 1; 0 where the characters alone tell that it is below ``least``.  The word is not empty; which one is the word tells the order of blocks."""
     total = F.length(text) + F.length(word)
-    bound = 2.0 * F.least(F.length(text), F.length(word)) / total
-    return F.when(bound >= least, 2.0 * let(pieces(word), lambda parts: common(word, parts, text)) / total).otherwise(F.lit(0.0))
+    known = lambda a, b: F.length(a) - F.length(F.call_function("translate", a, b, F.lit("")))
+    bound = 2.0 * F.least(known(text, word), known(word, text)) / total
+    shared = F.filter(pieces(word), lambda p: F.contains(text, p["s"]))  # few, where each look would try all pieces
+    return F.when(bound >= least, 2.0 * let(shared, lambda parts: common(word, parts, text)) / total).otherwise(F.lit(0.0))
 
 
 def meant(names: Sequence[str], text: Column) -> Column:

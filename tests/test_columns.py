@@ -127,6 +127,11 @@ def test_likeness(spark):
         assert values(spark, names, lambda t, word=word: likeness(F.lit(word), t)) == [difflib.SequenceMatcher(None, word, n, autojunk=False).ratio() for n in names]
 
 
+def test_likeness_by_characters_first(spark):
+    """A name that has too few of the word's characters isn't looked at; what is like enough keeps its figure."""
+    assert values(spark, ["questoin", "anwser", "snare", "zzzzzz", ""], lambda t: likeness(F.lit("answer"), t, 0.6)) == [0.0, 10 / 12, 4 / 11, 0.0, 0.0]
+
+
 def test_hints(spark):
     names = near_names()
     expected = [None if n in KNOWN else (difflib.get_close_matches(n, KNOWN, n=1) or [None])[0] for n in names]
