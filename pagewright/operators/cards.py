@@ -146,7 +146,19 @@ def with_duplicates(cards: DataFrame) -> DataFrame:
 
 def validate(cards: DataFrame) -> DataFrame:
     """All cards with errors, warnings, duplicate_of, question_group and valid."""
-    return with_duplicates(with_warnings(with_errors(cards.where(F.col("number").isNotNull()))))
+    return checked(cards.where(F.col("number").isNotNull()))
+
+
+def checked(parsed: DataFrame) -> DataFrame:
+    """The same beside the rows of decks without cards, whose number is null: they pass through, and none is valid."""
+    return with_duplicates(with_warnings(with_errors(parsed)))
+
+
+def texts_only(validated: DataFrame) -> DataFrame:
+    """Validated cards with no more of their fields than their texts, and without their keys: all that rows and reports need."""
+    fields = {c: F.when(F.col(c).isNotNull(), F.struct(F.col(c)["value"].alias("value"))) for c in ("question", "answer", "explanation")}
+    items = F.transform("options.items", lambda o: F.struct(o["value"].alias("value")))
+    return validated.drop("keys").withColumns({**fields, "options": F.when(F.col("options").isNotNull(), F.struct(F.col("options.py_type").alias("py_type"), items.alias("items")))})
 
 
 def question_groups(validated: DataFrame) -> DataFrame:

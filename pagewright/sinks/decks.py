@@ -94,34 +94,39 @@ def report_pieces(validated: DataFrame, decks: DataFrame, dist: DataFrame, after
     at = lambda section, n=-1: (F.lit(section).alias("section"), (F.lit(n) if isinstance(n, int) else n).cast("int").alias("number"))
     prefixed = lambda lines, prefix: F.transform(lines, lambda x: F.concat(F.lit(prefix), x))
     bullet = lambda a: prefixed(F.transform(a, lambda m: m["message"]), "    - ")
-    ended = lambda lines: text(F.array_join(lines, "\n"), "\n").alias("piece")
-    head = validated.withColumn("head", text("  Card ", number, " (", F.col("label"), ")"))
-    own = F.array(F.col("head"))
-    wrong = head.where(F.size("errors") > 0).select("deck_id", *at(2, F.col("number")), ended(F.concat(own, bullet(F.col("errors")))))
-    twice = head.where(F.col("duplicate_of").isNotNull()).select("deck_id", *at(3, F.col("number")), text("  Card ", number, " is a duplicate of card ", F.col("duplicate_of").cast("string"), " (", F.col("label"), ")\n").alias("piece"))
+    ended = lambda lines: text(F.array_join(lines, "\n"), "\n")
+    piece = lambda section, made, n=-1: F.struct(*at(section, n), made.alias("piece"))
+    inlined = lambda df, *made: df.select("deck_id", F.inline(F.array_compact(F.array(*made))))
+    # what is said of a card, from one look at it
+    own = lambda said: ended(F.concat(F.array(text("  Card ", number, " (", F.col("label"), ")")), bullet(F.col(said))))
+    wrong, twice, odd = F.size("errors") > 0, F.col("duplicate_of").isNotNull(), F.col("valid") & (F.size("warnings") > 0)
+    rows = inlined(
+        validated, F.when(wrong, piece(2, own("errors"), F.col("number"))), F.when(odd, piece(5, own("warnings"), F.col("number"))),
+        F.when(twice, piece(3, text("  Card ", number, " is a duplicate of card ", F.col("duplicate_of").cast("string"), " (", F.col("label"), ")\n"), F.col("number"))),
+    )
     again = question_groups(validated).select("deck_id", *at(4, F.col("first")), text("  Cards ", F.array_join(F.transform("numbers", lambda n: n.cast("string")), ", "), " (", F.col("label"), ")\n").alias("piece"))
-    odd = head.where(F.col("valid") & (F.size("warnings") > 0)).select("deck_id", *at(5, F.col("number")), ended(F.concat(own, bullet(F.col("warnings")))))
-    rows = wrong.unionByName(twice).unionByName(again).unionByName(odd)
+    pieces = rows.unionByName(again)
+    # what is said of a deck: titles, with an empty line before each section but the first, and the summary
+    counts = validated.groupBy("deck_id").agg(
+        F.count("*").alias("a"), F.count_if("valid").alias("b"), F.count_if(wrong).alias("c"), F.count_if(twice).alias("d"), F.count_if(F.col("question_group") < F.col("number")).alias("e"),
+        F.count_if(F.col("question_group") == F.col("number")).alias("groups"), F.count_if(odd).alias("said"),
+    )
     for i, (d, label) in enumerate(((dist, "Before shuffling: " if after is not None else ""), (after, "After shuffling: "))):
         if d is not None:
-            rows = rows.unionByName(d.where(F.size("warnings") > 0).select("deck_id", *at(5, (1 << 31) - 3 + i), ended(prefixed(F.col("warnings"), f"  - {label}"))))
-    n = F.col("n").cast("string")
-    title = (
-        F.when(F.col("section") == 2, text("INVALID CARDS (", n, ") - not exported:"))
-        .when(F.col("section") == 3, text("DUPLICATE CARDS (", n, ") - not exported:"))
-        .when(F.col("section") == 4, text("DUPLICATE QUESTIONS (", n, " group(s)) - exported, please review:"))
-        .otherwise("WARNINGS:")
-    )
-    # an empty line before each section but the first
-    titles = rows.groupBy("deck_id", "section").agg(F.count("*").alias("n")).select("deck_id", "section", F.lit(-1).alias("number"), text("\n", title, "\n").alias("piece"))
-    opening = decks.select("deck_id", *at(0), text("Flashcard validation report for ", F.col("deck_id"), " (parsed as ", F.col("format"), ")\n").alias("piece"))
-    notes = decks.where(F.size("notes") > 0).select("deck_id", *at(1), text("\n", F.array_join(F.transform("notes", lambda x: F.concat(F.lit("Note: "), x)), "\n"), "\n").alias("piece"))
-    counts = validated.groupBy("deck_id").agg(
-        F.count("*").alias("a"), F.count_if("valid").alias("b"), F.count_if(F.size("errors") > 0).alias("c"), F.count_if(F.col("duplicate_of").isNotNull()).alias("d"), F.count_if(F.col("question_group") < F.col("number")).alias("e")
-    )
+            doubts = d.where(F.size("warnings") > 0)
+            pieces = pieces.unionByName(doubts.select("deck_id", *at(5, (1 << 31) - 3 + i), ended(prefixed(F.col("warnings"), f"  - {label}")).alias("piece")))
+            counts = counts.join(doubts.select("deck_id", F.lit(1).alias(f"doubts{i}")), "deck_id", "left").withColumn("said", F.col("said") + F.coalesce(F.col(f"doubts{i}"), F.lit(0))).drop(f"doubts{i}")
+    title = lambda n, section, *parts: F.when(F.col(n) > 0, piece(section, text("\n", *parts, "\n")))
+    of = lambda n: F.col(n).cast("string")
     labels = (("Total cards:         ", "a"), ("Valid cards:         ", "b"), ("Invalid cards:       ", "c"), ("Duplicate cards:     ", "d"), ("Duplicate questions: ", "e"))
-    summary = counts.select("deck_id", *at(6), text("\nSUMMARY\n", F.concat_ws("\n", *(text(f"  {label}", F.col(c).cast("string")) for label, c in labels)), "\n").alias("piece"))
-    pieces = rows.unionByName(titles).unionByName(opening).unionByName(notes).unionByName(summary)
+    summary = piece(6, text("\nSUMMARY\n", F.concat_ws("\n", *(text(f"  {label}", of(c)) for label, c in labels)), "\n"))
+    totals = inlined(
+        counts, title("c", 2, "INVALID CARDS (", of("c"), ") - not exported:"), title("d", 3, "DUPLICATE CARDS (", of("d"), ") - not exported:"),
+        title("groups", 4, "DUPLICATE QUESTIONS (", of("groups"), " group(s)) - exported, please review:"), title("said", 5, "WARNINGS:"), summary,
+    )
+    opening = text("Flashcard validation report for ", F.col("deck_id"), " (parsed as ", F.col("format"), ")\n")
+    notes = text("\n", F.array_join(F.transform("notes", lambda x: F.concat(F.lit("Note: "), x)), "\n"), "\n")
+    pieces = pieces.unionByName(totals).unionByName(inlined(decks, piece(0, opening), F.when(F.size("notes") > 0, piece(1, notes))))
     labels = ("Correct answer distribution (as generated):" if after is not None else "Correct answer distribution:", f"Correct answer distribution (after --shuffle-options, seed {seed}):")
     for i, (d, label) in enumerate(zip((dist, after), labels, strict=True)):
         if d is not None:
