@@ -12,7 +12,6 @@ another; an empty table gives an empty table; columns beside those of documents
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 import public_tokenizers
@@ -20,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagewright.llm import decontaminate, line_dedup, packing, quality_rules, similar
-from pagewright.llm.common import prepare, table
+from pagewright.llm.common import prepare, removed, scratch, table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -63,15 +62,9 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
 ORACLE_SQL: str | None = None
 
 
-def removed(spark: SparkSession, path: str) -> None:
-    """Deletes a table in whatever store it is."""
-    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
-
-
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     prepare(spark)
-    folder = f"{spark.sparkContext.getCheckpointDir()}/pipeline-{uuid.uuid4().hex}"
+    folder = scratch(spark, "pipeline")
     docs, before = table(spark, sf_dir, "documents"), None
     for i, (name, stage) in enumerate(STAGES[:-1]):
         stage(spark, docs, sf_dir).write.parquet(path := f"{folder}/{i}-{name}")

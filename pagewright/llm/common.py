@@ -39,11 +39,35 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def written(df: DataFrame) -> DataFrame:
-    """The rows, written as Parquet in the checkpoint folder and read again: smaller than a checkpoint, and as durable."""
-    path = f"{df.sparkSession.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+#: Whether Spark deletes the shuffle files of a query that has run; else they stay until the driver collects its garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder among the checkpoints."""
+    return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    """Deletes a table in whatever store it is."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def written(df: DataFrame, folder: str | None = None) -> DataFrame:
+    """The rows, written as Parquet in the checkpoint folder, or one in it, and read again: smaller than a checkpoint, and as durable.
+
+    What was shuffled for them is deleted at once: a step of many small queries would fill the disks with it.
+    """
+    spark = df.sparkSession
+    path = f"{folder or spark.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
+    before = spark.conf.get(CLEANUP)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def unused(df: DataFrame, *names: str) -> list[str]:

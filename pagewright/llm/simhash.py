@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import prepare, text_of
+from .common import prepare, text_of, written
 from .components import connected_components
 
 SEED, SHINGLE, DISTANCE = 42, 3, 2
@@ -116,7 +116,7 @@ def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def links(classes: DataFrame, *, crowd: int = CROWD) -> DataFrame:
     """Links (src, dst) between distinct fingerprints (fp) that keep every component of distance two whole."""
-    keyed = classes.select("fp").mapInArrow(_keyed, "bucket long, fp long").checkpoint()
+    keyed = written(classes.select("fp").mapInArrow(_keyed, "bucket long, fp long"))
     full = keyed.groupBy("bucket").agg(F.count("*").alias("n"), F.min("fp").alias("low"), F.max("fp").alias("high")).where("n > 1")
     few, many = full.where(F.col("n") <= crowd), full.where(F.col("n") > crowd)
     held = keyed.join(few.select("bucket"), "bucket").groupBy("bucket").agg(F.sort_array(F.collect_list("fp")).alias("fps"))  # crowd at most
@@ -133,17 +133,17 @@ def links(classes: DataFrame, *, crowd: int = CROWD) -> DataFrame:
 
 def near_duplicates(documents: DataFrame, *, key: str = "doc_id", text: str = "text", size: int = SHINGLE, seed: int = SEED, crowd: int = CROWD) -> DataFrame:
     """(doc_id, fp, component_id): component_id is the least doc_id that links lead to."""
-    return fingerprint_groups(fingerprints(documents, key=key, text=text, size=size, seed=seed).checkpoint(), crowd=crowd)
+    return fingerprint_groups(written(fingerprints(documents, key=key, text=text, size=size, seed=seed)), crowd=crowd)
 
 
 def fingerprint_groups(marked: DataFrame, *, crowd: int = CROWD) -> DataFrame:
     """The same for rows (doc_id, fp), which are read twice."""
-    classes = marked.groupBy("fp").agg(F.min("doc_id").alias("first")).checkpoint()
+    classes = written(marked.groupBy("fp").agg(F.min("doc_id").alias("first")))
     parts = connected_components(links(classes, crowd=crowd))
     named = classes.join(parts.withColumnRenamed("node", "fp"), "fp")
     least = named.groupBy("component").agg(F.min("first").alias("component_id"))
     known = named.join(least, "component").select("fp", "component_id")
-    whole = classes.join(known, "fp", "left").select("fp", F.coalesce("component_id", "first").alias("component_id")).checkpoint()
+    whole = written(classes.join(known, "fp", "left").select("fp", F.coalesce("component_id", "first").alias("component_id")))
     return marked.join(whole, "fp").select("doc_id", "fp", "component_id")
 
 

@@ -109,6 +109,34 @@ def test_components(spark):
     assert connected_components(spark.createDataFrame([], "src long, dst long")).count() == 0
 
 
+def test_small_steps_leave_no_disk_behind(spark):
+    """Shuffle files go when a table is written, and the tables of earlier rounds when the next round's are there."""
+    import time
+    from pathlib import Path
+
+    from pagewright.llm.common import prepare, written
+    from pagewright.llm.components import connected_components
+
+    def shuffled():
+        files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {f for i in range(files.size()) if (f := files.apply(i).getName()).startswith("shuffle_")}
+
+    prepare(spark)
+    folder = Path(spark.sparkContext.getCheckpointDir().removeprefix("file:"))
+    before, kept = shuffled(), set(folder.iterdir())
+    table = written(spark.range(1000).selectExpr("id % 50 AS k").distinct())
+    for _ in range(40):
+        if not (left := shuffled() - before):
+            break
+        time.sleep(0.25)
+    assert not left and table.count() == 50
+    edges = spark.createDataFrame([(i, i + 1) for i in range(100)], "src long, dst long")
+    for most in (200_000, 0):  # minima broadcast, and joined by a shuffle
+        assert {(r.node, r.component) for r in connected_components(edges, broadcast_nodes=most).collect()} == {(i, 0) for i in range(101)}
+    made = [p for p in set(folder.iterdir()) - kept if p.name.startswith("components-")]
+    assert len(made) == 2 and all(len(list(p.iterdir())) == 1 for p in made)
+
+
 def test_stages_with_odd_rows(spark):
     """Columns named like those that operators make, null texts and ids, repeated rows: no stage fails, and the columns stay."""
     text = " ".join(f"word{i * 7 % 90}" for i in range(120))
