@@ -45,8 +45,12 @@ def looked_up(table: Column, key: Column) -> Column:
     return F.when(at > 0, F.substring_index(F.substr(table, at + F.length(key) + 2), "\0", 1))
 
 
+#: The same; most characters of a text are ruled out by the first look.
+RARE_SPACE = rf"[\x00-\x20\x7f-\x{{10ffff}}&&{SPACE}]"
+
+
 def without_space(text: Column) -> Column:
-    return F.regexp_replace(text, f"{SPACE}++", "")
+    return F.regexp_replace(text, f"{RARE_SPACE}+", "")
 
 
 def count_chars(text: Column) -> Column:
@@ -54,13 +58,24 @@ def count_chars(text: Column) -> Column:
     return F.length(without_space(text))
 
 
+def char_ranges(chars: str) -> str:
+    """Characters as ranges of a pattern's class, which Java tries one after the other."""
+    points = sorted(set(map(ord, chars)))
+    starts, ends = (p for p in points if p - 1 not in points), (p for p in points if p + 1 not in points)
+    return "".join(rf"\x{{{a:x}}}-\x{{{b:x}}}" for a, b in zip(starts, ends, strict=True))
+
+
+#: What is no mathematical sign: most characters are outside of all the signs' range, which is looked at first.
+NO_SIGN = rf"[[^{min(MATH_SIGNS)}-{max(MATH_SIGNS)}][^{char_ranges(MATH_SIGNS)}]]+"
+
+
 def count_math(text: Column) -> Column:
     """Mathematical signs."""
-    return F.length(F.regexp_replace(text, rf"[^\Q{MATH_SIGNS}\E]++", ""))
+    return F.length(F.regexp_replace(text, NO_SIGN, ""))
 
 
 #: What is no garbage, and what is no letter or number: by runs, as each match costs Spark a piece of text.
-GARBAGE, ALNUM = r"[^\x{FFFD}\p{Co}\p{Cc}\p{Cs}]++", r"[^\p{L}\p{N}]++"
+GARBAGE, ALNUM = r"[[\x20-\x7e][^\x{FFFD}\p{Co}\p{Cc}\p{Cs}]]+", r"[^\p{L}\p{N}]+"
 
 
 def share_of(solid: Column, unwanted: str, empty: float) -> Column:

@@ -52,9 +52,8 @@ SELECT doc_id, length(t) AS n, md5(t) AS digest FROM e"""
 
 def text_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = F.coalesce(F.replace("text", F.lit("th"), F.lit("�≤α")), F.lit(""))
-    return table(spark, sf_dir, "documents").select(
-        "doc_id", X.count_chars(t).cast("long").alias("chars"), X.garbage_ratio(t).alias("garbage_ratio"), X.alnum_ratio(t).alias("alnum_ratio"), X.count_math(t).cast("long").alias("math_signs")
-    )
+    rows = X.once(table(spark, sf_dir, "documents").select("doc_id", t.alias("text")), {"_solid": X.solid_metrics(F.col("text")), "_math": X.count_math(F.col("text"))})
+    return rows.select("doc_id", F.col("_solid.chars").cast("long").alias("chars"), "_solid.garbage_ratio", "_solid.alnum_ratio", F.col("_math").cast("long").alias("math_signs"))
 
 
 TEXT_METRICS = rf"""WITH a AS (SELECT doc_id, coalesce(replace(text, 'th', chr(65533) || '≤α'), '') AS t FROM documents),

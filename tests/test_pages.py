@@ -1,12 +1,13 @@
 """Pages: helpers, layout, decisions, OCR only where needed, results as text."""
 
+import time
 import unicodedata
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from pagewright.config import InputError, PageOptions
+from pagewright.config import MATH_SIGNS, InputError, PageOptions
 from pagewright.functions import text as X
 from pagewright.functions.ranges import page_list, parse_page_range
 from pagewright.operators import layout, ocr_words
@@ -90,6 +91,33 @@ def test_characters_like_python(spark):
         assert r.clean == f"a{expected}b", hex(r.c)
 
 
+def test_signs_like_python(spark):
+    points = [c for c in range(0x10FFFF) if not 0xD800 <= c < 0xE000 and (c < 0x3000 or c % 97 == 0)]
+    df = spark.createDataFrame([(c, f"a{chr(c)}{chr(c)}b") for c in points], "c int, t string").select("c", X.count_math(F.col("t")).alias("n"))
+    assert {r.c for r in df.where("n = 2").collect()} == {*map(ord, MATH_SIGNS)} and not df.where("n not in (0, 2)").count()
+
+
+def test_signs_are_not_tried_one_by_one(spark):
+    """Letters are ruled out at once: signs take no longer than a few times what white space takes."""
+    texts = spark.range(40).select(F.repeat(F.concat(F.lit("abcdefgh "), "id"), F.lit(20_000)).alias("t")).coalesce(1).cache()
+    texts.count()
+
+    def seconds(counted):
+        def once():
+            start = time.perf_counter()
+            texts.agg(F.sum(counted)).collect()
+            return time.perf_counter() - start
+
+        return min(once() for _ in range(3))
+
+    assert seconds(X.count_math(F.col("t"))) < 3 * seconds(X.count_chars(F.col("t")))
+
+
+def test_metrics_look_for_space_once(spark):
+    plan = queries.text_metrics(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("p{Z}") == 1
+
+
 def test_clean_text(spark):
     raw = "\n\na\x00b\tc\x0c  \r\nd   \re\n\n\n\n\n\nf  g  \n  \n"
     df = spark.createDataFrame([(raw,), ("",), ("\n",), ("x" + " " * 5000 + "y",)], "t string")
