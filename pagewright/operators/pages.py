@@ -99,9 +99,18 @@ def complex_reasons() -> Column:
     )
 
 
-def assemble(decided: DataFrame, recognised: DataFrame | None = None, *, ocr: bool = False, sort: bool = False, threshold: int = C.OCR_THRESHOLD) -> DataFrame:
-    """Page results.  ``recognised`` has doc_id, page_no, text, confidence and error of the pages that OCR was run on."""
-    if ocr and recognised is not None:
+def assemble(decided: DataFrame, recognised: DataFrame | Column | None = None, *, ocr: bool = False, sort: bool = False, threshold: int = C.OCR_THRESHOLD) -> DataFrame:
+    """Page results.  ``recognised`` has doc_id, page_no, text, confidence and error of the pages that OCR was run on.
+
+    Where the pages hold it already, it is a column of theirs (text, confidence, error; null where OCR was not run), and no
+    page is worked out twice or moved for a join.
+    """
+    if ocr and isinstance(recognised, Column):
+        seen = once(decided, {"_seen": recognised})
+        seen = once(seen, {"_text": F.when(F.col("_seen").isNotNull(), clean_text(F.coalesce("_seen.text", F.lit(""))))})
+        more = {"_conf": F.col("_seen.confidence"), "_error": F.col("_seen.error"), "_chars": count_chars(F.col("_text")), "_signs": count_math(F.col("_text")), "_ran": F.when(F.col("_seen").isNotNull(), True)}
+        pages = seen.withColumns(more)
+    elif ocr and recognised is not None:
         seen = once(recognised.select("doc_id", "page_no", F.coalesce("text", F.lit("")).alias("_text"), F.col("confidence").alias("_conf"), F.col("error").alias("_error")), {"_text": clean_text(F.col("_text"))})
         found = seen.withColumns({"_chars": count_chars(F.col("_text")), "_signs": count_math(F.col("_text")), "_ran": F.lit(True)})
         pages = decided.join(found, ["doc_id", "page_no"], "left")

@@ -253,20 +253,33 @@ SELECT doc_id, round(count(*) FILTER (WHERE ink) / (64.0::DOUBLE * max(h)), 9) A
 def page_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document's whole text as a page (doc_id, source, v, text), and beside it, by rule, pages that are empty, unreadable or short."""
     d, t = F.col("doc_id"), F.coalesce("text", F.lit(""))
-    variants = (
-        (F.lit(True), t), (d % 17 == 0, F.lit("")), (d % 19 == 0, F.regexp_replace(t, "[a-z]", "-")), (d % 23 == 0, F.regexp_replace(t, "[aeiou]", "�")), (d % 5 == 0, F.concat(F.lit("A line of page "), d.cast("string"))),
-    )
-    pages_of = F.array_compact(F.array(*(F.when(held, F.struct(F.lit(i).alias("v"), text.alias("text"))) for i, (held, text) in enumerate(variants))))
+    texts = (t, F.lit(""), F.regexp_replace(t, "[a-z]", "-"), F.regexp_replace(t, "[aeiou]", "�"), F.concat(F.lit("A line of page "), d.cast("string")))
+    pages_of = F.array_compact(F.array(*(F.when(held, F.struct(F.lit(i).alias("v"), text.alias("text"))) for i, (held, text) in enumerate(zip(page_rules(), texts, strict=True)))))
     return table(spark, sf_dir, "documents").select("doc_id", "source", F.explode(pages_of).alias("p")).select("doc_id", "source", "p.*")
 
 
+def page_rules() -> tuple[Column, ...]:
+    """Which documents have a page of each kind."""
+    return F.lit(True), *(F.col("doc_id") % n == 0 for n in (17, 19, 23, 5))
+
+
+def page_number() -> Column:
+    return (F.col("doc_id") * 5 + F.col("v")).cast("int")
+
+
+def page_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pages of ``page_rows`` (doc_id, source, page_no) without a look at their texts."""
+    found = table(spark, sf_dir, "documents").select("doc_id", "source", F.explode(F.array_compact(F.array(*(F.when(held, i) for i, held in enumerate(page_rules()))))).alias("v"))
+    return found.select("doc_id", "source", page_number().alias("page_no"))
+
+
 def measured(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The pages with the metrics of their texts; layout metrics by rule."""
-    d, rows = F.col("doc_id"), page_rows(spark, sf_dir).withColumn("k", F.col("doc_id") + F.col("v"))
+    rows = page_rows(spark, sf_dir).withColumn("k", F.col("doc_id") + F.col("v"))
     rows = X.once(rows, {"_solid": X.solid_metrics(F.col("text")), "_math": X.count_math(F.col("text"))})
     k = F.col("k")
     return rows.select(
-        F.concat(F.lit("doc"), "doc_id").alias("doc_id"), (d * 5 + F.col("v")).cast("int").alias("page_no"), "source", "text", "_solid.*",
+        F.concat(F.lit("doc"), "doc_id").alias("doc_id"), page_number().alias("page_no"), "source", "text", "_solid.*",
         ((k % 4) / 1000.0).alias("ink_ratio"), ((k % 5) / 100.0).alias("nontext_ink_ratio"), (k % 6).cast("int").alias("image_count"), ((k % 7) / 10.0).alias("image_coverage"),
         (k % 11 * 9).cast("int").alias("drawing_count"), (k % 3).cast("int").alias("table_count"), (k % 15).cast("int").alias("block_count"), ((k % 50) / 1.0).alias("median_block_chars"), (k % 8 == 0).alias("multi_column"),
         (k % 6).cast("int").alias("order_jumps"), (F.col("_math") >= C.MATH_LEAST).alias("has_math"), F.when(k % 31 == 0, F.lit("ValueError: damaged")).alias("error"),

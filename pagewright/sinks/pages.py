@@ -30,10 +30,13 @@ def page_text() -> Column:
     return F.concat(F.array_join(head, "\n"), F.when(F.size(body) > 0, line("\n\n", F.array_join(body, "\n\n"))).otherwise(F.lit("")), F.lit("\n"))
 
 
-def document_pieces(results: DataFrame, page_counts: DataFrame) -> DataFrame:
-    """(doc_id, page_no, piece): each document's heading, then its pages in order; ``page_counts`` has doc_id and page_count."""
+def document_pieces(results: DataFrame, page_counts: DataFrame, numbers: DataFrame | None = None) -> DataFrame:
+    """(doc_id, page_no, piece): each document's heading, then its pages in order; ``page_counts`` has doc_id and page_count.
+
+    The heading names the pages: Spark works the results out again for it, unless ``numbers`` has their doc_id and page_no.
+    """
     pages = results.select("doc_id", F.col("page_no").cast("long").alias("page_no"), F.concat(F.lit("\n"), page_text()).alias("piece"))
-    extracted = page_sets(results, {"pages": F.lit(True)}).join(page_counts, "doc_id")
+    extracted = page_sets(results if numbers is None else numbers, {"pages": F.lit(True)}).join(page_counts, "doc_id")
     head = F.concat(
         F.lit("[SOURCE: "), F.regexp_replace("doc_id", "^.*/", ""), F.lit("]\n[PAGES IN DOCUMENT: "), F.col("page_count").cast("string"), F.lit(" | PAGES EXTRACTED: "), F.col("pages.ranges"),
         F.lit("]\n[RAW EXTRACTION - not cleaned, summarized or reordered. [WARNING] lines mark pages that may need review.]\n"),
@@ -41,9 +44,9 @@ def document_pieces(results: DataFrame, page_counts: DataFrame) -> DataFrame:
     return pages.unionAll(extracted.select("doc_id", F.lit(-1).cast("long"), head))
 
 
-def write_documents(results: DataFrame, page_counts: DataFrame, folder: str, *, mode: str = "error") -> None:
+def write_documents(results: DataFrame, page_counts: DataFrame, folder: str, *, numbers: DataFrame | None = None, mode: str = "error") -> None:
     """A text file for each document, ``doc_id`` with the ending .txt."""
-    files.save(document_pieces(results, page_counts), folder, name=files.file_name(F.col("doc_id"), ".txt"), order=["page_no"], mode=mode)
+    files.save(document_pieces(results, page_counts, numbers), folder, name=files.file_name(F.col("doc_id"), ".txt"), order=["page_no"], mode=mode)
 
 
 def summaries(sets: DataFrame, page_counts: DataFrame, *, ocr: bool = False) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pagewright.config import MATH_SIGNS, InputError, PageOptions
 from pagewright.functions import text as X
 from pagewright.functions.ranges import page_list, parse_page_range
-from pagewright.operators import layout, ocr_words
+from pagewright.operators import layout, ocr_words, pages
 from pagewright.plans import outputs, queries
 from pagewright.plans import pages as plan
 from pagewright.sinks import files
@@ -265,6 +265,19 @@ def test_texts_are_measured_once(spark, name):
     assert 0 < plan.count("p{L}") <= sides
 
 
+def test_recognised_texts_move_no_page(spark):
+    """What the pages hold already is joined with nothing, and gives what a join gives."""
+    sf = "/root/testdata/sf0.001"
+    found = outputs.ocr_page_render(spark, sf)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("p{L}") == 1 and "Join" not in plan
+    decided = pages.decide(queries.measured(spark, sf))
+    seen = decided.withColumn("seen", outputs.recognised()).where("seen is not null").select("doc_id", "page_no", "seen.*")
+    columns = ("doc_id", "page_no", *(c for c in pages.RESULT if c not in ("doc_id", "page_no")))
+    ways = (pages.assemble(decided, of, ocr=True).select(*columns).orderBy("doc_id", "page_no").collect() for of in (outputs.recognised(), seen))
+    assert next(ways) == next(ways) != []
+
+
 def test_rasters_go_to_python_in_small_batches(spark):
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     before = spark.conf.get(key)
