@@ -10,12 +10,14 @@ of those with the same name; ``overwrite`` also removes the target's other files
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 from collections.abc import Callable, Iterator, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from typing import Any
 
+import numpy as np
 import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -23,10 +25,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
 from pyspark.sql.types import StructType
 
+from ..sources.rows import map_rows
 from ..sources.stores import store_of
 
 FORMAT = "named-files"
 NAMES, DONE, STAGING = "_names", "_SUCCESS", "_staging"
+#: Bytes of a file that are read at a time.
+CHUNK = 1 << 20
 #: Files that are moved at a time.
 MOVERS = 16
 #: Bytes of an encoded id beyond which a file's name has a hash instead of its end: names are bounded.
@@ -185,8 +190,28 @@ def save(pieces: DataFrame, folder: str, *, name: Column, order: Sequence[str],
 
 def read(spark: SparkSession, folder: str) -> DataFrame:
     """(name, content) of a folder's files."""
-    files = spark.read.format("binaryFile").load(folder)
-    return files.select(F.regexp_replace(F.url_decode(F.replace(F.col("path"), F.lit("+"), F.lit("%2B"))), "^.*/", "").alias("name"), F.col("content").cast("string").alias("content"))
+    return named(spark, folder).select("name", F.col("content").cast("string").alias("content"))
+
+
+def named(spark: SparkSession, folder: str) -> DataFrame:
+    """A folder's files with their names."""
+    return spark.read.format("binaryFile").load(folder).withColumn("name", F.regexp_replace(F.url_decode(F.replace(F.col("path"), F.lit("+"), F.lit("%2B"))), "^.*/", ""))
+
+
+def digests(spark: SparkSession, folder: str) -> DataFrame:
+    """(name, n, digest) of a folder's files: characters and MD5.  A file of any size is read a chunk at a time."""
+
+    def rows(name: str) -> list[dict]:
+        store, root = store_of(folder)
+        digest, n = hashlib.md5(), 0
+        with store.open_input_stream(f"{root}/{name}") as stream:
+            while chunk := stream.read(CHUNK):
+                digest.update(chunk)
+                # bytes that don't continue a character
+                n += int(np.count_nonzero(np.frombuffer(chunk, np.uint8) & 0xC0 != 0x80))
+        return [{"name": name, "n": n, "digest": digest.hexdigest()}]
+
+    return map_rows(named(spark, folder).select("name"), rows, "name string, n long, digest string")
 
 
 def text_of(pieces: DataFrame, order: Sequence[str], *, separator: str = "", trim: bool = False, show: Callable[[str], Any] | None = None) -> str:

@@ -278,6 +278,16 @@ def test_recognised_texts_move_no_page(spark):
     assert next(ways) == next(ways) != []
 
 
+def test_documents_of_any_size_are_read(spark):
+    """No file is taken whole into a row, which holds 2 GB at most; here, 100 bytes."""
+    key = "spark.sql.sources.binaryFile.maxLength"
+    spark.conf.set(key, "100")
+    try:
+        assert min(r.n for r in outputs.page_documents(spark, "/root/testdata/sf0.001").collect()) > 100
+    finally:
+        spark.conf.unset(key)
+
+
 def test_rasters_go_to_python_in_small_batches(spark):
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     before = spark.conf.get(key)
